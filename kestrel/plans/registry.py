@@ -197,3 +197,125 @@ def q_cube_totals(spark, sf):
     from pyspark.sql import functions as F
     d = A.cube_agg(sales(spark, sf), ["region", "segment"], "revenue", "sum")
     return R(d.withColumn("grouping_id", F.col("grouping_id").cast("int")))
+
+
+# --------------------------------------------------- time series and cohorts
+
+from pyspark.sql import functions as F  # noqa: E402
+
+from kestrel.operators import cohort as C  # noqa: E402
+from kestrel.operators import kpi as K  # noqa: E402
+from kestrel.operators import timeseries as TS  # noqa: E402
+
+
+def _orders_money(spark, sf):
+    o = table(spark, sf, "orders")
+    return o.withColumn("o_totalprice", F.col("o_totalprice").cast("decimal(18,2)"))
+
+
+@register("timeseries_monthly_gapfill", """
+WITH g AS (SELECT CAST(date_trunc('month', o_orderdate) AS DATE) m,
+                  SUM(CAST(o_totalprice AS DECIMAL(18,2))) v
+           FROM orders WHERE o_orderdate IS NOT NULL AND o_totalprice IS NOT NULL GROUP BY 1),
+b AS (SELECT CAST(unnest(generate_series((SELECT MIN(m) FROM g), (SELECT MAX(m) FROM g),
+             INTERVAL 1 MONTH)) AS DATE) m)
+SELECT CAST(last_day(b.m) AS TIMESTAMP) AS period, ROUND(CAST(COALESCE(v, 0) AS DOUBLE), 6) AS value
+FROM b LEFT JOIN g USING (m)""")
+def q_ts_monthly(spark, sf):
+    return R(TS.timeseries_agg(_orders_money(spark, sf), "o_orderdate", "o_totalprice", "M", "sum"))
+
+
+@register("timeseries_daily_gapfill", """
+WITH g AS (SELECT CAST(date_trunc('day', o_orderdate) AS DATE) d,
+                  SUM(CAST(o_totalprice AS DECIMAL(18,2))) v
+           FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderdate IS NOT NULL
+             AND o_totalprice IS NOT NULL GROUP BY 1),
+b AS (SELECT CAST(unnest(generate_series((SELECT MIN(d) FROM g), (SELECT MAX(d) FROM g),
+             INTERVAL 1 DAY)) AS DATE) d)
+SELECT CAST(b.d AS TIMESTAMP) AS period, ROUND(CAST(COALESCE(v, 0) AS DOUBLE), 6) AS value
+FROM b LEFT JOIN g USING (d)""")
+def q_ts_daily(spark, sf):
+    o = _orders_money(spark, sf).where(F.col("o_orderpriority") == "1-URGENT")
+    return R(TS.timeseries_agg(o, "o_orderdate", "o_totalprice", "D", "sum"))
+
+
+@register("timeseries_weekly_mean", """
+SELECT CAST(CAST(date_trunc('week', l_shipdate) AS DATE) + 6 AS TIMESTAMP) AS period,
+       ROUND(AVG(l_quantity), 6) AS value
+FROM lineitem WHERE l_shipdate IS NOT NULL AND l_quantity IS NOT NULL GROUP BY 1""")
+def q_ts_weekly(spark, sf):
+    return R(TS.timeseries_agg(table(spark, sf, "lineitem"), "l_shipdate", "l_quantity", "W", "mean"))
+
+
+@register("timeseries_quarterly_count", """
+WITH g AS (SELECT CAST(date_trunc('quarter', ts) AS DATE) q, COUNT(value) v FROM events
+           WHERE ts IS NOT NULL AND value IS NOT NULL GROUP BY 1)
+SELECT CAST(last_day(q + INTERVAL 2 MONTH) AS TIMESTAMP) AS period, CAST(v AS DOUBLE) AS value FROM g""")
+def q_ts_quarterly(spark, sf):
+    return TS.timeseries_agg(table(spark, sf, "events"), "ts", "value", "Q", "count")
+
+
+_COHORT_SQL = """
+WITH e AS (SELECT DISTINCT o_custkey, date_trunc('month', o_orderdate) p FROM orders
+           WHERE o_custkey IS NOT NULL AND o_orderdate IS NOT NULL),
+x AS (SELECT *, MIN(p) OVER (PARTITION BY o_custkey) c FROM e),
+g AS (SELECT c, CAST(date_diff('month', c, p) AS INTEGER) n, COUNT(*) a FROM x GROUP BY 1, 2),
+s AS (SELECT c, MAX(a) FILTER (WHERE n = 0) sz FROM g GROUP BY c),
+l AS (SELECT strftime(g.c, '%Y-%m') AS cohort_period, n AS period_number, a AS active_entities,
+             sz AS cohort_size, ROUND(a / sz, 6) AS retention_rate FROM g JOIN s USING (c))
+"""
+
+
+@register("cohort_long", _COHORT_SQL + "SELECT * FROM l")
+def q_cohort_long(spark, sf):
+    return R(C.cohort_long(table(spark, sf, "orders"), "o_custkey", "o_orderdate", "M"))
+
+
+_MATRIX_PERIODS = list(range(0, 80))
+
+
+@register("cohort_matrix", _COHORT_SQL + "SELECT cohort_period, " + ", ".join(
+    f'COALESCE(MAX(retention_rate) FILTER (WHERE period_number = {p}), 0.0) AS "{p}"'
+    for p in _MATRIX_PERIODS) + " FROM l GROUP BY cohort_period")
+def q_cohort_matrix(spark, sf):
+    return R(C.cohort_matrix(table(spark, sf, "orders"), "o_custkey", "o_orderdate", "M",
+                             periods=_MATRIX_PERIODS))
+
+
+_KPI_SELECT = """
+CAST(COALESCE(SUM(revenue), 0) AS DOUBLE) AS total_revenue, CAST(COUNT(order_id) AS DOUBLE) AS order_count,
+CAST(COALESCE(SUM(quantity), 0) AS DOUBLE) AS units_sold, AVG(discount_pct) AS avg_discount_pct"""
+
+
+@register("kpi_ecommerce", SALES_CTE + f", k AS (SELECT {_KPI_SELECT} FROM sales)" + """
+SELECT ROUND(total_revenue, 6) AS total_revenue, ROUND(order_count, 6) AS order_count,
+       ROUND(units_sold, 6) AS units_sold, ROUND(avg_discount_pct, 6) AS avg_discount_pct,
+       ROUND(CASE WHEN order_count <> 0 THEN total_revenue / order_count END, 6) AS avg_order_value FROM k""")
+def q_kpi_ecommerce(spark, sf):
+    return R(K.kpi_template_apply(sales(spark, sf), "ecommerce"))
+
+
+@register("kpi_by_segment", SALES_CTE + f", k AS (SELECT region, {_KPI_SELECT} FROM sales "
+          "WHERE region IS NOT NULL GROUP BY region)" + """
+SELECT region, ROUND(total_revenue, 6) AS total_revenue, ROUND(order_count, 6) AS order_count,
+       ROUND(units_sold, 6) AS units_sold, ROUND(avg_discount_pct, 6) AS avg_discount_pct,
+       ROUND(CASE WHEN order_count <> 0 THEN total_revenue / order_count END, 6) AS avg_order_value FROM k""")
+def q_kpi_by_segment(spark, sf):
+    return R(K.kpi_template_apply(sales(spark, sf), "ecommerce", by=["region"]))
+
+
+@register("metric_expression", SALES_CTE + """
+SELECT 'unit_revenue' AS name, segment, ROUND(AVG(CAST(revenue AS DOUBLE) / quantity), 6) AS value,
+       COUNT(*) FILTER (WHERE quantity = 0 OR quantity IS NULL OR revenue IS NULL) AS n_undefined
+FROM sales WHERE segment IS NOT NULL GROUP BY segment""")
+def q_metric_expression(spark, sf):
+    return R(K.metric_definition(sales(spark, sf), "unit_revenue", expression="revenue / quantity",
+                                 group_by="segment"))
+
+
+@register("metric_definition", SALES_CTE + """
+SELECT 'median_quantity' AS name, region, ROUND(MEDIAN(quantity), 6) AS value
+FROM sales WHERE region IS NOT NULL GROUP BY region""")
+def q_metric_definition(spark, sf):
+    return R(K.metric_definition(sales(spark, sf), "median_quantity", metric_col="quantity",
+                                 agg="median", group_by="region"))
