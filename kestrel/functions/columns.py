@@ -17,7 +17,8 @@ from pyspark.sql import types as T
 NUMERIC_PATTERN = r"^[+-]?((\d+\.?\d*)|(\.\d+))([eE][+-]?\d+)?$|^[+-]?(inf|infinity|nan)$"
 
 # date/time formats tried in order when a string column is
-# parsed as a timestamp.
+# parsed as a timestamp. Bare digit strings (years, yyyyMMdd) are left
+# out on purpose: they turn identifier columns into 'dates'.
 DATE_FORMATS = (
     "yyyy-MM-dd HH:mm:ss",
     "yyyy-MM-dd'T'HH:mm:ss",
@@ -26,9 +27,7 @@ DATE_FORMATS = (
     "yyyy/MM/dd",
     "MM/dd/yyyy",
     "dd.MM.yyyy",
-    "yyyyMMdd",
     "yyyy-MM",
-    "yyyy",
 )
 
 AGG_NAMES = ("sum", "mean", "min", "max", "median", "count", "std", "var",

@@ -59,8 +59,8 @@ def exact_quantiles(df: DataFrame, value: str, qs: list[float], by: list[str] |
     by = list(by or [])
     qs = [float(q) for q in qs]
     base = df.select(*by, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
-    if by:
-        base = base.where(F.greatest(*[F.col(b).isNull() for b in by]) == F.lit(False))
+    for b in by:
+        base = base.where(F.col(b).isNotNull())
     counts = base.groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_cnt"))
     pre = prefix_sums(counts, by, "_v", ["_cnt"])
     sizes = counts.groupBy(*by).agg(F.sum("_cnt").alias("_n"))

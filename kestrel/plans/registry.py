@@ -319,3 +319,237 @@ FROM sales WHERE region IS NOT NULL GROUP BY region""")
 def q_metric_definition(spark, sf):
     return R(K.metric_definition(sales(spark, sf), "median_quantity", metric_col="quantity",
                                  agg="median", group_by="region"))
+
+
+# ------------------------------------------------ profiling, quality, joins
+
+from kestrel.operators import profile as PR  # noqa: E402
+from kestrel.operators import quality as QY  # noqa: E402
+from kestrel.operators import star as ST  # noqa: E402
+
+
+def _arr_str(df, *cols):
+    return df.select(*[F.concat_ws("|", F.col(c)).alias(c) if c in cols else F.col(c) for c in df.columns])
+
+
+_CUST_COLS = [("c_custkey", "bigint", True), ("c_name", "string", False), ("c_nationkey", "int", True),
+              ("c_acctbal", "double", True), ("c_mktsegment", "string", False)]
+
+
+def _profile_sql():
+    parts = []
+    for c, t, num in _CUST_COLS:
+        if num:
+            x = f"CAST({c} AS DOUBLE)"
+            stats = (f"COUNT({c}) AS count, ROUND(AVG({x}), 6) AS mean, ROUND(STDDEV_SAMP({x}), 6) AS std, "
+                     f"ROUND(MIN({x}), 6) AS min, ROUND(quantile_cont({x}, 0.25), 6) AS p25, "
+                     f"ROUND(quantile_cont({x}, 0.5), 6) AS median, ROUND(quantile_cont({x}, 0.75), 6) AS p75, "
+                     f"ROUND(MAX({x}), 6) AS max")
+        else:
+            stats = ("CAST(NULL AS BIGINT) AS count, CAST(NULL AS DOUBLE) AS mean, CAST(NULL AS DOUBLE) AS std, "
+                     "CAST(NULL AS DOUBLE) AS min, CAST(NULL AS DOUBLE) AS p25, CAST(NULL AS DOUBLE) AS median, "
+                     "CAST(NULL AS DOUBLE) AS p75, CAST(NULL AS DOUBLE) AS max")
+        parts.append(f"""SELECT '{c}' AS "column", '{t}' AS dtype, COUNT(*) FILTER (WHERE {c} IS NULL) AS n_missing,
+  ROUND(CASE WHEN COUNT(*) > 0 THEN COUNT(*) FILTER (WHERE {c} IS NULL) / COUNT(*) ELSE 0.0 END, 6) AS missing_frac,
+  (SELECT COUNT(DISTINCT {c}) FROM customer) AS n_unique,
+  (SELECT array_to_string(list(v ORDER BY f DESC, v), '|') FROM
+     (SELECT CAST({c} AS VARCHAR) v, COUNT(*) f FROM customer WHERE {c} IS NOT NULL GROUP BY 1
+      ORDER BY f DESC, v LIMIT 5)) AS example_values,
+  {stats} FROM customer""")
+    return "\nUNION ALL\n".join(parts)
+
+
+@register("column_profile", _profile_sql())
+def q_column_profile(spark, sf):
+    return R(_arr_str(PR.column_profile(table(spark, sf, "customer")), "example_values"))
+
+
+@register("dataset_summary", """
+SELECT COUNT(*) AS n_rows, 5 AS n_cols, 'c_custkey|c_name|c_nationkey|c_acctbal|c_mktsegment' AS columns,
+       'bigint|string|int|double|string' AS dtypes FROM customer""")
+def q_dataset_summary(spark, sf):
+    return _arr_str(PR.dataset_summary(table(spark, sf, "customer")), "columns", "dtypes")
+
+
+def _orders_as_text(spark, sf):
+    o = table(spark, sf, "orders")
+    return o.select(*[F.col(c).cast("string").alias(c) for c in o.columns])
+
+
+_SQL_FORMATS = ["%Y-%m-%d %H:%M:%S", "%Y-%m-%dT%H:%M:%S", "%Y-%m-%d %H:%M", "%Y-%m-%d", "%Y/%m/%d",
+                "%m/%d/%Y", "%d.%m.%Y", "%Y-%m"]
+
+
+def _dt_sql():
+    fm = "[" + ", ".join(f"'{f}'" for f in _SQL_FORMATS) + "]"
+    parts = []
+    for c in ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"]:
+        s = f"trim(CAST({c} AS VARCHAR))"
+        parts.append(
+            f"SELECT '{c}' AS \"column\", COUNT({c}) AS n_values, "
+            f"ROUND(COUNT(try_strptime({s}, {fm})) / NULLIF(COUNT({c}), 0), 6) AS parse_rate FROM orders")
+    return ("WITH r AS (" + " UNION ALL ".join(parts) + ") SELECT *, n_values >= 10 AND "
+            "COALESCE(parse_rate, 0) >= 0.8 AS is_datetime FROM r")
+
+
+@register("datetime_columns", _dt_sql())
+def q_datetime_columns(spark, sf):
+    return R(PR.datetime_columns(_orders_as_text(spark, sf)))
+
+
+def _cust_orders(spark, sf):
+    c = table(spark, sf, "customer").select("c_custkey", "c_name")
+    o = table(spark, sf, "orders").select("o_custkey", "o_orderkey", "o_totalprice", "o_orderdate")
+    return c.join(o, c.c_custkey == o.o_custkey, "left").drop("o_custkey")
+
+
+@register("missingness", """
+WITH t AS (SELECT c_custkey, c_name, o_orderkey, o_totalprice, o_orderdate FROM customer
+           LEFT JOIN orders ON c_custkey = o_custkey)
+SELECT "column", ROUND(m, 6) AS missing_frac, m >= 0.2 AS warn FROM (
+  SELECT 'c_custkey' AS "column", COUNT(*) FILTER (WHERE c_custkey IS NULL) / COUNT(*) AS m FROM t UNION ALL
+  SELECT 'c_name', COUNT(*) FILTER (WHERE c_name IS NULL) / COUNT(*) FROM t UNION ALL
+  SELECT 'o_orderkey', COUNT(*) FILTER (WHERE o_orderkey IS NULL) / COUNT(*) FROM t UNION ALL
+  SELECT 'o_totalprice', COUNT(*) FILTER (WHERE o_totalprice IS NULL OR isnan(o_totalprice)) / COUNT(*) FROM t UNION ALL
+  SELECT 'o_orderdate', COUNT(*) FILTER (WHERE o_orderdate IS NULL) / COUNT(*) FROM t)""")
+def q_missingness(spark, sf):
+    return R(QY.missingness(_cust_orders(spark, sf)))
+
+
+@register("duplicate_rate", """
+WITH g AS (SELECT l_orderkey, l_linenumber, COUNT(*) c FROM lineitem GROUP BY ALL)
+SELECT CAST(SUM(c) AS BIGINT) AS n_rows, COUNT(*) AS n_distinct,
+       ROUND(1 - COUNT(*) / SUM(c), 6) AS duplicate_rate FROM g""")
+def q_duplicate_rate(spark, sf):
+    return R(QY.duplicate_rate(table(spark, sf, "lineitem"), ["l_orderkey", "l_linenumber"]))
+
+
+@register("dedup", """
+WITH g AS (SELECT COUNT(*) c FROM lineitem GROUP BY ALL)
+SELECT CAST(SUM(c) AS BIGINT) AS rows_before, COUNT(*) AS rows_after, CAST(SUM(c) - COUNT(*) AS BIGINT) AS rows_removed
+FROM (SELECT *, 1 FROM lineitem) x, LATERAL (SELECT 1) GROUP BY ALL""")
+def q_dedup(spark, sf):
+    return QY.dedup_report(table(spark, sf, "lineitem"))
+
+
+ORACLES["dedup"] = """
+WITH g AS (SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_discount,
+                  l_tax, l_returnflag, l_linestatus, l_shipdate, COUNT(*) c FROM lineitem GROUP BY ALL)
+SELECT CAST(SUM(c) AS BIGINT) AS rows_before, COUNT(*) AS rows_after, CAST(SUM(c) - COUNT(*) AS BIGINT) AS rows_removed
+FROM g"""
+
+
+_Z_COLS = ["c_custkey", "c_nationkey", "c_acctbal"]
+
+
+def _z_sql(tbl, cols, z):
+    parts = []
+    for c in cols:
+        x = f"CAST({c} AS DOUBLE)"
+        parts.append(f"""SELECT '{c}' AS "column", COUNT({c}) AS n_values, AVG({x}) AS mean,
+  STDDEV_POP({x}) AS std, COUNT(*) FILTER (WHERE abs(({x} - (SELECT AVG({x}) FROM {tbl})) /
+  (SELECT STDDEV_POP({x}) FROM {tbl})) >= {z}) AS n_outliers FROM {tbl}""")
+    return "(" + " UNION ALL ".join(parts) + ")"
+
+
+@register("zscore_outliers", "SELECT \"column\", n_values, ROUND(mean, 6) AS mean, ROUND(std, 6) AS std, "
+          "n_outliers, ROUND(n_outliers / GREATEST(n_values, 1), 6) AS outlier_frac_of_nonnull FROM "
+          + _z_sql("customer", _Z_COLS, 1.5) + " WHERE n_values >= 20 AND std IS NOT NULL AND std <> 0")
+def q_zscore(spark, sf):
+    return R(QY.zscore_outliers(table(spark, sf, "customer"), 1.5))
+
+
+@register("range_rules", """
+SELECT 'c_acctbal' AS "column", CAST(0.0 AS DOUBLE) AS min, CAST(NULL AS DOUBLE) AS max,
+       COUNT(*) FILTER (WHERE c_acctbal < 0) AS n_violations, COUNT(*) FILTER (WHERE c_acctbal < 0) > 0 AS warn
+FROM customer""")
+def q_range_rules(spark, sf):
+    return QY.range_rules(table(spark, sf, "customer"), [("c_acctbal", 0.0, None)])
+
+
+_LI_COLS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice",
+            "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
+_LI_NUM = _LI_COLS[:8]
+
+
+def _quality_sql():
+    miss = " UNION ALL ".join(
+        f"SELECT 'missingness' AS \"check\", '{c}' AS \"column\", "
+        f"ROUND(COALESCE(COUNT(*) FILTER (WHERE {c} IS NULL{' OR isnan(' + c + ')' if c in _LI_NUM[4:] else ''}) "
+        f"/ NULLIF(COUNT(*), 0), 0), 6) AS value, CAST(0.2 AS DOUBLE) AS threshold, NULL AS detail FROM lineitem" for c in _LI_COLS)
+    dup = ("SELECT 'duplicate_rate', NULL, ROUND(CASE WHEN SUM(c) > 0 THEN 1 - COUNT(*) / SUM(c) ELSE 0 END, 6), "
+           "0.01, NULL FROM (SELECT COUNT(*) c FROM lineitem GROUP BY ALL)")
+    dup = dup.replace("GROUP BY ALL", "GROUP BY " + ", ".join(_LI_COLS))
+    z = ("SELECT 'zscore_outliers', \"column\", ROUND(n_outliers / GREATEST(n_values, 1), 6), 0.01, "
+         "CAST(n_outliers AS VARCHAR) || ' points with |z| >= 4' FROM " + _z_sql("lineitem", _LI_NUM, 4.0)
+         + " WHERE n_values >= 20 AND std IS NOT NULL AND std <> 0")
+    return (f"WITH r AS ({miss} UNION ALL {dup} UNION ALL {z}) SELECT \"check\", \"column\", value, threshold, "
+            "value >= threshold AS warn, detail FROM r")
+
+
+@register("quality_report", _quality_sql())
+def q_quality_report(spark, sf):
+    return R(QY.quality_report(table(spark, sf, "lineitem")))
+
+
+_STAR_RELS = [("lineitem", ["l_orderkey"], "orders", ["o_orderkey"]),
+              ("orders", ["o_custkey"], "customer", ["c_custkey"]),
+              ("customer", ["c_nationkey"], "nation", ["n_nationkey"]),
+              ("nation", ["n_regionkey"], "region", ["r_regionkey"]),
+              ("lineitem", ["l_partkey"], "part", ["p_partkey"]),
+              ("lineitem", ["l_suppkey"], "supplier", ["s_suppkey"])]
+_STAR_TABLES = ["lineitem", "orders", "customer", "nation", "region", "part", "supplier"]
+
+
+def _star_tables(spark, sf):
+    return {t: table(spark, sf, t) for t in _STAR_TABLES}
+
+
+_STAR_FROM = """FROM lineitem t0 LEFT JOIN orders t1 ON t0.l_orderkey = t1.o_orderkey
+LEFT JOIN customer t2 ON t1.o_custkey = t2.c_custkey LEFT JOIN nation t3 ON t2.c_nationkey = t3.n_nationkey
+LEFT JOIN region t4 ON t3.n_regionkey = t4.r_regionkey"""
+
+
+@register("star_groupby", f"""
+SELECT t4.r_name AS g1_r_name, t2.c_mktsegment AS g2_c_mktsegment, ROUND(SUM(t0.l_quantity), 6) AS value
+{_STAR_FROM} GROUP BY 1, 2 ORDER BY value DESC LIMIT 1000""")
+def q_star_groupby(spark, sf):
+    return R(ST.star_groupby(_star_tables(spark, sf), _STAR_RELS, "l_quantity", ["r_name", "c_mktsegment"],
+                             "sum", limit=1000))
+
+
+@register("star_groupby_mean", """
+SELECT t1.p_type AS g1_p_type, t0.l_returnflag AS g2_l_returnflag, ROUND(AVG(t0.l_extendedprice), 6) AS value
+FROM lineitem t0 LEFT JOIN part t1 ON t0.l_partkey = t1.p_partkey GROUP BY 1, 2""")
+def q_star_groupby_mean(spark, sf):
+    return R(ST.star_groupby(_star_tables(spark, sf), _STAR_RELS, "l_extendedprice", ["p_type", "l_returnflag"],
+                             "mean", limit=0))
+
+
+@register("join_profile", f"""
+SELECT 'lineitem' AS fact_table, 'region' AS dimension_table,
+       'lineitem|orders|customer|nation|region' AS join_path,
+       (SELECT COUNT(*) FROM lineitem) AS fact_rows, COUNT(*) AS joined_rows,
+       COUNT(*) FILTER (WHERE t4.r_regionkey IS NULL) AS unmatched_rows,
+       (SELECT MAX(m) FROM (SELECT MAX(c) m FROM (SELECT COUNT(*) c FROM orders GROUP BY o_orderkey) UNION ALL
+                            SELECT MAX(c) FROM (SELECT COUNT(*) c FROM customer GROUP BY c_custkey) UNION ALL
+                            SELECT MAX(c) FROM (SELECT COUNT(*) c FROM nation GROUP BY n_nationkey) UNION ALL
+                            SELECT MAX(c) FROM (SELECT COUNT(*) c FROM region GROUP BY r_regionkey)))
+         AS max_key_multiplicity, 'ok' AS status
+{_STAR_FROM}""")
+def q_join_profile(spark, sf):
+    return _arr_str(ST.join_profile(_star_tables(spark, sf), _STAR_RELS, "lineitem", "region"), "join_path")
+
+
+@register("relationship_check", """
+WITH pk AS (SELECT o_orderkey, COUNT(*) c FROM orders GROUP BY 1)
+SELECT CAST((SELECT SUM(c) FROM pk) AS BIGINT) AS parent_rows, (SELECT COUNT(*) FROM pk) AS parent_distinct_keys,
+       (SELECT COUNT(*) FROM pk WHERE c > 1) AS duplicate_parent_keys, (SELECT COUNT(*) FROM lineitem) AS child_rows,
+       (SELECT COUNT(*) FROM lineitem WHERE l_orderkey IS NULL) AS null_fk_rows,
+       (SELECT COUNT(*) FROM lineitem l WHERE l_orderkey IS NOT NULL AND NOT EXISTS
+          (SELECT 1 FROM pk WHERE pk.o_orderkey = l.l_orderkey)) AS orphan_rows,
+       (SELECT COUNT(*) FROM pk WHERE c > 1) = 0 AND (SELECT COUNT(*) FROM lineitem l WHERE NOT EXISTS
+          (SELECT 1 FROM pk WHERE pk.o_orderkey = l.l_orderkey)) = 0 AS valid""")
+def q_relationship_check(spark, sf):
+    return ST.relationship_check(table(spark, sf, "orders"), ["o_orderkey"], table(spark, sf, "lineitem"),
+                                 ["l_orderkey"])
