@@ -553,3 +553,198 @@ SELECT CAST((SELECT SUM(c) FROM pk) AS BIGINT) AS parent_rows, (SELECT COUNT(*)
 def q_relationship_check(spark, sf):
     return ST.relationship_check(table(spark, sf, "orders"), ["o_orderkey"], table(spark, sf, "lineitem"),
                                  ["l_orderkey"])
+
+
+# ------------------------------------------------------------ statistics
+
+from kestrel.operators.stats import intervals as CI  # noqa: E402
+from kestrel.operators.stats import tests as HT  # noqa: E402
+
+Z975 = "1.959963984540054"  # standard normal 97.5 % quantile (alpha = 0.05)
+
+
+def _welch_sql(by: str | None):
+    sel = f"{by}, " if by else ""
+    grp = f"GROUP BY {by}" if by else ""
+    return AB_CTE + f""", g AS (SELECT {sel}
+  COUNT(value) FILTER (WHERE variant = 'treatment') n_a, AVG(value) FILTER (WHERE variant = 'treatment') m_a,
+  VAR_SAMP(value) FILTER (WHERE variant = 'treatment') v_a, COUNT(value) FILTER (WHERE variant = 'control') n_b,
+  AVG(value) FILTER (WHERE variant = 'control') m_b, VAR_SAMP(value) FILTER (WHERE variant = 'control') v_b
+  FROM ab WHERE variant IS NOT NULL {'AND ' + by + ' IS NOT NULL' if by else ''} {grp})
+SELECT {sel}'treatment' AS group_a, 'control' AS group_b, n_a, n_b, ROUND(m_a, 6) AS mean_a, ROUND(m_b, 6) AS mean_b,
+  ROUND(m_a - m_b, 6) AS mean_difference, ROUND((m_a - m_b) / sqrt(v_a / n_a + v_b / n_b), 6) AS statistic,
+  ROUND(pow(v_a / n_a + v_b / n_b, 2) / (pow(v_a / n_a, 2) / (n_a - 1) + pow(v_b / n_b, 2) / (n_b - 1)), 6) AS df,
+  ROUND((m_a - m_b) / sqrt(((n_a - 1) * v_a + (n_b - 1) * v_b) / (n_a + n_b - 2)), 6) AS cohens_d FROM g"""
+
+
+_WELCH_COLS = ["group_a", "group_b", "n_a", "n_b", "mean_a", "mean_b", "mean_difference", "statistic", "df",
+               "cohens_d"]
+
+
+@register("welch_t", _welch_sql(None))
+def q_welch_t(spark, sf):
+    r = HT.welch_t_test(ab_events(spark, sf), "variant", "value", "treatment", "control")
+    return R(r.select(*_WELCH_COLS))
+
+
+@register("welch_t_by_segment", _welch_sql("event_type"))
+def q_welch_t_by_segment(spark, sf):
+    r = HT.welch_t_test(ab_events(spark, sf), "variant", "value", "treatment", "control", by=["event_type"])
+    return R(r.select("event_type", *_WELCH_COLS))
+
+
+@register("paired_t", """
+WITH p AS (SELECT o_custkey, AVG(o_totalprice) FILTER (WHERE o_orderstatus = 'F') a,
+                  AVG(o_totalprice) FILTER (WHERE o_orderstatus = 'O') b FROM orders
+           WHERE o_custkey IS NOT NULL AND o_orderstatus IN ('F', 'O') GROUP BY 1),
+d AS (SELECT a, b, a - b d FROM p WHERE a IS NOT NULL AND b IS NOT NULL)
+SELECT 'F' AS group_a, 'O' AS group_b, COUNT(*) AS n_pairs, ROUND(AVG(a), 6) AS mean_a, ROUND(AVG(b), 6) AS mean_b,
+       ROUND(AVG(d), 6) AS mean_difference, ROUND(AVG(d) / (STDDEV_SAMP(d) / sqrt(COUNT(*))), 6) AS statistic,
+       CAST(COUNT(*) - 1 AS DOUBLE) AS df, ROUND(AVG(d) / STDDEV_SAMP(d), 6) AS cohens_dz FROM d""")
+def q_paired_t(spark, sf):
+    r = HT.paired_t_test(table(spark, sf, "orders"), "o_orderstatus", "o_totalprice", "o_custkey", "F", "O")
+    return R(r.select("group_a", "group_b", "n_pairs", "mean_a", "mean_b", "mean_difference", "statistic", "df",
+                      "cohens_dz"))
+
+
+def _mwu_sql(by: str | None):
+    sel = f"{by}, " if by else ""
+    part = f"PARTITION BY {by}" if by else ""
+    grp = f"GROUP BY {by}" if by else ""
+    return f"""
+WITH e AS (SELECT {sel}event_type g, value v FROM events WHERE event_type IN ('click', 'view') AND value IS NOT NULL),
+r AS (SELECT *, RANK() OVER (ORDER_P ORDER BY v) + (COUNT(*) OVER (PARTITION_P v) - 1) / 2.0 rk FROM e),
+t AS (SELECT {sel}v, COUNT(*) c FROM e {'GROUP BY ' + by + ', v' if by else 'GROUP BY v'}),
+tt AS (SELECT {sel}SUM(c * c * c - c) tie FROM t {grp}),
+s AS (SELECT {sel}COUNT(*) FILTER (WHERE g = 'click') na, COUNT(*) FILTER (WHERE g = 'view') nb,
+             SUM(rk) FILTER (WHERE g = 'click') ra, AVG(v) FILTER (WHERE g = 'click') ma,
+             AVG(v) FILTER (WHERE g = 'view') mb, MEDIAN(v) FILTER (WHERE g = 'click') meda,
+             MEDIAN(v) FILTER (WHERE g = 'view') medb FROM r {grp}),
+u AS (SELECT *, ra - na * (na + 1) / 2.0 AS uu FROM s {'JOIN tt USING (' + by + ')' if by else ', tt'})
+SELECT {sel}'click' AS group_a, 'view' AS group_b, na AS n_a, nb AS n_b, ROUND(uu, 6) AS u_statistic,
+       ROUND(CAST(tie AS DOUBLE), 6) AS tie_term,
+       ROUND((GREATEST(uu, na * nb - uu) - na * nb / 2.0 - 0.5) /
+             sqrt(na * nb / 12.0 * ((na + nb + 1) - tie / ((na + nb) * (na + nb - 1.0)))), 6) AS z,
+       ROUND(meda, 6) AS median_a, ROUND(medb, 6) AS median_b, ROUND(ma - mb, 6) AS mean_difference FROM u""" \
+        .replace("ORDER_P", part).replace("PARTITION_P", f"PARTITION BY {by}, " if by else "PARTITION BY ")
+
+
+_MWU_COLS = ["group_a", "group_b", "n_a", "n_b", "u_statistic", "tie_term", "z", "median_a", "median_b",
+             "mean_difference"]
+
+
+@register("mann_whitney", _mwu_sql(None))
+def q_mann_whitney(spark, sf):
+    r = HT.mann_whitney_u(table(spark, sf, "events"), "event_type", "value", "click", "view")
+    return R(r.select(*_MWU_COLS))
+
+
+@register("mann_whitney_by_segment", _mwu_sql("user_id"))
+def q_mann_whitney_by_segment(spark, sf):
+    r = HT.mann_whitney_u(table(spark, sf, "events"), "event_type", "value", "click", "view", by=["user_id"])
+    return R(r.select("user_id", *_MWU_COLS))
+
+
+@register("chi_square", """
+WITH o AS (SELECT o_orderstatus a, o_orderpriority b, COUNT(*) n FROM orders
+           WHERE o_orderstatus IS NOT NULL AND o_orderpriority IS NOT NULL GROUP BY 1, 2),
+r AS (SELECT a, SUM(n) n FROM o GROUP BY a), c AS (SELECT b, SUM(n) n FROM o GROUP BY b),
+t AS (SELECT SUM(n) n FROM o),
+x AS (SELECT COALESCE(o.n, 0) o, r.n * c.n * 1.0 / t.n e FROM r CROSS JOIN c CROSS JOIN t
+      LEFT JOIN o ON o.a = r.a AND o.b = c.b),
+s AS (SELECT SUM((o - e) * (o - e) / e) chi, MIN(e) me FROM x)
+SELECT (SELECT n FROM t) AS n, (SELECT COUNT(*) FROM r) AS n_levels_left, (SELECT COUNT(*) FROM c) AS n_levels_right,
+       ROUND(chi, 6) AS statistic, ((SELECT COUNT(*) FROM r) - 1) * ((SELECT COUNT(*) FROM c) - 1) AS dof,
+       ROUND(me, 6) AS min_expected,
+       ROUND(sqrt(chi / ((SELECT n FROM t) * LEAST((SELECT COUNT(*) FROM r) - 1, (SELECT COUNT(*) FROM c) - 1))), 6)
+         AS cramers_v FROM s""")
+def q_chi_square(spark, sf):
+    r = HT.chi_square_independence(table(spark, sf, "orders"), "o_orderstatus", "o_orderpriority")
+    return R(r.select("n", "n_levels_left", "n_levels_right", "statistic", "dof", "min_expected", "cramers_v"))
+
+
+@register("chi_square_2x2", AB_CTE + """,
+c AS (SELECT COUNT(*) FILTER (WHERE variant = 'treatment' AND conversion = 1) a,
+             COUNT(*) FILTER (WHERE variant = 'treatment' AND conversion = 0) b,
+             COUNT(*) FILTER (WHERE variant = 'control' AND conversion = 1) c,
+             COUNT(*) FILTER (WHERE variant = 'control' AND conversion = 0) d FROM ab),
+k AS (SELECT *, a + b + c + d n, abs(a * d - b * c) / (a + b + c + d) dd,
+             pow(a + b + c + d, 3) / ((a + b) * (c + d) * (a + c) * (b + d)) inv FROM c)
+SELECT n, 2 AS n_levels_left, 2 AS n_levels_right, ROUND(pow(dd - LEAST(0.5, dd), 2) * inv, 6) AS statistic,
+       1 AS dof, ROUND(LEAST(a + b, c + d) * LEAST(a + c, b + d) / n, 6) AS min_expected,
+       ROUND(sqrt(pow(dd - LEAST(0.5, dd), 2) * inv / n), 6) AS cramers_v FROM k""")
+def q_chi_square_2x2(spark, sf):
+    r = HT.chi_square_independence(ab_events(spark, sf), "variant", "conversion")
+    return R(r.select("n", "n_levels_left", "n_levels_right", "statistic", "dof", "min_expected", "cramers_v"))
+
+
+_Z_SQL = AB_CTE + f""",
+g AS (SELECT COUNT(*) FILTER (WHERE variant = 'treatment') na, COUNT(*) FILTER (WHERE variant = 'control') nb,
+             COUNT(*) FILTER (WHERE variant = 'treatment' AND conversion = 1) xa,
+             COUNT(*) FILTER (WHERE variant = 'control' AND conversion = 1) xb FROM ab WHERE conversion IS NOT NULL),
+p AS (SELECT *, xa / na pa, xb / nb pb, (xa + xb) / (na + nb) pp FROM g)
+SELECT 'treatment' AS group_a, 'control' AS group_b, na AS n_a, nb AS n_b, xa AS successes_a, xb AS successes_b,
+       ROUND(pa, 6) AS rate_a, ROUND(pb, 6) AS rate_b, ROUND(pa - pb, 6) AS rate_difference,
+       ROUND((pa - pb) / sqrt(GREATEST(1e-12, pp * (1 - pp) * (1.0 / na + 1.0 / nb))), 6) AS statistic,
+       ROUND(pa - pb - {Z975} * sqrt(pa * (1 - pa) / na + pb * (1 - pb) / nb), 6) AS ci_lower,
+       ROUND(pa - pb + {Z975} * sqrt(pa * (1 - pa) / na + pb * (1 - pb) / nb), 6) AS ci_upper,
+       ROUND((pa - pb) / pb, 6) AS relative_lift,
+       ROUND((xa + 0.5) * (nb - xb + 0.5) / ((na - xa + 0.5) * (xb + 0.5)), 6) AS odds_ratio FROM p"""
+_Z_COLS = ["group_a", "group_b", "n_a", "n_b", "successes_a", "successes_b", "rate_a", "rate_b", "rate_difference",
+           "statistic", "ci_lower", "ci_upper", "relative_lift", "odds_ratio"]
+
+
+@register("two_proportion_z", _Z_SQL)
+def q_two_proportion_z(spark, sf):
+    r = HT.two_proportion_z_test(ab_events(spark, sf), "variant", "conversion", "treatment", "control", success_value=1)
+    return R(r.select(*_Z_COLS))
+
+
+@register("levene", """
+WITH e AS (SELECT event_type g, value v FROM events WHERE event_type IN ('click', 'view') AND value IS NOT NULL),
+m AS (SELECT g, MEDIAN(v) m FROM e GROUP BY g), z AS (SELECT g, ABS(v - m) z FROM e JOIN m USING (g)),
+a AS (SELECT g, COUNT(*) n, AVG(z) zb, VAR_POP(z) vv FROM z GROUP BY g)
+SELECT 'click' AS group_a, 'view' AS group_b, SUM(n) AS n,
+       ROUND((SUM(n) - 2) * (SUM(n * zb * zb) - POW(SUM(n * zb), 2) / SUM(n)) / SUM(n * vv), 6) AS statistic,
+       1.0::DOUBLE AS df1, CAST(SUM(n) - 2 AS DOUBLE) AS df2 FROM a""")
+def q_levene(spark, sf):
+    r = HT.levene_test(table(spark, sf, "events"), "event_type", "value", "click", "view")
+    return R(r.select("group_a", "group_b", "n", "statistic", "df1", "df2"))
+
+
+@register("tukey_outliers", """
+WITH q AS (SELECT l_returnflag, COUNT(*) n, quantile_cont(l_extendedprice, 0.25) q1,
+                  quantile_cont(l_extendedprice, 0.75) q3 FROM lineitem
+           WHERE l_returnflag IS NOT NULL AND l_extendedprice IS NOT NULL GROUP BY 1),
+o AS (SELECT l.l_returnflag, COUNT(*) FILTER (WHERE q3 - q1 > 0 AND (l_extendedprice < q1 - 1.5 * (q3 - q1)
+             OR l_extendedprice > q3 + 1.5 * (q3 - q1))) n_out FROM lineitem l JOIN q USING (l_returnflag)
+      WHERE l_extendedprice IS NOT NULL GROUP BY 1)
+SELECT l_returnflag, n, ROUND(q1, 6) AS q1, ROUND(q3, 6) AS q3, ROUND(q3 - q1, 6) AS iqr,
+       ROUND(q1 - 1.5 * (q3 - q1), 6) AS lower_fence, ROUND(q3 + 1.5 * (q3 - q1), 6) AS upper_fence,
+       n_out AS n_outliers, ROUND(CASE WHEN n >= 4 THEN n_out / n END, 6) AS outlier_share,
+       CASE WHEN n >= 4 THEN n_out / n <= 0.05 END AS passed FROM q JOIN o USING (l_returnflag)""")
+def q_tukey_outliers(spark, sf):
+    return R(HT.tukey_outliers(table(spark, sf, "lineitem"), "l_extendedprice", by=["l_returnflag"]))
+
+
+@register("mean_ci", """
+SELECT o_orderpriority, COUNT(o_totalprice) AS n, ROUND(AVG(o_totalprice), 6) AS mean,
+       ROUND(STDDEV_SAMP(o_totalprice) / sqrt(COUNT(o_totalprice)), 6) AS sem FROM orders
+WHERE o_orderpriority IS NOT NULL GROUP BY 1""")
+def q_mean_ci(spark, sf):
+    r = CI.mean_confidence_interval(table(spark, sf, "orders"), "o_totalprice", by=["o_orderpriority"])
+    return R(r.select("o_orderpriority", "n", "mean", "sem"))
+
+
+@register("proportion_ci", AB_CTE + f""",
+g AS (SELECT event_type, COUNT(*) n, SUM(CASE WHEN variant = 'treatment' THEN 1 ELSE 0 END) x FROM ab
+      WHERE event_type IS NOT NULL GROUP BY 1),
+w AS (SELECT *, x / n p, 1 + {Z975} * {Z975} / n dn FROM g)
+SELECT event_type, n, x AS successes, ROUND(p, 6) AS proportion,
+       ROUND(GREATEST(0.0, (p + {Z975} * {Z975} / (2.0 * n)) / dn
+             - {Z975} * sqrt(p * (1 - p) / n + {Z975} * {Z975} / (4.0 * n * n)) / dn), 6) AS lower_bound,
+       ROUND(LEAST(1.0, (p + {Z975} * {Z975} / (2.0 * n)) / dn
+             + {Z975} * sqrt(p * (1 - p) / n + {Z975} * {Z975} / (4.0 * n * n)) / dn), 6) AS upper_bound FROM w""")
+def q_proportion_ci(spark, sf):
+    r = CI.proportion_confidence_interval(ab_events(spark, sf), "variant", "treatment", by=["event_type"])
+    return R(r.select("event_type", "n", "successes", "proportion", "lower_bound", "upper_bound"))
