@@ -748,3 +748,35 @@ SELECT event_type, n, x AS successes, ROUND(p, 6) AS proportion,
 def q_proportion_ci(spark, sf):
     r = CI.proportion_confidence_interval(ab_events(spark, sf), "variant", "treatment", by=["event_type"])
     return R(r.select("event_type", "n", "successes", "proportion", "lower_bound", "upper_bound"))
+
+
+from kestrel.operators.stats import dispatch as DS  # noqa: E402
+from kestrel.operators.stats import normality as NM  # noqa: E402
+
+
+@register("ab_test", AB_CTE + """,
+g AS (SELECT COUNT(*) FILTER (WHERE variant = 'treatment') na, COUNT(*) FILTER (WHERE variant = 'control') nb,
+             COUNT(*) FILTER (WHERE variant = 'treatment' AND conversion = 1) xa,
+             COUNT(*) FILTER (WHERE variant = 'control' AND conversion = 1) xb FROM ab WHERE conversion IS NOT NULL),
+p AS (SELECT *, xa / na pa, xb / nb pb, (xa + xb) / (na + nb) pp FROM g)
+SELECT 'two_proportion_z_test' AS method, na AS n_a, nb AS n_b,
+       ROUND((pa - pb) / sqrt(GREATEST(1e-12, pp * (1 - pp) * (1.0 / na + 1.0 / nb))), 6) AS statistic,
+       ROUND(pa, 6) AS treatment_mean, ROUND(pb, 6) AS control_mean, ROUND(pa - pb, 6) AS absolute_difference,
+       ROUND((pa - pb) / pb, 6) AS relative_lift, ROUND((pa - pb) / pb * 100.0, 6) AS percent_change,
+       ROUND(GREATEST(na, nb) / LEAST(na, nb), 6) AS imbalance_ratio FROM p""")
+def q_ab_test(spark, sf):
+    r = DS.ab_test(ab_events(spark, sf), "variant", "control", "treatment", "conversion")
+    return R(r.select("method", "n_a", "n_b", "statistic", "treatment_mean", "control_mean", "absolute_difference",
+                      "relative_lift", "percent_change", "imbalance_ratio"))
+
+
+@register("statistical_test")
+def q_statistical_test(spark, sf):
+    """Dispatcher on a continuous metric (selects Welch here); rows-only."""
+    return DS.statistical_test(ab_events(spark, sf), "variant", "value", "treatment", "control")
+
+
+@register("normality")
+def q_normality(spark, sf):
+    """Shapiro-Wilk per user (<= 5000 values each) - no SQL twin."""
+    return NM.normality(table(spark, sf, "events"), "value", by=["user_id"])
