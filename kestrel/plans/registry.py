@@ -780,3 +780,90 @@ def q_statistical_test(spark, sf):
 def q_normality(spark, sf):
     """Shapiro-Wilk per user (<= 5000 values each) - no SQL twin."""
     return NM.normality(table(spark, sf, "events"), "value", by=["user_id"])
+
+
+# ------------------------------------------------------------------ OLS
+
+from kestrel.operators.stats import ols as OLS  # noqa: E402
+
+_OLS_CTE = """
+WITH s AS (SELECT COUNT(*) n, COVAR_SAMP(l_quantity, l_quantity) s11, COVAR_SAMP(l_discount, l_discount) s22,
+  COVAR_SAMP(l_quantity, l_discount) s12, COVAR_SAMP(l_extendedprice, l_quantity) s1y,
+  COVAR_SAMP(l_extendedprice, l_discount) s2y, VAR_SAMP(l_extendedprice) syy, AVG(l_extendedprice) my,
+  AVG(l_quantity) m1, AVG(l_discount) m2, SUM(l_quantity * l_quantity) g11, SUM(l_discount * l_discount) g22,
+  SUM(l_quantity * l_discount) g12, CORR(l_quantity, l_discount) r12 FROM lineitem
+  WHERE l_extendedprice IS NOT NULL AND l_quantity IS NOT NULL AND l_discount IS NOT NULL),
+b AS (SELECT *, (s22 * s1y - s12 * s2y) / (s11 * s22 - s12 * s12) b1,
+                (s11 * s2y - s12 * s1y) / (s11 * s22 - s12 * s12) b2 FROM s),
+c AS (SELECT *, my - b1 * m1 - b2 * m2 b0, (b1 * s1y + b2 * s2y) / syy r2 FROM b)"""
+
+
+def _lineitem_fit(spark, sf):
+    return OLS.ols_fit(table(spark, sf, "lineitem"), "l_extendedprice", ["l_quantity", "l_discount"])
+
+
+@register("ols_coefficients", _OLS_CTE + """
+SELECT 'const' AS term, ROUND(b0, 4) AS coefficient FROM c UNION ALL
+SELECT 'l_quantity', ROUND(b1, 4) FROM c UNION ALL SELECT 'l_discount', ROUND(b2, 4) FROM c""")
+def q_ols_coefficients(spark, sf):
+    r = OLS.ols_coefficients(_lineitem_fit(spark, sf))
+    return r.select("term", F.round("coefficient", 4).alias("coefficient"))
+
+
+@register("ols_fit", _OLS_CTE + """
+SELECT n, 3 AS k, 3 AS rank, ROUND(r2, 8) AS r_squared, ROUND(1 - (1 - r2) * (n - 1) / (n - 3), 8) AS adj_r_squared,
+       ROUND((r2 / 2) / ((1 - r2) / (n - 3)), 4) AS f_statistic, 'ok' AS status FROM c""")
+def q_ols_fit(spark, sf):
+    r = OLS.ols_fit_metrics(_lineitem_fit(spark, sf))
+    return r.select("n", "k", "rank", F.round("r_squared", 8).alias("r_squared"),
+                    F.round("adj_r_squared", 8).alias("adj_r_squared"), F.round("f_statistic", 4).alias("f_statistic"),
+                    "status")
+
+
+@register("ols_diagnostics", _OLS_CTE + """,
+e AS (SELECT l_quantity q, l_discount d, l_extendedprice - (b0 + b1 * l_quantity + b2 * l_discount) e FROM lineitem, c
+      WHERE l_extendedprice IS NOT NULL AND l_quantity IS NOT NULL AND l_discount IS NOT NULL),
+m AS (SELECT COUNT(*) n, AVG(e) me, STDDEV_POP(e) sd FROM e),
+k AS (SELECT AVG(pow(e - me, 3)) / pow(AVG(pow(e - me, 2)), 1.5) sk,
+             AVG(pow(e - me, 4)) / pow(AVG(pow(e - me, 2)), 2) - 3 ku,
+             COUNT(*) FILTER (WHERE abs(e) > 3 * sd) o FROM e, m),
+a AS (SELECT COVAR_SAMP(q, q) s11, COVAR_SAMP(d, d) s22, COVAR_SAMP(q, d) s12, COVAR_SAMP(e * e, q) s1y,
+             COVAR_SAMP(e * e, d) s2y, VAR_SAMP(e * e) syy FROM e),
+ab AS (SELECT (s22 * s1y - s12 * s2y) / (s11 * s22 - s12 * s12) b1, (s11 * s2y - s12 * s1y) / (s11 * s22 - s12 * s12) b2,
+              s1y, s2y, syy FROM a)
+SELECT m.n, ROUND(sk, 4) AS residual_skew, ROUND(ku, 4) AS residual_kurtosis,
+       ROUND(m.n / 6.0 * (sk * sk + ku * ku / 4), 4) AS jarque_bera,
+       ROUND(m.n * (b1 * s1y + b2 * s2y) / syy, 4) AS breusch_pagan, o AS residual_outliers FROM m, k, ab""")
+def q_ols_diagnostics(spark, sf):
+    r = OLS.ols_diagnostics(_lineitem_fit(spark, sf))
+    return r.select("n", *[F.round(c, 4).alias(c) for c in ("residual_skew", "residual_kurtosis", "jarque_bera",
+                                                            "breusch_pagan")], "residual_outliers")
+
+
+@register("vif", _OLS_CTE + """
+SELECT 'l_quantity' AS term, ROUND(g11 * g22 / (g11 * g22 - g12 * g12), 6) AS vif,
+       ROUND(1 / (1 - r12 * r12), 6) AS vif_centered FROM c UNION ALL
+SELECT 'l_discount', ROUND(g11 * g22 / (g11 * g22 - g12 * g12), 6), ROUND(1 / (1 - r12 * r12), 6) FROM c""")
+def q_vif(spark, sf):
+    r = OLS.ols_vif(_lineitem_fit(spark, sf))
+    return R(r.select("term", "vif", "vif_centered"))
+
+
+@register("ols_by_segment", """
+WITH s AS (SELECT l_returnflag, COUNT(*) n, COVAR_POP(l_quantity, l_quantity) s11, COVAR_POP(l_discount, l_discount) s22,
+  COVAR_POP(l_quantity, l_discount) s12, COVAR_POP(l_extendedprice, l_quantity) s1y,
+  COVAR_POP(l_extendedprice, l_discount) s2y, VAR_POP(l_extendedprice) syy, AVG(l_extendedprice) my,
+  AVG(l_quantity) m1, AVG(l_discount) m2 FROM lineitem
+  WHERE l_returnflag IS NOT NULL AND l_extendedprice IS NOT NULL AND l_quantity IS NOT NULL AND l_discount IS NOT NULL
+  GROUP BY 1),
+b AS (SELECT *, (s22 * s1y - s12 * s2y) / (s11 * s22 - s12 * s12) b1,
+                (s11 * s2y - s12 * s1y) / (s11 * s22 - s12 * s12) b2 FROM s),
+c AS (SELECT *, my - b1 * m1 - b2 * m2 b0, (b1 * s1y + b2 * s2y) / syy r2 FROM b)
+SELECT l_returnflag, n, 'const' AS term, ROUND(b0, 4) AS coefficient, ROUND(r2, 8) AS r_squared FROM c UNION ALL
+SELECT l_returnflag, n, 'l_quantity', ROUND(b1, 4), ROUND(r2, 8) FROM c UNION ALL
+SELECT l_returnflag, n, 'l_discount', ROUND(b2, 4), ROUND(r2, 8) FROM c""")
+def q_ols_by_segment(spark, sf):
+    r = OLS.ols_by_segment(table(spark, sf, "lineitem"), "l_extendedprice", ["l_quantity", "l_discount"],
+                           ["l_returnflag"])
+    return r.select("l_returnflag", "n", "term", F.round("coefficient", 4).alias("coefficient"),
+                    F.round("r_squared", 8).alias("r_squared"))
