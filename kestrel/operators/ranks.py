@@ -90,3 +90,26 @@ def exact_quantiles(df: DataFrame, value: str, qs: list[float], by: list[str] |
 
 def quantile_name(prefix: str, q: float) -> str:
     return f"{prefix}{q:g}".replace(".", "_")
+
+
+def ordered_lag(df: DataFrame, by: list[str], order: list[str], value: str, partitions: int | None = None,
+                name: str | None = None) -> DataFrame:
+    """``lag(value) over (partition by by order by order)`` without putting a
+    whole ``by`` group in one task: range partitions on (by, order), a local
+    lag inside each, and the first row of each (partition, group) takes the
+    last value of the same group in the nearest earlier partition (a small
+    table of one row per partition and group)."""
+    name = name or f"prev_{value}"
+    parts = partitions or _n_parts(df)
+    r = df.repartitionByRange(parts, *[F.col(c) for c in [*by, *order]]) \
+          .withColumn("_pid", F.spark_partition_id())
+    r = cut_lineage(r)
+    keys = ["_pid", *by]
+    w = Window.partitionBy(*keys).orderBy(*order)
+    local = r.withColumn("_lag", F.lag(value).over(w)).withColumn("_rn", F.row_number().over(w))
+    last = r.groupBy(*keys).agg(F.max_by(F.col(value), F.struct(*order)).alias("_last"))
+    w2 = (Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))).orderBy("_pid")
+    carry = last.select(*keys, F.lag("_last").over(w2).alias("_carry"))
+    out = local.join(carry, keys)
+    fixed = F.when(F.col("_rn") == 1, F.col("_carry")).otherwise(F.col("_lag"))
+    return out.select(*df.columns, fixed.alias(name))

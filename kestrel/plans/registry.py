@@ -867,3 +867,138 @@ def q_ols_by_segment(spark, sf):
                            ["l_returnflag"])
     return r.select("l_returnflag", "n", "term", F.round("coefficient", 4).alias("coefficient"),
                     F.round("r_squared", 8).alias("r_squared"))
+
+
+# ------------------------------------------------------ text audits, ledger
+
+from kestrel.operators import audit as AU  # noqa: E402
+from kestrel.operators import ledger as LG  # noqa: E402
+
+
+@register("uncited_claims", r"""
+WITH l AS (SELECT doc_id, unnest(regexp_split_to_array(COALESCE(text, ''), '\r\n|\n|\r')) raw FROM documents),
+c AS (SELECT doc_id, regexp_replace(raw, '^\s+|\s+$', '', 'g') ln FROM l),
+bad AS (SELECT doc_id, COUNT(*) n FROM c WHERE ln <> '' AND NOT starts_with(ln, '|')
+        AND regexp_matches(ln, '(^|[^\p{L}\p{N}_-])[0-9]') AND NOT (contains(ln, '[[EV:') OR contains(ln, '[[EV-'))
+        GROUP BY 1)
+SELECT d.doc_id, CAST(COALESCE(n, 0) AS BIGINT) AS n_uncited_lines FROM documents d LEFT JOIN bad USING (doc_id)""")
+def q_uncited_claims(spark, sf):
+    return AU.uncited_claims(table(spark, sf, "documents"), "doc_id", "text")
+
+
+@register("dangling_refs", r"""
+SELECT doc_id, 'unmapped_citation' AS kind, ref FROM
+  (SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, '\[([0-9]{1,4})\]', 1))) ref FROM documents)""")
+def q_dangling_refs(spark, sf):
+    return AU.dangling_refs(table(spark, sf, "documents"), "doc_id", "text")
+
+
+@register("wording_flags", r"""
+SELECT doc_id, s AS significance_wording, p AS has_p_value, ci AS has_ci, e AS has_effect_size, c AS causal_wording,
+       CASE WHEN c OR (s AND NOT (p AND ci AND e)) THEN 'fail' ELSE 'pass' END AS verdict FROM (
+  SELECT doc_id,
+    regexp_matches(COALESCE(text, ''), '(?i)\b(statistically significant|significant improvement|significant lift)\b') s,
+    regexp_matches(COALESCE(text, ''), '(?i)\bp-value\b|\bp\s*=\s*\d') p,
+    contains(COALESCE(text, ''), '### Confidence Intervals') ci, contains(COALESCE(text, ''), '### Effect Sizes') e,
+    regexp_matches(COALESCE(text, ''), '(?i)\b(caused|causes|proved|proves|guarantees|drives growth|causal(?:ly)?)\b') c
+  FROM documents)""")
+def q_wording_flags(spark, sf):
+    return AU.wording_flags(table(spark, sf, "documents"), "doc_id", "text")
+
+
+def _stmt_sql():
+    kw = " ".join(f"WHEN regexp_matches(lq, '\\b{k}\\b') THEN '{k}'" for k in AU.SQL_DENY_KEYWORDS)
+    return rf"""
+WITH s0 AS (SELECT CAST(conv_id AS VARCHAR) || ':' || CAST(turn AS VARCHAR) AS stmt_id,
+                   regexp_replace(regexp_replace(COALESCE(text, ''), '(?s)/\*.*?\*/', ' ', 'g'), '--[^\n\r]*', ' ', 'g') s
+            FROM conversations),
+s1 AS (SELECT stmt_id, regexp_replace(regexp_replace(regexp_replace(s, '^\s+|\s+$', '', 'g'), ';+$', ''),
+                                      '^\s+|\s+$', '', 'g') q FROM s0),
+s2 AS (SELECT stmt_id, q, lower(q) lq FROM s1),
+s3 AS (SELECT stmt_id, q, lq, CASE {kw} END kw FROM s2),
+s4 AS (SELECT stmt_id, kw, CASE WHEN q = '' THEN 'empty' WHEN contains(q, ';') THEN 'multiple_statements'
+    WHEN NOT (starts_with(lq, 'select') OR starts_with(lq, 'with ')) THEN 'not_select'
+    WHEN kw IS NOT NULL THEN 'denied_keyword' WHEN regexp_matches(lq, '\bfor\s+update\b') THEN 'for_update'
+    WHEN regexp_matches(lq, '\bselect\b[\s\S]*\binto\b') THEN 'select_into' END rule FROM s3)
+SELECT stmt_id, CASE WHEN rule IS NULL THEN 'accepted' ELSE 'refused' END AS verdict, rule,
+       CASE WHEN rule = 'denied_keyword' THEN kw END AS keyword FROM s4"""
+
+
+@register("statement_audit", _stmt_sql())
+def q_statement_audit(spark, sf):
+    c = table(spark, sf, "conversations")
+    stmts = c.select(F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("stmt_id"),
+                     "text")
+    return AU.statement_audit(stmts, "stmt_id", "text")
+
+
+def _redact_sql():
+    t = "COALESCE(text, '')"
+    expr = t
+    hits = []
+    for name, pat, rep in AU.REDACTIONS:
+        expr = f"regexp_replace({expr}, '{pat}', '{rep.replace('$1', chr(92) + '1')}', 'gi')"
+        hits.append(f"CAST(len(regexp_extract_all({t}, '(?i){pat}', 0)) AS INTEGER) AS hits_{name}")
+    return f"SELECT doc_id, {expr} AS redacted, {', '.join(hits)} FROM documents"
+
+
+@register("redact_text", _redact_sql())
+def q_redact_text(spark, sf):
+    return AU.redact_text(table(spark, sf, "documents"), "doc_id", "text")
+
+
+_STATUS_SQL = """CASE event_type WHEN 'signup' THEN 'queued' WHEN 'view' THEN 'running' WHEN 'click' THEN 'running'
+  WHEN 'purchase' THEN 'completed' WHEN 'error' THEN 'failed' END"""
+
+
+def _ledger_events(spark, sf):
+    e = table(spark, sf, "events")
+    status = (F.when(F.col("event_type") == "signup", "queued").when(F.col("event_type").isin("view", "click"), "running")
+              .when(F.col("event_type") == "purchase", "completed").when(F.col("event_type") == "error", "failed"))
+    return e.select(F.col("user_id").alias("run_id"), "ts", "event_id", status.alias("status"),
+                    F.col("props").alias("error_message"))
+
+
+@register("run_transitions", f"""
+WITH e AS (SELECT user_id AS run_id, ts, event_id, {_STATUS_SQL} AS to_status FROM events),
+l AS (SELECT *, LAG(to_status) OVER (PARTITION BY run_id ORDER BY ts, event_id) AS from_status FROM e),
+a AS (SELECT * FROM (VALUES ('queued','queued'), ('queued','running'), ('queued','completed'), ('queued','failed'),
+      ('running','running'), ('running','completed'), ('running','failed'), ('completed','completed'),
+      ('failed','failed')) v(f, t))
+SELECT run_id, ts, event_id, from_status, to_status, (a.f IS NOT NULL) AS allowed
+FROM l LEFT JOIN a ON a.f = l.from_status AND a.t = l.to_status WHERE from_status IS NOT NULL""")
+def q_run_transitions(spark, sf):
+    return LG.run_transitions(_ledger_events(spark, sf), "run_id", "ts", "status", tiebreak="event_id")
+
+
+@register("run_state", f"""
+WITH e AS (SELECT user_id AS run_id, ts, {_STATUS_SQL} AS status, props AS error_message FROM events)
+SELECT run_id, arg_max(status, ts) AS status, MIN(ts) FILTER (WHERE status = 'running') AS started_at,
+       MIN(ts) FILTER (WHERE status IN ('completed', 'failed')) AS completed_at, COUNT(*) AS n_events,
+       arg_max(error_message, ts) FILTER (WHERE status = 'failed') AS last_error FROM e GROUP BY run_id""")
+def q_run_state(spark, sf):
+    return LG.run_state(_ledger_events(spark, sf), "run_id", "ts", "status", "error_message")
+
+
+@register("artifact_upsert", """
+SELECT user_id, event_type, arg_max(event_id, ts) AS event_id, MAX(ts) AS ts, arg_max(value, ts) AS value,
+       arg_max(props, ts) AS props, COUNT(*) AS n_writes FROM events GROUP BY 1, 2""")
+def q_artifact_upsert(spark, sf):
+    return LG.artifact_upsert(table(spark, sf, "events"), "user_id", "event_type", "ts")
+
+
+@register("artifact_types", r"""
+SELECT page_id, url, CASE WHEN regexp_matches(url, '(?i)\.md$') THEN 'report'
+  WHEN regexp_matches(url, '(?i)\.(png|jpg|jpeg|svg)$') THEN 'chart' WHEN regexp_matches(url, '(?i)\.(csv|parquet)$') THEN 'table'
+  WHEN regexp_matches(url, '(?i)\.json$') THEN 'json' WHEN regexp_matches(url, '(?i)\.(log|txt)$') THEN 'log'
+  WHEN regexp_matches(url, '(?i)\.html?$') THEN 'html' ELSE 'file' END AS artifact_type FROM pages""")
+def q_artifact_types(spark, sf):
+    p = table(spark, sf, "pages")
+    return p.select("page_id", "url", LG.artifact_type(F.col("url")).alias("artifact_type"))
+
+
+@register("run_listing", """
+SELECT * FROM orders WHERE o_orderpriority = '1-URGENT' ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 20 OFFSET 20""")
+def q_run_listing(spark, sf):
+    return LG.run_listing(table(spark, sf, "orders"), "o_orderpriority", "1-URGENT", "o_orderdate", limit=20,
+                          offset=20, tiebreak="o_orderkey")
