@@ -1002,3 +1002,127 @@ SELECT * FROM orders WHERE o_orderpriority = '1-URGENT' ORDER BY o_orderdate DES
 def q_run_listing(spark, sf):
     return LG.run_listing(table(spark, sf, "orders"), "o_orderpriority", "1-URGENT", "o_orderdate", limit=20,
                           offset=20, tiebreak="o_orderkey")
+
+
+# --------------------------------------------------- charts, sources, suites
+
+from kestrel.operators import charts as CH  # noqa: E402
+from kestrel.plans import suite as SU  # noqa: E402
+from kestrel.sources import files as SRC  # noqa: E402
+
+
+@register("histogram", """
+WITH s AS (SELECT MIN(o_totalprice) lo, MAX(o_totalprice) hi FROM orders WHERE o_totalprice IS NOT NULL),
+c AS (SELECT CAST(CASE WHEN (hi - lo) / 10 > 0 THEN LEAST(FLOOR((o_totalprice - lo) / ((hi - lo) / 10)), 9) ELSE 0 END
+                  AS INTEGER) bin, COUNT(*) n FROM orders, s WHERE o_totalprice IS NOT NULL GROUP BY 1),
+g AS (SELECT CAST(unnest(generate_series(0, 9)) AS INTEGER) bin, lo, hi FROM s)
+SELECT 'o_totalprice' AS "column", bin, ROUND(lo + bin * (hi - lo) / 10, 6) AS lower,
+       ROUND(lo + (bin + 1) * (hi - lo) / 10, 6) AS upper, COALESCE(n, 0) AS count FROM g LEFT JOIN c USING (bin)""")
+def q_histogram(spark, sf):
+    return R(CH.histogram(table(spark, sf, "orders"), "o_totalprice", 10))
+
+
+@register("top_categories", """
+WITH c AS (SELECT CAST(c_mktsegment AS VARCHAR) value, COUNT(*) count FROM customer WHERE c_mktsegment IS NOT NULL GROUP BY 1)
+SELECT 'c_mktsegment' AS "column", value, count FROM c WHERE (SELECT COUNT(*) FROM c) BETWEEN 2 AND 30
+ORDER BY count DESC, value LIMIT 15""")
+def q_top_categories(spark, sf):
+    return CH.top_categories(table(spark, sf, "customer"), "c_mktsegment")
+
+
+@register("heatmap_cells", SALES_CTE + """,
+b AS (SELECT CAST(country AS VARCHAR) x, CAST(product_category AS VARCHAR) y, revenue m FROM sales
+      WHERE country IS NOT NULL AND product_category IS NOT NULL),
+xs AS (SELECT DISTINCT x FROM b ORDER BY x LIMIT 20), ys AS (SELECT DISTINCT y FROM b ORDER BY y LIMIT 20),
+c AS (SELECT x, y, CAST(COALESCE(SUM(m), 0) AS DOUBLE) v FROM b WHERE x IN (SELECT x FROM xs) AND y IN (SELECT y FROM ys)
+      GROUP BY 1, 2)
+SELECT xs.x, ys.y, ROUND(COALESCE(c.v, 0.0), 6) AS value FROM xs CROSS JOIN ys LEFT JOIN c ON c.x = xs.x AND c.y = ys.y""")
+def q_heatmap_cells(spark, sf):
+    return R(CH.heatmap_cells(sales(spark, sf), "country", "product_category", "revenue", "sum", 20))
+
+
+@register("schema_inventory", """
+WITH c AS (SELECT table_name AS "table", CAST(ordinal_position - 1 AS INTEGER) AS position, column_name AS "column"
+           FROM information_schema.columns WHERE table_name IN ('orders', 'customer')),
+n AS (SELECT 'orders' AS "table", COUNT(*) AS n_rows FROM orders UNION ALL SELECT 'customer', COUNT(*) FROM customer)
+SELECT "table", position, "column", CASE WHEN "table" = 'orders' AND "column" = 'o_custkey' THEN 'customer.c_custkey' END
+       AS "references", n_rows FROM c JOIN n USING ("table")""")
+def q_schema_inventory(spark, sf):
+    t = {"orders": table(spark, sf, "orders"), "customer": table(spark, sf, "customer")}
+    r = SRC.schema_inventory(t, [("orders", ["o_custkey"], "customer", ["c_custkey"])])
+    return r.select("table", "position", "column", "references", "n_rows")
+
+
+@register("sql_query_mapping", """
+SELECT CAST(o_orderpriority AS VARCHAR) AS key, CAST(COUNT(*) AS DOUBLE) AS value FROM orders GROUP BY 1 LIMIT 1000""")
+def q_sql_query_mapping(spark, sf):
+    table(spark, sf, "orders").createOrReplaceTempView("orders")
+    return SRC.sql_query(spark, "-- volume per priority\nSELECT o_orderpriority, COUNT(*) AS n FROM orders GROUP BY 1;",
+                         limit=1000, output="mapping")
+
+
+def _suite_sql():
+    s = SALES_CTE
+    parts = [
+        "SELECT 'D1' task_id, 'groupby_agg' type, CAST(country AS VARCHAR) key, 'value' metric, "
+        "CAST(COUNT(revenue) AS DOUBLE) v FROM sales WHERE country IS NOT NULL GROUP BY country",
+        "SELECT 'D2', 'groupby_agg', country, 'value', CAST(AVG(revenue) AS DOUBLE) FROM sales "
+        "WHERE country IS NOT NULL GROUP BY country",
+        "SELECT 'D3', 'groupby2_agg', country || '|' || segment, 'value', CAST(AVG(revenue) AS DOUBLE) FROM sales "
+        "WHERE country IS NOT NULL AND segment IS NOT NULL GROUP BY country, segment",
+        "SELECT 'D4', 'groupby2_agg', country || '|' || segment, 'value', CAST(COUNT(revenue) AS DOUBLE) FROM sales "
+        "WHERE country IS NOT NULL AND segment IS NOT NULL GROUP BY country, segment",
+    ]
+    for i, d in ((5, "quantity"), (6, "discount_pct")):
+        parts.append(f"SELECT 'D{i}', 'correlation', '{d}|revenue|computed', 'n', CAST(COUNT(*) AS DOUBLE) FROM sales "
+                     f"WHERE {d} IS NOT NULL AND revenue IS NOT NULL")
+        parts.append(f"SELECT 'D{i}', 'correlation', '{d}|revenue|computed', 'r', "
+                     f"CORR(CAST({d} AS DOUBLE), CAST(revenue AS DOUBLE)) FROM sales")
+    parts.append("""SELECT 'D7', 'timeseries_agg', CAST(CAST(last_day(b.m) AS TIMESTAMP) AS VARCHAR), 'value',
+        CAST(COALESCE(v, 0) AS DOUBLE) FROM (SELECT CAST(unnest(generate_series((SELECT MIN(m) FROM ts),
+        (SELECT MAX(m) FROM ts), INTERVAL 1 MONTH)) AS DATE) m) b LEFT JOIN ts USING (m)""")
+    for met, expr in (("value", "v"), ("share_pct", "v / SUM(v) OVER ()"), ("share_of_total", "v / SUM(v) OVER ()")):
+        parts.append(f"SELECT 'D8', 'segment_analysis', k, '{met}', {expr} FROM seg")
+    gd = [("n_groups", "CAST(COUNT(v) AS DOUBLE)"), ("q0_5", "quantile_cont(v, 0.5)"),
+          ("q0_75", "quantile_cont(v, 0.75)"), ("q0_9", "quantile_cont(v, 0.9)"), ("q0_95", "quantile_cont(v, 0.95)"),
+          ("q0_99", "quantile_cont(v, 0.99)"), ("max_group_value", "MAX(v)"), ("min_group_value", "MIN(v)"),
+          ("mean_group_value", "AVG(v)")]
+    for met, expr in gd:
+        parts.append(f"SELECT 'D9', 'group_distribution', 'country|revenue|sum', '{met}', {expr} FROM gsum")
+    parts.append("""SELECT 'D10', 'recency_by_group', country || '|' || CAST(last_date AS VARCHAR) || '|' ||
+        CAST(ref AS VARCHAR), 'recency_days', CAST(floor(date_diff('second', last_date, ref) / 86400.0) AS DOUBLE)
+        FROM (SELECT country, MAX(order_date) last_date FROM sales WHERE country IS NOT NULL AND order_date IS NOT NULL
+        GROUP BY 1), (SELECT MAX(order_date) ref FROM sales WHERE country IS NOT NULL)""")
+    ctes = s + """,
+ts AS (SELECT CAST(date_trunc('month', order_date) AS DATE) m, SUM(revenue) v FROM sales
+       WHERE order_date IS NOT NULL AND revenue IS NOT NULL GROUP BY 1),
+seg AS (SELECT CAST(country AS VARCHAR) k, CAST(AVG(revenue) AS DOUBLE) v FROM sales WHERE country IS NOT NULL GROUP BY 1),
+gsum AS (SELECT country, CAST(SUM(revenue) AS DOUBLE) v FROM sales WHERE country IS NOT NULL GROUP BY 1)"""
+    body = "\nUNION ALL\n".join(parts)
+    return (ctes + f"\nSELECT task_id, type, key, metric, ROUND(v, 6) AS value, 'computed' AS status, "
+            f"CAST(NULL AS VARCHAR) AS reason FROM ({body}) u(task_id, type, key, metric, v)")
+
+
+_DRIVER_ARGS = dict(metric="revenue", dim="country", dim2="segment", drivers=["quantity", "discount_pct"],
+                    date_col="order_date")
+
+
+@register("driver_suite", _suite_sql())
+def q_driver_suite(spark, sf):
+    return R(SU.driver_suite(sales(spark, sf), **_DRIVER_ARGS))
+
+
+@register("metric_suite", SALES_CTE + """
+SELECT 'T1' AS task_id, 'groupby_agg' AS type, region AS key, 'value' AS metric,
+       ROUND(CAST(SUM(revenue) AS DOUBLE), 6) AS value, 'computed' AS status, CAST(NULL AS VARCHAR) AS reason
+FROM sales WHERE region IS NOT NULL GROUP BY region
+UNION ALL SELECT 'T2', 'filter_agg', 'segment|AUTOMOBILE', 'value', ROUND(CAST(SUM(quantity) AS DOUBLE), 6), 'computed',
+       NULL FROM sales WHERE segment = 'AUTOMOBILE'
+UNION ALL SELECT 'T3', 'groupby_agg', '', '', NULL, 'failed', 'ColumnError: column(s) not found: no_such_column'""")
+def q_metric_suite(spark, sf):
+    tasks = [{"id": "T1", "type": "groupby_agg", "params": {"group_by": "region", "metric": "revenue", "limit": 0}},
+             {"id": "T2", "type": "filter_agg",
+              "params": {"filter_col": "segment", "filter_val": "AUTOMOBILE", "metric": "quantity"}},
+             {"id": "T3", "type": "groupby_agg", "params": {"group_by": "no_such_column", "metric": "revenue"}},
+             {"id": "T4", "type": "groupby_agg", "params": {"group_by": "region", "metric": "revenue", "limit": 0}}]
+    return R(SU.run_suite(sales(spark, sf), tasks))
