@@ -1126,3 +1126,31 @@ def q_metric_suite(spark, sf):
              {"id": "T3", "type": "groupby_agg", "params": {"group_by": "no_such_column", "metric": "revenue"}},
              {"id": "T4", "type": "groupby_agg", "params": {"group_by": "region", "metric": "revenue", "limit": 0}}]
     return R(SU.run_suite(sales(spark, sf), tasks))
+
+
+# ------------------------------------------------------------- streaming
+
+from kestrel.streaming import incremental as STR  # noqa: E402
+
+
+@register("stream_event_windows", """
+SELECT date_trunc('hour', ts) AS window_start, date_trunc('hour', ts) + INTERVAL 1 HOUR AS window_end, event_type,
+       COUNT(*) AS n, ROUND(SUM(value), 6) AS total, ROUND(AVG(value), 6) AS mean, ROUND(MIN(value), 6) AS min,
+       ROUND(MAX(value), 6) AS max FROM events GROUP BY 1, 2, 3""")
+def q_stream_event_windows(spark, sf):
+    s = STR.read_parquet_stream(spark, f"{sf.rstrip('/')}/events.parquet")
+    agg = STR.windowed_aggregates(s, "ts", "value", "1 hour", "1 hour", by=["event_type"])
+    out = STR.run_versioned(agg, "event-windows", ["window_start", "window_end", "event_type"])
+    return R(out.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"),
+                        F.col("window_end").cast("timestamp_ntz").alias("window_end"),
+                        "event_type", "n", "total", "mean", "min", "max"))
+
+
+@register("stream_run_transitions", ORACLES["run_transitions"])
+def q_stream_run_transitions(spark, sf):
+    s = STR.read_parquet_stream(spark, f"{sf.rstrip('/')}/events.parquet")
+    status = (F.when(F.col("event_type") == "signup", "queued").when(F.col("event_type").isin("view", "click"), "running")
+              .when(F.col("event_type") == "purchase", "completed").when(F.col("event_type") == "error", "failed"))
+    ev = s.select(F.col("user_id").alias("run_id"), "ts", "event_id", status.alias("status"))
+    t = STR.ledger_transitions_stream(ev, "run_id", "ts", "status", "event_id")
+    return STR.run_append(t, "run-transitions")
