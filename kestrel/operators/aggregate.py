@@ -15,7 +15,7 @@ from kestrel.functions.columns import (
     SCALAR_AGG_NAMES, ColumnError, agg_column, key_equals, numeric_col, require_columns,
     timestamp_col,
 )
-from kestrel.operators.ranks import exact_quantiles, quantile_name
+from kestrel.operators.ranks import quantile_name, value_summary
 
 DEFAULT_QUANTILES = (0.05, 0.25, 0.5, 0.75, 0.95)
 GROUP_QUANTILES = (0.5, 0.75, 0.9, 0.95, 0.99)
@@ -134,17 +134,17 @@ def distribution(df: DataFrame, column: str, quantiles=DEFAULT_QUANTILES,
     base = df.select(*by, x.alias("_x")).where(F.col("_x").isNotNull())
     if by:
         base = base.where(_not_null(*by))
-    mom = base.groupBy(*by).agg(
-        F.count("_x").alias("count"), F.avg("_x").alias("mean"),
-        F.coalesce(F.stddev_samp("_x"), F.lit(0.0)).alias("std"),
-        F.min("_x").alias("min"), F.max("_x").alias("max"))
     if approx:
+        mom = base.groupBy(*by).agg(
+            F.count("_x").alias("count"), F.avg("_x").alias("mean"), F.stddev_samp("_x").alias("std"),
+            F.min("_x").alias("min"), F.max("_x").alias("max"))
         qcols = F.percentile_approx("_x", qs, 10000)
         qt = base.groupBy(*by).agg(qcols.alias("_qa")).select(
             *by, *[F.col("_qa")[i].alias(quantile_name("q", q)) for i, q in enumerate(qs)])
+        out = mom.join(qt, by) if by else mom.crossJoin(qt)
     else:
-        qt = exact_quantiles(base, "_x", qs, by)
-    out = mom.join(qt, by) if by else mom.crossJoin(qt)
+        out = value_summary(base, "_x", qs, by)
+    out = out.where(F.col("count") > 0).withColumn("std", F.coalesce(F.col("std"), F.lit(0.0)))
     return out.select(F.lit(column).alias("column"), *by, "count", "mean", "std", "min", "max",
                       *[quantile_name("q", q) for q in qs])
 
@@ -154,13 +154,12 @@ def group_distribution(df: DataFrame, group_by: str, metric: str, agg: str = "su
     """AG6: distribution of the per-group aggregates (two-level aggregate)."""
     qs = _valid_quantiles(quantiles, GROUP_QUANTILES)
     g = _grouped(df, [group_by], metric, agg).where(F.col("value").isNotNull() & ~F.isnan("value"))
-    mom = g.agg(F.count("value").alias("n_groups"), F.max("value").alias("max_group_value"),
-                F.min("value").alias("min_group_value"), F.avg("value").alias("mean_group_value"))
-    qt = exact_quantiles(g, "value", qs)
-    return mom.crossJoin(qt).where(F.col("n_groups") > 0).select(
+    v = value_summary(g, "value", qs)
+    return v.where(F.col("count") > 0).select(
         F.lit(group_by).alias("group_by"), F.lit(metric).alias("metric"), F.lit(agg).alias("agg"),
-        "n_groups", *[quantile_name("q", q) for q in qs],
-        "max_group_value", "min_group_value", "mean_group_value")
+        F.col("count").alias("n_groups"), *[quantile_name("q", q) for q in qs],
+        F.col("max").alias("max_group_value"), F.col("min").alias("min_group_value"),
+        F.col("mean").alias("mean_group_value"))
 
 
 def correlation(df: DataFrame, x: str, y: str) -> DataFrame:

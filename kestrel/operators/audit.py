@@ -71,7 +71,8 @@ def uncited_claim_lines(docs: DataFrame, id_col: str, text_col: str, sections=No
     pass ``KEY_SECTIONS`` for the reference's report sections."""
     lines = text_lines(docs, id_col, text_col)
     cmap = citation_map(lines, id_col)
-    cand = lines.where((F.col("line") != "") & ~F.col("line").startswith("|") & F.col("line").rlike(NUMBER))
+    cand = lines.where((F.col("line") != "") & ~F.col("line").startswith("|") & ~F.col("raw").startswith("## ")
+                       & F.col("line").rlike(NUMBER))
     if sections:
         cand = cand.where(F.col("section").isin(*sections))
     cand = cand.join(cmap, id_col, "left")

@@ -58,7 +58,10 @@ def high_value_groups(df: DataFrame, group_by: str, metric: str, agg: str = "sum
     """RK4: groups whose aggregate is at or above the P90 (or given) of all
     group aggregates. The threshold is one exact quantile (one row)."""
     from kestrel.operators.ranks import exact_quantiles
-    g = _grouped(df, [group_by], metric, agg).where(F.col("value").isNotNull())
+    from kestrel.session import cut_lineage
+    # The grouped result is read twice (threshold, then filter): write it
+    # once to the checkpoint folder instead of aggregating the source twice.
+    g = cut_lineage(_grouped(df, [group_by], metric, agg).where(F.col("value").isNotNull()))
     thr = exact_quantiles(g, "value", [quantile], prefix="thr")
     name = thr.columns[-1]
     return g.crossJoin(F.broadcast(thr)).where(F.col("value") >= F.col(name)).select(

@@ -47,45 +47,95 @@ def prefix_sums(df: DataFrame, by: list[str], order: str, cols: list[str],
                                for c in cols])
 
 
-def exact_quantiles(df: DataFrame, value: str, qs: list[float], by: list[str] | None = None,
-                    prefix: str = "q") -> DataFrame:
-    """Exact linear-interpolation quantiles (pandas / DuckDB quantile_cont)
-    of ``value`` per ``by`` group, one row per group with columns
-    ``<prefix><q>`` (dots replaced by underscores).
-
-    Work is a count per distinct value, the prefix sums above, and a filter
-    of each distinct value against the group's 2·len(qs) target ranks.
-    """
+def counted_prefix(df: DataFrame, value: str, by: list[str] | None = None,
+                   weights: dict | None = None) -> DataFrame:
+    """One pass over ``df``: count rows per (by, value) - or sum the given
+    weight columns - and add the strictly-lower prefix sums. The result is
+    checkpointed, so every later statistic reads the (smaller) distinct-value
+    table instead of the source again. Columns: by..., _v, count columns,
+    ``<count>_before``."""
     by = list(by or [])
-    qs = [float(q) for q in qs]
-    base = df.select(*by, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
+    base = df.select(*by, F.col(value).cast("double").alias("_v"),
+                     *[w.alias(name) for name, w in (weights or {}).items()]).where(F.col("_v").isNotNull())
     for b in by:
         base = base.where(F.col(b).isNotNull())
-    counts = base.groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_cnt"))
-    pre = prefix_sums(counts, by, "_v", ["_cnt"])
-    sizes = counts.groupBy(*by).agg(F.sum("_cnt").alias("_n"))
+    if weights:
+        aggs = [F.sum(name).cast("long").alias(name) for name in weights]
+    else:
+        aggs = [F.count(F.lit(1)).alias("_cnt")]
+    counts = base.groupBy(*by, "_v").agg(*aggs)
+    names = list(weights) if weights else ["_cnt"]
+    return prefix_sums(counts, by, "_v", names)
+
+
+def quantile_lookup(pre: DataFrame, by: list[str], qs: list[float], cnt: str = "_cnt",
+                    prefix: str = "q") -> DataFrame:
+    """Linear-interpolation quantiles (pandas / DuckDB quantile_cont) from a
+    ``counted_prefix`` table: each distinct value is tested against the
+    group's 2·len(qs) target ranks; only hits survive."""
+    by = list(by or [])
+    before = f"{cnt}_before"
+    sizes = (pre.groupBy(*by) if by else pre.groupBy()).agg(F.sum(cnt).alias("_n")).where(F.col("_n") > 0)
     targets = F.array(*[
         F.struct(F.lit(i).alias("qi"),
                  F.floor((F.col("_n") - 1) * F.lit(q)).cast("long").alias("lo"),
                  F.ceil((F.col("_n") - 1) * F.lit(q)).cast("long").alias("hi"),
                  ((F.col("_n") - 1) * F.lit(q) - F.floor((F.col("_n") - 1) * F.lit(q))).alias("frac"))
         for i, q in enumerate(qs)])
-    sizes = sizes.select(*by, "_n", targets.alias("_t"))
-    joined = pre.join(sizes, by) if by else pre.crossJoin(F.broadcast(sizes))
+    sizes = sizes.select(*by, targets.alias("_t"))
+    joined = pre.where(F.col(cnt) > 0).join(sizes, by) if by else \
+        pre.where(F.col(cnt) > 0).crossJoin(F.broadcast(sizes))
     hit = joined.select(*by, "_v", F.explode(F.filter(
         F.transform("_t", lambda t: F.struct(
             t["qi"].alias("qi"), t["frac"].alias("frac"),
-            ((t["lo"] >= F.col("_cnt_before")) & (t["lo"] < F.col("_cnt_before") + F.col("_cnt"))).alias("is_lo"),
-            ((t["hi"] >= F.col("_cnt_before")) & (t["hi"] < F.col("_cnt_before") + F.col("_cnt"))).alias("is_hi"))),
+            ((t["lo"] >= F.col(before)) & (t["lo"] < F.col(before) + F.col(cnt))).alias("is_lo"),
+            ((t["hi"] >= F.col(before)) & (t["hi"] < F.col(before) + F.col(cnt))).alias("is_hi"))),
         lambda s: s["is_lo"] | s["is_hi"])).alias("h"))
     per_q = hit.groupBy(*by, F.col("h.qi").alias("qi")).agg(
         F.max(F.when(F.col("h.is_lo"), F.col("_v"))).alias("vlo"),
         F.max(F.when(F.col("h.is_hi"), F.col("_v"))).alias("vhi"),
         F.max("h.frac").alias("frac"))
     val = (F.col("vlo") + F.col("frac") * (F.col("vhi") - F.col("vlo"))).cast("double")
-    wide = per_q.groupBy(*by).agg(*[
+    return per_q.groupBy(*by).agg(*[
         F.max(F.when(F.col("qi") == i, val)).alias(quantile_name(prefix, q)) for i, q in enumerate(qs)])
-    return wide
+
+
+def weighted_moments(pre: DataFrame, by: list[str], cnt: str = "_cnt", suffix: str = "") -> DataFrame:
+    """count, mean, sample std, min, max from a (value, count) table:
+    mean first, then centred squares (no cancellation)."""
+    by = list(by or [])
+    live = pre.where(F.col(cnt) > 0)
+    g = live.groupBy(*by) if by else live.groupBy()
+    m = g.agg(F.sum(cnt).alias(f"count{suffix}"),
+              (F.sum(F.col("_v") * F.col(cnt)) / F.sum(cnt)).alias(f"mean{suffix}"),
+              F.min("_v").alias(f"min{suffix}"), F.max("_v").alias(f"max{suffix}"))
+    j = live.join(m, by) if by else live.crossJoin(F.broadcast(m))
+    ss = (j.groupBy(*by) if by else j.groupBy()).agg(
+        F.sum(F.col(cnt) * F.pow(F.col("_v") - F.col(f"mean{suffix}"), 2)).alias("_ss"))
+    out = m.join(ss, by) if by else m.crossJoin(ss)
+    n = F.col(f"count{suffix}")
+    return out.select(*by, f"count{suffix}", f"mean{suffix}",
+                      F.when(n > 1, F.sqrt(F.col("_ss") / (n - 1))).alias(f"std{suffix}"),
+                      F.when(n > 1, F.col("_ss") / (n - 1)).alias(f"var{suffix}"),
+                      f"min{suffix}", f"max{suffix}")
+
+
+def exact_quantiles(df: DataFrame, value: str, qs: list[float], by: list[str] | None = None,
+                    prefix: str = "q") -> DataFrame:
+    """Exact quantiles of ``value`` per ``by`` group, one row per group with
+    columns ``<prefix><q>`` (dots replaced by underscores)."""
+    by = list(by or [])
+    return quantile_lookup(counted_prefix(df, value, by), by, [float(q) for q in qs], prefix=prefix)
+
+
+def value_summary(df: DataFrame, value: str, qs: list[float], by: list[str] | None = None,
+                  prefix: str = "q") -> DataFrame:
+    """Moments and exact quantiles from ONE pass over the source."""
+    by = list(by or [])
+    pre = counted_prefix(df, value, by)
+    mom = weighted_moments(pre, by)
+    qt = quantile_lookup(pre, by, [float(q) for q in qs], prefix=prefix)
+    return mom.join(qt, by, "left") if by else mom.crossJoin(qt)
 
 
 def quantile_name(prefix: str, q: float) -> str:

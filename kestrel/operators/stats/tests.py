@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 
 from kestrel.functions.columns import key_equals, numeric_col, require_columns
 from kestrel.functions.special import col_chi2_sf, col_norm_sf, col_t_pvalue, norm_sf
-from kestrel.operators.ranks import exact_quantiles, prefix_sums
+from kestrel.operators.ranks import counted_prefix, quantile_lookup, weighted_moments
 from kestrel.operators.stats import effects as E
 
 REST = "rest"
@@ -200,23 +200,21 @@ def mann_whitney_u(df: DataFrame, group_col: str, metric: str, group_a=None, gro
     a, b = resolve_labels(df, group_col, group_a, group_b, compare_to_rest)
     base = _tagged(df, group_col, a, b, by)
     x = numeric_col(df, metric).cast("double")
-    vals = base.select(*by, "_g", x.alias("_v")).where(F.col("_v").isNotNull())
-    counts = vals.groupBy(*by, "_v").agg(F.count_if(F.col("_g") == "a").alias("_na"),
-                                         F.count_if(F.col("_g") == "b").alias("_nb"))
-    pre = prefix_sums(counts, by, "_v", ["_nb"])
+    # One pass: per distinct value the two group counts and their prefix
+    # sums; U, ties, medians and moments all come from that table.
+    pre = counted_prefix(base.withColumn("_x", x), "_x", by,
+                         {"_na": (F.col("_g") == "a").cast("long"), "_nb": (F.col("_g") == "b").cast("long")})
     t = F.col("_na") + F.col("_nb")
     aggs = [F.sum(F.col("_na") * (F.col("_nb_before") + F.col("_nb") / 2.0)).alias("u_statistic"),
-            F.sum("_na").alias("n_a"), F.sum("_nb").alias("n_b"),
             F.sum(t * t * t - t).cast("double").alias("tie_term"), F.max(t).alias("_maxt")]
     u = pre.groupBy(*by).agg(*aggs) if by else pre.agg(*aggs)
-    mom = _moments(vals, F.col("_v"), by)
-    med = exact_quantiles(vals, "_v", [0.5], by + ["_g"], prefix="med")
-    med = med.groupBy(*by).agg(F.max(F.when(F.col("_g") == "a", F.col("med0_5"))).alias("median_a"),
-                               F.max(F.when(F.col("_g") == "b", F.col("med0_5"))).alias("median_b")) if by else \
-        med.agg(F.max(F.when(F.col("_g") == "a", F.col("med0_5"))).alias("median_a"),
-                F.max(F.when(F.col("_g") == "b", F.col("med0_5"))).alias("median_b"))
-    j = u.join(mom.drop("n_a", "n_b"), by) if by else u.crossJoin(mom.drop("n_a", "n_b"))
-    j = j.join(med, by) if by else j.crossJoin(med)
+    parts = [u, weighted_moments(pre, by, "_na", "_a"), weighted_moments(pre, by, "_nb", "_b"),
+             quantile_lookup(pre, by, [0.5], "_na", prefix="meda"), quantile_lookup(pre, by, [0.5], "_nb", prefix="medb")]
+    j = parts[0]
+    for p_ in parts[1:]:
+        j = j.join(p_, by, "left") if by else j.crossJoin(p_)
+    j = j.select("*", F.coalesce(F.col("count_a"), F.lit(0)).alias("n_a"), F.coalesce(F.col("count_b"), F.lit(0)).alias("n_b"),
+                 F.col("meda0_5").alias("median_a"), F.col("medb0_5").alias("median_b"))
     na, nb = F.col("n_a"), F.col("n_b")
     exact = (F.least(na, nb) <= 8) & (F.col("_maxt") <= 1)
     mu = na * nb / 2.0
@@ -359,10 +357,13 @@ def levene_test(df: DataFrame, group_col: str, metric: str, group_a=None, group_
     by = list(by or [])
     a, b = resolve_labels(df, group_col, group_a, group_b, compare_to_rest)
     base = _tagged(df, group_col, a, b, by)
-    vals = base.select(*by, "_g", numeric_col(df, metric).cast("double").alias("_v")).where(F.col("_v").isNotNull())
-    med = exact_quantiles(vals, "_v", [0.5], by + ["_g"], prefix="med")
-    z = vals.join(med, by + ["_g"]).select(*by, "_g", F.abs(F.col("_v") - F.col("med0_5")).alias("_z"))
-    g = z.groupBy(*by, "_g").agg(F.count(F.lit(1)).alias("_n"), F.avg("_z").alias("_zb"), F.var_pop("_z").alias("_vv"))
+    keys = by + ["_g"]
+    pre = counted_prefix(base.withColumn("_x", numeric_col(df, metric).cast("double")), "_x", keys)
+    med = quantile_lookup(pre, keys, [0.5], prefix="med")
+    z = pre.join(med, keys).select(*keys, "_cnt", F.abs(F.col("_v") - F.col("med0_5")).alias("_z"))
+    zb = z.groupBy(*keys).agg(F.sum("_cnt").alias("_n"), (F.sum(F.col("_cnt") * F.col("_z")) / F.sum("_cnt")).alias("_zb"))
+    g = z.join(zb, keys).groupBy(*keys, "_n", "_zb").agg(
+        (F.sum(F.col("_cnt") * F.pow(F.col("_z") - F.col("_zb"), 2)) / F.col("_n")).alias("_vv"))
     aggs = [F.sum("_n").alias("n"), F.sum(F.col("_n") * F.col("_zb") * F.col("_zb")).alias("_s2"),
             F.sum(F.col("_n") * F.col("_zb")).alias("_s1"), F.sum(F.col("_n") * F.col("_vv")).alias("_w"),
             F.count(F.lit(1)).alias("_k")]
@@ -385,12 +386,14 @@ def tukey_outliers(df: DataFrame, metric: str, by: list[str] | None = None, k: f
     vals = df.select(*by, numeric_col(df, metric).cast("double").alias("_v")).where(F.col("_v").isNotNull())
     for c in by:
         vals = vals.where(F.col(c).isNotNull())
-    q = exact_quantiles(vals, "_v", [0.25, 0.75], by, prefix="q")
-    j = vals.join(q, by) if by else vals.crossJoin(F.broadcast(q))
+    pre = counted_prefix(vals, "_v", by)
+    q = quantile_lookup(pre, by, [0.25, 0.75], prefix="q")
+    j = pre.join(q, by) if by else pre.crossJoin(F.broadcast(q))
     iqr = F.col("q0_75") - F.col("q0_25")
     lo, hi = F.col("q0_25") - k * iqr, F.col("q0_75") + k * iqr
-    aggs = [F.count(F.lit(1)).alias("n"), F.max("q0_25").alias("q1"), F.max("q0_75").alias("q3"),
-            F.count_if((iqr > 0) & ((F.col("_v") < lo) | (F.col("_v") > hi))).alias("n_outliers")]
+    aggs = [F.sum("_cnt").alias("n"), F.max("q0_25").alias("q1"), F.max("q0_75").alias("q3"),
+            F.coalesce(F.sum(F.when((iqr > 0) & ((F.col("_v") < lo) | (F.col("_v") > hi)), F.col("_cnt"))),
+                       F.lit(0)).alias("n_outliers")]
     s = j.groupBy(*by).agg(*aggs) if by else j.agg(*aggs)
     share = F.when(F.col("n") >= 4, F.col("n_outliers") / F.col("n"))
     return s.select(*by, "n", "q1", "q3", (F.col("q3") - F.col("q1")).alias("iqr"),

@@ -877,8 +877,8 @@ from kestrel.operators import ledger as LG  # noqa: E402
 
 @register("uncited_claims", r"""
 WITH l AS (SELECT doc_id, unnest(regexp_split_to_array(COALESCE(text, ''), '\r\n|\n|\r')) raw FROM documents),
-c AS (SELECT doc_id, regexp_replace(raw, '^\s+|\s+$', '', 'g') ln FROM l),
-bad AS (SELECT doc_id, COUNT(*) n FROM c WHERE ln <> '' AND NOT starts_with(ln, '|')
+c AS (SELECT doc_id, raw, regexp_replace(raw, '^\s+|\s+$', '', 'g') ln FROM l),
+bad AS (SELECT doc_id, COUNT(*) n FROM c WHERE ln <> '' AND NOT starts_with(ln, '|') AND NOT starts_with(raw, '## ')
         AND regexp_matches(ln, '(^|[^\p{L}\p{N}_-])[0-9]') AND NOT (contains(ln, '[[EV:') OR contains(ln, '[[EV-'))
         GROUP BY 1)
 SELECT d.doc_id, CAST(COALESCE(n, 0) AS BIGINT) AS n_uncited_lines FROM documents d LEFT JOIN bad USING (doc_id)""")
