@@ -163,3 +163,23 @@ def ordered_lag(df: DataFrame, by: list[str], order: list[str], value: str, part
     out = local.join(carry, keys)
     fixed = F.when(F.col("_rn") == 1, F.col("_carry")).otherwise(F.col("_lag"))
     return out.select(*df.columns, fixed.alias(name))
+
+
+def running_extreme(df: DataFrame, order: str, value: str, kind: str = "max", partitions: int | None = None,
+                    name: str | None = None) -> DataFrame:
+    """Running max (or min) of ``value`` in ``order`` (unique) order over the
+    whole table, without a single-task window: local running extremes per
+    range partition plus the extreme of all earlier partitions (one row per
+    partition)."""
+    name = name or f"running_{kind}"
+    parts = partitions or _n_parts(df)
+    agg = F.max if kind == "max" else F.min
+    pick = F.greatest if kind == "max" else F.least
+    r = cut_lineage(df.repartitionByRange(parts, F.col(order)).withColumn("_pid", F.spark_partition_id()))
+    w = Window.partitionBy("_pid").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    local = r.withColumn("_loc", agg(value).over(w))
+    tot = r.groupBy("_pid").agg(agg(value).alias("_t"))
+    w2 = Window.partitionBy(F.lit(0)).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    carry = tot.select("_pid", agg("_t").over(w2).alias("_c"))
+    out = local.join(F.broadcast(carry), "_pid")
+    return out.select(*df.columns, F.coalesce(pick(F.col("_loc"), F.col("_c")), F.col("_loc")).alias(name))

@@ -1154,3 +1154,49 @@ def q_stream_run_transitions(spark, sf):
     ev = s.select(F.col("user_id").alias("run_id"), "ts", "event_id", status.alias("status"))
     t = STR.ledger_transitions_stream(ev, "run_id", "ts", "status", "event_id")
     return STR.run_append(t, "run-transitions")
+
+
+from kestrel.operators.stats import assumptions as AS  # noqa: E402
+
+
+@register("assumption_checks")
+def q_assumption_checks(spark, sf):
+    """Checks of treatment vs control on events.value per event type
+    (normality is Shapiro-Wilk, which has no SQL form: rows-only)."""
+    return AS.two_group_checks(ab_events(spark, sf), "variant", "value", "treatment", "control", by=["event_type"])
+
+
+@register("failure_summary")
+def q_failure_summary(spark, sf):
+    chk = AS.two_group_checks(ab_events(spark, sf), "variant", "value", "treatment", "control", by=["event_type"])
+    return AS.failure_summary(chk, ["event_type"])
+
+
+@register("adjusted_pvalues")
+def q_adjusted_pvalues(spark, sf):
+    """Holm-adjusted Welch p-values of one test per user (rows-only: DuckDB
+    has no t distribution)."""
+    r = HT.welch_t_test(ab_events(spark, sf), "event_type", "value", "purchase", "view", by=["user_id"])
+    return AS.adjust_pvalues(r.select("user_id", "statistic", "p_value"), "p_value", "holm")
+
+
+@register("top_pair", SALES_CTE + """
+SELECT region, segment, ROUND(CAST(SUM(revenue) AS DOUBLE), 6) AS value FROM sales
+WHERE region IS NOT NULL AND segment IS NOT NULL GROUP BY 1, 2 ORDER BY value DESC, region, segment LIMIT 1""")
+def q_top_pair(spark, sf):
+    return R(RK.top_pair(sales(spark, sf), "region", "segment", "revenue"))
+
+
+@register("bar_data", SALES_CTE + """
+SELECT CAST(product_category AS VARCHAR) AS label, ROUND(CAST(SUM(revenue) AS DOUBLE), 6) AS value FROM sales
+WHERE product_category IS NOT NULL GROUP BY 1 ORDER BY value DESC, label LIMIT 20""")
+def q_bar_data(spark, sf):
+    g = A.groupby_agg(sales(spark, sf), "product_category", "revenue", "sum", limit=0)
+    return R(CH.bar_data(g, "product_category", "value", 20))
+
+
+@register("line_data", """
+SELECT CAST(CAST(date_trunc('week', l_shipdate) AS DATE) + 6 AS TIMESTAMP) AS x, ROUND(AVG(l_quantity), 6) AS y
+FROM lineitem WHERE l_shipdate IS NOT NULL AND l_quantity IS NOT NULL GROUP BY 1""")
+def q_line_data(spark, sf):
+    return R(CH.line_data(TS.timeseries_agg(table(spark, sf, "lineitem"), "l_shipdate", "l_quantity", "W", "mean")))

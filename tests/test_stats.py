@@ -145,3 +145,37 @@ def test_levene_and_tukey(spark):
     assert lv["statistic"] == pytest.approx(8 * num / den)
     tk = {r["g"]: r for r in HT.tukey_outliers(df, "x", by=["g"]).collect()}
     assert tk["a"]["n_outliers"] == 1 and tk["b"]["n_outliers"] == 0
+
+
+def test_adjust_pvalues_matches_brute_force(spark):
+    import random
+    rnd = random.Random(7)
+    ps = [round(rnd.random() ** 2, 4) for _ in range(200)] + [0.01, 0.01, 0.5]
+    df = spark.createDataFrame([(i, p) for i, p in enumerate(ps)], "id int, p_value double")
+    from kestrel.operators.stats.assumptions import adjust_pvalues
+    m = len(ps)
+    order = sorted(range(m), key=lambda i: ps[i])
+    holm, run = [0.0] * m, 0.0
+    for rank, i in enumerate(order):
+        first = sum(1 for q in ps if q < ps[i])
+        run = max(run, (m - first) * ps[i])
+        holm[i] = min(1.0, run)
+    bh, run = [0.0] * m, float("inf")
+    for i in reversed(order):
+        last = sum(1 for q in ps if q <= ps[i])
+        run = min(run, m / last * ps[i])
+        bh[i] = min(1.0, run)
+    got_h = {r["id"]: r["p_adjusted"] for r in adjust_pvalues(df, "p_value", "holm").collect()}
+    got_b = {r["id"]: r["p_adjusted"] for r in adjust_pvalues(df, "p_value", "bh").collect()}
+    assert [got_h[i] for i in range(m)] == pytest.approx(holm)
+    assert [got_b[i] for i in range(m)] == pytest.approx(bh)
+
+
+def test_assumption_checks_and_summary(ab200):
+    from kestrel.operators.stats.assumptions import failure_summary, two_group_checks
+    chk = two_group_checks(ab200, "variant", "revenue", "treatment", "control")
+    names = {r["check"] for r in chk.collect()}
+    assert {"missingness_impact", "sample_size", "group_balance", "normality", "equal_variance",
+            "outlier_sensitivity", "multiple_comparisons"} <= names
+    s = failure_summary(chk).collect()
+    assert len(s) <= 1 and (not s or len(s[0]["limitations"]) <= 8)
