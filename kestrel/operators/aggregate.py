@@ -72,17 +72,20 @@ def segment_analysis(df: DataFrame, segment_by: str, metric: str, agg: str = "su
     The totals are one-row aggregates joined back (broadcast of one row),
     never an unpartitioned window over a possibly huge group list.
     """
-    g = _grouped(df, [segment_by], metric, agg)
+    return segment_from_grouped(_grouped(df, [segment_by], metric, agg), segment_by, limit)
+
+
+def segment_from_grouped(g: DataFrame, segment_by: str, limit: int) -> DataFrame:
+    """AG4 post-processing of a grouped (key, value) result."""
     all_total = g.agg(F.sum("value").alias("_all"))
     kept = _ordered(g, [segment_by], limit)
     kept_total = kept.agg(F.sum("value").alias("_kept"))
-    out = (kept.crossJoin(F.broadcast(kept_total)).crossJoin(F.broadcast(all_total))
-           .select(F.col(segment_by).cast("string").alias("segment"), "value",
-                   F.when(F.col("_kept") != 0, F.col("value") / F.col("_kept"))
-                    .otherwise(F.lit(0.0)).alias("share_pct"),
-                   F.when(F.col("_all") != 0, F.col("value") / F.col("_all"))
-                    .otherwise(F.lit(0.0)).alias("share_of_total")))
-    return out
+    return (kept.crossJoin(F.broadcast(kept_total)).crossJoin(F.broadcast(all_total))
+            .select(F.col(segment_by).cast("string").alias("segment"), "value",
+                    F.when(F.col("_kept") != 0, F.col("value") / F.col("_kept"))
+                     .otherwise(F.lit(0.0)).alias("share_pct"),
+                    F.when(F.col("_all") != 0, F.col("value") / F.col("_all"))
+                     .otherwise(F.lit(0.0)).alias("share_of_total")))
 
 
 def filter_agg(df: DataFrame, filter_col: str, filter_val, metric: str, agg: str = "sum") -> DataFrame:
@@ -153,7 +156,13 @@ def group_distribution(df: DataFrame, group_by: str, metric: str, agg: str = "su
                        quantiles=GROUP_QUANTILES) -> DataFrame:
     """AG6: distribution of the per-group aggregates (two-level aggregate)."""
     qs = _valid_quantiles(quantiles, GROUP_QUANTILES)
-    g = _grouped(df, [group_by], metric, agg).where(F.col("value").isNotNull() & ~F.isnan("value"))
+    return group_distribution_from_grouped(_grouped(df, [group_by], metric, agg), group_by, metric, agg, qs)
+
+
+def group_distribution_from_grouped(g: DataFrame, group_by: str, metric: str, agg: str, qs) -> DataFrame:
+    """AG6 post-processing of a grouped (key, value) result."""
+    qs = _valid_quantiles(qs, GROUP_QUANTILES)
+    g = g.where(F.col("value").isNotNull() & ~F.isnan("value"))
     v = value_summary(g, "value", qs)
     return v.where(F.col("count") > 0).select(
         F.lit(group_by).alias("group_by"), F.lit(metric).alias("metric"), F.lit(agg).alias("agg"),
@@ -173,16 +182,25 @@ def correlation_matrix(df: DataFrame, xs: list[str], ys: list[str] | None = None
     ys = ys or xs
     pairs = [(a, b) for a in xs for b in ys if a != b] if ys is xs else [(a, b) for a in xs for b in ys]
     require_columns(df, *xs, *ys)
+    exprs = correlation_pair_aggs(df, pairs)
+    return correlation_from_row(df.agg(*exprs), pairs)
+
+
+def correlation_pair_aggs(df: DataFrame, pairs, prefix: str = "") -> list:
     exprs = []
     for i, (a, b) in enumerate(pairs):
         xa, yb = numeric_col(df, a).cast("double"), numeric_col(df, b).cast("double")
         both = xa.isNotNull() & yb.isNotNull()
-        exprs += [F.count_if(both).alias(f"n{i}"),
-                  F.corr(F.when(both, xa), F.when(both, yb)).alias(f"r{i}")]
-    row = df.agg(*exprs)
+        exprs += [F.count_if(both).alias(f"{prefix}n{i}"),
+                  F.corr(F.when(both, xa), F.when(both, yb)).alias(f"{prefix}r{i}")]
+    return exprs
+
+
+def correlation_from_row(row: DataFrame, pairs, prefix: str = "") -> DataFrame:
+    """AG7 rows (x, y, n, r, status) from one aggregated row."""
     stacked = F.inline(F.array(*[
-        F.struct(F.lit(a).alias("x"), F.lit(b).alias("y"), F.col(f"n{i}").alias("n"),
-                 F.col(f"r{i}").alias("r")) for i, (a, b) in enumerate(pairs)]))
+        F.struct(F.lit(a).alias("x"), F.lit(b).alias("y"), F.col(f"{prefix}n{i}").alias("n"),
+                 F.col(f"{prefix}r{i}").alias("r")) for i, (a, b) in enumerate(pairs)]))
     res = row.select(stacked)
     ok = (F.col("n") >= 3) & F.col("r").isNotNull() & ~F.isnan("r")
     return res.select("x", "y", "n", F.when(ok, F.col("r")).alias("r"),
@@ -199,7 +217,13 @@ def recency_by_group(df: DataFrame, group_by: str, date_col: str) -> DataFrame:
     base = df.select(F.col(group_by).alias("_k"), timestamp_col(df, date_col).alias("_d")) \
         .where(F.col("_k").isNotNull() & F.col("_d").isNotNull())
     per = base.groupBy("_k").agg(F.max("_d").alias("last_date"))
-    latest = base.agg(F.max("_d").alias("reference_date"))
+    return recency_from_grouped(per, group_by)
+
+
+def recency_from_grouped(per: DataFrame, group_by: str) -> DataFrame:
+    """AG8 post-processing of per-group last dates (_k, last_date): the
+    reference date is the max of the group maxima (one row, broadcast)."""
+    latest = per.agg(F.max("last_date").alias("reference_date"))
     secs = F.unix_micros(F.col("reference_date").cast("timestamp")) - \
         F.unix_micros(F.col("last_date").cast("timestamp"))
     return per.crossJoin(F.broadcast(latest)).select(

@@ -32,6 +32,14 @@ def timeseries_agg(df: DataFrame, date_col: str, metric: str, freq: str = "M",
     for b in by:
         base = base.where(F.col(b).isNotNull())
     g = base.groupBy(*by, "_p").agg(agg_column(agg, F.col("_x")).cast("double").alias("value"))
+    return timeseries_from_grouped(g, f, agg, by)
+
+
+def timeseries_from_grouped(g: DataFrame, freq: str, agg: str, by: list[str] | None = None) -> DataFrame:
+    """T1 post-processing of per-period aggregates (by..., _p, value) built
+    from rows with a valid date and metric: gap filling and labels."""
+    f = norm_freq(freq)
+    by = list(by or [])
     if agg.lower() in GAP_FILLED:
         span = g.groupBy(*by).agg(F.min("_p").alias("_lo"), F.max("_p").alias("_hi"))
         cal = span.select(*by, F.explode(period_sequence(F.col("_lo"), F.col("_hi"), f)).alias("_p"))

@@ -15,11 +15,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from kestrel.functions.columns import agg_column, numeric_col, require_columns, timestamp_col
+from kestrel.functions.periods import norm_freq, period_start
 from kestrel.operators import aggregate as A
 from kestrel.operators import cohort as C
 from kestrel.operators import kpi as K
 from kestrel.operators import ranking as RK
 from kestrel.operators import timeseries as TS
+from kestrel.session import cut_lineage
 
 # Alternative parameter names accepted per task type.
 ALIASES = {
@@ -90,23 +93,145 @@ def _long(res: DataFrame, tid: str, ttype: str) -> DataFrame:
                       F.lit("computed").alias("status"), F.lit(None).cast("string").alias("reason"))
 
 
-def run_suite(df: DataFrame, tasks: list[dict], persist: bool = False) -> DataFrame:
-    """TR1: run a task list as one long result table."""
+FUSABLE = ("groupby_agg", "groupby2_agg", "topk", "segment_analysis", "group_distribution",
+           "recency_by_group", "correlation", "timeseries_agg")
+
+
+class _Fused:
+    """Collects the grouping keys and aggregates of fusable tasks, then
+    computes them all with one ``groupingSets`` aggregation."""
+
+    def __init__(self, df: DataFrame):
+        self.df = df
+        self.derived = {}      # derived key name -> Column
+        self.keys = []         # all key column names, in order
+        self.sets = []         # distinct key tuples
+        self.aggs = []         # aggregate Columns (aliased)
+        self.posts = []        # (tid, ttype, key tuple, fn(sub) -> DataFrame)
+
+    def _key(self, name: str, col=None) -> str:
+        if col is not None and name not in self.derived:
+            self.derived[name] = col
+        if name not in self.keys:
+            self.keys.append(name)
+        return name
+
+    def _set(self, keys: tuple):
+        if keys not in self.sets:
+            self.sets.append(keys)
+        return keys
+
+    def add(self, tid: str, ttype: str, p: dict):
+        df, n = self.df, len(self.aggs)
+        alias = f"_a{n}"
+        if ttype in ("groupby_agg", "groupby2_agg", "topk", "segment_analysis", "group_distribution"):
+            if ttype == "groupby2_agg":
+                ks = (p["group_by_1"], p["group_by_2"])
+            elif ttype == "topk":
+                ks = (p.get("by") or _p(p, "group_by"),)
+            elif ttype == "segment_analysis":
+                ks = (p.get("segment_by") or _p(p, "group_by"),)
+            else:
+                ks = (_p(p, "group_by"),)
+            metric, agg = _p(p, "metric"), _p(p, "agg", "sum")
+            require_columns(df, *ks, metric)
+            x = numeric_col(df, metric) if agg not in ("count", "nunique") else F.col(metric)
+            self.aggs.append(agg_column(agg, x).cast("double").alias(alias))
+            key = self._set(tuple(self._key(k) for k in ks))
+            self.posts.append((tid, ttype, key, lambda sub, p=p, ks=ks, metric=metric, agg=agg, ttype=ttype:
+                               _post_grouped(sub.withColumnRenamed(alias, "value"), ttype, list(ks), p, metric, agg)))
+        elif ttype == "recency_by_group":
+            k, d = _p(p, "group_by"), _p(p, "date_col")
+            require_columns(df, k, d)
+            self.aggs.append(F.max(timestamp_col(df, d)).alias(alias))
+            key = self._set((self._key(k),))
+            self.posts.append((tid, ttype, key, lambda sub, k=k: A.recency_from_grouped(
+                sub.select(F.col(k).alias("_k"), F.col(alias).alias("last_date"))
+                   .where(F.col("_k").isNotNull() & F.col("last_date").isNotNull()), k)))
+        elif ttype == "correlation":
+            pairs = [(p["x"], p["y"])]
+            require_columns(df, p["x"], p["y"])
+            self.aggs += A.correlation_pair_aggs(df, pairs, prefix=f"{alias}_")
+            key = self._set(())
+            self.posts.append((tid, ttype, key, lambda sub, pairs=pairs, pre=f"{alias}_":
+                               A.correlation_from_row(sub, pairs, pre)))
+        elif ttype == "timeseries_agg":
+            d, metric = _p(p, "date_col"), _p(p, "metric")
+            f, agg = norm_freq(str(_p(p, "freq", "M"))), _p(p, "agg", "sum")
+            require_columns(df, d, metric)
+            pname = self._key(f"_per_{d}_{f}", period_start(timestamp_col(df, d), f))
+            x = numeric_col(df, metric)
+            self.aggs += [agg_column(agg, x).cast("double").alias(alias), F.count(x).alias(f"{alias}_n")]
+            key = self._set((pname,))
+            self.posts.append((tid, ttype, key, lambda sub, pname=pname, f=f, agg=agg: TS.timeseries_from_grouped(
+                sub.where(F.col(pname).isNotNull() & (F.col(f"{alias}_n") > 0))
+                   .select(F.col(pname).alias("_p"), F.col(alias).alias("value")), f, agg)))
+        else:
+            raise ValueError(f"task type {ttype!r} is not fusable")
+
+    def results(self) -> list:
+        if not self.posts:
+            return []
+        base = self.df
+        for name, col in self.derived.items():
+            base = base.withColumn(name, col)
+        keys = self.keys
+        grouped = base.groupingSets([[F.col(k) for k in ks] for ks in self.sets], *[F.col(k) for k in keys]) \
+            .agg(*self.aggs, F.grouping_id().alias("_gid"))
+        # The grouped result (one row per group of every set) is written
+        # once; every task's post-processing reads it, not the source.
+        grouped = cut_lineage(grouped)
+        out = []
+        for tid, ttype, ks, post in self.posts:
+            gid = sum(1 << (len(keys) - 1 - i) for i, k in enumerate(keys) if k not in ks)
+            sub = grouped.where(F.col("_gid") == gid)
+            out.append((tid, ttype, post(sub)))
+        return out
+
+
+def _post_grouped(sub: DataFrame, ttype: str, ks: list[str], p: dict, metric: str, agg: str) -> DataFrame:
+    g = sub.select(*ks, "value")
+    for k in ks:
+        g = g.where(F.col(k).isNotNull())
+    if ttype in ("groupby_agg", "groupby2_agg"):
+        return A._ordered(g, ks, int(p.get("limit", 50 if ttype == "groupby_agg" else 100)))
+    if ttype == "topk":
+        return g.orderBy(F.col("value").desc_nulls_last(), F.col(ks[0]).asc()).limit(max(int(p.get("k", 10)), 0))
+    if ttype == "segment_analysis":
+        return A.segment_from_grouped(g, ks[0], int(p.get("limit", 100)))
+    return A.group_distribution_from_grouped(g, ks[0], metric, agg, p.get("quantiles", A.GROUP_QUANTILES))
+
+
+def run_suite(df: DataFrame, tasks: list[dict], fuse: bool = True) -> DataFrame:
+    """TR1: run a task list as one long result table.
+
+    With ``fuse`` the grouped tasks (group-bys, top-k, segment shares,
+    spreads of group totals, recency, correlations, time series) share ONE
+    scan: a GROUPING SETS aggregation computes every task's aggregate for
+    its key set, partial-aggregated before the single shuffle; duplicate
+    tasks are dropped, as the reference does."""
     spark = df.sparkSession
-    src = df.persist() if persist else df
-    parts, failures = [], []
-    seen = set()
+    parts, failures, seen = [], [], set()
+    fused = _Fused(df)
+    order = []
     for i, t in enumerate(tasks, start=1):
         tid = str(t.get("id") or f"T{i}")
         ttype = str(t.get("type", ""))
-        sig = (ttype, repr(sorted((t.get("params") or {}).items())))
+        params = dict(t.get("params") or {})
+        sig = (ttype, repr(sorted(params.items())))
         if sig in seen:
             continue
         seen.add(sig)
         try:
-            parts.append(_long(_run_one(src, ttype, dict(t.get("params") or {})), tid, ttype))
+            if fuse and ttype in FUSABLE:
+                fused.add(tid, ttype, params)
+            else:
+                parts.append(_long(_run_one(df, ttype, params), tid, ttype))
+            order.append(tid)
         except Exception as e:  # noqa: BLE001 - recorded per task, the suite goes on
             failures.append((tid, ttype, "", "", None, "failed", f"{type(e).__name__}: {e}"[:400]))
+    for tid, ttype, res in fused.results():
+        parts.append(_long(res, tid, ttype))
     schema = ("task_id string, type string, key string, metric string, value double, status string, "
               "reason string")
     out = spark.createDataFrame(failures, schema)
