@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kestrel.functions.columns import DATE_FORMATS, is_numeric_type, require_columns
-from kestrel.operators.ranks import exact_quantiles
 
 
 def dataset_summary(df: DataFrame) -> DataFrame:
@@ -27,66 +26,70 @@ def _long_strings(df: DataFrame, cols: list[str]) -> DataFrame:
 
 def column_profile(df: DataFrame, columns: list[str] | None = None, n_examples: int = 5,
                    approx: bool = False) -> DataFrame:
-    """PR2: one row per column.
+    """PR2: one row per column, from ONE scan of the source.
 
-    * counts and moments: one aggregation over the table;
-    * distinct values and examples: unpivot to (column, value), count per
-      pair (partial aggregation), then ``row_number() <= n`` per column,
-      which Spark plans as a map-side WindowGroupLimit - a high-cardinality
-      column never lands whole in one task. Examples are the most frequent
-      distinct values (ties by value), not the first rows;
-    * quartiles: exact, for all numeric columns in one prefix-sum pass
-      (``approx=True``: percentile_approx).
+    The table is unpivoted to (column, value-as-text) - NULLs included - and
+    counted per pair (partial aggregation, one shuffle); that table is
+    written to the checkpoint folder and everything else reads it:
+    missing counts (NULL, and NaN for floating columns), distinct non-NULL
+    values, the most frequent distinct values as examples (``row_number()
+    <= n`` planned as a map-side WindowGroupLimit), and for numeric columns
+    count/mean/std/min/max and exact quartiles from the (value, count)
+    pairs (text -> double round-trips exactly). ``approx=True`` takes
+    approximate quartiles and distinct counts from the source instead.
     """
+    from kestrel.operators.ranks import prefix_sums, quantile_lookup, weighted_moments
+    from kestrel.session import cut_lineage
     cols = columns or df.columns
     require_columns(df, *cols)
     fields = {f.name: f.dataType for f in df.schema.fields}
     numeric = [c for c in cols if is_numeric_type(fields[c])]
-    aggs = [F.count(F.lit(1)).alias("_n")]
-    for i, c in enumerate(cols):
-        aggs.append(F.count_if(F.col(c).isNull() | (F.isnan(c) if isinstance(fields[c], (T.DoubleType, T.FloatType))
-                                                    else F.lit(False))).alias(f"miss{i}"))
-    for i, c in enumerate(numeric):
-        x = F.col(c).cast("double")
-        aggs += [F.count(x).alias(f"cnt{i}"), F.avg(x).alias(f"mean{i}"), F.stddev_samp(x).alias(f"std{i}"),
-                 F.min(x).alias(f"min{i}"), F.max(x).alias(f"max{i}")]
-    row = df.agg(*aggs)
-    nidx = {c: i for i, c in enumerate(numeric)}
+    floating = [c for c in cols if isinstance(fields[c], (T.DoubleType, T.FloatType))]
     null_d = F.lit(None).cast("double")
-    stats = row.select(F.inline(F.array(*[
-        F.struct(F.lit(c).alias("column"), F.lit(fields[c].simpleString()).alias("dtype"),
-                 F.col(f"miss{i}").alias("n_missing"),
-                 F.when(F.col("_n") > 0, F.col(f"miss{i}") / F.col("_n")).otherwise(F.lit(0.0)).alias("missing_frac"),
-                 (F.col(f"cnt{nidx[c]}") if c in nidx else F.lit(None).cast("long")).alias("count"),
-                 *[(F.col(f"{m}{nidx[c]}") if c in nidx else null_d).alias(m) for m in ("mean", "std", "min", "max")])
-        for i, c in enumerate(cols)])))
+    dtypes = F.create_map(*[x for c in cols for x in (F.lit(c), F.lit(fields[c].simpleString()))])
 
-    pairs = (_long_strings(df, cols).where(F.col("value").isNotNull())
-             .groupBy("column", "value").agg(F.count(F.lit(1)).alias("freq")))
-    uniq = pairs.groupBy("column").agg(F.count(F.lit(1)).alias("n_unique"))
+    pairs = cut_lineage(_long_strings(df, cols).groupBy("column", "value").agg(F.count(F.lit(1)).alias("freq")))
+    missing = F.col("value").isNull() | (F.col("column").isin(*floating) & (F.col("value") == "NaN")) \
+        if floating else F.col("value").isNull()
+    counts = pairs.groupBy("column").agg(
+        F.sum("freq").alias("_n"), F.coalesce(F.sum(F.when(missing, F.col("freq"))), F.lit(0)).alias("n_missing"),
+        F.count_if(~missing).alias("n_unique"))
+    present = pairs.where(~missing)
     w = Window.partitionBy("column").orderBy(F.col("freq").desc(), F.col("value").asc())
-    ex = (pairs.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n_examples)
+    ex = (present.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n_examples)
           .groupBy("column").agg(F.sort_array(F.collect_list(F.struct("_r", "value"))).alias("_ex"))
           .select("column", F.transform("_ex", lambda s: s["value"]).alias("example_values")))
-
-    out = stats.join(uniq, "column", "left").join(ex, "column", "left")
-    if numeric:
+    names = df.sparkSession.createDataFrame([(c, i) for i, c in enumerate(cols)], "column string, _pos int")
+    out = names.join(F.broadcast(counts), "column", "left").join(ex, "column", "left")
+    if numeric and not approx:
+        num = present.where(F.col("column").isin(*numeric)).select(
+            "column", F.col("value").cast("double").alias("_v"), F.col("freq").alias("_cnt"))
+        pre = prefix_sums(num, ["column"], "_v", ["_cnt"])
+        mom = weighted_moments(pre, ["column"]).select("column", F.col("count").alias("count"), "mean", "std",
+                                                        "min", "max")
+        q = quantile_lookup(pre, ["column"], [0.25, 0.5, 0.75]).toDF("column", "p25", "median", "p75")
+        out = out.join(mom, "column", "left").join(q, "column", "left")
+    elif numeric:
         long_num = df.select(F.inline(F.array(*[
-            F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in numeric])))
-        long_num = long_num.where(F.col("value").isNotNull() & ~F.isnan("value"))
-        if approx:
-            q = long_num.groupBy("column").agg(F.percentile_approx("value", [0.25, 0.5, 0.75], 10000).alias("_q")) \
-                .select("column", F.col("_q")[0].alias("p25"), F.col("_q")[1].alias("median"), F.col("_q")[2].alias("p75"))
-        else:
-            q = exact_quantiles(long_num, "value", [0.25, 0.5, 0.75], by=["column"]) \
-                .toDF("column", "p25", "median", "p75")
-        out = out.join(q, "column", "left")
+            F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("_v")) for c in numeric])))
+        long_num = long_num.where(F.col("_v").isNotNull() & ~F.isnan("_v"))
+        st = long_num.groupBy("column").agg(
+            F.count("_v").alias("count"), F.avg("_v").alias("mean"), F.stddev_samp("_v").alias("std"),
+            F.min("_v").alias("min"), F.max("_v").alias("max"),
+            F.percentile_approx("_v", [0.25, 0.5, 0.75], 10000).alias("_q"))
+        out = out.join(st.select("column", "count", "mean", "std", "min", "max", F.col("_q")[0].alias("p25"),
+                                 F.col("_q")[1].alias("median"), F.col("_q")[2].alias("p75")), "column", "left")
     else:
-        out = out.select("*", null_d.alias("p25"), null_d.alias("median"), null_d.alias("p75"))
-    return out.select("column", "dtype", "n_missing", "missing_frac",
+        out = out.select("*", F.lit(None).cast("long").alias("count"),
+                         *[null_d.alias(c) for c in ("mean", "std", "min", "p25", "median", "p75", "max")])
+    n = F.col("_n")
+    return out.orderBy("_pos").select("column", dtypes[F.col("column")].alias("dtype"),
+                      F.coalesce("n_missing", F.lit(0)).cast("long").alias("n_missing"),
+                      F.when(n > 0, F.col("n_missing") / n).otherwise(F.lit(0.0)).alias("missing_frac"),
                       F.coalesce("n_unique", F.lit(0).cast("long")).alias("n_unique"),
                       F.coalesce("example_values", F.array().cast("array<string>")).alias("example_values"),
-                      "count", "mean", "std", "min", "p25", "median", "p75", "max")
+                      F.col("count").cast("long").alias("count"), "mean", "std", "min", "p25", "median", "p75",
+                      "max")
 
 
 def datetime_columns(df: DataFrame, min_rate: float = 0.8, min_values: int = 10,

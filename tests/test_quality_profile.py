@@ -48,3 +48,9 @@ def test_datetime_detection(sales30):
 def test_missingness_empty_table(spark):
     df = spark.createDataFrame([], "a string, b double")
     assert all(r["missing_frac"] == 0.0 for r in QY.missingness(df).collect())
+
+
+def test_profile_empty_table(spark):
+    df = spark.createDataFrame([], "a string, b double")
+    r = PR.column_profile(df).collect()
+    assert [x["column"] for x in r] == ["a", "b"] and all(x["n_missing"] == 0 for x in r)
