@@ -113,24 +113,63 @@ def range_rules(df: DataFrame, rules: list[tuple] | None = None) -> DataFrame:
 def quality_report(df: DataFrame, missingness_warn: float = MISSINGNESS_WARN,
                    duplicate_warn: float = DUPLICATE_WARN, z_thresh: float = OUTLIER_Z,
                    outlier_frac_warn: float = OUTLIER_FRAC_WARN, rules: list[tuple] | None = None) -> DataFrame:
-    """Q5: Q1-Q4 as long rows (check, column, value, threshold, warn, detail)."""
-    m = missingness(df, missingness_warn).select(
-        F.lit("missingness").alias("check"), "column", F.col("missing_frac").alias("value"),
-        F.lit(missingness_warn).alias("threshold"), "warn", F.lit(None).cast("string").alias("detail"))
+    """Q5: Q1-Q4 as long rows (check, column, value, threshold, warn, detail).
+
+    Three scans: one aggregation row with every column's missing count,
+    every numeric column's count/mean/population std and every range rule's
+    violations (collected: it is one row, and its means and stds are the
+    z-score constants); one pass counting |z| >= t with those constants as
+    literals; one group-by over all columns for duplicates."""
+    spark = df.sparkSession
+    cols = df.columns
+    num = numeric_measure_columns(df)
+    if rules is None:
+        rules = [(f.name, 0.0, None) for f in df.schema.fields
+                 if "age" in f.name.lower() and isinstance(f.dataType, T.NumericType)]
+    aggs = [F.count(F.lit(1)).alias("_n")]
+    aggs += [F.count_if(_is_missing(df, c)).alias(f"m{i}") for i, c in enumerate(cols)]
+    for i, c in enumerate(num):
+        x = F.col(c).cast("double")
+        aggs += [F.count(x).alias(f"n{i}"), F.avg(x).alias(f"mu{i}"), F.stddev_pop(x).alias(f"sd{i}")]
+    for j, (c, lo, hi) in enumerate(rules):
+        v = F.lit(False)
+        if lo is not None:
+            v = v | (F.col(c) < F.lit(lo))
+        if hi is not None:
+            v = v | (F.col(c) > F.lit(hi))
+        aggs.append(F.count_if(v).alias(f"v{j}"))
+    row = df.agg(*aggs).collect()[0]
+    n = row["_n"]
+    out = [("missingness", c, (row[f"m{i}"] / n) if n else 0.0, float(missingness_warn),
+            bool(((row[f"m{i}"] / n) if n else 0.0) >= missingness_warn), None) for i, c in enumerate(cols)]
+    for j, (c, lo, hi) in enumerate(rules):
+        lo_s = "" if lo is None else str(float(lo))
+        hi_s = "" if hi is None else str(float(hi))
+        out.append(("range", c, float(row[f"v{j}"]), 0.0, bool(row[f"v{j}"] > 0), f"range [{lo_s}, {hi_s}]"))
+    fixed = spark.createDataFrame(out, _SCHEMA)
+    keep = [(i, c) for i, c in enumerate(num)
+            if row[f"n{i}"] >= MIN_OUTLIER_VALUES and row[f"sd{i}"] not in (None, 0.0)]
+    parts = [fixed]
+    if keep:
+        cnt = df.agg(*[F.count_if(F.abs((F.col(c).cast("double") - F.lit(row[f"mu{i}"])) / F.lit(row[f"sd{i}"]))
+                                  >= z_thresh).alias(f"o{i}") for i, c in keep])
+        z = cnt.select(F.inline(F.array(*[
+            F.struct(F.lit("zscore_outliers").alias("check"), F.lit(c).alias("column"),
+                     (F.col(f"o{i}") / F.lit(max(row[f"n{i}"], 1))).cast("double").alias("value"),
+                     F.lit(float(outlier_frac_warn)).alias("threshold"),
+                     ((F.col(f"o{i}") / F.lit(max(row[f"n{i}"], 1))) >= outlier_frac_warn).alias("warn"),
+                     F.concat(F.col(f"o{i}").cast("string"), F.lit(f" points with |z| >= {z_thresh:g}")).alias("detail"))
+            for i, c in keep])))
+        parts.append(z)
     d = duplicate_rate(df).select(
         F.lit("duplicate_rate").alias("check"), F.lit(None).cast("string").alias("column"),
-        F.col("duplicate_rate").cast("double").alias("value"), F.lit(duplicate_warn).alias("threshold"),
+        F.col("duplicate_rate").cast("double").alias("value"), F.lit(float(duplicate_warn)).alias("threshold"),
         (F.col("duplicate_rate") >= duplicate_warn).alias("warn"), F.lit(None).cast("string").alias("detail"))
-    z = zscore_outliers(df, z_thresh).select(
-        F.lit("zscore_outliers").alias("check"), "column", F.col("outlier_frac_of_nonnull").alias("value"),
-        F.lit(outlier_frac_warn).alias("threshold"), (F.col("outlier_frac_of_nonnull") >= outlier_frac_warn).alias("warn"),
-        F.concat(F.col("n_outliers").cast("string"), F.lit(f" points with |z| >= {z_thresh:g}")).alias("detail"))
-    r = range_rules(df, rules).select(
-        F.lit("range").alias("check"), "column", F.col("n_violations").cast("double").alias("value"),
-        F.lit(0.0).alias("threshold"), "warn",
-        F.concat(F.lit("range ["), F.coalesce(F.col("min").cast("string"), F.lit("")), F.lit(", "),
-                 F.coalesce(F.col("max").cast("string"), F.lit("")), F.lit("]")).alias("detail"))
-    return m.unionByName(d).unionByName(z).unionByName(r)
+    parts.append(d)
+    res = parts[0]
+    for p_ in parts[1:]:
+        res = res.unionByName(p_)
+    return res
 
 
 def deduplicate(df: DataFrame, subset: list[str] | None = None) -> DataFrame:
