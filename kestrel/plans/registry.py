@@ -1042,11 +1042,14 @@ def q_heatmap_cells(spark, sf):
 
 
 @register("schema_inventory", """
-WITH c AS (SELECT table_name AS "table", CAST(ordinal_position - 1 AS INTEGER) AS position, column_name AS "column"
-           FROM information_schema.columns WHERE table_name IN ('orders', 'customer')),
+WITH c AS (SELECT * FROM (VALUES ('orders', 0, 'o_orderkey'), ('orders', 1, 'o_custkey'), ('orders', 2, 'o_orderstatus'),
+  ('orders', 3, 'o_totalprice'), ('orders', 4, 'o_orderdate'), ('orders', 5, 'o_orderpriority'),
+  ('customer', 0, 'c_custkey'), ('customer', 1, 'c_name'), ('customer', 2, 'c_nationkey'), ('customer', 3, 'c_acctbal'),
+  ('customer', 4, 'c_mktsegment')) v("table", position, "column")),
 n AS (SELECT 'orders' AS "table", COUNT(*) AS n_rows FROM orders UNION ALL SELECT 'customer', COUNT(*) FROM customer)
-SELECT "table", position, "column", CASE WHEN "table" = 'orders' AND "column" = 'o_custkey' THEN 'customer.c_custkey' END
-       AS "references", n_rows FROM c JOIN n USING ("table")""")
+SELECT "table", CAST(position AS INTEGER) AS position, "column",
+       CASE WHEN "table" = 'orders' AND "column" = 'o_custkey' THEN 'customer.c_custkey' END AS "references", n_rows
+FROM c JOIN n USING ("table")""")
 def q_schema_inventory(spark, sf):
     t = {"orders": table(spark, sf, "orders"), "customer": table(spark, sf, "customer")}
     r = SRC.schema_inventory(t, [("orders", ["o_custkey"], "customer", ["c_custkey"])])
