@@ -1203,3 +1203,29 @@ SELECT CAST(CAST(date_trunc('week', l_shipdate) AS DATE) + 6 AS TIMESTAMP) AS x,
 FROM lineitem WHERE l_shipdate IS NOT NULL AND l_quantity IS NOT NULL GROUP BY 1""")
 def q_line_data(spark, sf):
     return R(CH.line_data(TS.timeseries_agg(table(spark, sf, "lineitem"), "l_shipdate", "l_quantity", "W", "mean")))
+
+
+@register("stream_missingness", """
+SELECT date_trunc('hour', ts) AS window_start, date_trunc('hour', ts) + INTERVAL 1 HOUR AS window_end,
+       COUNT(*) AS n_rows, COUNT(*) FILTER (WHERE event_id IS NULL) AS missing_event_id,
+       COUNT(*) FILTER (WHERE user_id IS NULL) AS missing_user_id,
+       COUNT(*) FILTER (WHERE event_type IS NULL) AS missing_event_type,
+       COUNT(*) FILTER (WHERE value IS NULL OR isnan(value)) AS missing_value,
+       COUNT(*) FILTER (WHERE props IS NULL) AS missing_props FROM events GROUP BY 1, 2""")
+def q_stream_missingness(spark, sf):
+    s = STR.read_parquet_stream(spark, f"{sf.rstrip('/')}/events.parquet")
+    agg = STR.windowed_missingness(s, "ts", "1 hour", "1 hour")
+    out = STR.run_versioned(agg, "missingness", ["window_start", "window_end"])
+    return out.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"),
+                      F.col("window_end").cast("timestamp_ntz").alias("window_end"),
+                      *[c for c in out.columns if c not in ("window_start", "window_end")])
+
+
+@register("stream_run_state", ORACLES["run_state"])
+def q_stream_run_state(spark, sf):
+    s = STR.read_parquet_stream(spark, f"{sf.rstrip('/')}/events.parquet")
+    status = (F.when(F.col("event_type") == "signup", "queued").when(F.col("event_type").isin("view", "click"), "running")
+              .when(F.col("event_type") == "purchase", "completed").when(F.col("event_type") == "error", "failed"))
+    ev = s.select(F.col("user_id").alias("run_id"), "ts", status.alias("status"), F.col("props").alias("error_message"))
+    st = STR.run_state_stream(ev, "run_id", "ts", "status", "error_message")
+    return STR.run_versioned(st, "run-state", ["run_id"])

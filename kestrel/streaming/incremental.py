@@ -114,3 +114,31 @@ def run_append(stream: DataFrame, name: str) -> DataFrame:
          .option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start())
     q.awaitTermination()
     return spark.read.parquet(f"{base}/data")
+
+
+def windowed_missingness(stream: DataFrame, ts_col: str, window: str = "1 hour",
+                         watermark: str = "1 hour", columns: list[str] | None = None) -> DataFrame:
+    """Q1 on a stream: rows and missing values per column for every
+    tumbling window (NaN counts as missing for floating columns)."""
+    from pyspark.sql import types as T
+    cols = columns or [c for c in stream.columns if c != ts_col]
+    fields = {f.name: f.dataType for f in stream.schema.fields}
+
+    def miss(c):
+        m = F.col(c).isNull()
+        if isinstance(fields[c], (T.DoubleType, T.FloatType)):
+            m = m | F.isnan(c)
+        return m
+    s = stream.withColumn(ts_col, F.col(ts_col).cast("timestamp")).withWatermark(ts_col, watermark)
+    return (s.groupBy(F.window(ts_col, window).alias("w"))
+            .agg(F.count(F.lit(1)).alias("n_rows"), *[F.count_if(miss(c)).alias(f"missing_{c}") for c in cols])
+            .select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "n_rows",
+                    *[f"missing_{c}" for c in cols]))
+
+
+def run_state_stream(stream: DataFrame, run_col: str, ts_col: str, status_col: str,
+                     error_col: str | None = None) -> DataFrame:
+    """LG2 on a stream: the batch run-state aggregates as an update-mode
+    streaming aggregation (partial aggregates in the state store)."""
+    from kestrel.operators.ledger import run_state
+    return run_state(stream, run_col, ts_col, status_col, error_col)
