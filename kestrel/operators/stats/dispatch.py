@@ -110,9 +110,10 @@ def ab_test(df: DataFrame, group_col: str, control, treatment, metric: str, metr
     lift = E.relative_lift(tm, cm)
     mn = F.least("n_treatment", "n_control")
     binary = F.col("method") == "two_proportion_z_test"
+    llo, lhi = E.relative_lift_ci(F.col("ci_lower"), F.col("ci_upper"), cm)
     out = res.crossJoin(s).select(
         *COMMON, "treatment_mean", "control_mean", (tm - cm).alias("absolute_difference"), lift.alias("relative_lift"),
-        (lift * 100.0).alias("percent_change"),
+        llo.alias("lift_ci_lower"), lhi.alias("lift_ci_upper"), (lift * 100.0).alias("percent_change"),
         F.when(mn > 0, F.greatest("n_treatment", "n_control") / mn).alias("imbalance_ratio"),
         F.when(binary, mn < 100).otherwise(mn < 30).alias("underpowered"))
     return out.withColumn("imbalanced", F.coalesce(F.col("imbalance_ratio") > 3.0, F.lit(False)))

@@ -1229,3 +1229,26 @@ def q_stream_run_state(spark, sf):
     ev = s.select(F.col("user_id").alias("run_id"), "ts", status.alias("status"), F.col("props").alias("error_message"))
     st = STR.run_state_stream(ev, "run_id", "ts", "status", "error_message")
     return STR.run_versioned(st, "run-state", ["run_id"])
+
+
+@register("csv_roundtrip", """
+SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority FROM orders""")
+def q_csv_roundtrip(spark, sf):
+    """SNK1 + SRC1: orders written as CSV to the shared checkpoint folder and
+    read back with validation and type inference."""
+    path = STR.stream_folder(spark, "csv-orders")
+    SRC.write_results(table(spark, sf, "orders"), path, fmt="csv")
+    df = SRC.read_csv(spark, path)
+    return df.select(F.col("o_orderkey").cast("bigint").alias("o_orderkey"),
+                     F.col("o_custkey").cast("bigint").alias("o_custkey"), "o_orderstatus",
+                     F.col("o_totalprice").cast("double").alias("o_totalprice"),
+                     F.col("o_orderdate").cast("timestamp_ntz").alias("o_orderdate"), "o_orderpriority")
+
+
+@register("having_filter", SALES_CTE + """
+SELECT customer_id, ROUND(CAST(SUM(revenue) AS DOUBLE), 6) AS value FROM sales WHERE customer_id IS NOT NULL
+GROUP BY 1 HAVING SUM(revenue) > 1000000""")
+def q_having_filter(spark, sf):
+    """AG14: a condition on the aggregate is a filter on the grouped result."""
+    g = A.groupby_agg(sales(spark, sf), "customer_id", "revenue", "sum", limit=0)
+    return R(g.where(F.col("value") > 1000000))
