@@ -770,10 +770,19 @@ def q_ab_test(spark, sf):
                       "relative_lift", "percent_change", "imbalance_ratio"))
 
 
-@register("statistical_test")
+@register("statistical_test", AB_CTE + """, g AS (SELECT
+  COUNT(value) FILTER (WHERE variant = 'treatment') n_a, AVG(value) FILTER (WHERE variant = 'treatment') m_a,
+  VAR_SAMP(value) FILTER (WHERE variant = 'treatment') v_a, COUNT(value) FILTER (WHERE variant = 'control') n_b,
+  AVG(value) FILTER (WHERE variant = 'control') m_b, VAR_SAMP(value) FILTER (WHERE variant = 'control') v_b FROM ab)
+SELECT 'welch_t_test' AS method, 'treatment' AS group_a, 'control' AS group_b, n_a, n_b,
+  ROUND((m_a - m_b) / sqrt(v_a / n_a + v_b / n_b), 6) AS statistic,
+  ROUND((m_a - m_b) / sqrt(((n_a - 1) * v_a + (n_b - 1) * v_b) / (n_a + n_b - 2)), 6) AS effect_size,
+  'cohens_d' AS effect_name FROM g""")
 def q_statistical_test(spark, sf):
-    """Dispatcher on a continuous metric (selects Welch here); rows-only."""
-    return DS.statistical_test(ab_events(spark, sf), "variant", "value", "treatment", "control")
+    """Dispatcher on a continuous metric: the selection (normality checks
+    included) picks Welch; the SQL twin checks the chosen test's numbers."""
+    r = DS.statistical_test(ab_events(spark, sf), "variant", "value", "treatment", "control")
+    return R(r.select("method", "group_a", "group_b", "n_a", "n_b", "statistic", "effect_size", "effect_name"))
 
 
 @register("normality")
