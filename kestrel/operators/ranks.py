@@ -82,11 +82,11 @@ def quantile_lookup(pre: DataFrame, by: list[str], qs: list[float], cnt: str = "
                  F.ceil((F.col("_n") - 1) * F.lit(q)).cast("long").alias("hi"),
                  ((F.col("_n") - 1) * F.lit(q) - F.floor((F.col("_n") - 1) * F.lit(q))).alias("frac"))
         for i, q in enumerate(qs)])
-    sizes = sizes.select(*by, targets.alias("_t"))
+    sizes = sizes.select(*by, targets.alias("_tgt"))
     joined = pre.where(F.col(cnt) > 0).join(sizes, by) if by else \
         pre.where(F.col(cnt) > 0).crossJoin(F.broadcast(sizes))
     hit = joined.select(*by, "_v", F.explode(F.filter(
-        F.transform("_t", lambda t: F.struct(
+        F.transform("_tgt", lambda t: F.struct(
             t["qi"].alias("qi"), t["frac"].alias("frac"),
             ((t["lo"] >= F.col(before)) & (t["lo"] < F.col(before) + F.col(cnt))).alias("is_lo"),
             ((t["hi"] >= F.col(before)) & (t["hi"] < F.col(before) + F.col(cnt))).alias("is_hi"))),

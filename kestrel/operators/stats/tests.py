@@ -208,13 +208,20 @@ def mann_whitney_u(df: DataFrame, group_col: str, metric: str, group_a=None, gro
     aggs = [F.sum(F.col("_na") * (F.col("_nb_before") + F.col("_nb") / 2.0)).alias("u_statistic"),
             F.sum(t * t * t - t).cast("double").alias("tie_term"), F.max(t).alias("_maxt")]
     u = pre.groupBy(*by).agg(*aggs) if by else pre.agg(*aggs)
-    parts = [u, weighted_moments(pre, by, "_na", "_a"), weighted_moments(pre, by, "_nb", "_b"),
-             quantile_lookup(pre, by, [0.5], "_na", prefix="meda"), quantile_lookup(pre, by, [0.5], "_nb", prefix="medb")]
-    j = parts[0]
-    for p_ in parts[1:]:
-        j = j.join(p_, by, "left") if by else j.crossJoin(p_)
-    j = j.select("*", F.coalesce(F.col("count_a"), F.lit(0)).alias("n_a"), F.coalesce(F.col("count_b"), F.lit(0)).alias("n_b"),
-                 F.col("meda0_5").alias("median_a"), F.col("medb0_5").alias("median_b"))
+    # Both groups' (value, count) columns stacked: one moments pass and one
+    # median lookup serve a and b together.
+    long = pre.select(*by, "_v", F.inline(F.array(
+        F.struct(F.lit("a").alias("_t"), F.col("_na").alias("_cnt"), F.col("_na_before").alias("_cnt_before")),
+        F.struct(F.lit("b").alias("_t"), F.col("_nb").alias("_cnt"), F.col("_nb_before").alias("_cnt_before")))))
+    mom = weighted_moments(long, [*by, "_t"]).join(
+        quantile_lookup(long, [*by, "_t"], [0.5], prefix="med"), [*by, "_t"], "left")
+    stats_cols = []
+    for t in ("a", "b"):
+        for c, name in (("count", "n"), ("mean", "mean"), ("var", "var"), ("med0_5", "median")):
+            stats_cols.append(F.max(F.when(F.col("_t") == t, F.col(c))).alias(f"{name}_{t}"))
+    per = mom.groupBy(*by).agg(*stats_cols) if by else mom.agg(*stats_cols)
+    j = u.join(per, by, "left") if by else u.crossJoin(per)
+    j = j.withColumn("n_a", F.coalesce(F.col("n_a"), F.lit(0))).withColumn("n_b", F.coalesce(F.col("n_b"), F.lit(0)))
     na, nb = F.col("n_a"), F.col("n_b")
     exact = (F.least(na, nb) <= 8) & (F.col("_maxt") <= 1)
     mu = na * nb / 2.0
