@@ -65,10 +65,24 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return d
 
 
-def cut_lineage(df):
-    """Reliable checkpoint (survives executor loss); never localCheckpoint."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def cut_lineage(df, mode: str | None = None):
+    """Cut lineage into the shared checkpoint folder (survives executor
+    loss; never localCheckpoint).
+
+    Default: write the DataFrame as a Parquet table under
+    ``spark.checkpoint.dir`` and read it back - a columnar, vectorised
+    re-read that also carries file-size statistics, so AQE can broadcast a
+    small derived table. ``mode='rdd'`` uses ``DataFrame.checkpoint``.
+    Override the default with the session conf ``kestrel.cutLineage``."""
+    import uuid
+    spark = df.sparkSession
+    d = ensure_checkpoint_dir(spark)
+    mode = mode or spark.conf.get("kestrel.cutLineage", "parquet")
+    if mode == "rdd":
+        return df.checkpoint(eager=True)
+    path = f"{d.rstrip('/')}/kestrel-tables/{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
 
 
 def env_master(default: str = "local[8]") -> str:
