@@ -41,7 +41,53 @@ def _p(params: dict, name: str, default=None):
     return default
 
 
-def _run_one(df: DataFrame, ttype: str, p: dict) -> DataFrame:
+def _filter_params(p: dict) -> dict:
+    """filter_agg also accepts {"where": {col: val}} / {"filter": {col: val}}
+    and flat alternative names."""
+    for nest in ("where", "filter"):
+        d = p.get(nest)
+        if isinstance(d, dict) and len(d) == 1 and ("filter_col" not in p or "filter_val" not in p):
+            k = next(iter(d))
+            p.setdefault("filter_col", k)
+            p.setdefault("filter_val", d[k])
+    for name, alts in (("filter_col", ("where_col", "column", "field", "dimension")),
+                       ("filter_val", ("where_val", "value", "equals", "match", "val"))):
+        if name not in p:
+            for a in alts:
+                if a in p:
+                    p[name] = p[a]
+                    break
+    return p
+
+
+def _run_one(df: DataFrame, ttype: str, p: dict, context: dict | None = None) -> DataFrame:
+    context = context or {}
+    if ttype == "statistical_test":
+        from kestrel.operators.stats.dispatch import statistical_test
+        return statistical_test(df, p["group_col"], _p(p, "metric"), p.get("group_a"), p.get("group_b"),
+                                bool(p.get("compare_to_rest", False)), bool(p.get("paired", False)),
+                                p.get("pair_id_col"), p.get("success_value", 1), float(p.get("alpha", 0.05)),
+                                p.get("alternative", "two-sided"))
+    if ttype == "ab_test":
+        from kestrel.operators.stats.dispatch import ab_test
+        return ab_test(df, p["group_col"], p["control"], p["treatment"], _p(p, "metric"), p.get("metric_type"),
+                       p.get("success_value", 1), float(p.get("alpha", 0.05)))
+    if ttype == "ols_regression":
+        from kestrel.operators.stats import ols
+        fit = ols.ols_fit(df, p["target"], list(p["predictors"]), float(p.get("alpha", 0.05)))
+        m = ols.ols_fit_metrics(fit).select(F.lit("fit").alias("term"), "n", "r_squared", "adj_r_squared",
+                                            "f_statistic", "f_p_value")
+        c = ols.ols_coefficients(fit)
+        return c.unionByName(m, allowMissingColumns=True)
+    if ttype == "sql_query":
+        from kestrel.sources.files import sql_query
+        return sql_query(df.sparkSession, p["query"], int(p.get("limit", 1000)), p.get("output", "rows"))
+    if ttype == "sql_join_profile":
+        from kestrel.operators.star import join_profile
+        return join_profile(context["tables"], context.get("relationships", []), p["fact_table"],
+                            p.get("dimension_table"))
+    if ttype == "filter_agg":
+        p = _filter_params(p)
     if ttype == "groupby_agg":
         return A.groupby_agg(df, _p(p, "group_by"), _p(p, "metric"), _p(p, "agg", "sum"), int(p.get("limit", 50)))
     if ttype == "groupby2_agg":
@@ -202,7 +248,8 @@ def _post_grouped(sub: DataFrame, ttype: str, ks: list[str], p: dict, metric: st
     return A.group_distribution_from_grouped(g, ks[0], metric, agg, p.get("quantiles", A.GROUP_QUANTILES))
 
 
-def run_suite(df: DataFrame, tasks: list[dict], fuse: bool = True) -> DataFrame:
+def run_suite(df: DataFrame, tasks: list[dict], fuse: bool = True, tables: dict | None = None,
+              relationships=()) -> DataFrame:
     """TR1: run a task list as one long result table.
 
     With ``fuse`` the grouped tasks (group-bys, top-k, segment shares,
@@ -226,7 +273,8 @@ def run_suite(df: DataFrame, tasks: list[dict], fuse: bool = True) -> DataFrame:
             if fuse and ttype in FUSABLE:
                 fused.add(tid, ttype, params)
             else:
-                parts.append(_long(_run_one(df, ttype, params), tid, ttype))
+                parts.append(_long(_run_one(df, ttype, params, {"tables": tables or {},
+                                                                "relationships": relationships}), tid, ttype))
             order.append(tid)
         except Exception as e:  # noqa: BLE001 - recorded per task, the suite goes on
             failures.append((tid, ttype, "", "", None, "failed", f"{type(e).__name__}: {e}"[:400]))

@@ -100,3 +100,34 @@ def test_empty_input(spark):
     df = spark.createDataFrame([], "a string, b double")
     assert A.groupby_agg(df, "a", "b").count() == 0
     assert A.distribution(df, "b").count() == 0
+
+
+def test_suite_all_task_types(spark, sales30, ab200):
+    from kestrel.plans.suite import run_suite
+    sales30.createOrReplaceTempView("sales30")
+    tasks = [
+        {"id": "a", "type": "filter_agg", "params": {"where": {"country": "USA"}, "metric": "revenue"}},
+        {"id": "b", "type": "sql_query", "params": {"query": "SELECT country, SUM(revenue) FROM sales30 GROUP BY 1",
+                                                     "output": "mapping"}},
+        {"id": "c", "type": "ols_regression", "params": {"target": "revenue", "predictors": ["quantity", "unit_price"]}},
+        {"id": "d", "type": "kpi_template_apply", "params": {"domain": "ecommerce"}},
+        {"id": "e", "type": "cohort_analysis", "params": {"entity_col": "customer_id", "date_col": "order_date"}},
+        {"id": "f", "type": "metric_definition", "params": {"name": "x", "expression": "revenue / quantity"}},
+        {"id": "g", "type": "distribution", "params": {"column": "revenue"}},
+        {"id": "h", "type": "nope", "params": {}},
+    ]
+    r = run_suite(sales30, tasks).collect()
+    by = {}
+    for x in r:
+        by.setdefault(x["task_id"], []).append(x)
+    assert by["a"][0]["value"] == pytest.approx(2041.5)
+    assert {x["key"] for x in by["b"]} == {"India", "Germany", "USA", "Canada", "UK"}
+    assert by["h"][0]["status"] == "failed" and all(x["status"] == "computed" for t in "abcdefg" for x in by[t])
+    ab = run_suite(ab200, [{"id": "z", "type": "ab_test", "params": {"group_col": "variant", "control": "control",
+                                                                      "treatment": "treatment",
+                                                                      "metric": "conversion"}},
+                           {"id": "y", "type": "statistical_test", "params": {"group_col": "variant",
+                                                                               "metric": "revenue"}}]).collect()
+    z = {x["metric"]: x["value"] for x in ab if x["task_id"] == "z"}
+    assert z["relative_lift"] == pytest.approx(0.590909, abs=1e-6)
+    assert any(x["task_id"] == "y" for x in ab)
