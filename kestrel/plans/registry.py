@@ -1261,3 +1261,47 @@ def q_having_filter(spark, sf):
     """AG14: a condition on the aggregate is a filter on the grouped result."""
     g = A.groupby_agg(sales(spark, sf), "customer_id", "revenue", "sum", limit=0)
     return R(g.where(F.col("value") > 1000000))
+
+
+@register("welch_vs_rest", """
+WITH g AS (SELECT COUNT(value) FILTER (WHERE event_type = 'purchase') n_a, AVG(value) FILTER (WHERE event_type = 'purchase') m_a,
+  VAR_SAMP(value) FILTER (WHERE event_type = 'purchase') v_a, COUNT(value) FILTER (WHERE event_type <> 'purchase') n_b,
+  AVG(value) FILTER (WHERE event_type <> 'purchase') m_b, VAR_SAMP(value) FILTER (WHERE event_type <> 'purchase') v_b
+  FROM events WHERE event_type IS NOT NULL)
+SELECT 'purchase' AS group_a, 'rest' AS group_b, n_a, n_b, ROUND(m_a, 6) AS mean_a, ROUND(m_b, 6) AS mean_b,
+  ROUND(m_a - m_b, 6) AS mean_difference, ROUND((m_a - m_b) / sqrt(v_a / n_a + v_b / n_b), 6) AS statistic,
+  ROUND(pow(v_a / n_a + v_b / n_b, 2) / (pow(v_a / n_a, 2) / (n_a - 1) + pow(v_b / n_b, 2) / (n_b - 1)), 6) AS df,
+  ROUND((m_a - m_b) / sqrt(((n_a - 1) * v_a + (n_b - 1) * v_b) / (n_a + n_b - 2)), 6) AS cohens_d FROM g""")
+def q_welch_vs_rest(spark, sf):
+    r = HT.welch_t_test(table(spark, sf, "events"), "event_type", "value", "purchase", compare_to_rest=True)
+    return R(r.select(*_WELCH_COLS))
+
+
+@register("cohort_weekly_events", """
+WITH e AS (SELECT DISTINCT user_id, CAST(date_trunc('week', ts) AS DATE) p FROM events
+           WHERE user_id IS NOT NULL AND ts IS NOT NULL),
+x AS (SELECT *, MIN(p) OVER (PARTITION BY user_id) c FROM e),
+g AS (SELECT c, CAST((p - c) / 7 AS INTEGER) n, COUNT(*) a FROM x GROUP BY 1, 2),
+s AS (SELECT c, MAX(a) FILTER (WHERE n = 0) sz FROM g GROUP BY c)
+SELECT strftime(g.c, '%Y-%m-%d') || '/' || strftime(g.c + 6, '%Y-%m-%d') AS cohort_period, n AS period_number,
+       a AS active_entities, sz AS cohort_size, ROUND(a / sz, 6) AS retention_rate FROM g JOIN s USING (c)""")
+def q_cohort_weekly_events(spark, sf):
+    return R(C.cohort_long(table(spark, sf, "events"), "user_id", "ts", "W"))
+
+
+@register("timeseries_hourly_count", """
+WITH g AS (SELECT date_trunc('hour', ts) h, COUNT(value) v FROM events
+           WHERE event_type = 'purchase' AND ts IS NOT NULL AND value IS NOT NULL GROUP BY 1),
+b AS (SELECT unnest(generate_series((SELECT MIN(h) FROM g), (SELECT MAX(h) FROM g), INTERVAL 1 HOUR)) h)
+SELECT b.h AS period, CAST(COALESCE(v, 0) AS DOUBLE) AS value FROM b LEFT JOIN g USING (h)""")
+def q_timeseries_hourly_count(spark, sf):
+    e = table(spark, sf, "events").where(F.col("event_type") == "purchase")
+    return TS.timeseries_agg(e, "ts", "value", "H", "count")
+
+
+@register("kpi_ops", SALES_CTE + """
+SELECT CAST(NULL AS DOUBLE) AS ticket_count, CAST(NULL AS DOUBLE) AS avg_resolution_time,
+       ROUND(CAST(COALESCE(SUM(quantity), 0) AS DOUBLE), 6) AS throughput, region FROM sales
+WHERE region IS NOT NULL GROUP BY region""")
+def q_kpi_ops(spark, sf):
+    return R(K.kpi_template_apply(sales(spark, sf), "ops", by=["region"]))
