@@ -36,7 +36,7 @@ def money(c: str):
     return F.col(c).cast("decimal(18,2)")
 
 
-def sales(spark: SparkSession, sf_dir: str) -> DataFrame:
+def sales(spark: SparkSession, sf_dir: str, tables: dict | None = None) -> DataFrame:
     """The e-commerce working table (one row per line item).
 
     lineitem ⋈ orders ⋈ customer ⋈ nation ⋈ region ⋈ part. The two big
@@ -44,10 +44,14 @@ def sales(spark: SparkSession, sf_dir: str) -> DataFrame:
     to AQE, which broadcasts a side only when its runtime size is under
     ``spark.sql.autoBroadcastJoinThreshold``; nation and region are the
     fixed 25- and 5-row reference tables and are broadcast explicitly.
+    ``tables`` may supply lineitem/orders written by
+    ``sources.layout.bucketed_order_tables``; their join then needs no
+    shuffle.
     """
-    li = table(spark, sf_dir, "lineitem").select(
+    tables = tables or {}
+    li = (tables.get("lineitem") or table(spark, sf_dir, "lineitem")).select(
         "l_orderkey", "l_partkey", "l_quantity", "l_extendedprice", "l_discount")
-    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate", "o_custkey")
+    o = (tables.get("orders") or table(spark, sf_dir, "orders")).select("o_orderkey", "o_orderdate", "o_custkey")
     c = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
     n = table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey")
     r = table(spark, sf_dir, "region").select("r_regionkey", "r_name")
