@@ -69,7 +69,7 @@ def run_versioned(agg_stream: DataFrame, name: str, keys: list[str]) -> DataFram
     q = (agg_stream.writeStream.outputMode("update").foreachBatch(sink)
          .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
     q.awaitTermination()
-    res = spark.read.parquet(out)
+    res = _read_or_empty(spark, out, agg_stream.schema.add("_batch", "long"))
     others = [c for c in res.columns if c not in keys and c != "_batch"]
     latest = res.groupBy(*keys).agg(F.max_by(F.struct(*others), F.col("_batch")).alias("_r"))
     return latest.select(*keys, "_r.*")
@@ -113,7 +113,18 @@ def run_append(stream: DataFrame, name: str) -> DataFrame:
     q = (stream.writeStream.outputMode("append").format("parquet").option("path", f"{base}/data")
          .option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start())
     q.awaitTermination()
-    return spark.read.parquet(f"{base}/data")
+    return _read_or_empty(spark, f"{base}/data", stream.schema)
+
+
+def _read_or_empty(spark: SparkSession, path: str, schema) -> DataFrame:
+    """The sink folder, or an empty result when no micro-batch wrote rows.
+    Micro-batches may be retried after a failure: versioned rows of one
+    batch are identical, so keeping the latest version stays exact."""
+    from pyspark.errors import AnalysisException
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException:
+        return spark.createDataFrame([], schema)
 
 
 def windowed_missingness(stream: DataFrame, ts_col: str, window: str = "1 hour",
