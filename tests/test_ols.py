@@ -60,3 +60,20 @@ def test_one_hot_first_level_dropped(spark):
     c = {r["term"]: r["coefficient"] for r in OLS.ols_coefficients(fit).collect()}
     assert set(c) == {"const", "x", "cat_b", "cat_c"}
     assert c["cat_b"] == pytest.approx(5.0) and c["cat_c"] == pytest.approx(-3.0)
+
+
+def test_tsqr_matches_mllib_normal_solver(spark):
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import LinearRegression
+    from conftest import SF_SMALL
+    li = spark.read.parquet(f"{SF_SMALL}/lineitem.parquet")
+    fit = OLS.ols_fit(li, "l_extendedprice", ["l_quantity", "l_discount", "l_tax"])
+    ours = {r["term"]: r for r in OLS.ols_coefficients(fit).collect()}
+    va = VectorAssembler(inputCols=["l_quantity", "l_discount", "l_tax"], outputCol="features")
+    m = LinearRegression(featuresCol="features", labelCol="l_extendedprice", solver="normal", regParam=0.0,
+                         standardization=False).fit(va.transform(li))
+    assert ours["const"]["coefficient"] == pytest.approx(m.intercept, rel=1e-8)
+    for i, t in enumerate(["l_quantity", "l_discount", "l_tax"]):
+        assert ours[t]["coefficient"] == pytest.approx(m.coefficients[i], rel=1e-8)
+        assert ours[t]["std_error"] == pytest.approx(m.summary.coefficientStandardErrors[i], rel=1e-6)
+    assert OLS.ols_fit_metrics(fit).collect()[0]["r_squared"] == pytest.approx(m.summary.r2, rel=1e-9)
