@@ -1305,3 +1305,14 @@ SELECT CAST(NULL AS DOUBLE) AS ticket_count, CAST(NULL AS DOUBLE) AS avg_resolut
 WHERE region IS NOT NULL GROUP BY region""")
 def q_kpi_ops(spark, sf):
     return R(K.kpi_template_apply(sales(spark, sf), "ops", by=["region"]))
+
+
+@register("kpi_segment_sample", SALES_CTE + """,
+g AS (SELECT country k, CAST(SUM(revenue) AS DOUBLE) v FROM sales WHERE country IS NOT NULL GROUP BY 1),
+kept AS (SELECT * FROM g ORDER BY v DESC, k LIMIT 20)
+SELECT k AS segment, ROUND(v, 6) AS value, ROUND(v / SUM(v) OVER (), 6) AS share_pct,
+       ROUND(v / (SELECT SUM(v) FROM g), 6) AS share_of_total FROM kept""")
+def q_kpi_segment_sample(spark, sf):
+    """K1's segment view: first numeric resolved KPI column (revenue) by the
+    first present segment candidate (country), sum, top 20."""
+    return R(K.kpi_segment_sample(sales(spark, sf), "ecommerce"))
