@@ -653,7 +653,7 @@ t AS (SELECT SUM(n) n FROM o),
 x AS (SELECT COALESCE(o.n, 0) o, r.n * c.n * 1.0 / t.n e FROM r CROSS JOIN c CROSS JOIN t
       LEFT JOIN o ON o.a = r.a AND o.b = c.b),
 s AS (SELECT SUM((o - e) * (o - e) / e) chi, MIN(e) me FROM x)
-SELECT (SELECT n FROM t) AS n, (SELECT COUNT(*) FROM r) AS n_levels_left, (SELECT COUNT(*) FROM c) AS n_levels_right,
+SELECT CAST((SELECT n FROM t) AS BIGINT) AS n, (SELECT COUNT(*) FROM r) AS n_levels_left, (SELECT COUNT(*) FROM c) AS n_levels_right,
        ROUND(chi, 6) AS statistic, ((SELECT COUNT(*) FROM r) - 1) * ((SELECT COUNT(*) FROM c) - 1) AS dof,
        ROUND(me, 6) AS min_expected,
        ROUND(sqrt(chi / ((SELECT n FROM t) * LEAST((SELECT COUNT(*) FROM r) - 1, (SELECT COUNT(*) FROM c) - 1))), 6)
@@ -670,8 +670,8 @@ c AS (SELECT COUNT(*) FILTER (WHERE variant = 'treatment' AND conversion = 1) a,
              COUNT(*) FILTER (WHERE variant = 'control' AND conversion = 0) d FROM ab),
 k AS (SELECT *, a + b + c + d n, abs(a * d - b * c) / (a + b + c + d) dd,
              pow(a + b + c + d, 3) / ((a + b) * (c + d) * (a + c) * (b + d)) inv FROM c)
-SELECT n, 2 AS n_levels_left, 2 AS n_levels_right, ROUND(pow(dd - LEAST(0.5, dd), 2) * inv, 6) AS statistic,
-       1 AS dof, ROUND(LEAST(a + b, c + d) * LEAST(a + c, b + d) / n, 6) AS min_expected,
+SELECT n, CAST(2 AS BIGINT) AS n_levels_left, CAST(2 AS BIGINT) AS n_levels_right,
+       ROUND(pow(dd - LEAST(0.5, dd), 2) * inv, 6) AS statistic, CAST(1 AS BIGINT) AS dof, ROUND(LEAST(a + b, c + d) * LEAST(a + c, b + d) / n, 6) AS min_expected,
        ROUND(sqrt(pow(dd - LEAST(0.5, dd), 2) * inv / n), 6) AS cramers_v FROM k""")
 def q_chi_square_2x2(spark, sf):
     r = HT.chi_square_independence(ab_events(spark, sf), "variant", "conversion")
@@ -704,7 +704,7 @@ def q_two_proportion_z(spark, sf):
 WITH e AS (SELECT event_type g, value v FROM events WHERE event_type IN ('click', 'view') AND value IS NOT NULL),
 m AS (SELECT g, MEDIAN(v) m FROM e GROUP BY g), z AS (SELECT g, ABS(v - m) z FROM e JOIN m USING (g)),
 a AS (SELECT g, COUNT(*) n, AVG(z) zb, VAR_POP(z) vv FROM z GROUP BY g)
-SELECT 'click' AS group_a, 'view' AS group_b, SUM(n) AS n,
+SELECT 'click' AS group_a, 'view' AS group_b, CAST(SUM(n) AS BIGINT) AS n,
        ROUND((SUM(n) - 2) * (SUM(n * zb * zb) - POW(SUM(n * zb), 2) / SUM(n)) / SUM(n * vv), 6) AS statistic,
        1.0::DOUBLE AS df1, CAST(SUM(n) - 2 AS DOUBLE) AS df2 FROM a""")
 def q_levene(spark, sf):
@@ -740,7 +740,7 @@ def q_mean_ci(spark, sf):
 g AS (SELECT event_type, COUNT(*) n, SUM(CASE WHEN variant = 'treatment' THEN 1 ELSE 0 END) x FROM ab
       WHERE event_type IS NOT NULL GROUP BY 1),
 w AS (SELECT *, x / n p, 1 + {Z975} * {Z975} / n dn FROM g)
-SELECT event_type, n, x AS successes, ROUND(p, 6) AS proportion,
+SELECT event_type, n, CAST(x AS BIGINT) AS successes, ROUND(p, 6) AS proportion,
        ROUND(GREATEST(0.0, (p + {Z975} * {Z975} / (2.0 * n)) / dn
              - {Z975} * sqrt(p * (1 - p) / n + {Z975} * {Z975} / (4.0 * n * n)) / dn), 6) AS lower_bound,
        ROUND(LEAST(1.0, (p + {Z975} * {Z975} / (2.0 * n)) / dn
@@ -820,7 +820,7 @@ def q_ols_coefficients(spark, sf):
 
 
 @register("ols_fit", _OLS_CTE + """
-SELECT n, 3 AS k, 3 AS rank, ROUND(r2, 8) AS r_squared, ROUND(1 - (1 - r2) * (n - 1) / (n - 3), 8) AS adj_r_squared,
+SELECT n, CAST(3 AS BIGINT) AS k, CAST(3 AS BIGINT) AS rank, ROUND(r2, 8) AS r_squared, ROUND(1 - (1 - r2) * (n - 1) / (n - 3), 8) AS adj_r_squared,
        ROUND((r2 / 2) / ((1 - r2) / (n - 3)), 4) AS f_statistic, 'ok' AS status FROM c""")
 def q_ols_fit(spark, sf):
     r = OLS.ols_fit_metrics(_lineitem_fit(spark, sf))
