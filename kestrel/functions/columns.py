@@ -157,12 +157,15 @@ def as_double(c: Column) -> Column:
     return c.cast("double")
 
 
-def round_doubles(df: DataFrame, digits: int = 6) -> DataFrame:
+def round_doubles(df: DataFrame, digits: int = 6, skip: tuple = ()) -> DataFrame:
     """Round every double column (used by registry wrappers so results hash
-    identically across engines)."""
+    identically across engines). Columns in ``skip`` are exact IEEE results
+    of identical inputs on both engines (e.g. a ratio of an exact decimal sum
+    and a count) and are left unrounded: rounding them could split exact
+    decimal halves differently."""
     out = []
     for f in df.schema.fields:
-        if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
+        if isinstance(f.dataType, (T.DoubleType, T.FloatType)) and f.name not in skip:
             out.append(F.round(F.col(f.name), digits).alias(f.name))
         else:
             out.append(F.col(f.name))

@@ -1316,3 +1316,23 @@ def q_kpi_segment_sample(spark, sf):
     """K1's segment view: first numeric resolved KPI column (revenue) by the
     first present segment candidate (country), sum, top 20."""
     return R(K.kpi_segment_sample(sales(spark, sf), "ecommerce"))
+
+
+@register("stream_daily_kpis", SALES_CTE + """
+SELECT CAST(date_trunc('day', order_date) AS TIMESTAMP) AS window_start,
+       CAST(date_trunc('day', order_date) + INTERVAL 1 DAY AS TIMESTAMP) AS window_end, region,
+       ROUND(CAST(COALESCE(SUM(revenue), 0) AS DOUBLE), 6) AS total_revenue, CAST(COUNT(order_id) AS DOUBLE) AS order_count,
+       ROUND(CAST(COALESCE(SUM(quantity), 0) AS DOUBLE), 6) AS units_sold, ROUND(AVG(discount_pct), 6) AS avg_discount_pct,
+       CAST(SUM(revenue) AS DOUBLE) / COUNT(order_id) AS avg_order_value
+FROM sales WHERE region IS NOT NULL GROUP BY 1, 2, 3""")
+def q_stream_daily_kpis(spark, sf):
+    """K1 per day and region on a lineitem stream joined to static
+    dimension tables."""
+    li = STR.read_parquet_stream(spark, f"{sf.rstrip('/')}/lineitem.parquet")
+    k = STR.windowed_kpis(sales(spark, sf, lineitem=li), "order_date", "ecommerce", "1 day", "30 days",
+                          by=["region"])
+    out = STR.run_versioned(k, "daily-kpis", ["window_start", "window_end", "region"])
+    return R(out.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"),
+                        F.col("window_end").cast("timestamp_ntz").alias("window_end"),
+                        *[c for c in out.columns if c not in ("window_start", "window_end")]),
+             skip=("avg_order_value",))

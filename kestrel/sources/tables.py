@@ -36,7 +36,8 @@ def money(c: str):
     return F.col(c).cast("decimal(18,2)")
 
 
-def sales(spark: SparkSession, sf_dir: str, tables: dict | None = None) -> DataFrame:
+def sales(spark: SparkSession, sf_dir: str, tables: dict | None = None,
+          lineitem: DataFrame | None = None) -> DataFrame:
     """The e-commerce working table (one row per line item).
 
     lineitem ⋈ orders ⋈ customer ⋈ nation ⋈ region ⋈ part. The two big
@@ -46,10 +47,11 @@ def sales(spark: SparkSession, sf_dir: str, tables: dict | None = None) -> DataF
     fixed 25- and 5-row reference tables and are broadcast explicitly.
     ``tables`` may supply lineitem/orders written by
     ``sources.layout.bucketed_order_tables``; their join then needs no
-    shuffle.
+    shuffle. ``lineitem`` may be a streaming DataFrame (stream-static
+    joins with the dimension tables).
     """
     tables = tables or {}
-    li = (tables.get("lineitem") or table(spark, sf_dir, "lineitem")).select(
+    li = (lineitem if lineitem is not None else tables.get("lineitem") or table(spark, sf_dir, "lineitem")).select(
         "l_orderkey", "l_partkey", "l_quantity", "l_extendedprice", "l_discount")
     o = (tables.get("orders") or table(spark, sf_dir, "orders")).select("o_orderkey", "o_orderdate", "o_custkey")
     c = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")

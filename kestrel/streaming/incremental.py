@@ -153,3 +153,18 @@ def run_state_stream(stream: DataFrame, run_col: str, ts_col: str, status_col: s
     streaming aggregation (partial aggregates in the state store)."""
     from kestrel.operators.ledger import run_state
     return run_state(stream, run_col, ts_col, status_col, error_col)
+
+
+def windowed_kpis(stream: DataFrame, ts_col: str, domain: str, window: str = "1 day",
+                  watermark: str = "7 days", by: list[str] | None = None) -> DataFrame:
+    """K1 on a stream: the template's base KPIs per event-time window (and
+    ``by`` keys) as an update-mode aggregation; derived KPIs are computed on
+    the aggregated rows."""
+    from kestrel.operators.kpi import kpi_aggregates
+    by = list(by or [])
+    aggs, outs = kpi_aggregates(stream, domain)
+    s = stream.withColumn(ts_col, F.col(ts_col).cast("timestamp")).withWatermark(ts_col, watermark)
+    for b in by:
+        s = s.where(F.col(b).isNotNull())
+    g = s.groupBy(F.window(ts_col, window).alias("w"), *by).agg(*aggs)
+    return g.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), *by, *outs)
