@@ -40,6 +40,7 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
@@ -85,6 +86,46 @@ def cut_lineage(df, mode: str | None = None):
     return spark.read.parquet(path)
 
 
+_SHIPPED: dict = {}
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``kestrel`` importable in Python workers (the ``--py-files``
+    mechanism): zip the package once per process and register it with
+    ``SparkContext.addPyFile`` once per context. Spark's file server then
+    hands it to every executor. Not needed when the package is installed
+    on the executors."""
+    import hashlib
+    import zipfile
+    sc = spark.sparkContext
+    if _SHIPPED.get(id(sc)):
+        return
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    root = os.path.dirname(pkg)
+    files = []
+    for dirpath, dirnames, filenames in os.walk(pkg):
+        dirnames[:] = [d for d in dirnames if d != "__pycache__"]
+        files += [os.path.join(dirpath, f) for f in sorted(filenames) if f.endswith(".py")]
+    digest = hashlib.sha1()
+    for f in sorted(files):
+        with open(f, "rb") as fh:
+            digest.update(f.encode() + fh.read())
+    out_dir = os.path.join(root, ".kestrel_dist")
+    try:
+        os.makedirs(out_dir, exist_ok=True)
+    except OSError:
+        out_dir = tempfile.mkdtemp(prefix="kestrel-dist-")
+    path = os.path.join(out_dir, f"kestrel-{digest.hexdigest()[:12]}.zip")
+    if not os.path.exists(path):
+        tmp = path + f".{os.getpid()}.part"
+        with zipfile.ZipFile(tmp, "w", zipfile.ZIP_DEFLATED) as z:
+            for f in files:
+                z.write(f, os.path.relpath(f, root))
+        os.replace(tmp, path)
+    sc.addPyFile(path)
+    _SHIPPED[id(sc)] = path
+
+
 def env_master(default: str = "local[8]") -> str:
     cpus = os.environ.get("BENCH_CPUS")
     return f"local[{cpus}]" if cpus else default
