@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kestrel.llm.native import let
 from kestrel.session import cut_lineage
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -28,16 +29,10 @@ def words(text):
     return F.coalesce(F.array_remove(F.split(flat, " "), ""), F.array().cast("array<string>"))
 
 
-def _let(value, body):
-    """``body`` of a value that is computed once per row (an expression
-    named inside a lambda would be computed once per element)."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def _shingles(text, size: int):
     """The number of words, then the hash of the ``size``-word shingle that
     starts at each word."""
-    return _let(words(text), lambda w: F.concat(F.array(F.size(w).cast("long")), F.transform(
+    return let(words(text), lambda w: F.concat(F.array(F.size(w).cast("long")), F.transform(
         w, lambda x, i: F.xxhash64(x, *[F.get(w, i + j) for j in range(1, size)]))))
 
 
@@ -112,7 +107,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     # exact containment over the window, in the documents that have candidates
     c = cand.select(F.col("doc_id").alias("cd"), F.col("th").alias("ct"), "c")
     texts = src.select("doc_id", "t", key).join(c, F.col("doc_id").eqNullSafe(F.col("cd")) & (F.col("th") == F.col("ct")))
-    held = texts.select("doc_id", "th", _let(words(F.col("t")), lambda w: F.filter(
+    held = texts.select("doc_id", "th", let(words(F.col("t")), lambda w: F.filter(
         "c", lambda x: (x["start"] + x["size"] <= F.size(w)) &
         (F.array_join(F.slice(w, x["start"] + 1, x["size"]), " ") == x["wid"]))).alias("c")).where(F.size("c") > 0)
     places = F.array_distinct(F.flatten(F.transform("c", lambda x: F.sequence(x["start"], x["start"] + x["size"] - 1))))
