@@ -32,7 +32,7 @@ def hash_strings(values, seed: int = 0):
     if len(values) == 0:
         return np.zeros(0, U64)
     raw = pd.util.hash_array(values.to_numpy(zero_copy_only=False).astype(object), categorize=False)
-    return mix64(raw ^ (U64(seed) * U64(_GOLD)))
+    return mix64(raw ^ U64(seed * _GOLD % (1 << 64)))
 
 
 def column(batch, name):
