@@ -153,8 +153,8 @@ def near_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shin
     doc_id. Rows with a null doc_id stay only where no group holds one with
     an id; of rows that repeat the kept doc_id all stay."""
     g = simhash_groups(docs, doc_id, text, shingle, max_bits)
-    keep = g.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_keep")).distinct()
-    return docs.join(keep, docs[doc_id].cast("long").eqNullSafe(F.col("_keep")), "left_semi")
+    gone = cut_lineage(g.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_gone")).distinct())
+    return docs.join(gone, docs[doc_id].cast("long").eqNullSafe(F.col("_gone")), "left_anti")
 
 
 def digest(groups: DataFrame) -> DataFrame:

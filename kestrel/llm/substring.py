@@ -191,10 +191,13 @@ def _owners(bits, parts):
     return run
 
 
-def _texts(parts, keep=None, bits=FILTER_BITS):
-    """Documents dealt to parts as compressed blobs (id, byte length,
-    texts); ``keep`` is a Bloom filter of wanted ids. A long text leaves in
-    a blob of its own cut."""
+BLOB = "part int, doc binary, size binary, texts binary, more binary"
+
+
+def _texts(parts, keep=None, bits=FILTER_BITS, carry=()):
+    """Documents dealt to parts as compressed blobs (ids, byte lengths,
+    texts, an Arrow table of the carried columns); ``keep`` is a Bloom
+    filter of wanted ids. A long text leaves in a blob of its own cut."""
     filt = keep
 
     def run(batches):
@@ -213,18 +216,25 @@ def _texts(parts, keep=None, bits=FILTER_BITS):
                 raw = [(t or "").encode() for t in texts.take(pa.array(at)).to_pylist()]
                 null = np.array([not v for v in texts.take(pa.array(at)).is_valid().to_pylist()])
                 size = np.array([len(r) for r in raw], np.int64)
+                more = None
+                if carry:
+                    sink = pa.BufferOutputStream()
+                    table = pa.table([column(b, c).take(pa.array(at)) for c in carry], names=list(carry))
+                    with pa.ipc.new_stream(sink, table.schema) as w:
+                        w.write_table(table)
+                    more = zlib.compress(sink.getvalue(), 1)
                 out.append((int(x), ids[at].tobytes(), np.where(null, -1, size).tobytes(),
-                            zlib.compress(b"".join(raw), 1)))
+                            zlib.compress(b"".join(raw), 1), more))
             yield pa.record_batch([pa.array([o[0] for o in out], pa.int32())] +
-                                  [pa.array([o[i] for o in out], pa.binary()) for i in (1, 2, 3)],
-                                  names=["part", "doc", "size", "texts"])
+                                  [pa.array([o[i] for o in out], pa.binary()) for i in (1, 2, 3, 4)],
+                                  names=["part", "doc", "size", "texts", "more"])
     return run
 
 
 def _unpack_texts(table):
-    """ids, texts (a string array; null texts stay null) of a part."""
-    ids, texts = [], []
-    for d, s, t in zip(*(table.column(n).to_pylist() for n in ("doc", "size", "texts"))):
+    """ids, texts (null texts stay null) and carried columns of a part."""
+    ids, texts, more = [], [], []
+    for d, s, t, m in zip(*(table.column(n).to_pylist() for n in ("doc", "size", "texts", "more"))):
         if t is None:
             continue
         ids.append(np.frombuffer(d, np.int64))
@@ -232,7 +242,9 @@ def _unpack_texts(table):
         for n in np.frombuffer(s, np.int64).tolist():
             texts.append(None if n < 0 else raw[at:at + n].decode())
             at += max(n, 0)
-    return (np.concatenate(ids) if ids else np.zeros(0, np.int64)), texts
+        if m is not None:
+            more.append(pa.ipc.open_stream(zlib.decompress(m)).read_all())
+    return (np.concatenate(ids) if ids else np.zeros(0, np.int64)), texts, pa.concat_tables(more) if more else None
 
 
 def _digest(words):
@@ -247,7 +259,7 @@ def _covered(claimed, n, k):
     return np.cumsum(step)[:n] > 0
 
 
-def _resolve(k, hash_bits, with_text):
+def _resolve(k, hash_bits, with_text, carry):
     """Per part of the documents: claims meet texts. Claimed places that
     follow one another here and in their source compact to one span; the
     words under spans go. Emits a result row per document (kind 0) and a
@@ -258,7 +270,7 @@ def _resolve(k, hash_bits, with_text):
             if row[1] is not None:
                 for lst, v in zip((doc, edge, owner, place), _owner_unpack(row)):
                     lst.append(v)
-        ids, texts = _unpack_texts(table)
+        ids, texts, more = _unpack_texts(table)
         if doc:
             doc, edge, owner, place = (np.concatenate(x) for x in (doc, edge, owner, place))
             o = np.lexsort((place, owner, edge, doc))
@@ -272,7 +284,10 @@ def _resolve(k, hash_bits, with_text):
         res = {n: [] for n in ("kind", "doc_id", "n_words", "n_removed", "kept_sha256", "kept", "start", "windows",
                                "owner", "place", "digest")}
 
-        def emit(**v):
+        source = []                     # of each row: its document, for the carried columns
+
+        def emit(of=None, **v):
+            source.append(of)
             for n, lst in res.items():
                 lst.append(v.get(n))
 
@@ -311,11 +326,16 @@ def _resolve(k, hash_bits, with_text):
                         w = [v for v, g in zip(w, drop.tolist()) if not g]
                 joined = b" ".join(w)
                 kept = None if not with_text else texts[i] if not gone else joined.decode()
-                emit(kind=0, doc_id=d, n_words=int(off[j + 1] - off[j]), n_removed=gone,
+                emit(i, kind=0, doc_id=d, n_words=int(off[j + 1] - off[j]), n_removed=gone,
                      kept_sha256=hashlib.sha256(joined).hexdigest(), kept=kept)
         types = dict(zip(res, (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(),
                                pa.int64(), pa.int64(), pa.int64(), pa.binary())))
-        return pa.table([pa.array(v, types[n]) for n, v in res.items()], names=list(res))
+        cols = [pa.array(v, types[n]) for n, v in res.items()]
+        at = pa.array(source, pa.int64())
+        if carry and more is None:                 # claims alone, no document: no row
+            return pa.table([*cols, *[pa.nulls(0)] * len(carry)], names=[*res, *carry])
+        cols += [more.column(c).combine_chunks().take(at) for c in carry]
+        return pa.table(cols, names=[*res, *carry])
     return run
 
 
@@ -329,7 +349,7 @@ def _check(k):
     def run(table):
         asked = table.column("asked").to_pylist()
         rows = [a for a in asked if a is not None]
-        ids, texts = _unpack_texts(table)
+        ids, texts, _ = _unpack_texts(table)
         held = {}
         for i, d in enumerate(ids.tolist()):
             held.setdefault(d, []).append(i)
@@ -365,8 +385,9 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """(results, spans).
 
     results: one row per input row: doc_id, n_words, n_removed,
-    kept_sha256 and, ``with_text``, the kept text (the input text where no
-    word goes; else the kept words joined by a space). A word goes if a
+    kept_sha256; ``with_text`` instead the input's columns, whatever they
+    are, with the kept text (the input text where no word goes; else the
+    kept words joined by a space) and _removed. A word goes if a
     window of ``k`` words over it also starts in a document with a smaller
     doc_id.
     spans: doc_id, start, windows, owner, place: the compacted repeats, each
@@ -377,27 +398,36 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     than any other. Rows that share a doc_id never remove words from each
     other. Empty tables give empty results."""
     spark = docs.sparkSession
-    src = docs.select(F.col(doc_id).cast("long").alias("d"), F.col(text).cast("string").alias("t"))
+    others = [c for c in docs.columns if c != text] if with_text else []
+    carry = [f"c{i}" for i in range(len(others))]
+    full = docs.select(F.col(doc_id).cast("long").alias("d"), F.col(text).cast("string").alias("t"),
+                       *[docs[c].alias(a) for c, a in zip(others, carry)])
+    src = full.select("d", "t")
     bits, parts = _part_counts(src)
     mapped = src.mapInArrow(_edges(k, bits, parts, hash_bits),
                             "claim int, bucket int, edges binary, doc binary, gap binary, edge binary, owner binary, "
                             "place binary")
     claims = mapped.repartition(1 << bits, "bucket").groupBy("bucket").applyInArrow(_owners(bits, parts), CLAIM)
-    none = [F.lit(None).cast("binary").alias(n) for n in ("size", "texts")]
-    texts = src.mapInArrow(_texts(parts), "part int, doc binary, size binary, texts binary")
+    none = [F.lit(None).cast("binary").alias(n) for n in ("size", "texts", "more")]
+    texts = full.mapInArrow(_texts(parts, carry=carry), BLOB)
     null = {n: F.lit(None).cast("binary").alias(n) for n in ("edge", "owner", "place")}
     together = (claims.select("part", "doc", "edge", "owner", "place", *none)
-                .unionByName(texts.select("part", "doc", *null.values(), "size", "texts")))
+                .unionByName(texts.select("part", "doc", *null.values(), "size", "texts", "more")))
+    shape = ", ".join([RESOLVED, *[f"{a} {docs.schema[c].dataType.simpleString()}" for c, a in zip(others, carry)]])
     resolved = cut_lineage(together.repartition(parts, "part").groupBy("part")
-                           .applyInArrow(_resolve(k, hash_bits, with_text), RESOLVED))
+                           .applyInArrow(_resolve(k, hash_bits, with_text, carry), shape))
     spans = resolved.where("kind = 1").select("doc_id", "start", "windows", "owner", "place", "digest")
     failed = _failed(spark, src, spans, parts, k)
     if not failed.isEmpty():
-        resolved = _repair(spark, src, resolved, spans, failed, k, with_text, hash_bits, parts)
+        resolved = _repair(spark, full, resolved, spans, failed, k, with_text, hash_bits, carry, shape)
         spans = resolved.where("kind = 1").select("doc_id", "start", "windows", "owner", "place", "digest")
     back = lambda c: F.when(F.col(c) != NULL_ID, F.col(c)).alias(c)
-    results = resolved.where("kind = 0").select(back("doc_id"), "n_words", "n_removed", "kept_sha256",
-                                                *(["kept"] if with_text else []))
+    rows = resolved.where("kind = 0")
+    if with_text:
+        name = dict(zip(others, carry)) | {text: "kept"}
+        results = rows.select(*[F.col(name[c]).alias(c) for c in docs.columns], F.col("n_removed").alias("_removed"))
+    else:
+        results = rows.select(back("doc_id"), "n_words", "n_removed", "kept_sha256")
     return results, spans.select(back("doc_id"), "start", "windows", back("owner"), "place")
 
 
@@ -405,7 +435,7 @@ def _failed(spark, src, spans, parts, k):
     """Paths whose source does not hold their words (hash collisions)."""
     asked = cut_lineage(spans.select("owner", "place", "windows", "digest").distinct())
     keep = spark.sparkContext.broadcast(bloom_filter(asked, "owner", FILTER_BITS))
-    texts = src.mapInArrow(_texts(parts, keep), "part int, doc binary, size binary, texts binary")
+    texts = src.mapInArrow(_texts(parts, keep), BLOB)
 
     def dealt(batches):
         for b in batches:
@@ -415,13 +445,13 @@ def _failed(spark, src, spans, parts, k):
 
     ask = "struct<owner: long, place: long, windows: long, digest: binary>"
     rows = asked.mapInArrow(dealt, f"part int, asked {ask}")
-    both = (rows.select("part", "asked", *[F.lit(None).cast("binary").alias(n) for n in ("doc", "size", "texts")])
-            .unionByName(texts.select("part", F.lit(None).cast(ask).alias("asked"), "doc", "size", "texts")))
+    both = (rows.select("part", "asked", *[F.lit(None).cast("binary").alias(n) for n in ("doc", "size", "texts", "more")])
+            .unionByName(texts.select("part", F.lit(None).cast(ask).alias("asked"), "doc", "size", "texts", "more")))
     return cut_lineage(both.repartition(parts, "part").groupBy("part").applyInArrow(
         _check(k), "owner long, place long, windows long, digest binary"))
 
 
-def _repair(spark, src, resolved, spans, failed, k, with_text, hash_bits, parts):
+def _repair(spark, src, resolved, spans, failed, k, with_text, hash_bits, carry, shape_):
     """Exact verdicts for documents with a span that failed: their claimed
     windows are looked up by their words instead of their hash."""
     bad = spans.join(failed, ["owner", "place", "windows", "digest"], "left_semi").select("doc_id").distinct()
@@ -454,8 +484,8 @@ def _repair(spark, src, resolved, spans, failed, k, with_text, hash_bits, parts)
     def redo(key, docs_, claims):
         ids, texts = column(docs_, "d").to_pylist(), column(docs_, "t").to_pylist()
         owner = {s: (o, p) for s, o, p in zip(*(claims.column(n).to_pylist() for n in ("seq", "owner", "place")))}
-        out = []
-        for i, t in zip(ids, texts):
+        out, source = [], []
+        for n, (i, t) in enumerate(zip(ids, texts)):
             w = split_words(pa.array([t], pa.string()))[0].to_pylist()
             at = [x for x in range(len(w) - k + 1) if " ".join(w[x:x + k]) in owner]
             for x in at:
@@ -465,13 +495,16 @@ def _repair(spark, src, resolved, spans, failed, k, with_text, hash_bits, parts)
             left = " ".join(v for v, g in zip(w, drop.tolist()) if not g)
             out.append((0, i, len(w), int(drop.sum()), hashlib.sha256(left.encode()).hexdigest(),
                         None if not with_text else left if drop.any() else t, None, None, None, None, None))
+            source += [None] * len(at) + [n]
         types = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(),
                  pa.int64(), pa.int64(), pa.binary())
-        return pa.table([pa.array([r[i] for r in out], t) for i, t in enumerate(types)],
-                        names=[c.split()[0] for c in RESOLVED.split(", ")])
+        at = pa.array(source, pa.int64())
+        cols = [pa.array([r[i] for r in out], t) for i, t in enumerate(types)]
+        return pa.table(cols + [column(docs_, c).take(at) for c in carry],
+                        names=[c.split()[0] for c in RESOLVED.split(", ")] + carry)
 
-    fixed = (theirs.select(d.alias("d"), "t").groupBy("d")
-             .cogroup(exact.groupBy("d")).applyInArrow(redo, RESOLVED))
+    fixed = (theirs.select(d.alias("d"), "t", *carry).groupBy("d")
+             .cogroup(exact.groupBy("d")).applyInArrow(redo, shape_))
     return cut_lineage(resolved.join(bad, "doc_id", "left_anti").unionByName(fixed))
 
 
@@ -494,7 +527,34 @@ def paths(spans: DataFrame) -> DataFrame:
     return piece.groupBy("owner", "p.place", "p.windows").agg(F.sum("n").alias("n_copies"))
 
 
+def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 13,
+                   n_chars: str | None = None) -> DataFrame:
+    """``docs`` with the repeated words taken out of the texts (a text may
+    be left empty; the row stays); ``n_chars`` names a length column to
+    bring up to date."""
+    out = repeated_spans(docs, doc_id, text, k, with_text=True)[0]
+    if n_chars:
+        size = F.when(F.col("_removed") > 0, F.length(text)).otherwise(F.col(n_chars))
+        out = out.withColumn(n_chars, size.cast(docs.schema[n_chars].dataType))
+    return out.select(*docs.columns)
+
+
 def substring_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 13) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256) per input row; see
     ``repeated_spans``."""
     return repeated_spans(docs, doc_id, text, k)[0]
+
+
+ORACLE_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS seq
+        FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d WHERE len(w) >= 13)),
+gone AS (SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY seq) AS first FROM win) WHERE first < doc_id),
+hit AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS p FROM gone),
+word AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS p, unnest(w) AS v FROM d),
+kept AS (SELECT word.doc_id, string_agg(v, ' ' ORDER BY word.p) AS t, count(*) AS n
+         FROM word LEFT JOIN hit ON word.doc_id = hit.doc_id AND word.p = hit.p WHERE hit.p IS NULL GROUP BY word.doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN kept ON d.doc_id = kept.doc_id
+"""
