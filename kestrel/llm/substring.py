@@ -27,7 +27,7 @@ from kestrel.session import cut_lineage
 #: Order of a null doc_id: after every other (shown as null in results).
 NULL_ID = (1 << 63) - 1
 #: Characters of text that one reducer's share of windows or texts comes from.
-CHARS_PER_PART = 12 << 20
+CHARS_PER_PART = 6 << 20
 #: Bits of the fixed-size Bloom filter that thins the second reading of texts.
 FILTER_BITS = 23
 
@@ -104,7 +104,7 @@ def _edges(k, bits, parts, hash_bits):
     names = ["claim", "bucket", "edges", "doc", "gap", "edge", "owner", "place"]
 
     def run(batches):
-        for b in text_chunks(batches, "t", 8 << 20):
+        for b in text_chunks(batches, "t", 4 << 20):
             ids = _ids(b)
             b = b.take(pa.array(np.argsort(ids, kind="stable")))
             ids = np.sort(ids, kind="stable")
@@ -201,7 +201,7 @@ def _texts(parts, keep=None, bits=FILTER_BITS, carry=()):
     filt = keep
 
     def run(batches):
-        for b in text_chunks(batches, "t", 8 << 20):
+        for b in text_chunks(batches, "t", 4 << 20):
             ids = _ids(b)
             if filt is not None:
                 m = bloom_contains(filt.value, ids, bits)
