@@ -4,8 +4,8 @@ Every benchmark item is cut into item-sized windows (``k`` words, or the
 whole item if it is shorter). A window is a set of word shingles; ordered
 by rarity in the documents, a window that is contained whole must share its
 rarest shingle, so only that prefix is joined. Length and positional bounds
-drop what cannot fit, and the window's words are compared in place.
-DataFrame and SQL functions only.
+drop what cannot fit, and every shingle of the window is then looked up at
+its place. DataFrame and SQL functions only.
 """
 
 from __future__ import annotations
@@ -29,11 +29,19 @@ def words(text):
     return F.coalesce(F.array_remove(F.split(flat, " "), ""), F.array().cast("array<string>"))
 
 
+def _shingle(w, at, size: int):
+    """The ``size``-word shingle (text) of words ``w`` at place ``at``."""
+    return F.array_join(F.slice(w, at + 1, size), " ")
+
+
 def _shingles(text, size: int):
-    """The number of words, then the hash of the ``size``-word shingle that
-    starts at each word."""
-    return let(words(text), lambda w: F.concat(F.array(F.size(w).cast("long")), F.transform(
-        w, lambda x, i: F.xxhash64(x, *[F.get(w, i + j) for j in range(1, size)]))))
+    """(h, g) of a text: first its number of words, then hash and text of
+    the shingle that starts at each word (shorter at the end)."""
+    def rows(w):
+        count = F.struct(F.size(w).cast("long").alias("h"), F.lit(None).cast("string").alias("g"))
+        grams = F.transform(w, lambda x, i: F.concat_ws(" ", x, *[F.get(w, i + j) for j in range(1, size)]))
+        return F.concat(F.array(count), F.transform(grams, lambda g: F.struct(F.xxhash64(g).alias("h"), g.alias("g"))))
+    return let(words(text), rows)
 
 
 def windows(benchmark: DataFrame, item_id: str, text: str, k: int) -> DataFrame:
@@ -66,9 +74,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     sizes = sorted(r[0] for r in pieces.select("q").distinct().collect())          # at most ``shingle`` values
     sh = None
     for q in sizes:
-        one = pieces.where(F.col("q") == q).select("wid", "size", F.posexplode(F.transform(
-            F.sequence(F.lit(0), F.col("size") - q),
-            lambda i: F.xxhash64(*[F.get(F.col("w"), i + j) for j in range(q)]))).alias("off", "h"))
+        one = pieces.where(F.col("q") == q).select("wid", "size", "q", F.posexplode(F.transform(
+            F.sequence(F.lit(0), F.col("size") - q), lambda i: _shingle(F.col("w"), i, q))).alias("off", "g"))
         sh = one if sh is None else sh.unionByName(one)
     src = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("t"))
     key = F.xxhash64("t").alias("th")       # tells rows of one doc_id apart
@@ -77,47 +84,54 @@ def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
                           F.lit(0).cast("long").alias("n_items"), F.array().cast("array<string>").alias("items"),
                           F.lit(False).alias("contaminated"))
     sh = cut_lineage(sh)
-    known = cut_lineage(sh.select(F.col("h").alias("kh")).distinct())
-    if known.count() <= BROADCAST_SHINGLES:
-        known = F.broadcast(known)
+    known = cut_lineage(sh.select("q", F.xxhash64("g").alias("kh"), F.col("g").alias("kg")).distinct())
+    small = known.count() <= BROADCAST_SHINGLES
 
     # one pass over the documents: a row per document (place 0, its word count) and its words that start a
     # benchmark shingle
     found = None
     for q in sizes:
+        mine = known.where(F.col("q") == q).select("kh", "kg")
         # outer: an inner explode would have its "not empty" filter computed apart, twice
-        rows = src.select("doc_id", key, F.posexplode_outer(_shingles(F.col("t"), q)).alias("p", "h"))
-        rows = rows.join(known, rows.h == known.kh, "left").where("p = 0 OR kh IS NOT NULL")
-        rows = rows.select("doc_id", "th", "p", "h", F.lit(q).alias("q"))
+        rows = src.select("doc_id", key, F.posexplode_outer(_shingles(F.col("t"), q)).alias("p", "s"))
+        rows = rows.select("doc_id", "th", "p", "s.h", "s.g")
+        rows = rows.join(F.broadcast(mine) if small else mine, (rows.h == mine.kh) & (rows.g == mine.kg), "left")
+        rows = rows.where("p = 0 OR kh IS NOT NULL").select(
+            "doc_id", "th", "p", F.when(F.col("p") == 0, F.col("h")).alias("n_words"), "g", F.lit(q).alias("q"))
         found = rows if found is None else found.unionByName(rows.where("p > 0"))
     found = cut_lineage(found)
-    hits = found.where("p > 0").select("doc_id", "th", (F.col("p") - 1).alias("p"), "h", "q")
+    hits = found.where("p > 0").select("doc_id", "th", (F.col("p") - 1).alias("p"), "g", "q")
 
     # rarity order: a window's prefix is its rarest shingle; one the documents lack rules the window out
-    seen = hits.groupBy("h").agg(F.count("*").alias("n"))
-    prefix = (sh.join(seen, "h", "left").groupBy("wid", "size")
-              .agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "off", "h")).alias("r"))
-              .where("r.n > 0").select("wid", "size", "r.off", "r.h", F.least("size", F.lit(shingle)).alias("q")))
+    seen = hits.groupBy("g", "q").agg(F.count("*").alias("n"))
+    prefix = (sh.join(seen, ["g", "q"], "left").groupBy("wid", "size", "q")
+              .agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "off", "g")).alias("r"))
+              .where("r.n > 0").select("wid", "size", "q", "r.off", "r.g"))
     prefix = cut_lineage(prefix)
-    # positional bound: no window starts before the text; the length bound is checked with the words
-    cand = (hits.join(prefix, ["h", "q"]).select("doc_id", "th", (F.col("p") - F.col("off")).alias("start"), "wid", "size")
+    # bounds: a window starts within the text, and its shingles (q words each, short of none) end there
+    cand = (hits.join(prefix, ["g", "q"]).select("doc_id", "th", (F.col("p") - F.col("off")).alias("start"), "wid", "size", "q")
             .where("start >= 0").distinct())
-    cand = cut_lineage(cand.groupBy("doc_id", "th").agg(F.collect_list(F.struct("start", "size", "wid")).alias("c")))
-
-    # exact containment over the window, in the documents that have candidates
-    c = cand.select(F.col("doc_id").alias("cd"), F.col("th").alias("ct"), "c")
-    texts = src.select("doc_id", "t", key).join(c, F.col("doc_id").eqNullSafe(F.col("cd")) & (F.col("th") == F.col("ct")))
-    held = texts.select("doc_id", "th", let(words(F.col("t")), lambda w: F.filter(
-        "c", lambda x: (x["start"] + x["size"] <= F.size(w)) &
-        (F.array_join(F.slice(w, x["start"] + 1, x["size"]), " ") == x["wid"]))).alias("c")).where(F.size("c") > 0)
+
+    # exact containment: every shingle of the window stands at its place
+    want = cand.select("doc_id", "th", "start", "wid", "size", "q", F.posexplode(F.transform(
+        F.sequence(F.lit(0), F.col("size") - F.col("q")),
+        lambda i: F.array_join(F.slice(F.split("wid", " "), i + 1, F.col("q")), " "))).alias("off", "g"))
+    want = want.withColumn("p", F.col("start") + F.col("off"))
+    there = hits.select(F.col("doc_id").alias("hd"), F.col("th").alias("ht"), F.col("p").alias("hp"), F.col("g").alias("hg"),
+                        F.col("q").alias("hq")).distinct()
+    whole = (want.join(there, F.col("doc_id").eqNullSafe(F.col("hd")) & (F.col("th") == F.col("ht")) & (F.col("p") == F.col("hp")) &
+                       (F.col("g") == F.col("hg")) & (F.col("q") == F.col("hq")))
+             .groupBy("doc_id", "th", "start", "wid", "size", "q").agg(F.count("*").alias("n"))
+             .where("n = size - q + 1"))
+    # a document's windows: at most one start per word and item
+    held = whole.groupBy("doc_id", "th").agg(F.collect_set(F.struct("start", "size")).alias("c"), F.collect_set("wid").alias("wids"))
     places = F.array_distinct(F.flatten(F.transform("c", lambda x: F.sequence(x["start"], x["start"] + x["size"] - 1))))
-    held = cut_lineage(held.select("doc_id", "th", F.size(places).alias("n_hit"),
-                                   F.array_distinct(F.transform("c", lambda x: x["wid"])).alias("wids")))
+    held = cut_lineage(held.select("doc_id", "th", F.size(places).alias("n_hit"), "wids"))
     items = (held.select("doc_id", "th", "n_hit", F.explode("wids").alias("wid"))
              .join(win.select("wid", F.coalesce("item_id", F.lit("")).alias("item_id")), "wid")
              .groupBy("doc_id", "th").agg(F.max("n_hit").alias("n_hit"), F.sort_array(F.collect_set("item_id")).alias("items")))
     marks = items.select(F.col("doc_id").alias("md"), F.col("th").alias("mt"), F.col("n_hit").alias("mh"), "items")
-    rows = found.where("p = 0").select("doc_id", "th", F.col("h").alias("n_words"))
+    rows = found.where("p = 0").select("doc_id", "th", "n_words")
     out = rows.join(marks, F.col("doc_id").eqNullSafe(F.col("md")) & (F.col("th") == F.col("mt")), "left")
     hit = F.coalesce(F.col("mh"), F.lit(0)).cast("long")
     num, den = min_share
