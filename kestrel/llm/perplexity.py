@@ -121,7 +121,7 @@ def kneser_ney(counts: DataFrame) -> DataFrame:
         d = cc.select("lang", "types", *[
             F.when(enough, F.greatest(F.least(i - (i + 1) * y * ratio(i), F.lit(float(i))), F.lit(0.05))).otherwise(0.5 * i)
             .alias(f"d{i}") for i in (1, 2, 3)])
-        rows = rows.join(d, "lang")
+        rows = rows.join(cut_lineage(d), "lang")       # a row per language, as a table: its size decides the join
         rows = rows.withColumn("d", F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3")))
         rows = rows.withColumn("ctx", F.shiftright("gram", CHAR_BITS))
         ctx = rows.groupBy("lang", "ctx").agg(F.sum("c").alias("total"), F.sum("d").alias("mass"))
