@@ -85,6 +85,65 @@ class Features:
         self.names = np.stack([slot("source", 51, SOURCE_SLOTS), slot("lang", 52, LANG_SLOTS)], 1)
 
 
+    def content(self, w):
+        """Per document the summed weights of its features over its words
+        and NEUTRAL."""
+        if not len(self.codes):
+            return np.zeros(len(self.n))
+        return segment_sum(w[self.feats].sum(1)[self.codes], self.off) / (np.diff(self.off) + NEUTRAL)
+
+    def sparse(self):
+        """The same as rows: (row ends, feature, share)."""
+        n = np.diff(self.off)
+        doc = np.repeat(np.arange(len(n)), n)
+        cols, rows = self.feats[self.codes].ravel(), np.repeat(doc, self.feats.shape[1])
+        pair, times = np.unique(rows * (1 << CONTENT_BITS) + cols, return_counts=True)
+        row = pair >> CONTENT_BITS
+        at = np.searchsorted(row, np.arange(len(n) + 1))
+        return at, (pair & ((1 << CONTENT_BITS) - 1)).astype(np.int32), (times / (n + NEUTRAL)[row]).astype(np.float32)
+
+
+class Sample:
+    """Both views of sampled documents in the compact form in which they
+    reach the driver."""
+
+    def __init__(self, figures, n, names, at, cols, vals):
+        self.figures, self.n, self.names, self.at, self.cols, self.vals = figures, n, names, at, cols, vals
+
+    @classmethod
+    def of(cls, f: Features):
+        return cls(f.figures, f.n, f.names, *f.sparse())
+
+    @classmethod
+    def rows(cls, table):
+        """From rows of ``SAMPLED`` (an Arrow table)."""
+        def joined(name, dtype):
+            return np.frombuffer(b"".join(table[name].to_pylist()), dtype)
+        size = pc.binary_length(table["cols"]).to_numpy().astype(np.int64) // 4
+        return cls(joined("figures", np.float64).reshape(-1, FIGURES), table["n"].to_numpy().astype(float),
+                   np.stack([table["source"].to_numpy(), table["lang"].to_numpy()], 1),
+                   np.concatenate([[0], np.cumsum(size)]), joined("cols", np.int32), joined("vals", np.float32))
+
+    def content(self, w):
+        total = np.concatenate([[0.0], np.cumsum(self.vals * w[self.cols])])
+        return total[self.at[1:]] - total[self.at[:-1]]
+
+
+SAMPLED = "d long, y int, n long, source long, lang long, figures binary, cols binary, vals binary"
+
+
+def _sampled(batches):
+    """Features of labelled and pooled rows, computed where the rows are."""
+    for b in text_chunks(batches, "t", 2 << 20):
+        f = Features(b)
+        at, cols, vals = f.sparse()
+        cut = list(zip(at[:-1].tolist(), at[1:].tolist()))
+        yield pa.record_batch(
+            [column(b, "d"), column(b, "y"), pa.array(f.n.astype(np.int64)), pa.array(f.names[:, 0]), pa.array(f.names[:, 1]),
+             pa.array([r.tobytes() for r in f.figures], pa.binary()), pa.array([cols[x:z].tobytes() for x, z in cut], pa.binary()),
+             pa.array([vals[x:z].tobytes() for x, z in cut], pa.binary())], names=[c.split()[0] for c in SAMPLED.split(", ")])
+
+
 def _sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
@@ -95,20 +154,8 @@ class Content:
     def __init__(self):
         self.w, self.b = np.zeros(1 << CONTENT_BITS), 0.0
 
-    def logit(self, f: Features):
-        word = self.w[f.feats].sum(1) if len(f.feats) else np.zeros(0)
-        return (segment_sum(word[f.codes], f.off) / (np.diff(f.off) + NEUTRAL) if len(word) else np.zeros(len(f.off) - 1)) + self.b
-
-    @staticmethod
-    def matrix(f: Features):
-        """Per document its features and their mean counts (sparse rows)."""
-        n = np.diff(f.off)
-        doc = np.repeat(np.arange(len(n)), n)
-        cols, rows = f.feats[f.codes].ravel(), np.repeat(doc, f.feats.shape[1])
-        pair, times = np.unique(rows * (1 << CONTENT_BITS) + cols, return_counts=True)
-        row = pair >> CONTENT_BITS
-        at = np.searchsorted(row, np.arange(len(n) + 1))
-        return at, pair & ((1 << CONTENT_BITS) - 1), times / (n + NEUTRAL)[row]
+    def logit(self, f):
+        return f.content(self.w) + self.b
 
     def fit(self, m, rows, y, weight, epochs: int = 15, rate: float = 0.5, seed: int = 5):
         at, cols, vals = m
@@ -141,14 +188,14 @@ class Metadata:
         self.edges = edges
         self.w = np.zeros(FIGURES * BINS + SOURCE_SLOTS + LANG_SLOTS + 1)
 
-    def columns(self, f: Features):
+    def columns(self, f):
         """Column numbers of the set features, one row per document."""
         out = [np.searchsorted(e, f.figures[:, i], "right") + i * BINS for i, e in enumerate(self.edges)]
         base = FIGURES * BINS
         out += [f.names[:, 0] + base, f.names[:, 1] + base + SOURCE_SLOTS, np.full(len(f.n), len(self.w) - 1)]
         return np.stack(out, 1)
 
-    def logit(self, f: Features):
+    def logit(self, f):
         return self.w[self.columns(f)].sum(1)
 
     def fit(self, cols, rows, y, weight, epochs: int = 60, rate: float = 0.3):
@@ -190,20 +237,20 @@ class CoTrained:
         self.content, self.metadata, self.cal, self.threshold, self.history = content, metadata, cal, threshold, history
         self.mix = np.array([0.5, 0.5, 0.0])
 
-    def views(self, f: Features):
+    def views(self, f):
         return [_sigmoid(a * v.logit(f) + b) for v, (a, b) in zip((self.content, self.metadata), self.cal)]
 
-    def odds(self, f: Features):
+    def odds(self, f):
         return np.stack([np.clip(a * v.logit(f) + b, -12, 12)
                          for v, (a, b) in zip((self.content, self.metadata), self.cal)], 1)
 
-    def score(self, f: Features):
+    def score(self, f):
         """The calibrated log odds of both views, weighted by a logistic
         regression on the calibration rows; texts without words get 0."""
         return np.where(f.n > 0, _sigmoid(self.odds(f) @ self.mix[:2] + self.mix[2]), 0.0)
 
 
-def cotrain(f: Features, y, rounds: int = 3, sure: float = 0.97, give: int = 500, calibrate=None,
+def cotrain(f: Sample, y, rounds: int = 3, sure: float = 0.97, give: int = 500, calibrate=None,
             clean_loss: float = 0.0005) -> CoTrained:
     """``y``: 1, 0 or -1 (unlabelled) per document of ``f``; ``calibrate``
     marks labelled rows that are kept for calibration. In each round a view
@@ -215,7 +262,7 @@ def cotrain(f: Features, y, rounds: int = 3, sure: float = 0.97, give: int = 500
     base = np.flatnonzero((y >= 0) & ~calibrate)
     edges = [np.unique(np.quantile(f.figures[:, i], np.arange(1, BINS) / BINS)) if len(y) else np.zeros(0) for i in range(FIGURES)]
     content, metadata = Content(), Metadata(edges)
-    m, cols = Content.matrix(f), metadata.columns(f)
+    m, cols = (f.at, f.cols, f.vals), metadata.columns(f)
     given = [{}, {}]                                  # pseudo-labels a view received: row -> label
     history = []
     for r in range(rounds + 1):
@@ -250,8 +297,8 @@ def cotrain(f: Features, y, rounds: int = 3, sure: float = 0.97, give: int = 500
 
 
 def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang",
-          source: str = "source", n_chars: str = "n_chars", label: str = "quality", max_labelled: int = 6000,
-          max_pool: int = 6000, **options) -> CoTrained:
+          source: str = "source", n_chars: str = "n_chars", label: str = "quality", max_labelled: int = 3000,
+          max_pool: int = 3000, **options) -> CoTrained:
     """Fits on bounded, repeatable samples (order of a hash of doc_id): at
     most ``max_labelled`` labelled rows of each class and ``max_pool``
     unlabelled rows. Labels of rows whose crc32(doc_id as text) mod 4 is 2
@@ -266,12 +313,10 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     pool = (ids.join(lab.select("d"), "d", "left_anti").withColumn("h", F.xxhash64("d")).orderBy("h").limit(max_pool)
             .select("d", F.lit(-1).alias("y")))
     picked = F.broadcast(some.unionByName(pool))            # at most 2 * max_labelled + max_pool ids
-    rows = src.join(picked, "d").toArrow().combine_chunks()
-    order = np.lexsort((rows["y"].to_numpy(), rows["d"].to_numpy()))
-    rows = rows.take(pa.array(order))
-    batch = rows.to_batches()[0] if rows.num_rows else pa.RecordBatch.from_pylist([], schema=rows.schema)
-    side = (U64(5) * hash_strings(rows["d"].cast(pa.string()).combine_chunks(), 77)) % U64(5) == 0 if rows.num_rows else np.zeros(0, bool)
-    return cotrain(Features(batch), rows["y"].to_numpy(), calibrate=side, **options)
+    rows = src.join(picked, "d").mapInArrow(_sampled, SAMPLED).toArrow().combine_chunks()
+    rows = rows.take(pa.array(np.lexsort((rows["y"].to_numpy(), rows["d"].to_numpy()))))
+    side = (hash_strings(rows["d"].cast(pa.string()).combine_chunks(), 77) % U64(5) == 0) if rows.num_rows else np.zeros(0, bool)
+    return cotrain(Sample.rows(rows), rows["y"].to_numpy(), calibrate=side, **options)
 
 
 def _source(docs, doc_id, text, lang, source, n_chars):
