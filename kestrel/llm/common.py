@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -41,10 +43,22 @@ def column(batch, name):
     return col.combine_chunks() if isinstance(col, pa.ChunkedArray) else col
 
 
+def release():
+    """Hands freed memory back to the system. A Python worker lives through
+    many tasks, and what one of them needed at its peak would stay with the
+    worker otherwise."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):      # not glibc
+        pass
+
+
 def text_chunks(batches, text: str = "text", limit: int = 4 << 20):
     """Record batches cut so that the texts of a cut hold at most ``limit``
     bytes (a longer text stands alone), which bounds a task's memory
     whatever the batch size of the session. No row is left out."""
+    release()
     for batch in batches:
         n = batch.num_rows
         if n == 0:
@@ -57,6 +71,7 @@ def text_chunks(batches, text: str = "text", limit: int = 4 << 20):
             end = max(int(np.searchsorted(total, base + limit, "right")), start + 1)
             yield batch.slice(start, end - start)
             start = end
+    release()
 
 
 def split_words(texts, lower: bool = False):

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kestrel.llm.common import (U64, bloom_contains, bloom_filter, column, encode_words, hash_strings, mix64,
-                                odd_multipliers, planes, ragged_take, split_words, text_chunks, unplanes)
+                                odd_multipliers, planes, ragged_take, release, split_words, text_chunks, unplanes)
 from kestrel.session import cut_lineage
 
 #: Order of a null doc_id: after every other (shown as null in results).
@@ -152,6 +152,7 @@ def _owners(bits, parts):
     all documents but the smallest that holds the edge; claims that need
     no bucket go through."""
     def run(table):
+        release()
         hs, ds, ps = [np.zeros(0, U64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         bucket = table.column("bucket")[0].as_py()
         through = table.filter(pc.is_valid(table.column("claim"))).select(["claim", "doc", "edge", "owner", "place"])
@@ -265,6 +266,7 @@ def _resolve(k, hash_bits, with_text, carry):
     words under spans go. Emits a result row per document (kind 0) and a
     row per span (kind 1) with the digest of its words."""
     def run(table):
+        release()
         doc, edge, owner, place = [], [], [], []
         for row in zip(*(table.column(n).to_pylist() for n in ("doc", "edge", "owner", "place"))):
             if row[1] is not None:
@@ -347,6 +349,7 @@ def _check(k):
     """Per part of the sources: which asked paths (source, place, windows,
     digest) do not hold the words they are said to hold."""
     def run(table):
+        release()
         asked = table.column("asked").to_pylist()
         rows = [a for a in asked if a is not None]
         ids, texts, _ = _unpack_texts(table)

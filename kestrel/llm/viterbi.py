@@ -23,7 +23,7 @@ SPACE = "▁"
 #: What an unknown character costs below the worst piece.
 UNKNOWN_PENALTY = 10.0
 #: Segments (some 30 bytes each) above which a worker forgets those it knows.
-CACHE = 1_500_000
+CACHE = 800_000
 
 
 def default_path() -> str:
