@@ -132,7 +132,7 @@ def token_table(docs: DataFrame, doc_id: str, text: str, path: str, end_id: int)
 
     def run(batches):
         enc = encoder(path)
-        for b in text_chunks(batches, "t", 8 << 20):
+        for b in text_chunks(batches, "t", 3 << 20):
             ids, off = enc.documents(column(b, "t"), end_id)
             raw, w = ids.astype(width).tobytes(), int(width[-1])
             yield pa.record_batch([column(b, "d"), pa.array(np.diff(off)),

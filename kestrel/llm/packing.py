@@ -26,7 +26,7 @@ def _pieces(path, width, size, end_id):
         part = TaskContext.get().partitionId()
         enc = encoder(path)
         seen = np.zeros(size + 1, np.int64)
-        for b in text_chunks(batches, "t", 8 << 20):
+        for b in text_chunks(batches, "t", 3 << 20):
             ids, off = enc.documents(column(b, "t"), end_id)
             n = np.diff(off)
             per = -(-n // size)

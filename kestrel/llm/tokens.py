@@ -19,7 +19,7 @@ from kestrel.llm.common import encode_words, ragged_take, split_words
 
 #: Chunks (some 30 bytes each) above which a worker forgets those it knows
 #: before the next batch.
-CACHE = 800_000
+CACHE = 400_000
 _TAIL = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 

@@ -23,7 +23,7 @@ SPACE = "▁"
 #: What an unknown character costs below the worst piece.
 UNKNOWN_PENALTY = 10.0
 #: Segments (some 30 bytes each) above which a worker forgets those it knows.
-CACHE = 800_000
+CACHE = 400_000
 
 
 def default_path() -> str:
@@ -162,7 +162,7 @@ def token_counts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", pa
 
     def run(batches):
         c = counter(path)
-        for b in text_chunks(batches, "t", 8 << 20):
+        for b in text_chunks(batches, "t", 3 << 20):
             n, s = c.counts(column(b, "t"))
             yield pa.record_batch([column(b, "d"), pa.array(n), pa.array(s)], names=["doc_id", "n_tokens", "score"])
 
