@@ -12,6 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from kestrel.llm import cotrain, decontaminate, packing, simhash, substring
+from kestrel.llm.common import bound_batches
 from kestrel.session import ensure_checkpoint_dir, ship_package
 
 
@@ -19,33 +20,39 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def _prepare(spark: SparkSession) -> None:
+    """Python workers can import the package, and get bounded batches."""
+    ship_package(spark)
+    bound_batches(spark)
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the co-trained classifier rejects go."""
-    ship_package(spark)
+    _prepare(spark)
     return cotrain.keep_quality(docs, _table(spark, sf_dir, "labels"))
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each SimHash group the document with the smallest doc_id stays."""
-    ship_package(spark)
+    _prepare(spark)
     return simhash.near_dedup(docs)
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Words under windows that a smaller doc_id holds go."""
-    ship_package(spark)
+    _prepare(spark)
     return substring.remove_repeats(docs, n_chars="n_chars")
 
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents contaminated with benchmark items go."""
-    ship_package(spark)
+    _prepare(spark)
     return decontaminate.remove_contaminated(docs, _table(spark, sf_dir, "benchmark"))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of the documents with their place in the sequences."""
-    ship_package(spark)
+    _prepare(spark)
     return packing.digest(packing.pack(docs))
 
 
@@ -58,7 +65,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Applies the stages to ``documents``."""
-    ship_package(spark)
+    _prepare(spark)
     base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/kestrel-tables/pipeline-{uuid.uuid4().hex}"
     docs = _table(spark, sf_dir, "documents")
     for name, stage in STAGES:

@@ -43,6 +43,15 @@ def column(batch, name):
     return col.combine_chunks() if isinstance(col, pa.ChunkedArray) else col
 
 
+def bound_batches(spark, rows: int = 1000, size: str = "4m") -> None:
+    """Lowers the session's Arrow batches: rows of text are long, and a
+    batch is held several times (both sides of the pipe, off the heap)."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+
+
 def release():
     """Hands freed memory back to the system. A Python worker lives through
     many tasks, and what one of them needed at its peak would stay with the
