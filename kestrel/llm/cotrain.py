@@ -355,11 +355,11 @@ def keep_quality(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", **o
     computed next to each row, so nothing is joined; other columns are
     carried through."""
     model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, doc_id, **options))
-    names = {"text": "t"}
+    names = {"text": "t", "lang": "lang", "source": "source", "n_chars": "n_chars"}
 
     def run(batches):
         for b in text_chunks(batches, "text", 4 << 20):
-            f = Features(b.rename_columns([names.get(n, n) for n in b.schema.names]))
+            f = Features(pa.record_batch([column(b, n) for n in names], names=list(names.values())))
             yield b.filter(pa.array((f.n > 0) & (model.value.score(f) >= model.value.threshold)))
 
     return docs.mapInArrow(run, docs.schema)

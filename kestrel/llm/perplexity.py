@@ -216,11 +216,13 @@ class Model:
         return out
 
 
-def train(docs: DataFrame, text: str = "text", lang: str = "lang") -> Model:
+def train(docs: DataFrame, text: str = "text", lang: str = "lang", min_count: int = 2) -> Model:
     """The model of all documents; its rows are bounded by the slots before
-    they meet on the driver."""
+    they meet on the driver. n-grams counted less than ``min_count`` times
+    are left to smoothing: one that occurs once in the corpus would only
+    vouch for the text that it is from."""
     src = docs.select(F.col(text).cast("string").alias("t"), F.coalesce(F.col(lang).cast("string"), F.lit("")).alias("lang"))
-    rows = kneser_ney(count_grams(src))
+    rows = kneser_ney(count_grams(src).where(F.col("n") >= min_count))
     slot = F.pmod(F.xxhash64("lang", "gram"), F.lit(1 << SLOT_BITS))
     bound = rows.groupBy("k", slot.alias("s")).agg(F.max(F.struct("lang", "gram", "logp", "backoff")).alias("r"))
     return Model(bound.select("k", "r.lang", "r.gram", "r.logp", "r.backoff").toArrow())
@@ -299,7 +301,7 @@ def score(docs: DataFrame, model, doc_id: str = "doc_id", text: str = "text", la
 
 
 def quality_rules(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", min_words: int = 50,
-                  max_repeat: float = 0.5, fence: float = 10.0, short: float = 6.0) -> DataFrame:
+                  max_repeat: float = 0.5, fence: float = 12.0, short: float = 15.0) -> DataFrame:
     """One row per input row: doc_id, lang, n_words, word_chars, n_symbols,
     n_dup_lines, n_repeat_words, base_failed, log_ppl, lower, upper, kept.
 
