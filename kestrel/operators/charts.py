@@ -63,16 +63,16 @@ def line_data(series: DataFrame, x: str = "period", y: str = "value") -> DataFra
 
 
 def heatmap_cells(df: DataFrame, x_col: str, y_col: str, metric: str, agg: str = "sum",
-                  max_labels: int = 20) -> DataFrame:
-    """CH5: summed cells of the first ``max_labels`` sorted labels of each
-    axis, missing cells as 0. The label lists are bounded top-k results,
-    so their cross join has at most max_labels² rows."""
+                  max_labels: int | None = None) -> DataFrame:
+    """CH5: summed cells of all labels of both axes, missing cells as 0;
+    ``max_labels`` keeps only the first sorted labels of each axis."""
     require_columns(df, x_col, y_col, metric)
     base = df.select(F.col(x_col).cast("string").alias("x"), F.col(y_col).cast("string").alias("y"),
                      numeric_col(df, metric).alias("_m")).where(F.col("x").isNotNull() & F.col("y").isNotNull())
-    xs = base.select("x").distinct().orderBy("x").limit(int(max_labels))
-    ys = base.select("y").distinct().orderBy("y").limit(int(max_labels))
-    cells = (base.join(F.broadcast(xs), "x", "left_semi").join(F.broadcast(ys), "y", "left_semi")
-             .groupBy("x", "y").agg(agg_column(agg, F.col("_m")).cast("double").alias("value")))
+    xs, ys, kept = base.select("x").distinct(), base.select("y").distinct(), base
+    if max_labels:
+        xs, ys = xs.orderBy("x").limit(int(max_labels)), ys.orderBy("y").limit(int(max_labels))
+        kept = base.join(xs, "x", "left_semi").join(ys, "y", "left_semi")
+    cells = (kept.groupBy("x", "y").agg(agg_column(agg, F.col("_m")).cast("double").alias("value")))
     grid = xs.crossJoin(ys)
     return grid.join(cells, ["x", "y"], "left").select("x", "y", F.coalesce("value", F.lit(0.0)).alias("value"))

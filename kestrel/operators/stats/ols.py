@@ -75,7 +75,8 @@ def _tsqr(x: DataFrame, width: int) -> np.ndarray:
             yield pd.DataFrame(acc, columns=[f"c{j}" for j in range(width)])
 
     level1 = x.mapInPandas(local, schema)
-    level2 = level1.coalesce(TREE_WIDTH).mapInPandas(
+    level2 = level1.repartition(TREE_WIDTH)      # an exchange of small triangles: the scan keeps its own tasks
+    level2 = level2.mapInPandas(
         lambda it: local(pdf.rename(columns=dict(zip([f"c{j}" for j in range(width)], cols))) for pdf in it), schema)
     rs = np.array([list(r) for r in level2.collect()], dtype="float64").reshape(-1, width)
     return _r_of(rs, width)

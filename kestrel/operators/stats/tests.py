@@ -206,7 +206,7 @@ def mann_whitney_u(df: DataFrame, group_col: str, metric: str, group_a=None, gro
                          {"_na": (F.col("_g") == "a").cast("long"), "_nb": (F.col("_g") == "b").cast("long")})
     t = F.col("_na") + F.col("_nb")
     aggs = [F.sum(F.col("_na") * (F.col("_nb_before") + F.col("_nb") / 2.0)).alias("u_statistic"),
-            F.sum(t * t * t - t).cast("double").alias("tie_term"), F.max(t).alias("_maxt")]
+            F.sum(F.pow(t.cast("double"), 3) - t).alias("tie_term"), F.max(t).alias("_maxt")]
     u = pre.groupBy(*by).agg(*aggs) if by else pre.agg(*aggs)
     # Both groups' (value, count) columns stacked: one moments pass and one
     # median lookup serve a and b together.
@@ -222,7 +222,7 @@ def mann_whitney_u(df: DataFrame, group_col: str, metric: str, group_a=None, gro
     per = mom.groupBy(*by).agg(*stats_cols) if by else mom.agg(*stats_cols)
     j = u.join(per, by, "left") if by else u.crossJoin(per)
     j = j.withColumn("n_a", F.coalesce(F.col("n_a"), F.lit(0))).withColumn("n_b", F.coalesce(F.col("n_b"), F.lit(0)))
-    na, nb = F.col("n_a"), F.col("n_b")
+    na, nb = F.col("n_a").cast("double"), F.col("n_b").cast("double")      # their products pass 2**63
     exact = (F.least(na, nb) <= 8) & (F.col("_maxt") <= 1)
     mu = na * nb / 2.0
     sigma = F.sqrt(na * nb / 12.0 * ((na + nb + 1) - F.col("tie_term") / ((na + nb) * (na + nb - 1))))
@@ -268,7 +268,7 @@ def chi_square_independence(df: DataFrame, left: str, right: str, alpha: float =
                                   F.sum(F.log("_ct")).alias("_clog")) if by else \
         cols.agg(F.count(F.lit(1)).alias("n_levels_right"), F.min("_ct").alias("_cmin"), F.sum(F.log("_ct")).alias("_clog"))
     e = cells.join(rows, [*by, "_l"]).join(cols, [*by, "_r"])
-    e = (e.join(tot, by) if by else e.crossJoin(F.broadcast(tot))).withColumn("_e", F.col("_rt") * F.col("_ct") / F.col("_n"))
+    e = (e.join(tot, by) if by else e.crossJoin(F.broadcast(tot))).withColumn("_e", F.col("_rt").cast("double") * F.col("_ct") / F.col("_n"))
     obs_aggs = [F.sum(F.pow(F.col("_o") - F.col("_e"), 2) / F.col("_e")).alias("_x_obs"), F.sum("_e").alias("_e_obs")]
     obs = e.groupBy(*by).agg(*obs_aggs) if by else e.agg(*obs_aggs)
     j = tot
@@ -282,7 +282,7 @@ def chi_square_independence(df: DataFrame, left: str, right: str, alpha: float =
     dd = F.sqrt(chi_unc / inv_sum)
     chi_yates = F.pow(dd - F.least(F.lit(0.5), dd), 2) * inv_sum
     chi = F.when(dof == 1, chi_yates).otherwise(chi_unc)
-    min_e = F.col("_rmin") * F.col("_cmin") / n
+    min_e = F.col("_rmin").cast("double") * F.col("_cmin") / n
     out = j.select(*by, F.lit("chi_square_independence").alias("method"), n.alias("n"), "n_levels_left",
                    "n_levels_right", chi.alias("statistic"), dof.cast("long").alias("dof"),
                    min_e.alias("min_expected"), (dof == 1).alias("yates_correction"))

@@ -1042,12 +1042,12 @@ def q_top_categories(spark, sf):
 @register("heatmap_cells", SALES_CTE + """,
 b AS (SELECT CAST(country AS VARCHAR) x, CAST(product_category AS VARCHAR) y, revenue m FROM sales
       WHERE country IS NOT NULL AND product_category IS NOT NULL),
-xs AS (SELECT DISTINCT x FROM b ORDER BY x LIMIT 20), ys AS (SELECT DISTINCT y FROM b ORDER BY y LIMIT 20),
+xs AS (SELECT DISTINCT x FROM b), ys AS (SELECT DISTINCT y FROM b),
 c AS (SELECT x, y, CAST(COALESCE(SUM(m), 0) AS DOUBLE) v FROM b WHERE x IN (SELECT x FROM xs) AND y IN (SELECT y FROM ys)
       GROUP BY 1, 2)
 SELECT xs.x, ys.y, ROUND(COALESCE(c.v, 0.0), 6) AS value FROM xs CROSS JOIN ys LEFT JOIN c ON c.x = xs.x AND c.y = ys.y""")
 def q_heatmap_cells(spark, sf):
-    return R(CH.heatmap_cells(sales(spark, sf), "country", "product_category", "revenue", "sum", 20))
+    return R(CH.heatmap_cells(sales(spark, sf), "country", "product_category", "revenue", "sum"))
 
 
 @register("schema_inventory", """
@@ -1309,12 +1309,12 @@ def q_kpi_ops(spark, sf):
 
 @register("kpi_segment_sample", SALES_CTE + """,
 g AS (SELECT country k, CAST(SUM(revenue) AS DOUBLE) v FROM sales WHERE country IS NOT NULL GROUP BY 1),
-kept AS (SELECT * FROM g ORDER BY v DESC, k LIMIT 20)
+kept AS (SELECT * FROM g)
 SELECT k AS segment, ROUND(v, 6) AS value, ROUND(v / SUM(v) OVER (), 6) AS share_pct,
        ROUND(v / (SELECT SUM(v) FROM g), 6) AS share_of_total FROM kept""")
 def q_kpi_segment_sample(spark, sf):
     """K1's segment view: first numeric resolved KPI column (revenue) by the
-    first present segment candidate (country), sum, top 20."""
+    first present segment candidate (country), sum, all segments."""
     return R(K.kpi_segment_sample(sales(spark, sf), "ecommerce"))
 
 

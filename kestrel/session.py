@@ -57,12 +57,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     d = spark.conf.get("spark.checkpoint.dir", None) or \
         spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not d:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         d = tempfile.mkdtemp(prefix="kestrel-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     sc = spark.sparkContext
-    if _CHECKPOINT_SET.get(id(sc)) != d:
+    if _CHECKPOINT_SET.get(sc.applicationId) != d:
         sc.setCheckpointDir(d)
-        _CHECKPOINT_SET[id(sc)] = d
+        _CHECKPOINT_SET[sc.applicationId] = d
     return d
 
 
@@ -98,7 +100,7 @@ def ship_package(spark: SparkSession) -> None:
     import hashlib
     import zipfile
     sc = spark.sparkContext
-    if _SHIPPED.get(id(sc)):
+    if _SHIPPED.get(sc.applicationId):
         return
     pkg = os.path.dirname(os.path.abspath(__file__))
     root = os.path.dirname(pkg)
@@ -123,7 +125,7 @@ def ship_package(spark: SparkSession) -> None:
                 z.write(f, os.path.relpath(f, root))
         os.replace(tmp, path)
     sc.addPyFile(path)
-    _SHIPPED[id(sc)] = path
+    _SHIPPED[sc.applicationId] = path
 
 
 def env_master(default: str = "local[8]") -> str:

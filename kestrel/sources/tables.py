@@ -10,20 +10,10 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
           "conversations")
 
 
-_TABLE_CACHE: dict = {}
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """The parquet table ``name`` of a data folder. The DataFrame (file
-    listing and footer schema) is built once per session and reused - it
-    is an immutable plan, not cached data."""
-    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
-    key = (id(spark), path)
-    df = _TABLE_CACHE.get(key)
-    if df is None or df.sparkSession is not spark:
-        df = spark.read.parquet(path)
-        _TABLE_CACHE[key] = df
-    return df
+    """The parquet table ``name`` of a data folder, listed anew at each
+    call, so that files added meanwhile are read."""
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def register_views(spark: SparkSession, sf_dir: str, names=TABLES) -> None:

@@ -31,7 +31,8 @@ def read_parquet_stream(spark: SparkSession, path: str, max_files: int | None =
     r = spark.readStream.schema(schema)
     if max_files:
         r = r.option("maxFilesPerTrigger", str(max_files))
-    if path.endswith(".parquet"):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if where.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(where).isFile():
         folder, name = path.rsplit("/", 1)
         return r.option("pathGlobFilter", name).parquet(folder)
     return r.parquet(path)
