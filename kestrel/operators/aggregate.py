@@ -46,13 +46,13 @@ def _ordered(res: DataFrame, keys: list[str], limit: int | None) -> DataFrame:
 
 
 def groupby_agg(df: DataFrame, group_by: str, metric: str, agg: str = "sum",
-                limit: int = 50, order_by: str | None = None) -> DataFrame:
-    """AG1: one key, one aggregate, sorted desc, top ``limit`` (<=0: all)."""
+                limit: int | None = None, order_by: str | None = None) -> DataFrame:
+    """AG1: one key, one aggregate, sorted desc, top ``limit`` (none or <=0: all)."""
     return _ordered(_grouped(df, [group_by], metric, agg, order_by), [group_by], limit)
 
 
 def groupby2_agg(df: DataFrame, group_by_1: str, group_by_2: str, metric: str,
-                 agg: str = "sum", limit: int = 100) -> DataFrame:
+                 agg: str = "sum", limit: int | None = None) -> DataFrame:
     """AG2: two keys -> rows (g1, g2, value)."""
     keys = [group_by_1, group_by_2]
     return _ordered(_grouped(df, keys, metric, agg), keys, limit)
@@ -65,7 +65,7 @@ def topk(df: DataFrame, by: str, metric: str, agg: str = "sum", k: int = 10) ->
 
 
 def segment_analysis(df: DataFrame, segment_by: str, metric: str, agg: str = "sum",
-                     limit: int = 100) -> DataFrame:
+                     limit: int | None = None) -> DataFrame:
     """AG4: AG1 plus ``share_pct`` = value / sum of the *kept* values, and
     ``share_of_total`` = value / sum over all groups.
 
@@ -75,7 +75,7 @@ def segment_analysis(df: DataFrame, segment_by: str, metric: str, agg: str = "su
     return segment_from_grouped(_grouped(df, [segment_by], metric, agg), segment_by, limit)
 
 
-def segment_from_grouped(g: DataFrame, segment_by: str, limit: int) -> DataFrame:
+def segment_from_grouped(g: DataFrame, segment_by: str, limit: int | None) -> DataFrame:
     """AG4 post-processing of a grouped (key, value) result."""
     all_total = g.agg(F.sum("value").alias("_all"))
     kept = _ordered(g, [segment_by], limit)
@@ -249,8 +249,13 @@ def distinct_count(df: DataFrame, columns: list[str] | None = None, approx: bool
 
 
 def _unpivot_as_string(df: DataFrame, cols: list[str]) -> DataFrame:
+    """(column, value as text); -0.0 counts as 0.0, as it does in a group-by."""
+    def text(c):
+        kind = dict(df.dtypes)[c]
+        x = F.col(c) + F.lit(0).cast(kind) if kind in ("float", "double") else F.col(c)
+        return x.cast("string")
     return df.select(F.inline(F.array(*[
-        F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in cols])))
+        F.struct(F.lit(c).alias("column"), text(c).alias("value")) for c in cols])))
 
 
 def contingency(df: DataFrame, left: str, right: str) -> DataFrame:
@@ -260,12 +265,13 @@ def contingency(df: DataFrame, left: str, right: str) -> DataFrame:
             .where(_not_null(left, right)).groupBy(left, right).agg(F.count(F.lit(1)).alias("n")))
 
 
-def value_counts(df: DataFrame, column: str, top: int = 15) -> DataFrame:
-    """AG12: non-NULL values as text, most frequent first, top ``top``."""
+def value_counts(df: DataFrame, column: str, top: int | None = None) -> DataFrame:
+    """AG12: non-NULL values as text, most frequent first, the first ``top`` if asked for."""
     require_columns(df, column)
-    return (df.select(F.col(column).cast("string").alias("value")).where(F.col("value").isNotNull())
-            .groupBy("value").agg(F.count(F.lit(1)).alias("count"))
-            .orderBy(F.col("count").desc(), F.col("value").asc()).limit(int(top)))
+    out = (df.select(F.col(column).cast("string").alias("value")).where(F.col("value").isNotNull())
+           .groupBy("value").agg(F.count(F.lit(1)).alias("count"))
+           .orderBy(F.col("count").desc(), F.col("value").asc()))
+    return out.limit(int(top)) if top else out
 
 
 def cube_agg(df: DataFrame, keys: list[str], metric: str, agg: str = "sum") -> DataFrame:

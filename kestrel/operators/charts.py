@@ -27,9 +27,9 @@ def histogram(df: DataFrame, column: str, bins: int = 10) -> DataFrame:
         (F.col("_lo") + (F.col("bin") + 1) * width).alias("upper"), F.coalesce("count", F.lit(0)).alias("count"))
 
 
-def histograms(df: DataFrame, columns: list[str] | None = None, bins: int = 10, max_columns: int = 3) -> DataFrame:
-    """CH1 for the first ``max_columns`` numeric columns (unioned)."""
-    cols = (columns or numeric_measure_columns(df))[:max_columns]
+def histograms(df: DataFrame, columns: list[str] | None = None, bins: int = 10) -> DataFrame:
+    """CH1 for the given columns, or all numeric ones (unioned)."""
+    cols = columns or numeric_measure_columns(df)
     out = None
     for c in cols:
         h = histogram(df, c, bins)
@@ -37,23 +37,28 @@ def histograms(df: DataFrame, columns: list[str] | None = None, bins: int = 10,
     return out
 
 
-def top_categories(df: DataFrame, column: str, top_k: int = 15, min_unique: int = 2,
-                   max_unique: int = 30) -> DataFrame:
-    """CH2: most frequent values of a column with between ``min_unique``
-    and ``max_unique`` distinct values (empty otherwise)."""
+def top_categories(df: DataFrame, column: str, top_k: int | None = None, min_unique: int = 2,
+                   max_unique: int | None = None) -> DataFrame:
+    """CH2: values of a column by frequency, the ``top_k`` first if asked
+    for; nothing for a column with fewer than ``min_unique`` or, if given,
+    more than ``max_unique`` distinct values."""
     require_columns(df, column)
     counts = (df.select(F.col(column).cast("string").alias("value")).where(F.col("value").isNotNull())
               .groupBy("value").agg(F.count(F.lit(1)).alias("count")))
     nu = counts.agg(F.count(F.lit(1)).alias("_nu"))
-    ok = counts.crossJoin(F.broadcast(nu)).where(F.col("_nu").between(min_unique, max_unique))
-    return ok.select(F.lit(column).alias("column"), "value", "count") \
-        .orderBy(F.col("count").desc(), F.col("value").asc()).limit(int(top_k))
+    fits = F.col("_nu") >= min_unique
+    if max_unique is not None:
+        fits &= F.col("_nu") <= max_unique
+    out = counts.crossJoin(F.broadcast(nu)).where(fits).select(F.lit(column).alias("column"), "value", "count") \
+        .orderBy(F.col("count").desc(), F.col("value").asc())
+    return out.limit(int(top_k)) if top_k else out
 
 
-def bar_data(result: DataFrame, key: str, value: str = "value", top_k: int = 20) -> DataFrame:
-    """CH3: the top ``top_k`` bars of a key -> value result."""
-    return result.select(F.col(key).cast("string").alias("label"), F.col(value).cast("double").alias("value")) \
-        .orderBy(F.col("value").desc_nulls_last(), F.col("label")).limit(int(top_k))
+def bar_data(result: DataFrame, key: str, value: str = "value", top_k: int | None = None) -> DataFrame:
+    """CH3: the bars of a key -> value result, the ``top_k`` highest if asked for."""
+    out = result.select(F.col(key).cast("string").alias("label"), F.col(value).cast("double").alias("value")) \
+        .orderBy(F.col("value").desc_nulls_last(), F.col("label"))
+    return out.limit(int(top_k)) if top_k else out
 
 
 def line_data(series: DataFrame, x: str = "period", y: str = "value") -> DataFrame:

@@ -36,17 +36,16 @@ def register(name: str, sql: str | None = None):
 
 @register("groupby_agg", SALES_CTE + """
 SELECT country, ROUND(CAST(SUM(revenue) AS DOUBLE), 6) AS value FROM sales
-WHERE country IS NOT NULL GROUP BY country ORDER BY value DESC, country LIMIT 50""")
+WHERE country IS NOT NULL GROUP BY country""")
 def q_groupby_agg(spark, sf):
-    return R(A.groupby_agg(sales(spark, sf), "country", "revenue", "sum", limit=50))
+    return R(A.groupby_agg(sales(spark, sf), "country", "revenue", "sum"))
 
 
 @register("groupby2_agg", SALES_CTE + """
 SELECT region, segment, ROUND(AVG(quantity), 6) AS value FROM sales
-WHERE region IS NOT NULL AND segment IS NOT NULL GROUP BY 1, 2
-ORDER BY value DESC, region, segment LIMIT 100""")
+WHERE region IS NOT NULL AND segment IS NOT NULL GROUP BY 1, 2""")
 def q_groupby2_agg(spark, sf):
-    return R(A.groupby2_agg(sales(spark, sf), "region", "segment", "quantity", "mean", limit=100))
+    return R(A.groupby2_agg(sales(spark, sf), "region", "segment", "quantity", "mean"))
 
 
 @register("topk", SALES_CTE + """
@@ -58,12 +57,11 @@ def q_topk(spark, sf):
 
 @register("segment_share", SALES_CTE + """,
 g AS (SELECT product_category k, CAST(SUM(revenue) AS DOUBLE) v FROM sales
-      WHERE product_category IS NOT NULL GROUP BY 1),
-kept AS (SELECT * FROM g ORDER BY v DESC, k LIMIT 20)
+      WHERE product_category IS NOT NULL GROUP BY 1)
 SELECT k AS segment, ROUND(v, 6) AS value, ROUND(v / SUM(v) OVER (), 6) AS share_pct,
-       ROUND(v / (SELECT SUM(v) FROM g), 6) AS share_of_total FROM kept""")
+       ROUND(v / (SELECT SUM(v) FROM g), 6) AS share_of_total FROM g""")
 def q_segment_share(spark, sf):
-    return R(A.segment_analysis(sales(spark, sf), "product_category", "revenue", "sum", limit=20))
+    return R(A.segment_analysis(sales(spark, sf), "product_category", "revenue", "sum"))
 
 
 @register("filter_agg", SALES_CTE + """
@@ -161,9 +159,9 @@ def q_recency(spark, sf):
 
 @register("value_counts", """
 SELECT CAST(o_orderpriority AS VARCHAR) AS value, COUNT(*) AS count FROM orders
-WHERE o_orderpriority IS NOT NULL GROUP BY 1 ORDER BY count DESC, value LIMIT 15""")
+WHERE o_orderpriority IS NOT NULL GROUP BY 1""")
 def q_value_counts(spark, sf):
-    return A.value_counts(table(spark, sf, "orders"), "o_orderpriority", 15)
+    return A.value_counts(table(spark, sf, "orders"), "o_orderpriority")
 
 
 @register("contingency", """
@@ -228,15 +226,13 @@ def q_ts_monthly(spark, sf):
 @register("timeseries_daily_gapfill", """
 WITH g AS (SELECT CAST(date_trunc('day', o_orderdate) AS DATE) d,
                   SUM(CAST(o_totalprice AS DECIMAL(18,2))) v
-           FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderdate IS NOT NULL
-             AND o_totalprice IS NOT NULL GROUP BY 1),
+           FROM orders WHERE o_orderdate IS NOT NULL AND o_totalprice IS NOT NULL GROUP BY 1),
 b AS (SELECT CAST(unnest(generate_series((SELECT MIN(d) FROM g), (SELECT MAX(d) FROM g),
              INTERVAL 1 DAY)) AS DATE) d)
 SELECT CAST(b.d AS TIMESTAMP) AS period, ROUND(CAST(COALESCE(v, 0) AS DOUBLE), 6) AS value
 FROM b LEFT JOIN g USING (d)""")
 def q_ts_daily(spark, sf):
-    o = _orders_money(spark, sf).where(F.col("o_orderpriority") == "1-URGENT")
-    return R(TS.timeseries_agg(o, "o_orderdate", "o_totalprice", "D", "sum"))
+    return R(TS.timeseries_agg(_orders_money(spark, sf), "o_orderdate", "o_totalprice", "D", "sum"))
 
 
 @register("timeseries_weekly_mean", """
@@ -512,10 +508,9 @@ LEFT JOIN region t4 ON t3.n_regionkey = t4.r_regionkey"""
 
 @register("star_groupby", f"""
 SELECT t4.r_name AS g1_r_name, t2.c_mktsegment AS g2_c_mktsegment, ROUND(SUM(t0.l_quantity), 6) AS value
-{_STAR_FROM} GROUP BY 1, 2 ORDER BY value DESC LIMIT 1000""")
+{_STAR_FROM} GROUP BY 1, 2""")
 def q_star_groupby(spark, sf):
-    return R(ST.star_groupby(_star_tables(spark, sf), _STAR_RELS, "l_quantity", ["r_name", "c_mktsegment"],
-                             "sum", limit=1000))
+    return R(ST.star_groupby(_star_tables(spark, sf), _STAR_RELS, "l_quantity", ["r_name", "c_mktsegment"], "sum"))
 
 
 @register("star_groupby_mean", """
@@ -1033,8 +1028,7 @@ def q_histogram(spark, sf):
 
 @register("top_categories", """
 WITH c AS (SELECT CAST(c_mktsegment AS VARCHAR) value, COUNT(*) count FROM customer WHERE c_mktsegment IS NOT NULL GROUP BY 1)
-SELECT 'c_mktsegment' AS "column", value, count FROM c WHERE (SELECT COUNT(*) FROM c) BETWEEN 2 AND 30
-ORDER BY count DESC, value LIMIT 15""")
+SELECT 'c_mktsegment' AS "column", value, count FROM c WHERE (SELECT COUNT(*) FROM c) >= 2""")
 def q_top_categories(spark, sf):
     return CH.top_categories(table(spark, sf, "customer"), "c_mktsegment")
 
@@ -1066,11 +1060,11 @@ def q_schema_inventory(spark, sf):
 
 
 @register("sql_query_mapping", """
-SELECT CAST(o_orderpriority AS VARCHAR) AS key, CAST(COUNT(*) AS DOUBLE) AS value FROM orders GROUP BY 1 LIMIT 1000""")
+SELECT CAST(o_orderpriority AS VARCHAR) AS key, CAST(COUNT(*) AS DOUBLE) AS value FROM orders GROUP BY 1""")
 def q_sql_query_mapping(spark, sf):
     table(spark, sf, "orders").createOrReplaceTempView("orders")
     return SRC.sql_query(spark, "-- volume per priority\nSELECT o_orderpriority, COUNT(*) AS n FROM orders GROUP BY 1;",
-                         limit=1000, output="mapping")
+                         output="mapping")
 
 
 def _suite_sql():
@@ -1201,10 +1195,10 @@ def q_top_pair(spark, sf):
 
 @register("bar_data", SALES_CTE + """
 SELECT CAST(product_category AS VARCHAR) AS label, ROUND(CAST(SUM(revenue) AS DOUBLE), 6) AS value FROM sales
-WHERE product_category IS NOT NULL GROUP BY 1 ORDER BY value DESC, label LIMIT 20""")
+WHERE product_category IS NOT NULL GROUP BY 1""")
 def q_bar_data(spark, sf):
     g = A.groupby_agg(sales(spark, sf), "product_category", "revenue", "sum", limit=0)
-    return R(CH.bar_data(g, "product_category", "value", 20))
+    return R(CH.bar_data(g, "product_category", "value"))
 
 
 @register("line_data", """
@@ -1291,12 +1285,11 @@ def q_cohort_weekly_events(spark, sf):
 
 @register("timeseries_hourly_count", """
 WITH g AS (SELECT date_trunc('hour', ts) h, COUNT(value) v FROM events
-           WHERE event_type = 'purchase' AND ts IS NOT NULL AND value IS NOT NULL GROUP BY 1),
+           WHERE ts IS NOT NULL AND value IS NOT NULL GROUP BY 1),
 b AS (SELECT unnest(generate_series((SELECT MIN(h) FROM g), (SELECT MAX(h) FROM g), INTERVAL 1 HOUR)) h)
 SELECT b.h AS period, CAST(COALESCE(v, 0) AS DOUBLE) AS value FROM b LEFT JOIN g USING (h)""")
 def q_timeseries_hourly_count(spark, sf):
-    e = table(spark, sf, "events").where(F.col("event_type") == "purchase")
-    return TS.timeseries_agg(e, "ts", "value", "H", "count")
+    return TS.timeseries_agg(table(spark, sf, "events"), "ts", "value", "H", "count")
 
 
 @register("kpi_ops", SALES_CTE + """

@@ -3,14 +3,15 @@
 A task list (``{"id", "type", "params"}``) becomes ONE long result table
 ``(task_id, type, key, metric, value, status, reason)``: every task's
 DataFrame is unpivoted (text and date columns form the key, numeric
-columns become metric/value rows) and the results are unioned, so the
-whole suite is one Spark job over a shared (persisted) input. A task that
-cannot be planned (unknown type, missing column, bad parameter) yields a
-``failed`` row and the others go on.
+columns become metric/value rows) and the results are unioned. A task that
+cannot be planned or fails while it runs yields a ``failed`` row, one without
+usable rows a ``skipped`` row, and the others go on.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,53 +25,106 @@ from kestrel.operators import ranking as RK
 from kestrel.operators import timeseries as TS
 from kestrel.session import cut_lineage
 
-# Alternative parameter names accepted per task type.
-ALIASES = {
-    "group_by": ("group_by", "groupby", "dimension", "by", "segment_by", "column"),
-    "metric": ("metric", "value", "measure", "target", "y", "metric_col"),
-    "agg": ("agg", "aggregation", "op"),
-    "date_col": ("date_col", "date", "time_col", "timestamp_col", "x"),
-    "freq": ("freq", "granularity", "period"),
+# The parameter names accepted per task type, the first one
+# given counts.
+_GROUP = ("group_by", "groupby", "group", "dimension", "by", "column", "col")
+_METRIC = ("metric", "value", "measure", "target", "y", "metric_col")
+_AGG = ("agg", "aggregation", "op")
+_LIMIT = ("limit", "top_k", "topk", "k")
+_DATE = ("date_col", "date", "time_col", "timestamp_col", "x")
+_FREQ = ("freq", "granularity", "period")
+_ALPHA = ("alpha", "significance_level")
+PARAMETERS = {
+    "groupby_agg": {"group_by": _GROUP, "metric": (*_METRIC, "sum_col"), "agg": _AGG, "limit": _LIMIT},
+    "groupby2_agg": {"group_by_1": ("group_by_1", "group1", "group_by", "groupby_1", "dim1", "dimension1"),
+                     "group_by_2": ("group_by_2", "group2", "groupby_2", "dim2", "dimension2"),
+                     "metric": _METRIC, "agg": _AGG, "limit": _LIMIT},
+    "topk": {"by": ("by", *_GROUP), "metric": _METRIC, "agg": _AGG, "k": ("k", "top_k", "topk", "limit")},
+    "segment_analysis": {"segment_by": ("segment_by", *_GROUP), "metric": ("metric", "metric_col", "value", "measure"),
+                         "agg": _AGG, "limit": _LIMIT},
+    "distribution": {"column": ("column", "metric", "col", "feature", "x")},
+    "group_distribution": {"group_by": _GROUP, "metric": _METRIC, "agg": _AGG},
+    "correlation": {"x": ("x", "col1", "a", "feature_x", "feature1"),
+                    "y": ("y", "col2", "b", "feature_y", "feature2")},
+    "recency_by_group": {"group_by": _GROUP, "date_col": _DATE},
+    "timeseries_agg": {"date_col": _DATE, "metric": _METRIC, "freq": _FREQ, "agg": _AGG},
+    "filter_agg": {"filter_col": ("filter_col", "where_col", "column", "field", "by", "dim", "dimension", "group_by",
+                                  "groupby", "group"),
+                   "filter_val": ("filter_val", "where_val", "value", "equals", "match", "val", "target_value"),
+                   "metric": ("metric", "measure", "target", "metric_col", "value_col", "y", "value_metric"),
+                   "agg": _AGG},
+    "sql_query": {"query": ("query", "sql", "statement"), "limit": ("limit", "max_rows", "top_k", "k"),
+                  "output": ("output", "format", "mode")},
+    "sql_join_profile": {"fact_table": ("fact_table", "from_table", "base_table"),
+                         "dimension_table": ("dimension_table", "to_table", "join_table")},
+    "kpi_template_apply": {"domain": ("domain", "template", "kpi_domain"),
+                           "segment_by": ("segment_by", "group_by", "dimension", "by")},
+    "metric_definition": {"name": ("name", "metric_name", "id"),
+                          "metric_col": ("metric_col", "metric", "value_col", "column"),
+                          "expression": ("expression", "expr", "formula"),
+                          "group_by": ("group_by", "segment_by", "dimension", "by"), "agg": _AGG},
+    "cohort_analysis": {"entity_col": ("entity_col", "entity", "id_col", "customer_col"), "date_col": _DATE,
+                        "freq": _FREQ},
+    "statistical_test": {"group_col": ("group_col", "group_by", "group", "segment_by", "by", "dimension"),
+                         "metric": ("metric", "value", "measure", "target", "column"),
+                         "group_a": ("group_a", "label_a", "segment_a", "control", "treatment"),
+                         "group_b": ("group_b", "label_b", "segment_b"),
+                         "pair_id_col": ("pair_id_col", "pair_col", "entity_col", "id_col"), "alpha": _ALPHA},
+    "ab_test": {"group_col": ("group_col", "variant_col", "group_by", "group"),
+                "control": ("control", "group_b", "label_b"), "treatment": ("treatment", "group_a", "label_a"),
+                "metric": ("metric", "value", "measure", "target", "column"),
+                "metric_type": ("metric_type", "outcome_type"), "alpha": _ALPHA},
+    "ols_regression": {"target": ("target", "metric", "dependent_var", "y"),
+                       "predictors": ("predictors", "features", "x"), "alpha": _ALPHA},
+    "focus_rank": {"group_by": _GROUP, "metric": _METRIC, "agg": _AGG},
 }
 
 
-def _p(params: dict, name: str, default=None):
-    for k in ALIASES.get(name, (name,)):
-        if k in params and params[k] is not None:
-            return params[k]
-    return default
-
-
-def _filter_params(p: dict) -> dict:
-    """filter_agg also accepts {"where": {col: val}} / {"filter": {col: val}}
-    and flat alternative names."""
-    for nest in ("where", "filter"):
-        d = p.get(nest)
-        if isinstance(d, dict) and len(d) == 1 and ("filter_col" not in p or "filter_val" not in p):
-            k = next(iter(d))
-            p.setdefault("filter_col", k)
-            p.setdefault("filter_val", d[k])
-    for name, alts in (("filter_col", ("where_col", "column", "field", "dimension")),
-                       ("filter_val", ("where_val", "value", "equals", "match", "val"))):
-        if name not in p:
-            for a in alts:
-                if a in p:
-                    p[name] = p[a]
-                    break
-    return p
-
-
-def _run_one(df: DataFrame, ttype: str, p: dict, context: dict | None = None) -> DataFrame:
-    context = context or {}
+def named(ttype: str, params: dict, columns=()) -> dict:
+    """A task's parameters under their first names. The condition of a
+    filter may also be {"where": {column: value}}, {"filter": {column:
+    value}} or a parameter named like a column; predictors may be one text
+    with commas."""
+    accepted = PARAMETERS.get(ttype, {})
+    if ttype == "filter_agg":
+        known = {a for names in accepted.values() for a in names}
+        conditions = [d for d in (params.get("where"), params.get("filter")) if isinstance(d, dict) and len(d) == 1]
+        conditions += [{c: params[c]} for c in columns if c in params and c not in known]
+        for column, value in (item for d in conditions[:1] for item in d.items()):
+            params = {"filter_col": column, "filter_val": value} | params
+    found = {name: next((params[a] for a in names if params.get(a) not in (None, "")), None)
+             for name, names in accepted.items()}
+    out = params | {name: value for name, value in found.items() if value is not None}
+    if isinstance(out.get("predictors"), str):
+        out["predictors"] = [x.strip() for x in out["predictors"].split(",") if x.strip()]
+    return out
+
+
+def _limit(p: dict) -> int | None:
+    """The limit a task asks for; without one every row is kept."""
+    return int(p["limit"]) if p.get("limit") else None
+
+
+def _run_one(df: DataFrame, ttype: str, p: dict, context: dict | None = None) -> list[DataFrame]:
+    """The result tables of a task with ``named`` parameters."""
+    if ttype == "kpi_template_apply":
+        by = p.get("segment_by")
+        if not by or isinstance(by, (list, tuple)):
+            return [K.kpi_template_apply(df, p["domain"], by)]
+        return [K.kpi_template_apply(df, p["domain"]), K.kpi_segment_sample(df, p["domain"], by)]
+    return [_run_table(df, ttype, p, context or {})]
+
+
+def _run_table(df: DataFrame, ttype: str, p: dict, context: dict) -> DataFrame:
     if ttype == "statistical_test":
         from kestrel.operators.stats.dispatch import statistical_test
-        return statistical_test(df, p["group_col"], _p(p, "metric"), p.get("group_a"), p.get("group_b"),
+        return statistical_test(df, p["group_col"], p["metric"], p.get("group_a"), p.get("group_b"),
                                 bool(p.get("compare_to_rest", False)), bool(p.get("paired", False)),
                                 p.get("pair_id_col"), p.get("success_value", 1), float(p.get("alpha", 0.05)),
                                 p.get("alternative", "two-sided"))
     if ttype == "ab_test":
         from kestrel.operators.stats.dispatch import ab_test
-        return ab_test(df, p["group_col"], p["control"], p["treatment"], _p(p, "metric"), p.get("metric_type"),
+        return ab_test(df, p["group_col"], p["control"], p["treatment"], p["metric"], p.get("metric_type"),
                        p.get("success_value", 1), float(p.get("alpha", 0.05)))
     if ttype == "ols_regression":
         from kestrel.operators.stats import ols
@@ -81,45 +135,39 @@ def _run_one(df: DataFrame, ttype: str, p: dict, context: dict | None = None) ->
         return c.unionByName(m, allowMissingColumns=True)
     if ttype == "sql_query":
         from kestrel.sources.files import sql_query
-        return sql_query(df.sparkSession, p["query"], int(p.get("limit", 1000)), p.get("output", "rows"))
+        return sql_query(df.sparkSession, p["query"], _limit(p), p.get("output", "rows"))
     if ttype == "sql_join_profile":
         from kestrel.operators.star import join_profile
         return join_profile(context["tables"], context.get("relationships", []), p["fact_table"],
                             p.get("dimension_table"))
-    if ttype == "filter_agg":
-        p = _filter_params(p)
+    agg = p.get("agg", "sum")
     if ttype == "groupby_agg":
-        return A.groupby_agg(df, _p(p, "group_by"), _p(p, "metric"), _p(p, "agg", "sum"), int(p.get("limit", 50)))
+        return A.groupby_agg(df, p["group_by"], p["metric"], agg, _limit(p))
     if ttype == "groupby2_agg":
-        return A.groupby2_agg(df, p["group_by_1"], p["group_by_2"], _p(p, "metric"), _p(p, "agg", "sum"),
-                              int(p.get("limit", 100)))
+        return A.groupby2_agg(df, p["group_by_1"], p["group_by_2"], p["metric"], agg, _limit(p))
     if ttype == "topk":
-        return A.topk(df, p.get("by") or _p(p, "group_by"), _p(p, "metric"), _p(p, "agg", "sum"), int(p.get("k", 10)))
+        return A.topk(df, p["by"], p["metric"], agg, int(p.get("k", 10)))
     if ttype == "filter_agg":
-        return A.filter_agg(df, p["filter_col"], p["filter_val"], _p(p, "metric"), _p(p, "agg", "sum"))
+        return A.filter_agg(df, p["filter_col"], p["filter_val"], p["metric"], agg)
     if ttype == "segment_analysis":
-        return A.segment_analysis(df, p.get("segment_by") or _p(p, "group_by"), _p(p, "metric"),
-                                  _p(p, "agg", "sum"), int(p.get("limit", 100)))
+        return A.segment_analysis(df, p["segment_by"], p["metric"], agg, _limit(p))
     if ttype == "distribution":
         return A.distribution(df, p["column"], p.get("quantiles", A.DEFAULT_QUANTILES))
     if ttype == "group_distribution":
-        return A.group_distribution(df, _p(p, "group_by"), _p(p, "metric"), _p(p, "agg", "sum"),
-                                    p.get("quantiles", A.GROUP_QUANTILES))
+        return A.group_distribution(df, p["group_by"], p["metric"], agg, p.get("quantiles", A.GROUP_QUANTILES))
     if ttype == "correlation":
         return A.correlation(df, p["x"], p["y"])
     if ttype == "recency_by_group":
-        return A.recency_by_group(df, _p(p, "group_by"), _p(p, "date_col"))
+        return A.recency_by_group(df, p["group_by"], p["date_col"])
     if ttype == "timeseries_agg":
-        return TS.timeseries_agg(df, _p(p, "date_col"), _p(p, "metric"), str(_p(p, "freq", "M")), _p(p, "agg", "sum"))
+        return TS.timeseries_agg(df, p["date_col"], p["metric"], str(p.get("freq", "M")), agg)
     if ttype == "cohort_analysis":
-        return C.cohort_long(df, p["entity_col"], _p(p, "date_col"), str(_p(p, "freq", "M")))
-    if ttype == "kpi_template_apply":
-        return K.kpi_template_apply(df, p["domain"], p.get("by"))
+        return C.cohort_long(df, p["entity_col"], p["date_col"], str(p.get("freq", "M")))
     if ttype == "metric_definition":
-        return K.metric_definition(df, p.get("name", "metric"), p.get("metric_col"), p.get("agg", "sum"),
+        return K.metric_definition(df, p.get("name", "metric"), p.get("metric_col"), agg,
                                    p.get("group_by"), p.get("expression"))
     if ttype == "focus_rank":
-        return RK.focus_rank(df, _p(p, "group_by"), _p(p, "metric"), p["focus"], _p(p, "agg", "sum"))
+        return RK.focus_rank(df, p["group_by"], p["metric"], p["focus"], agg)
     raise ValueError(f"unknown task type {ttype!r}")
 
 
@@ -173,13 +221,9 @@ class _Fused:
         if ttype in ("groupby_agg", "groupby2_agg", "topk", "segment_analysis", "group_distribution"):
             if ttype == "groupby2_agg":
                 ks = (p["group_by_1"], p["group_by_2"])
-            elif ttype == "topk":
-                ks = (p.get("by") or _p(p, "group_by"),)
-            elif ttype == "segment_analysis":
-                ks = (p.get("segment_by") or _p(p, "group_by"),)
             else:
-                ks = (_p(p, "group_by"),)
-            metric, agg = _p(p, "metric"), _p(p, "agg", "sum")
+                ks = (p[{"topk": "by", "segment_analysis": "segment_by"}.get(ttype, "group_by")],)
+            metric, agg = p["metric"], p.get("agg", "sum")
             require_columns(df, *ks, metric)
             x = numeric_col(df, metric) if agg not in ("count", "nunique") else F.col(metric)
             self.aggs.append(agg_column(agg, x).cast("double").alias(alias))
@@ -187,7 +231,7 @@ class _Fused:
             self.posts.append((tid, ttype, key, lambda sub, p=p, ks=ks, metric=metric, agg=agg, ttype=ttype:
                                _post_grouped(sub.withColumnRenamed(alias, "value"), ttype, list(ks), p, metric, agg)))
         elif ttype == "recency_by_group":
-            k, d = _p(p, "group_by"), _p(p, "date_col")
+            k, d = p["group_by"], p["date_col"]
             require_columns(df, k, d)
             self.aggs.append(F.max(timestamp_col(df, d)).alias(alias))
             key = self._set((self._key(k),))
@@ -202,8 +246,8 @@ class _Fused:
             self.posts.append((tid, ttype, key, lambda sub, pairs=pairs, pre=f"{alias}_":
                                A.correlation_from_row(sub, pairs, pre)))
         elif ttype == "timeseries_agg":
-            d, metric = _p(p, "date_col"), _p(p, "metric")
-            f, agg = norm_freq(str(_p(p, "freq", "M"))), _p(p, "agg", "sum")
+            d, metric = p["date_col"], p["metric"]
+            f, agg = norm_freq(str(p.get("freq", "M"))), p.get("agg", "sum")
             require_columns(df, d, metric)
             pname = self._key(f"_per_{d}_{f}", period_start(timestamp_col(df, d), f))
             x = numeric_col(df, metric)
@@ -240,11 +284,11 @@ def _post_grouped(sub: DataFrame, ttype: str, ks: list[str], p: dict, metric: st
     for k in ks:
         g = g.where(F.col(k).isNotNull())
     if ttype in ("groupby_agg", "groupby2_agg"):
-        return A._ordered(g, ks, int(p.get("limit", 50 if ttype == "groupby_agg" else 100)))
+        return A._ordered(g, ks, _limit(p))
     if ttype == "topk":
         return g.orderBy(F.col("value").desc_nulls_last(), F.col(ks[0]).asc()).limit(max(int(p.get("k", 10)), 0))
     if ttype == "segment_analysis":
-        return A.segment_from_grouped(g, ks[0], int(p.get("limit", 100)))
+        return A.segment_from_grouped(g, ks[0], _limit(p))
     return A.group_distribution_from_grouped(g, ks[0], metric, agg, p.get("quantiles", A.GROUP_QUANTILES))
 
 
@@ -256,36 +300,59 @@ def run_suite(df: DataFrame, tasks: list[dict], fuse: bool = True, tables: dict
     spreads of group totals, recency, correlations, time series) share ONE
     scan: a GROUPING SETS aggregation computes every task's aggregate for
     its key set, partial-aggregated before the single shuffle; duplicate
-    tasks are dropped, as the reference does."""
+    tasks are dropped, as the reference does.
+
+    Every task's result is written to the checkpoint folder as it is
+    computed, so a task that fails while it runs (a division by zero in a
+    query, a text that is no number) is one ``failed`` row as well; if the
+    shared scan fails, its tasks are run one by one."""
     spark = df.sparkSession
-    parts, failures, seen = [], [], set()
+    context = {"tables": tables or {}, "relationships": relationships}
+    parts, failures, seen, shared, planned = [], [], set(), [], []
     fused = _Fused(df)
-    order = []
+
+    def alone(tid, ttype, p):
+        try:
+            parts.extend([cut_lineage(_long(r, tid, ttype)) for r in _run_one(df, ttype, p, context)])
+        except Exception as e:  # noqa: BLE001 - recorded per task, the suite goes on
+            failures.append((tid, ttype, "", "", None, "failed", f"{type(e).__name__}: {e}"))
+
     for i, t in enumerate(tasks, start=1):
         tid = str(t.get("id") or f"T{i}")
         ttype = str(t.get("type", ""))
-        params = dict(t.get("params") or {})
+        params = named(ttype, dict(t.get("params") or {}), df.columns)
         sig = (ttype, repr(sorted(params.items())))
         if sig in seen:
             continue
         seen.add(sig)
+        planned.append((tid, ttype))
+        if not (fuse and ttype in FUSABLE):
+            alone(tid, ttype, params)
+            continue
         try:
-            if fuse and ttype in FUSABLE:
-                fused.add(tid, ttype, params)
-            else:
-                parts.append(_long(_run_one(df, ttype, params, {"tables": tables or {},
-                                                                "relationships": relationships}), tid, ttype))
-            order.append(tid)
+            fused.add(tid, ttype, params)
+            shared.append((tid, ttype, params))
         except Exception as e:  # noqa: BLE001 - recorded per task, the suite goes on
-            failures.append((tid, ttype, "", "", None, "failed", f"{type(e).__name__}: {e}"[:400]))
-    for tid, ttype, res in fused.results():
-        parts.append(_long(res, tid, ttype))
+            failures.append((tid, ttype, "", "", None, "failed", f"{type(e).__name__}: {e}"))
+    try:
+        rows = [_long(res, tid, ttype) for tid, ttype, res in fused.results()]
+        if rows:
+            parts.append(cut_lineage(reduce(DataFrame.unionByName, rows)))
+    except Exception:  # noqa: BLE001 - each task then tells its own reason
+        for task in shared:
+            alone(*task)
     schema = ("task_id string, type string, key string, metric string, value double, status string, "
               "reason string")
-    out = spark.createDataFrame(failures, schema)
-    for part in parts:
-        out = out.unionByName(part)
-    return out
+    failed = spark.createDataFrame(failures, schema)
+    if not parts:
+        return failed
+    out = reduce(DataFrame.unionByName, parts)
+    # a task without one value (no usable rows) is skipped; both sides are small written tables
+    valued = out.where(F.col("value").isNotNull() | (F.col("metric") == "")).select("task_id").distinct()
+    lost = {f[0] for f in failures}
+    empty = spark.createDataFrame([(tid, ttype, "", "", None, "skipped", "no usable rows") for tid, ttype in planned
+                                   if tid not in lost], schema).join(valued, "task_id", "left_anti")
+    return out.join(valued, "task_id", "left_semi").unionByName(empty).unionByName(failed)
 
 
 def driver_suite_tasks(metric: str, dim: str, dim2: str, drivers: list[str], date_col: str) -> list[dict]:

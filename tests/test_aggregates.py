@@ -131,3 +131,27 @@ def test_suite_all_task_types(spark, sales30, ab200):
     z = {x["metric"]: x["value"] for x in ab if x["task_id"] == "z"}
     assert z["relative_lift"] == pytest.approx(0.590909, abs=1e-6)
     assert any(x["task_id"] == "y" for x in ab)
+
+
+def test_suite_isolation_names_and_skips(spark, sales30):
+    from kestrel.plans.suite import run_suite
+    sales30.createOrReplaceTempView("sales30")
+    r = run_suite(sales30, [
+        {"id": "ok", "type": "groupby_agg", "params": {"dimension": "country", "measure": "revenue", "op": "sum"}},
+        {"id": "div", "type": "sql_query", "params": {"sql": "SELECT quantity / 0 AS x FROM sales30"}},
+        {"id": "none", "type": "distribution", "params": {"col": "country"}},
+        {"id": "flt", "type": "filter_agg", "params": {"country": "USA", "metric": "revenue"}},
+        {"id": "kpi", "type": "kpi_template_apply", "params": {"template": "ecommerce", "by": "country"}},
+        {"id": "ols", "type": "ols_regression", "params": {"y": "revenue", "x": "quantity, unit_price"}},
+        {"id": "top", "type": "topk", "params": {"group": "country", "value": "revenue", "limit": 2}},
+        {"id": "miss", "type": "groupby_agg", "params": {"metric": "revenue"}},
+    ]).collect()
+    by = {}
+    for x in r:
+        by.setdefault(x["task_id"], []).append(x)
+    status = {t: {x["status"] for x in rows} for t, rows in by.items()}
+    assert status == {"ok": {"computed"}, "div": {"failed"}, "none": {"skipped"}, "flt": {"computed"},
+                      "kpi": {"computed"}, "ols": {"computed"}, "top": {"computed"}, "miss": {"failed"}}
+    assert len(by["ok"]) == 5 and len(by["top"]) == 2 and "ZERO" in by["div"][0]["reason"]
+    assert by["flt"][0]["value"] == pytest.approx(2041.5)
+    assert {x["key"] for x in by["kpi"]} >= {"", "USA", "India"}

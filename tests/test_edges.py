@@ -6,15 +6,21 @@ from kestrel.operators import kpi as K
 from kestrel.operators import star as ST
 
 
-def test_formula_whitelist(spark):
-    names = {"a": F.lit(6.0), "b": F.lit(0.0), "c": F.lit(2.0)}
-    df = spark.range(1)
-    r = df.select(K.formula_column("a / c ** 2 - -1", names).alias("x"),
-                  K.formula_column("a / b", names).alias("y")).collect()[0]
-    assert r["x"] == pytest.approx(2.5) and r["y"] is None
-    for bad in ("__import__('os')", "a.b", "abs(a)", "a if c else b", "d + 1", "True + a"):
+def test_row_formula(spark):
+    df = spark.createDataFrame([("k", 6.0, 0.0, "2"), ("k", 1.0, 4.0, "n/a")], "g string, a double, b double, c string")
+    ansi = spark.conf.get("spark.sql.ansi.enabled")
+
+    def values(f):
+        return [r["_v"] for r in K.row_formula(df, f, ["g"]).collect()]
+
+    assert values("a / c ** 2 - -1") == [pytest.approx(2.5), None]
+    assert values("a / b") == [None, 0.25] and values(F.col("a") + F.col("b")) == [6.0, 5.0]
+    assert values("power(a, 2) + (b - 1) * 2") == [34.0, 7.0]
+    for bad in ("__import__('os')", "a.b", "abs(a)", "a if c else b", "d + 1", "sum(a)", "a -- 1", "a = b",
+                "a ** -b", "java_method('java.lang.System', 'exit')", "a; b", "a is null"):
         with pytest.raises(ValueError):
-            K.formula_column(bad, names)
+            K.row_formula(df, bad)
+    assert spark.conf.get("spark.sql.ansi.enabled") == ansi
 
 
 def test_histogram_constant_and_bins(spark):
@@ -30,7 +36,8 @@ def test_top_categories_cardinality_rule(spark):
     one = spark.createDataFrame([("a",)] * 3, "c string")
     assert CH.top_categories(one, "c").count() == 0
     many = spark.createDataFrame([(str(i),) for i in range(40)], "c string")
-    assert CH.top_categories(many, "c").count() == 0
+    assert CH.top_categories(many, "c", max_unique=30).count() == 0
+    assert CH.top_categories(many, "c").count() == 40 and CH.top_categories(many, "c", top_k=3).count() == 3
 
 
 def test_heatmap_zero_cells(spark):
@@ -46,3 +53,17 @@ def test_star_composite_key_and_unknown_agg(spark):
     r = {x["g1_label"]: x["value"] for x in ST.star_groupby({"fact": fact, "dim": dim}, rels, "m", ["label"],
                                                            agg="weird").collect()}
     assert r == {"X": 6.0, "Y": 3.0}           # unknown aggregate falls back to sum
+
+
+def test_join_tree():
+    rels = [("f", "a", "d1", "x"), ("d1", "y", "d2", "z"), ("f", ["b", "c"], "d2", ["u", "v"]), ("q", "k", "r", "k")]
+    tree = ST.join_tree(rels, "f")
+    assert list(tree) == ["f", "d1", "d2"] and tree["d2"] == ("f", [("b", "u"), ("c", "v")])
+    assert ST.branch(tree, "d1") == ["f", "d1"] and ST.branch(tree, "f") == ["f"] and ST.branch(tree, "r") == []
+    assert ST.branch(ST.join_tree(rels, "r"), "q") == ["r", "q"]
+
+
+def test_negative_zero_is_zero(spark):
+    from kestrel.operators.aggregate import distinct_count
+    df = spark.createDataFrame([(0.0,), (-0.0,), (1.5,), (None,)], "x double")
+    assert distinct_count(df).collect()[0]["n_unique"] == 2
