@@ -83,10 +83,9 @@ def two_group_checks(df: DataFrame, group_col: str, metric: str, group_a=None, g
     return res
 
 
-def failure_summary(checks: DataFrame, by: list[str] | None = None, max_lines: int = 8) -> DataFrame:
-    """ST26: details of failed warn/fail checks, in check order, at most
-    ``max_lines`` per segment (a handful of rows per segment, so the
-    collect_list is bounded)."""
+def failure_summary(checks: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """ST26: details of failed warn/fail checks per segment, in check order
+    (a segment has at most two rows of each check, so the list is bounded)."""
     by = list(by or [])
     order = F.coalesce(*[F.when(F.col("check") == c, F.lit(i)) for i, c in enumerate(CHECK_ORDER)], F.lit(99))
     bad = (F.col("passed") == F.lit(False)) & F.col("severity").isin("warn", "fail")
@@ -94,8 +93,7 @@ def failure_summary(checks: DataFrame, by: list[str] | None = None, max_lines: i
                                                  F.concat_ws(": ", F.coalesce("subject", F.lit("all")),
                                                              F.col("detail")).alias("d")).alias("_x"))
     g = src.groupBy(*by) if by else src.groupBy()
-    return g.agg(F.slice(F.transform(F.array_sort(F.collect_list("_x")), lambda s: s["d"]), 1, max_lines)
-                 .alias("limitations"))
+    return g.agg(F.transform(F.array_sort(F.collect_list("_x")), lambda s: s["d"]).alias("limitations"))
 
 
 def adjust_pvalues(results: DataFrame, p_col: str = "p_value", method: str = "holm") -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from kestrel.functions.columns import numeric_col, require_columns
 from kestrel.operators.stats import effects as E
 from kestrel.operators.stats import tests as HT
-from kestrel.operators.stats.normality import normality
+from kestrel.operators.stats.normality import shapiro_normality
 
 # Metric names that mark a binary outcome.
 BINARY_TOKENS = ("converted", "conversion", "is_conversion", "converted_flag", "clicked", "purchased",
@@ -21,9 +21,11 @@ COMMON = ["method", "group_a", "group_b", "n_a", "n_b", "statistic", "p_value",
 
 def select_method(df: DataFrame, group_col: str, metric: str, group_a=None, group_b=None,
                   compare_to_rest: bool = False, paired: bool = False, success_value=1,
-                  alpha: float = 0.05) -> DataFrame:
-    """ST2 as one aggregation (plus a normality job only for small numeric
-    comparisons). One row (method, reason)."""
+                  alpha: float = 0.05, rank_below: int | None = None) -> DataFrame:
+    """ST2 as one aggregation. One row (method, reason). Independent numeric
+    groups get the Welch test at every size. ``rank_below`` asks for the
+    reference's small-sample rule (its bound is 20): Mann-Whitney where a
+    group has fewer values and one fails Shapiro-Wilk."""
     require_columns(df, group_col, metric)
     spark = df.sparkSession
     if paired:
@@ -36,16 +38,13 @@ def select_method(df: DataFrame, group_col: str, metric: str, group_a=None, grou
     if row["nn"] > 0 and (row["nonbin"] == 0 or metric.lower() in BINARY_TOKENS):
         return spark.createDataFrame([("two_proportion_z_test", "binary metric")], "method string, reason string")
     if row["numeric"] >= max(3, int(row["nn"] * 0.6)):
-        a, b = HT.resolve_labels(df, group_col, group_a, group_b, compare_to_rest)
-        tagged = HT._tagged(df, group_col, a, b, [])
-        norm = normality(tagged, metric, by=["_g"], alpha=alpha).collect()
-        min_n = min([r["n"] for r in norm] or [0])
-        weak = any(r["passed"] is False for r in norm)
-        if len(norm) < 2:
-            min_n = 0
-        if min_n < 20 and weak:
-            return spark.createDataFrame([("mann_whitney_u", "small sample with weak normality")],
-                                         "method string, reason string")
+        if rank_below is not None:
+            a, b = HT.resolve_labels(df, group_col, group_a, group_b, compare_to_rest)
+            norm = shapiro_normality(HT._tagged(df, group_col, a, b, []), metric, by=["_g"], alpha=alpha).collect()
+            few = len(norm) < 2 or min(r["n"] for r in norm) < rank_below
+            if few and any(r["passed"] is False for r in norm):
+                return spark.createDataFrame([("mann_whitney_u", "small sample with weak normality")],
+                                             "method string, reason string")
         return spark.createDataFrame([("welch_t_test", "independent numeric groups")], "method string, reason string")
     return spark.createDataFrame([("chi_square_independence", "categorical metric")], "method string, reason string")
 
@@ -73,10 +72,10 @@ def _common(r: DataFrame, method: str) -> DataFrame:
 def statistical_test(df: DataFrame, group_col: str, metric: str, group_a=None, group_b=None,
                      compare_to_rest: bool = False, paired: bool = False, pair_id_col: str | None = None,
                      success_value=1, alpha: float = 0.05, alternative: str = "two-sided",
-                     method: str | None = None) -> DataFrame:
+                     method: str | None = None, rank_below: int | None = None) -> DataFrame:
     """ST3: run the selected (or given) test; common result columns."""
     m = method or select_method(df, group_col, metric, group_a, group_b, compare_to_rest, paired,
-                                success_value, alpha).collect()[0]["method"]
+                                success_value, alpha, rank_below).collect()[0]["method"]
     if m == "paired_t_test":
         if not pair_id_col:
             raise ValueError("paired test needs pair_id_col")

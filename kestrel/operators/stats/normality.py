@@ -1,10 +1,9 @@
-"""ST20 normality: Shapiro-Wilk for groups of 3..5000 values, bias-corrected
-skewness |g1| < 1 above that (the reference's rule).
+"""ST20 normality: Jarque-Bera at every size; Shapiro-Wilk where it is named.
 
-Shapiro-Wilk needs the sorted sample, so it runs in ``applyInPandas`` -
-but only on groups whose size was counted first and is <= 5000, so no task
-ever holds more than 5000 values of a group. Larger groups use moments
-from a plain aggregation.
+The reference changes from Shapiro-Wilk to a skewness rule above 5000
+values, so that the same data pass or fail with their number; here one rule
+holds. Shapiro-Wilk needs the sorted sample: ``shapiro_normality`` runs it in
+``applyInPandas`` on groups whose size was counted first and is <= 5000.
 """
 
 from __future__ import annotations
@@ -87,20 +86,43 @@ def shapiro_wilk(x) -> tuple[float, float]:
     return w, norm_sf((y - mu) / sd)
 
 
+def _moments(df: DataFrame, metric: str, by: list[str]):
+    """The values ``_v`` with their keys, and per key n, the bias-corrected
+    skewness and the Jarque-Bera statistic (NULL below three values and for
+    constant ones)."""
+    require_columns(df, metric, *by)
+    vals = df.select(*by, numeric_col(df, metric).cast("double").alias("_v")).where(F.col("_v").isNotNull())
+    for c in by:
+        vals = vals.where(F.col(c).isNotNull())
+    if not by:
+        vals = vals.withColumn("_k", F.lit(0))
+    n, g = F.col("n").cast("double"), F.col("_skw")
+    rows = vals.groupBy(*(by or ["_k"])).agg(F.count(F.lit(1)).alias("n"), F.skewness("_v").alias("_skw"),
+                                             F.kurtosis("_v").alias("_kur"))
+    enough = F.col("n") >= 3
+    return vals, rows.withColumn("skew", F.when(enough, g * F.sqrt(n * (n - 1)) / (n - 2))) \
+        .withColumn("_jb", F.when(enough, n / 6 * (g * g + F.col("_kur") * F.col("_kur") / 4))).drop("_skw", "_kur")
+
+
 def normality(df: DataFrame, metric: str, by: list[str] | None = None, alpha: float = 0.05) -> DataFrame:
-    """Rows (by..., n, method, statistic, p_value, skew, passed).
-    n < 3 -> passed NULL (unknown)."""
+    """ST20 by one rule at every size: Jarque-Bera from the moments of one
+    aggregation, p = exp(-JB / 2). Rows (by..., n, method, statistic,
+    p_value, skew, passed); with fewer than three values or constant ones
+    ``passed`` is NULL (unknown)."""
+    by = list(by or [])
+    _, rows = _moments(df, metric, by)
+    p = F.exp(-F.col("_jb") / 2)
+    return rows.select(*by, "n", F.when(F.col("n") < 3, "insufficient").otherwise("jarque_bera").alias("method"),
+                       F.col("_jb").alias("statistic"), p.alias("p_value"), "skew", (p >= alpha).alias("passed"))
+
+
+def shapiro_normality(df: DataFrame, metric: str, by: list[str] | None = None, alpha: float = 0.05) -> DataFrame:
+    """Shapiro-Wilk, where a caller names it, with ``normality``'s columns.
+    Its approximation holds for 3 to 5000 values: other groups keep their
+    row, with ``method`` 'insufficient' or 'too_many' and ``passed`` NULL."""
     user_by = list(by or [])
-    require_columns(df, metric, *user_by)
-    vals = df.select(*user_by, numeric_col(df, metric).cast("double").alias("_v")).where(F.col("_v").isNotNull())
-    for c in user_by:
-        vals = vals.where(F.col(c).isNotNull())
     by = user_by or ["_k"]
-    if not user_by:
-        vals = vals.withColumn("_k", F.lit(0))
-    n = F.count(F.lit(1))
-    skew = F.when(n >= 3, F.skewness("_v") * F.sqrt(n * (n - 1)) / (n - 2))
-    mom = vals.groupBy(*by).agg(n.alias("n"), skew.alias("skew"))
+    vals, mom = _moments(df, metric, user_by)
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in vals.schema.fields if f.name in by]
                        + ["sw_statistic double", "sw_p double"])
 
@@ -113,11 +135,6 @@ def normality(df: DataFrame, metric: str, by: list[str] | None = None, alpha: fl
     small = mom.where((F.col("n") >= 3) & (F.col("n") <= SW_MAX_N)).select(*by)
     swr = vals.join(small, by, "left_semi").groupBy(*by).applyInPandas(sw, schema)
     out = mom.join(swr, by, "left")
-    method = F.when(F.col("n") < 3, "insufficient").when(F.col("n") <= SW_MAX_N, "shapiro_wilk") \
-        .otherwise("skewness_proxy")
-    passed = (F.when(F.col("n") < 3, F.lit(None).cast("boolean"))
-              .when(F.col("n") <= SW_MAX_N, F.col("sw_p") >= alpha)
-              .otherwise(F.abs(F.col("skew")) < 1.0))
-    return out.select(*user_by, "n", method.alias("method"),
-                      F.when(F.col("n") <= SW_MAX_N, F.col("sw_statistic")).alias("statistic"),
-                      F.when(F.col("n") <= SW_MAX_N, F.col("sw_p")).alias("p_value"), "skew", passed.alias("passed"))
+    method = F.when(F.col("n") < 3, "insufficient").when(F.col("n") <= SW_MAX_N, "shapiro_wilk").otherwise("too_many")
+    return out.select(*user_by, "n", method.alias("method"), F.col("sw_statistic").alias("statistic"),
+                      F.col("sw_p").alias("p_value"), "skew", (F.col("sw_p") >= alpha).alias("passed"))

@@ -774,16 +774,26 @@ SELECT 'welch_t_test' AS method, 'treatment' AS group_a, 'control' AS group_b, n
   ROUND((m_a - m_b) / sqrt(((n_a - 1) * v_a + (n_b - 1) * v_b) / (n_a + n_b - 2)), 6) AS effect_size,
   'cohens_d' AS effect_name FROM g""")
 def q_statistical_test(spark, sf):
-    """Dispatcher on a continuous metric: the selection (normality checks
-    included) picks Welch; the SQL twin checks the chosen test's numbers."""
+    """Dispatcher on a continuous metric: the selection picks Welch; the SQL
+    twin checks the chosen test's numbers."""
     r = DS.statistical_test(ab_events(spark, sf), "variant", "value", "treatment", "control")
     return R(r.select("method", "group_a", "group_b", "n_a", "n_b", "statistic", "effect_size", "effect_name"))
 
 
-@register("normality")
+@register("normality", """
+WITH v AS (SELECT user_id, CAST(value AS DOUBLE) x FROM events WHERE user_id IS NOT NULL AND value IS NOT NULL),
+m AS (SELECT user_id, COUNT(*) n, AVG(x) mu FROM v GROUP BY 1),
+c AS (SELECT user_id, n, AVG(POWER(x - mu, 2)) m2, AVG(POWER(x - mu, 3)) m3, AVG(POWER(x - mu, 4)) m4
+      FROM v JOIN m USING (user_id) GROUP BY 1, 2),
+s AS (SELECT user_id, n, CASE WHEN n >= 3 AND m2 > 0 THEN m3 / POWER(m2, 1.5) END g,
+             CASE WHEN n >= 3 AND m2 > 0 THEN m4 / (m2 * m2) - 3 END k FROM c),
+j AS (SELECT *, n / 6.0 * (g * g + k * k / 4) jb FROM s)
+SELECT user_id, n, CASE WHEN n < 3 THEN 'insufficient' ELSE 'jarque_bera' END AS method, ROUND(jb, 6) AS statistic,
+       ROUND(EXP(-jb / 2), 6) AS p_value, ROUND(CASE WHEN n >= 3 THEN g * SQRT(n * (n - 1)) / (n - 2) END, 6) AS skew,
+       EXP(-jb / 2) >= 0.05 AS passed FROM j""")
 def q_normality(spark, sf):
-    """Shapiro-Wilk per user (<= 5000 values each) - no SQL twin."""
-    return NM.normality(table(spark, sf, "events"), "value", by=["user_id"])
+    """Jarque-Bera per user."""
+    return R(NM.normality(table(spark, sf, "events"), "value", by=["user_id"]))
 
 
 # ------------------------------------------------------------------ OLS
@@ -1167,8 +1177,7 @@ from kestrel.operators.stats import assumptions as AS  # noqa: E402
 
 @register("assumption_checks")
 def q_assumption_checks(spark, sf):
-    """Checks of treatment vs control on events.value per event type
-    (normality is Shapiro-Wilk, which has no SQL form: rows-only)."""
+    """Checks of treatment vs control on events.value per event type."""
     return AS.two_group_checks(ab_events(spark, sf), "variant", "value", "treatment", "control", by=["event_type"])
 
 

@@ -121,7 +121,7 @@ def _run_table(df: DataFrame, ttype: str, p: dict, context: dict) -> DataFrame:
         return statistical_test(df, p["group_col"], p["metric"], p.get("group_a"), p.get("group_b"),
                                 bool(p.get("compare_to_rest", False)), bool(p.get("paired", False)),
                                 p.get("pair_id_col"), p.get("success_value", 1), float(p.get("alpha", 0.05)),
-                                p.get("alternative", "two-sided"))
+                                p.get("alternative", "two-sided"), rank_below=p.get("rank_below"))
     if ttype == "ab_test":
         from kestrel.operators.stats.dispatch import ab_test
         return ab_test(df, p["group_col"], p["control"], p["treatment"], p["metric"], p.get("metric_type"),

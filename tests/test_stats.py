@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from kestrel.functions import special as S
 from kestrel.operators.stats import dispatch as DS
@@ -113,7 +114,29 @@ def test_method_selection(spark, ab200):
     a = [1, 1, 1, 1, 2, 2, 20, 25]
     b = [1, 1, 1, 1, 1, 1, 2, 3]
     df = spark.createDataFrame([("A", float(v)) for v in a] + [("B", float(v)) for v in b], "segment string, x double")
-    assert DS.select_method(df, "segment", "x").collect()[0]["method"] == "mann_whitney_u"
+    # the small-sample rule is an argument: without it the size does not choose the test
+    assert DS.select_method(df, "segment", "x", rank_below=20).collect()[0]["method"] == "mann_whitney_u"
+    assert DS.select_method(df, "segment", "x").collect()[0]["method"] == "welch_t_test"
+
+
+def test_normality_rule_is_the_same_at_every_size(spark):
+    import math
+    import numpy as np
+    from kestrel.operators.stats.normality import normality, shapiro_normality
+    flat = spark.range(10001).select(F.when(F.col("id") < 5000, "n5000").otherwise("n5001").alias("g"),
+                                     (F.col("id") % 5000).cast("double").alias("x"))
+    r = {x["g"]: x for x in normality(flat, "x", by=["g"]).collect()}
+    assert {x["method"] for x in r.values()} == {"jarque_bera"} and {x["passed"] for x in r.values()} == {False}
+    v = np.arange(5000.0)
+    z = (v - v.mean()) / v.std()
+    jb = 5000 / 6 * (np.mean(z ** 3) ** 2 + (np.mean(z ** 4) - 3) ** 2 / 4)
+    assert r["n5000"]["statistic"] == pytest.approx(jb) and r["n5000"]["p_value"] == pytest.approx(math.exp(-jb / 2))
+    sw = {x["g"]: x for x in shapiro_normality(flat, "x", by=["g"]).collect()}
+    assert sw["n5000"]["method"] == "shapiro_wilk" and sw["n5000"]["passed"] is False
+    assert sw["n5001"]["method"] == "too_many" and sw["n5001"]["passed"] is None
+    few = spark.createDataFrame([("a", 1.0), ("a", 2.0), ("b", 3.0), ("b", 3.0), ("b", 3.0), ("c", None)], "g string, x double")
+    got = {x["g"]: (x["method"], x["passed"]) for x in normality(few, "x", by=["g"]).collect()}
+    assert got == {"a": ("insufficient", None), "b": ("jarque_bera", None)}
 
 
 def test_ab_test_readout(ab200):
