@@ -33,7 +33,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each SimHash group the document with the smallest doc_id stays."""
+    """Of each SimHash group one row stays, with the smallest doc_id."""
     _prepare(spark)
     return simhash.near_dedup(docs)
 
@@ -45,7 +45,7 @@ def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents contaminated with benchmark items go."""
+    """Rows contaminated with benchmark items go."""
     _prepare(spark)
     return decontaminate.remove_contaminated(docs, _table(spark, sf_dir, "benchmark"))
 

@@ -68,6 +68,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     Repeated rows come back as often, rows that share a doc_id are judged
     each by its own text. Empty documents give an empty result, an empty
     benchmark marks nothing."""
+    return _judged(docs, benchmark, doc_id, text, item_id, item_text, k, shingle, min_share).drop("th")
+
+
+def _judged(docs, benchmark, doc_id="doc_id", text="text", item_id="item_id", item_text="text", k=13, shingle=3,
+            min_share=(1, 20)) -> DataFrame:
+    """``contamination`` with ``th``, the hash of each row's text."""
     win = cut_lineage(windows(benchmark, item_id, item_text, k))
     shape = win.select("wid", "size").distinct()
     pieces = shape.select("wid", "size", F.split("wid", " ").alias("w")).withColumn("q", F.least("size", F.lit(shingle)))
@@ -80,7 +86,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     src = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("t"))
     key = F.xxhash64("t").alias("th")       # tells rows of one doc_id apart
     if sh is None:
-        return src.select("doc_id", F.size(words(F.col("t"))).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_hit"),
+        return src.select("doc_id", key, F.size(words(F.col("t"))).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_hit"),
                           F.lit(0).cast("long").alias("n_items"), F.array().cast("array<string>").alias("items"),
                           F.lit(False).alias("contaminated"))
     sh = cut_lineage(sh)
@@ -135,19 +141,20 @@ def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     out = rows.join(marks, F.col("doc_id").eqNullSafe(F.col("md")) & (F.col("th") == F.col("mt")), "left")
     hit = F.coalesce(F.col("mh"), F.lit(0)).cast("long")
     num, den = min_share
-    return out.select("doc_id", "n_words", hit.alias("n_hit"), F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"),
+    return out.select("doc_id", "th", "n_words", hit.alias("n_hit"), F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"),
                       F.coalesce("items", F.array().cast("array<string>")).alias("items"),
                       ((hit > 0) & (hit * den >= F.col("n_words") * num)).alias("contaminated"))
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text",
                         **options) -> DataFrame:
-    """``docs`` without the rows whose doc_id is contaminated (the rows of
-    a null doc_id count as one document)."""
-    bad = contamination(docs, benchmark, doc_id, text, **options).where("contaminated").select(
-        F.col("doc_id").alias("_bad")).distinct()
+    """``docs`` without the contaminated rows. A row goes by its own text:
+    others of its doc_id, or without one, stay."""
+    bad = _judged(docs, benchmark, doc_id, text, **options).where("contaminated").select(
+        F.col("doc_id").alias("_bad"), F.col("th").alias("_text")).distinct()
     bad = cut_lineage(bad)
-    return docs.join(bad, docs[doc_id].eqNullSafe(F.col("_bad")), "left_anti")
+    return docs.join(bad, docs[doc_id].eqNullSafe(F.col("_bad")) &
+                     (F.xxhash64(docs[text].cast("string")) == F.col("_text")), "left_anti")
 
 
 def digest(result: DataFrame) -> DataFrame:

@@ -54,20 +54,29 @@ def _fingerprints(texts, shingle: int):
     return np.packbits(set_bits, axis=1, bitorder="little").view(U64).ravel()
 
 
-def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3) -> DataFrame:
-    """(doc_id, fp): the SimHash of every whole text as a signed long.
+def _text_keys(text):
+    """Two 64-bit hashes that tell the texts of one doc_id apart."""
+    return [F.xxhash64(text), F.xxhash64(F.lit(1), text)]
+
+
+def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3, keys: bool = False) -> DataFrame:
+    """(doc_id, fp): the SimHash of every whole text as a signed long;
+    with ``keys`` also t1 and t2, the hashes of ``_text_keys``.
 
     A-Z are lower-cased; words are runs without ASCII white space; every
     shingle of ``shingle`` words (repeats count) is hashed by XXH64 with
     seed 42; a bit is set if more than half of the hashes set it. Fewer
     words form one shingle; null and blank texts have fingerprint 0."""
+    names = ["d", "t1", "t2"] if keys else ["d"]
+
     def run(batches):
         for b in text_chunks(batches, "t"):
-            yield pa.record_batch([column(b, "d"), pa.array(_fingerprints(column(b, "t"), shingle).view(np.int64))],
-                                  names=["d", "fp"])
+            yield pa.record_batch([*[column(b, n) for n in names],
+                                   pa.array(_fingerprints(column(b, "t"), shingle).view(np.int64))], names=[*names, "fp"])
 
-    return docs.select(F.col(doc_id).cast("long").alias("d"), F.col(text).cast("string").alias("t")).mapInArrow(
-        run, "d long, fp long").withColumnRenamed("d", "doc_id")
+    t = F.col(text).cast("string")
+    src = docs.select(F.col(doc_id).cast("long").alias("d"), *[h.alias(n) for h, n in zip(_text_keys(t), names[1:])], t.alias("t"))
+    return src.mapInArrow(run, ", ".join(f"{n} long" for n in [*names, "fp"])).withColumnRenamed("d", "doc_id")
 
 
 def _signed(x: int) -> int:
@@ -137,24 +146,43 @@ def simhash_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     doc_id is kept and is never a component_id unless its whole component
     has none. An empty table gives an empty result."""
     fp = cut_lineage(fingerprints(docs, doc_id, text, shingle))
-    nodes = cut_lineage(fp.groupBy("fp").agg(F.min("doc_id").alias("low")))
+    label = _least(fp.groupBy("fp").agg(F.min("doc_id").alias("low")), max_bits, pieces, probe_above)
+    return fp.join(label.withColumnRenamed("low", "component_id"), "fp").select("doc_id", "fp", "component_id")
+
+
+def _least(nodes: DataFrame, max_bits: int, pieces: int | None, probe_above: int) -> DataFrame:
+    """(fp, low): of each distinct fingerprint the smallest ``low`` of its
+    component."""
+    nodes = cut_lineage(nodes)
     root = cut_lineage(components(close_pairs(nodes.select("fp"), max_bits, pieces, probe_above)))
     linked = root.join(nodes, root.node == nodes.fp).select("root", "node", "low")
     low = linked.groupBy("root").agg(F.min("low").alias("m"))
     linked = linked.join(low, "root").select(F.col("node").alias("fp"), F.col("m").alias("linked_low"))
-    label = cut_lineage(nodes.join(linked, "fp", "left")
-                        .select("fp", F.coalesce("linked_low", "low").alias("component_id")))
-    return fp.join(label, "fp").select("doc_id", "fp", "component_id")
+    return cut_lineage(nodes.join(linked, "fp", "left").select("fp", F.coalesce("linked_low", "low").alias("low")))
 
 
 def near_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3,
                max_bits: int = 2) -> DataFrame:
-    """``docs`` with one document of each group: the one with the smallest
-    doc_id. Rows with a null doc_id stay only where no group holds one with
-    an id; of rows that repeat the kept doc_id all stay."""
-    g = simhash_groups(docs, doc_id, text, shingle, max_bits)
-    gone = cut_lineage(g.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_gone")).distinct())
-    return docs.join(gone, docs[doc_id].cast("long").eqNullSafe(F.col("_gone")), "left_anti")
+    """``docs`` with one row of each group: the one with the smallest
+    doc_id (a null one after all others), and of several texts of that
+    doc_id the one with the smallest hash. Of rows that repeat both, the
+    smallest as JSON. Rows are judged each by its own text."""
+    fp = cut_lineage(fingerprints(docs, doc_id, text, shingle, keys=True))
+    row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t1", "t2")
+    keys = fp.groupBy("doc_id", "t1", "t2", "fp").agg(F.count("*").alias("n")).withColumn("row", row)
+    low = _least(keys.groupBy("fp").agg(F.min("row").alias("low")), max_bits, None, PROBE_ABOVE)
+    away = keys.join(low, "fp").where((F.col("row") != F.col("low")) | (F.col("n") > 1)).select(
+        F.col("doc_id").alias("_d"), F.col("t1").alias("_t1"), F.col("t2").alias("_t2"), (F.col("row") == F.col("low")).alias("_again"))
+    away = cut_lineage(away)
+    t1, t2 = _text_keys(docs[text].cast("string"))
+    on = docs[doc_id].cast("long").eqNullSafe(F.col("_d")) & (t1 == F.col("_t1")) & (t2 == F.col("_t2"))
+    left = docs.join(away, on, "left_anti")
+    again = away.where("_again")                  # kept rows that stand there more than once
+    if again.isEmpty():
+        return left
+    whole = F.struct(*[docs[c] for c in docs.columns])
+    one = docs.join(again, on).groupBy("_d", "_t1", "_t2").agg(F.min_by(whole, F.to_json(whole)).alias("_row"))
+    return left.unionByName(one.select("_row.*"))
 
 
 def digest(groups: DataFrame) -> DataFrame:

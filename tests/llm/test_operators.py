@@ -155,6 +155,20 @@ def test_near_dedup(small):
     assert 1 in ids and 2 not in ids and 4 not in ids and 3 in ids
 
 
+def test_rows_are_removed_each_by_its_own_text(spark):
+    """Clean rows of a hot null or shared doc_id stay; of a group one row."""
+    r = np.random.default_rng(4)
+    text = [" ".join(f"t{x}" for x in r.integers(0, 10**6, 60)) for _ in range(6)]
+    schema = "doc_id long, text string, source string"
+    docs = spark.createDataFrame([(None, text[0], "a"), (None, text[1], "a"), (7, text[1], "a"), (7, text[2], "a"), (None, text[3], "b"),
+                                  (None, text[3], "a"), (8, text[4], "a"), (9, text[4], "a"), (9, text[5], "a"), (None, None, "a")], schema)
+    want = [(None, text[0]), (7, text[1]), (7, text[2]), (None, text[3]), (8, text[4]), (9, text[5]), (None, None)]
+    assert order(rows(simhash.near_dedup(docs))) == order(want)
+    bench = spark.createDataFrame([(1, text[0]), (2, text[2])], "item_id long, text string")
+    left = decontaminate.remove_contaminated(docs, bench)
+    assert left.columns == docs.columns and order(rows(left)) == order(x for x in rows(docs) if x[1] not in (text[0], text[2]))
+
+
 def test_hilbert_curve(spark):
     g = spark.range(1 << 9).select(*[F.expr(f"(id >> {3 * i}) & 7").alias(f"c{i}") for i in range(3)])
     got = g.withColumn("h", hilbert.hilbert_index([F.col(f"c{i}") for i in range(3)], 3)).orderBy("h").toPandas()
