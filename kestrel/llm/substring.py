@@ -121,7 +121,8 @@ def _edges(k, bits, parts, hash_bits):
             is_rep = same == np.arange(len(h))
             # edges, by bucket in text order
             at = np.flatnonzero(is_rep)
-            bucket = (h[at] >> U64(64 - bits)).astype(np.uint16) if bits else np.zeros(len(at), np.uint16)
+            # 16-bit numbers are sorted fastest; beyond 65 536 buckets they would wrap
+            bucket = (h[at] >> U64(64 - bits)).astype(np.uint16 if bits <= 16 else np.uint32) if bits else np.zeros(len(at), np.uint16)
             at = at[np.argsort(bucket, kind="stable")]
             bucket = (h[at] >> U64(64 - bits)).astype(np.int64) if bits else np.zeros(len(at), np.int64)
             cut = np.searchsorted(bucket, np.arange((1 << bits) + 1))

@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import pytest
 from pyspark.sql import functions as F
 
@@ -78,6 +79,28 @@ def test_substring(small, bits):
         assert p and all(r["windows"] > 0 for r in p)
 
 
+@pytest.mark.parametrize("bits", [16, 18])
+def test_substring_buckets(bits):
+    """Every edge lies in its bucket, also where there are more than 65 536,
+    and repeats across cuts are found there."""
+    r = np.random.default_rng(2)
+    text = " ".join(f"t{x}" for x in r.integers(0, 10**6, 3000))
+    cut = lambda d: pa.record_batch([pa.array([d], pa.int64()), pa.array([text])], names=["d", "t"])
+    got = [pa.Table.from_batches(list(substring._edges(13, bits, 1, 64)(iter([cut(d)])))) for d in (1, 2)]
+    want = np.sort(substring.window_hashes(*substring.split_words(pa.array([text])), 13)[0])
+    edges, claimed = [], []
+    both = pa.concat_tables(got)
+    for x in sorted(set(both["bucket"].to_pylist())):
+        table = both.filter(pa.compute.equal(both["bucket"], x))
+        for raw in table["edges"].to_pylist()[:1]:
+            h = np.zeros((len(raw) // 7, 8), np.uint8)
+            h[:, :7] = np.frombuffer(raw, np.uint8).reshape(-1, 7)
+            edges += (h.view(np.uint64).ravel() | np.uint64((x >> (bits - 8)) << 56)).tolist()
+        for row in substring._owners(bits, 1)(table).to_pylist():
+            claimed += substring._owner_unpack([row[n] for n in ("doc", "edge", "owner", "place")])[1].tolist()
+    assert sorted(edges) == want.tolist() and sorted(claimed) == want.tolist()
+
+
 def test_substring_text_and_columns(small):
     out = substring.remove_repeats(small, n_chars="n_chars")
     assert out.schema.names == small.schema.names and out.count() == small.count()
