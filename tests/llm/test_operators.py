@@ -324,6 +324,23 @@ def test_perplexity_rejects_noise(spark):
     assert got.where("kept").count() > 0.8 * docs.count()
 
 
+def test_every_ngram_keeps_its_own_entry(spark, monkeypatch):
+    """Over many buckets, every text is scored by its own n-grams of its own
+    language (all occur twice, so by their own probabilities)."""
+    monkeypatch.setattr(perplexity, "GRAMS_PER_BUCKET", 40)
+    texts = [("a", "one two\n three"), ("z", "one twos 日本 tree"), ("", "x"), ("z", "  ")]
+    docs = spark.createDataFrame([(i, t, lang) for i, (lang, t) in enumerate(texts * 2)], "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r["log_ppl"] for r in perplexity.score(docs, perplexity.train(docs)).collect()}
+    model = perplexity.train(docs)
+    assert model.groupBy("lang", "gram").count().where("count > 1").count() == 0
+    p = {(r["lang"], r["gram"]): r["logp"] for r in perplexity.kneser_ney(perplexity.count_grams(docs.withColumnRenamed("text", "t"))).collect()}
+    for i, (lang, t) in enumerate(texts * 2):
+        words, off = perplexity.split_words(pa.array([t]))
+        grams = perplexity.text_grams(words, off)[0].tolist()
+        want = -sum(p[lang, g] for g in grams) / (len(" ".join(t.split())) + 1) if grams else None
+        assert got[i] == (pytest.approx(want, abs=1e-5) if grams else None)
+
+
 def test_viterbi_matches_library(small):
     from tokenizers import Tokenizer, models, normalizers
     vocab = viterbi.vocabulary(viterbi.default_path())
