@@ -341,6 +341,24 @@ def test_every_ngram_keeps_its_own_entry(spark, monkeypatch):
         assert got[i] == (pytest.approx(want, abs=1e-5) if grams else None)
 
 
+def test_discounts_are_of_all_ngrams(spark):
+    """Single n-grams are in the counts of counts; n-grams run across words
+    and no two characters share a unit."""
+    docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet").where("lang = 'en'").select(F.col("text").alias("t"), "lang")
+    counts = perplexity.count_grams(docs).toPandas()
+    n = Counter(counts[counts.gram // (1 << 4 * perplexity.CHAR_BITS) > 0].n.tolist())
+    d1 = 1 - 2 * n[1] / (n[1] + 2 * n[2]) * n[2] / n[1]
+    top = [rows_ for _, rows_ in perplexity._levels(perplexity.count_grams(docs), 2)][-1].toPandas()
+    lone = top.groupby("ctx").filter(lambda g: len(g) == 1 and g.n.iloc[0] == 1)
+    assert len(lone) and np.allclose(np.exp(lone.weight), d1) and abs(d1 - 0.5) > 1e-3
+    words, off = perplexity.split_words(pa.array(["ab c"]))
+    assert perplexity.text_grams(words, off)[0].tolist()[3] & 0xFFFFFF == (35 << 12) + ord("c") + 3
+    every = [c for c in range(33, 0x110000) if not 0xD800 <= c < 0xE000]
+    unit, size = perplexity._units(pa.array([chr(c) for c in every]))
+    end = np.cumsum(size)
+    assert len({tuple(unit[i:j]) for i, j in zip((end - size).tolist(), end.tolist())}) == len(every) and unit.max() < 1 << 12
+
+
 def test_viterbi_matches_library(small):
     from tokenizers import Tokenizer, models, normalizers
     vocab = viterbi.vocabulary(viterbi.default_path())
