@@ -431,31 +431,33 @@ def score(docs: DataFrame, model: DataFrame, doc_id: str = "doc_id", text: str =
 
 
 def quality_rules(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", min_words: int = 50,
-                  max_repeat: float = 0.5, fence: float = 12.0, short: float = 15.0) -> DataFrame:
+                  max_repeat: float = 0.5, tail: float = 0.001, fence: float = 5.0, short: float = 100.0) -> DataFrame:
     """One row per input row: doc_id, lang, n_words, word_chars, n_symbols,
     n_dup_lines, n_repeat_words, base_failed, log_ppl, lower, upper, kept.
 
     base_failed: fewer than ``min_words`` words, or repeats above
     ``max_repeat``. A document whose log perplexity lies outside its
-    language's band is not kept: quartiles of the documents that pass the
-    base rules, ``fence`` interquartile ranges beyond them, and wider for
-    short texts by ``short`` robust standard deviations of one word over
-    the root of the word count. A null language is a language of its own;
-    null and empty texts fail the base rules; repeated rows come back as
-    often; an empty table gives an empty result."""
+    language's band is not kept. The band is in deviations from the median
+    over sqrt(1 + ``short`` / n_words), as short texts vary more: of the
+    documents that pass the base rules, those within ``fence``
+    interquartile ranges of the quartiles are the language's core, and the
+    core's percentiles ``tail`` and 1 - ``tail`` are the band, so that junk
+    does not widen it however far out it lies. A null language is a
+    language of its own; null and empty texts fail the base rules; repeated
+    rows come back as often; an empty table gives an empty result."""
     rows = cut_lineage(score(docs, train(docs, text, lang), doc_id, text, lang))
     failed = (F.col("n_words") < min_words) | (F.col("n_repeat_words") > max_repeat * F.col("n_words"))
-    rows = rows.withColumn("base_failed", failed)
+    wide = F.sqrt(1 + short / F.greatest("n_words", F.lit(1)))
+    rows = rows.withColumn("base_failed", failed).withColumn("wide", wide)
     passed = rows.where(~F.col("base_failed"))
-    q = passed.groupBy("lang").agg(F.percentile_approx("log_ppl", [0.25, 0.5, 0.75], 10000).alias("q"))
-    q = cut_lineage(q)
-    away = F.abs(F.col("log_ppl") - F.col("q")[1]) * F.sqrt("n_words")
-    s = passed.join(q, "lang").groupBy("lang").agg((F.percentile_approx(away, 0.5, 10000) * 1.4826).alias("s"))
-    band = cut_lineage(q.join(s, "lang").select(
-        "lang", "s", (F.col("q")[0] - fence * (F.col("q")[2] - F.col("q")[0])).alias("low"),
-        (F.col("q")[2] + fence * (F.col("q")[2] - F.col("q")[0])).alias("high")))
-    slack = short * F.col("s") / F.sqrt(F.greatest("n_words", F.lit(1)))
-    out = rows.join(band, "lang", "left").withColumn("lower", F.col("low") - slack).withColumn("upper", F.col("high") + slack)
+    middle = cut_lineage(passed.groupBy("lang").agg(F.percentile_approx("log_ppl", 0.5, 10000).alias("mid")))
+    z = passed.join(middle, "lang").select("lang", "mid", ((F.col("log_ppl") - F.col("mid")) / F.col("wide")).alias("z"))
+    q = cut_lineage(z.groupBy("lang").agg(F.percentile_approx("z", [0.25, 0.75], 10000).alias("q")))
+    reach = fence * (F.col("q")[1] - F.col("q")[0]) + 1e-6        # sums of equal texts differ in their last digits
+    core = z.join(q, "lang").where(F.col("z").between(F.col("q")[0] - reach, F.col("q")[1] + reach))
+    band = cut_lineage(core.groupBy("lang").agg(F.first("mid").alias("mid"), F.percentile_approx("z", [tail, 1 - tail], 100000).alias("b")))
+    edge = lambda i, more: F.col("mid") + F.col("b")[i] * F.col("wide") + more
+    out = rows.join(band, "lang", "left").withColumn("lower", edge(0, -1e-6)).withColumn("upper", edge(1, 1e-6))
     inside = F.coalesce(F.col("log_ppl").between(F.col("lower"), F.col("upper")), F.lit(False))
     return out.select("doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
                       "log_ppl", "lower", "upper", (~F.col("base_failed") & inside).alias("kept"))

@@ -359,6 +359,29 @@ def test_discounts_are_of_all_ngrams(spark):
     assert len({tuple(unit[i:j]) for i, j in zip((end - size).tolist(), end.tolist())}) == len(every) and unit.max() < 1 << 12
 
 
+def test_perplexity_rejects_moderate_junk(spark):
+    """Letters shuffled in a third of the words, text under another
+    language's name and random letters, of 50 to 300 words."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    r = np.random.default_rng(1)
+    other = {"en": "fr", "fr": "de", "de": "es", "es": "en"}
+    long = [x for x in docs.collect() if len(x["text"].split()) >= 60][:24]
+    mixed = lambda w: "".join(r.permutation(list(w)))
+    junk = []
+    for i, x in enumerate(long):
+        w, lang = x["text"].split()[:int(r.integers(50, 301))], x["lang"]
+        if i % 3 == 0:
+            w = [mixed(v) if r.random() < 0.33 else v for v in w]
+        elif i % 3 == 1:
+            lang = other[lang]
+        else:
+            w = ["".join(r.choice(list("abcdefghijklmnopqrstuvwxyz"), int(r.integers(2, 10)))) for _ in w]
+        junk.append((10**9 + i, " ".join(w), lang))
+    got = perplexity.quality_rules(docs.unionByName(spark.createDataFrame(junk, docs.schema))).where("not base_failed").toPandas()
+    planted = got.doc_id >= 10**9
+    assert (~got[planted].kept).mean() > 0.9 and got[~planted].kept.mean() > 0.97
+
+
 def test_viterbi_matches_library(small):
     from tokenizers import Tokenizer, models, normalizers
     vocab = viterbi.vocabulary(viterbi.default_path())
