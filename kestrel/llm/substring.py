@@ -3,8 +3,9 @@
 Edges are the token k-mers (windows of ``k`` words), nodes their (k-1)-word
 overlaps; an edge is written as a 64-bit hash with its first source
 coordinate, the smallest doc_id that holds it and its place there. Repeated
-edges that follow one another without branching compact to paths: first
-along the documents, then by joins that cut them at branching nodes. The
+edges that follow one another without branching compact to paths along the
+documents; ``paths`` cuts these at branching nodes by joins, for those who
+ask for the graph (removal does not need it and does not run it). The
 words of each path are compared between source and copy before anything is
 removed.
 """
