@@ -4,9 +4,10 @@ DuckDB twins."""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from kestrel.llm import (cotrain, decontaminate, hilbert, huffman, packing, perplexity, simhash, substring, toxicity,
-                         viterbi)
+from kestrel.llm import (alignment, cotrain, decontaminate, hilbert, huffman, negatives, packing, perplexity, redirects,
+                         simhash, substring, toxicity, viterbi)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,8 +54,24 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.digest(toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.alignment_digest(_table(spark, sf_dir, "documents"))
+
+
+def op12_redirect_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(redirects.RULES, "verdict string, host string, path string")
+    return redirects.digest(redirects.url_verdicts(_table(spark, sf_dir, "pages"), rules))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(_table(spark, sf_dir, "embeddings").withColumn("label", label))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_decontamination, op2_quality_rules, op3_substring_dedup, op4_hilbert_shards, op5_quality_classifier,
-    op6_huffman_ids, op7_best_fit_packing, op8_viterbi_counts, op9_simhash_groups, op10_toxicity)}
+    op6_huffman_ids, op7_best_fit_packing, op8_viterbi_counts, op9_simhash_groups, op10_toxicity,
+    op11_token_alignment, op12_redirect_verdicts, op13_hard_negatives)}
 
-ORACLES = {"op1_decontamination": decontaminate.ORACLE_SQL, "op3_substring_dedup": substring.ORACLE_SQL}
+ORACLES = {"op1_decontamination": decontaminate.ORACLE_SQL, "op3_substring_dedup": substring.ORACLE_SQL,
+           "op12_redirect_verdicts": redirects.ORACLE_SQL, "op13_hard_negatives": negatives.ORACLE_SQL}
