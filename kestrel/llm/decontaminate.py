@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kestrel.llm.native import let
+from kestrel.llm.native import fresh, let, sift
 from kestrel.session import cut_lineage
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -149,12 +149,23 @@ def _judged(docs, benchmark, doc_id="doc_id", text="text", item_id="item_id", it
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text",
                         **options) -> DataFrame:
     """``docs`` without the contaminated rows. A row goes by its own text:
-    others of its doc_id, or without one, stay."""
+    others of its doc_id, or without one, stay. Null and blank texts stay;
+    columns may have any name and type; an empty table gives an empty
+    result.
+
+    Only rows that a fixed-size bit table of those to drop does not clear
+    are shuffled."""
+    p = fresh(docs)
     bad = _judged(docs, benchmark, doc_id, text, **options).where("contaminated").select(
-        F.col("doc_id").alias("_bad"), F.col("th").alias("_text")).distinct()
+        F.col("doc_id").alias(f"{p}ad"), F.col("th").alias(f"{p}at")).distinct()
     bad = cut_lineage(bad)
-    return docs.join(bad, docs[doc_id].eqNullSafe(F.col("_bad")) &
-                     (F.xxhash64(docs[text].cast("string")) == F.col("_text")), "left_anti")
+    if bad.isEmpty():
+        return docs
+    rows = docs.select("*", docs[doc_id].alias(f"{p}d"), F.xxhash64(docs[text].cast("string")).alias(f"{p}t"))
+    rows = rows.withColumn(f"{p}h", F.xxhash64(f"{p}d", f"{p}t"))
+    others, suspects = sift(rows, f"{p}h", bad.select(F.xxhash64(f"{p}ad", f"{p}at").alias("h")), "h")
+    on = F.col(f"{p}d").eqNullSafe(F.col(f"{p}ad")) & (F.col(f"{p}t") == F.col(f"{p}at"))
+    return others.unionByName(suspects.join(bad, on, "left_anti")).drop(f"{p}d", f"{p}t", f"{p}h")
 
 
 def digest(result: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from kestrel.llm.common import U64, column, split_words, text_chunks
 from kestrel.llm.components import components
+from kestrel.llm.native import fresh, sift
 from kestrel.session import cut_lineage
 
 #: A block shared by more distinct fingerprints than this is searched by
@@ -166,23 +167,34 @@ def near_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shin
     """``docs`` with one row of each group: the one with the smallest
     doc_id (a null one after all others), and of several texts of that
     doc_id the one with the smallest hash. Of rows that repeat both, the
-    smallest as JSON. Rows are judged each by its own text."""
+    smallest as JSON. Rows are judged each by its own text; null and blank
+    texts form one group. Columns may have any name and type and come back
+    as they were; an empty table gives an empty result.
+
+    Only rows that a fixed-size bit table of those to drop does not clear
+    are shuffled."""
     fp = cut_lineage(fingerprints(docs, doc_id, text, shingle, keys=True))
     row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t1", "t2")
     keys = fp.groupBy("doc_id", "t1", "t2", "fp").agg(F.count("*").alias("n")).withColumn("row", row)
     low = _least(keys.groupBy("fp").agg(F.min("row").alias("low")), max_bits, None, PROBE_ABOVE)
+    p = fresh(docs)
+    own, theirs = ([f"{p}{n}" for n in x] for x in (("d", "t1", "t2"), ("ad", "at1", "at2")))
     away = keys.join(low, "fp").where((F.col("row") != F.col("low")) | (F.col("n") > 1)).select(
-        F.col("doc_id").alias("_d"), F.col("t1").alias("_t1"), F.col("t2").alias("_t2"), (F.col("row") == F.col("low")).alias("_again"))
+        *[F.col(c).alias(a) for c, a in zip(("doc_id", "t1", "t2"), theirs)], (F.col("row") == F.col("low")).alias(f"{p}again"))
     away = cut_lineage(away)
-    t1, t2 = _text_keys(docs[text].cast("string"))
-    on = docs[doc_id].cast("long").eqNullSafe(F.col("_d")) & (t1 == F.col("_t1")) & (t2 == F.col("_t2"))
-    left = docs.join(away, on, "left_anti")
-    again = away.where("_again")                  # kept rows that stand there more than once
+    if away.isEmpty():
+        return docs
+    values = [docs[doc_id].cast("long"), *_text_keys(docs[text].cast("string"))]
+    rows = docs.select("*", *[v.alias(n) for v, n in zip(values, own)]).withColumn(f"{p}h", F.xxhash64(*own))
+    others, suspects = sift(rows, f"{p}h", away.select(F.xxhash64(*theirs).alias("h")), "h")
+    on = [F.col(a).eqNullSafe(F.col(b)) for a, b in zip(own, theirs)]
+    left = others.unionByName(suspects.join(away, on, "left_anti")).drop(*own, f"{p}h")
+    again = away.where(F.col(f"{p}again"))        # kept rows that stand there more than once
     if again.isEmpty():
         return left
-    whole = F.struct(*[docs[c] for c in docs.columns])
-    one = docs.join(again, on).groupBy("_d", "_t1", "_t2").agg(F.min_by(whole, F.to_json(whole)).alias("_row"))
-    return left.unionByName(one.select("_row.*"))
+    whole = F.struct(*[suspects[c] for c in docs.columns])
+    one = suspects.join(again, on).groupBy(*theirs).agg(F.min_by(whole, F.to_json(whole)).alias(f"{p}row"))
+    return left.unionByName(one.select(f"{p}row.*"))
 
 
 def digest(groups: DataFrame) -> DataFrame:

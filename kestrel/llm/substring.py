@@ -20,9 +20,11 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from kestrel.llm.common import (U64, bloom_contains, bloom_filter, column, encode_words, hash_strings, mix64,
                                 odd_multipliers, planes, ragged_take, release, split_words, text_chunks, unplanes)
+from kestrel.llm.native import fresh, plain, unplain
 from kestrel.session import cut_lineage
 
 #: Order of a null doc_id: after every other (shown as null in results).
@@ -392,7 +394,8 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     results: one row per input row: doc_id, n_words, n_removed,
     kept_sha256; ``with_text`` instead the input's columns, whatever they
     are, with the kept text (the input text where no word goes; else the
-    kept words joined by a space) and _removed. A word goes if a
+    kept words joined by a space) and n_removed as the last column, under a
+    name that no column has. A word goes if a
     window of ``k`` words over it also starts in a document with a smaller
     doc_id.
     spans: doc_id, start, windows, owner, place: the compacted repeats, each
@@ -406,7 +409,7 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     others = [c for c in docs.columns if c != text] if with_text else []
     carry = [f"c{i}" for i in range(len(others))]
     full = docs.select(F.col(doc_id).cast("long").alias("d"), F.col(text).cast("string").alias("t"),
-                       *[docs[c].alias(a) for c, a in zip(others, carry)])
+                       *[plain(docs[c], docs.schema[c].dataType).alias(a) for c, a in zip(others, carry)])
     src = full.select("d", "t")
     bits, parts = _part_counts(src)
     mapped = src.mapInArrow(_edges(k, bits, parts, hash_bits),
@@ -418,7 +421,7 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     null = {n: F.lit(None).cast("binary").alias(n) for n in ("edge", "owner", "place")}
     together = (claims.select("part", "doc", "edge", "owner", "place", *none)
                 .unionByName(texts.select("part", "doc", *null.values(), "size", "texts", "more")))
-    shape = ", ".join([RESOLVED, *[f"{a} {docs.schema[c].dataType.simpleString()}" for c, a in zip(others, carry)]])
+    shape = T.StructType([*T.StructType.fromDDL(RESOLVED).fields, *[T.StructField(a, full.schema[a].dataType) for a in carry]])
     resolved = cut_lineage(together.repartition(parts, "part").groupBy("part")
                            .applyInArrow(_resolve(k, hash_bits, with_text, carry), shape))
     spans = resolved.where("kind = 1").select("doc_id", "start", "windows", "owner", "place", "digest")
@@ -429,8 +432,9 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     back = lambda c: F.when(F.col(c) != NULL_ID, F.col(c)).alias(c)
     rows = resolved.where("kind = 0")
     if with_text:
-        name = dict(zip(others, carry)) | {text: "kept"}
-        results = rows.select(*[F.col(name[c]).alias(c) for c in docs.columns], F.col("n_removed").alias("_removed"))
+        name = dict(zip(others, carry))
+        results = rows.select(*[unplain(F.col(name[c]), docs.schema[c].dataType).alias(c) if c in name else F.col("kept").alias(c)
+                                for c in docs.columns], F.col("n_removed").alias(f"{fresh(docs)}removed"))
     else:
         results = rows.select(back("doc_id"), "n_words", "n_removed", "kept_sha256")
     return results, spans.select(back("doc_id"), "start", "windows", back("owner"), "place")
@@ -536,10 +540,13 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                    n_chars: str | None = None) -> DataFrame:
     """``docs`` with the repeated words taken out of the texts (a text may
     be left empty; the row stays); ``n_chars`` names a length column to
-    bring up to date."""
+    bring up to date. Null and blank texts stay as they are, a null doc_id
+    counts as larger than any other, rows of one doc_id take no words from
+    each other; columns may have any name and type; an empty table gives an
+    empty result."""
     out = repeated_spans(docs, doc_id, text, k, with_text=True)[0]
     if n_chars:
-        size = F.when(F.col("_removed") > 0, F.length(text)).otherwise(F.col(n_chars))
+        size = F.when(F.col(out.columns[-1]) > 0, F.length(text)).otherwise(F.col(n_chars))
         out = out.withColumn(n_chars, size.cast(docs.schema[n_chars].dataType))
     return out.select(*docs.columns)
 
