@@ -1338,3 +1338,5 @@ def q_stream_daily_kpis(spark, sf):
                         F.col("window_end").cast("timestamp_ntz").alias("window_end"),
                         *[c for c in out.columns if c not in ("window_start", "window_end")]),
              skip=("avg_order_value",))
+
+from kestrel.plans import temporal_queries  # noqa: E402,F401
