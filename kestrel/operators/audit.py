@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 # Report-audit patterns (evidence tags, citations, numbers,
 # citation-map rows, causal and significance wording, p-value mentions).
 EV_TAG = r"\[\[(?:EV:)?(EV-[a-f0-9]{10})\]\]"
-CITE = r"\[([0-9]{1,4})\]"
-CITE_MAP_LINE = r"^\|\s*\[([0-9]{1,4})\]\s*\|\s*(EV-[a-f0-9]{10})\s*\|"
+CITE = r"\[(\d{1,4})\]"
+CITE_MAP_LINE = r"^\|\s*\[(\d{1,4})\]\s*\|\s*(EV-[a-f0-9]{10})\s*\|"
+# a word character is any letter or digit here, as for Unicode patterns elsewhere; the JVM's \w has ASCII only
 NUMBER = r"(?<![\p{L}\p{N}_-])[0-9]"
 CAUSAL = r"(?i)\b(caused|causes|proved|proves|guarantees|drives growth|causal(?:ly)?)\b"
 SIGNIFICANCE = r"(?i)\b(statistically significant|significant improvement|significant lift)\b"

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kestrel.functions.columns import require_columns
+from kestrel.session import cut_lineage
 
 # Default warning thresholds of the quality report.
 MISSINGNESS_WARN = 0.2
@@ -39,14 +40,60 @@ def missingness(df: DataFrame, threshold: float = MISSINGNESS_WARN) -> DataFrame
         .withColumn("warn", F.col("missing_frac") >= threshold)
 
 
-def duplicate_rate(df: DataFrame, subset: list[str] | None = None) -> DataFrame:
+def _digest(df: DataFrame, keys: list[str]) -> list:
+    """Two 64-bit hashes of a row's values: equal for rows that a group-by
+    holds equal (NULL = NULL, NaN = NaN, -0.0 = 0.0)."""
+    cells = []
+    for c in keys:
+        v = df[c]
+        if isinstance(df.schema[c].dataType, (T.DoubleType, T.FloatType)):
+            v = F.when(v == 0, F.lit(0.0)).otherwise(v)
+        cells += [v.isNull(), v]                     # a hash skips nulls, so their places go in
+    return [F.xxhash64(*cells), F.xxhash64(F.lit(1), *cells)]
+
+
+def _flat(df: DataFrame, keys: list[str]) -> bool:
+    return not any(isinstance(df.schema[c].dataType, (T.ArrayType, T.MapType, T.StructType, T.VariantType)) for c in keys)
+
+
+def _marked(df: DataFrame, keys: list[str], digest) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows with their digests, digests counted, digests met twice)."""
+    p = "_h"
+    while any(c.lower().startswith(p) for c in df.columns):
+        p = "_" + p
+    one, two = digest(df, keys)
+    rows = df.select("*", one.alias(f"{p}1"), two.alias(f"{p}2"))
+    count = rows.groupBy(f"{p}1", f"{p}2").agg(F.count(F.lit(1)).alias("n"))
+    again = cut_lineage(count.where("n > 1").select(F.col(f"{p}1").alias(f"{p}3"), F.col(f"{p}2").alias(f"{p}4")))
+    return rows, count, again
+
+
+def _same(rows: DataFrame, again: DataFrame):
+    (a, b), (c, d) = rows.columns[-2:], again.columns
+    return (F.col(a) == F.col(c)) & (F.col(b) == F.col(d))
+
+
+def duplicate_rate(df: DataFrame, subset: list[str] | None = None, digest=_digest) -> DataFrame:
     """Q2: share of rows equal (NULL = NULL) to an earlier row, on all
-    columns or on a key subset. One row (n_rows, n_distinct, duplicate_rate)."""
+    columns or on a key subset. One row (n_rows, n_distinct, duplicate_rate).
+
+    Rows are counted by a 128-bit digest, so a unique row shuffles 24 bytes
+    whatever its width; only rows whose digest is met again are compared in
+    full, which makes the count exact whatever collides. Nested columns have
+    no digest and are grouped in full."""
     keys = subset or df.columns
     require_columns(df, *keys)
-    per = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_c"))
-    return per.agg(F.coalesce(F.sum("_c"), F.lit(0)).cast("long").alias("n_rows"),
-                   F.count(F.lit(1)).alias("n_distinct")).select(
+    n_distinct = F.count(F.lit(1)).alias("n_distinct")
+    if _flat(df, keys):
+        rows, count, again = _marked(df, keys, digest)
+        once = count.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("n_rows"), F.count_if(F.col("n") == 1).alias("n_once"))
+        more = rows.join(again, _same(rows, again), "left_semi").select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keys)])
+        more = more.groupBy(*more.columns).agg(F.lit(1)).agg(F.count(F.lit(1)).alias("n_more"))
+        total = once.crossJoin(more).select("n_rows", (F.col("n_once") + F.col("n_more")).alias("n_distinct"))     # one row each
+    else:
+        per = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_c"))
+        total = per.agg(F.coalesce(F.sum("_c"), F.lit(0)).cast("long").alias("n_rows"), n_distinct)
+    return total.select(
         "n_rows", "n_distinct",
         F.when(F.col("n_rows") > 0, 1 - F.col("n_distinct") / F.col("n_rows")).otherwise(F.lit(0.0))
         .alias("duplicate_rate"))
@@ -172,9 +219,18 @@ def quality_report(df: DataFrame, missingness_warn: float = MISSINGNESS_WARN,
     return res
 
 
-def deduplicate(df: DataFrame, subset: list[str] | None = None) -> DataFrame:
-    """CL1: exact duplicate rows removed (one shuffle on the row or key)."""
-    return df.dropDuplicates(subset) if subset else df.dropDuplicates()
+def deduplicate(df: DataFrame, subset: list[str] | None = None, digest=_digest) -> DataFrame:
+    """CL1: exact duplicate rows removed (of a key's rows any one stays).
+    Rows whose digest (see ``duplicate_rate``) is met once pass; only the
+    others are compared in full."""
+    keys = subset or df.columns
+    if not _flat(df, keys):
+        return df.dropDuplicates(subset) if subset else df.dropDuplicates()
+    rows, _, again = _marked(df, keys, digest)
+    same = _same(rows, again)
+    marks = rows.columns[-2:]
+    single = rows.join(again, same, "left_anti").drop(*marks)
+    return single.unionByName(rows.join(again, same, "left_semi").drop(*marks).dropDuplicates(keys))
 
 
 def dedup_report(df: DataFrame, subset: list[str] | None = None) -> DataFrame:

@@ -887,6 +887,7 @@ def q_ols_by_segment(spark, sf):
 
 from kestrel.operators import audit as AU  # noqa: E402
 from kestrel.operators import ledger as LG  # noqa: E402
+from kestrel.operators import review as RV  # noqa: E402
 
 
 @register("uncited_claims", r"""
@@ -920,6 +921,44 @@ def q_wording_flags(spark, sf):
     return AU.wording_flags(table(spark, sf, "documents"), "doc_id", "text")
 
 
+# Reports made from the documents' ids, so that every rule fires for some and not for others.
+_REPORT = """CASE WHEN doc_id % 17 = 0 THEN ' ' ELSE concat('## 1) Executive Summary\n',
+  CASE doc_id % 3 WHEN 0 THEN 'Revenue grew to 89 [1].\n' WHEN 1 THEN 'Revenue grew to 89.\n' ELSE 'Up [[EV:EV-00000000aa]] by 5.\n' END,
+  CASE WHEN doc_id % 5 = 0 THEN 'The campaign caused the lift.\n' ELSE '' END,
+  CASE WHEN doc_id % 7 = 0 THEN 'Business question: what causes churn?\n' ELSE '' END, '## 5) Analysis Outputs\n',
+  CASE WHEN doc_id % 4 = 0 THEN 'A statistically significant lift.\n' ELSE '| table | 7 |\n' END,
+  CASE WHEN doc_id % 8 = 0 THEN 'p-value below.\n### Confidence Intervals\n### Effect Sizes\n' ELSE '' END,
+  CASE WHEN doc_id % 2 = 0 THEN '### Statistical Questions Evaluated\n' ELSE '' END,
+  CASE WHEN doc_id % 11 = 0 THEN '' WHEN doc_id % 13 = 0 THEN '## 6) Limitations\nFew.\n'
+       ELSE '## 6) Limitations\nFew.\n### Statistical Limitations\n' END,
+  '## 8) Evidence References\n', CASE WHEN doc_id % 6 = 3 THEN '' ELSE '| [1] | EV-00000000aa | x |\n' END) END"""
+
+
+@register("review_reports", """
+WITH b AS (SELECT doc_id AS d, doc_id % 17 <> 0 AS f, doc_id % 17 <> 0 AND doc_id % 6 <> 3 AS m, doc_id % 17 <> 0 AND doc_id % 3 = 2 AS t,
+    doc_id % 9 <> 0 AS k FROM documents),
+s AS (SELECT *, f AND (d % 2 = 0 OR ((m OR t) AND k AND d % 10 = 5)) AS s FROM b),
+r AS (SELECT *, list_filter([CASE WHEN NOT f THEN 'empty_report' END, CASE WHEN NOT t AND NOT m THEN 'no_evidence' END,
+  CASE WHEN f AND d % 3 = 0 AND NOT m THEN 'unmapped_citations' END, CASE WHEN (t OR m) AND NOT k THEN 'missing_evidence' END,
+  CASE WHEN f AND (d % 3 = 1 OR (d % 3 = 0 AND NOT m)) THEN 'uncited_numbers' END, CASE WHEN s AND d % 11 = 0 THEN 'no_limitations' END,
+  CASE WHEN s AND (d % 11 = 0 OR d % 13 = 0) THEN 'no_statistical_limitations' END,
+  CASE WHEN s AND d % 4 = 0 AND d % 8 <> 0 THEN 'unsupported_significance' END,
+  CASE WHEN s AND d % 5 = 0 THEN 'causal_wording' END], lambda x: x IS NOT NULL) AS rules FROM s)
+SELECT d AS doc_id, CASE WHEN len(list_filter(rules, lambda x: x NOT IN ('no_evidence', 'no_statistical_limitations'))) > 0 THEN 'fail'
+  WHEN len(rules) > 0 THEN 'warn' ELSE 'pass' END AS verdict, array_to_string(rules, ',') AS rules,
+  CASE WHEN f AND d % 3 = 0 AND NOT m THEN '1' ELSE '' END AS unmapped, CASE WHEN list_contains(rules, 'uncited_numbers') THEN 1 ELSE 0 END AS n_uncited
+FROM r""")
+def q_review_reports(spark, sf):
+    ids = table(spark, sf, "documents").select("doc_id")
+    path = F.when(F.col("doc_id") % 10 == 5, "statistics/t.json").otherwise("tables/x.csv")
+    one = F.array(F.struct(F.lit("EV-00000000aa").alias("id"), path.alias("artifact_path")))
+    reports = ids.select("doc_id", F.expr(_REPORT).alias("report"),
+                         F.when(F.col("doc_id") % 9 != 0, one).otherwise(F.array().cast("array<struct<id:string,artifact_path:string>>")).alias("evidence"))
+    r = RV.review_reports(reports, "doc_id", "report", "evidence")
+    return r.select("doc_id", "verdict", F.array_join("rules", ",").alias("rules"), F.array_join(F.col("unmapped_citations").cast("array<string>"), ",")
+                    .alias("unmapped"), F.size("uncited_lines").alias("n_uncited"))
+
+
 def _stmt_sql():
     kw = " ".join(f"WHEN regexp_matches(lq, '\\b{k}\\b') THEN '{k}'" for k in AU.SQL_DENY_KEYWORDS)
     return rf"""
@@ -991,24 +1030,68 @@ SELECT run_id, arg_max(status, ts) AS status, MIN(ts) FILTER (WHERE status = 'ru
        MIN(ts) FILTER (WHERE status IN ('completed', 'failed')) AS completed_at, COUNT(*) AS n_events,
        arg_max(error_message, ts) FILTER (WHERE status = 'failed') AS last_error FROM e GROUP BY run_id""")
 def q_run_state(spark, sf):
-    return LG.run_state(_ledger_events(spark, sf), "run_id", "ts", "status", "error_message")
+    return LG.run_state(_ledger_events(spark, sf), "run_id", "ts", "status", "error_message", tiebreak="event_id")
 
 
 @register("artifact_upsert", """
 SELECT user_id, event_type, arg_max(event_id, ts) AS event_id, MAX(ts) AS ts, arg_max(value, ts) AS value,
        arg_max(props, ts) AS props, COUNT(*) AS n_writes FROM events GROUP BY 1, 2""")
 def q_artifact_upsert(spark, sf):
-    return LG.artifact_upsert(table(spark, sf, "events"), "user_id", "event_type", "ts")
+    return LG.artifact_upsert(table(spark, sf, "events"), "user_id", "event_type", "ts", tiebreak="event_id")
+
+
+_PATHS = [("charts/a{}.svg", "chart"), ("x/qa_{}.png", "chart"), ("x/q_{}.png", "artifact"), ("run{}/Final_Report.md", "markdown_report"),
+          ("run{}/cleaned.csv", "cleaned_csv"), ("run{}/data_profile.json", "profile_json"), ("run{}/quality_report.json", "validation_json"),
+          ("q{}.SQL", "sql_query"), ("d{}.json", "json"), ("t{}.csv", "csv"), ("n{}.md", "markdown"), ("l{}.txt", "text"), ("m{}/charts/x", "artifact")]
 
 
-@register("artifact_types", r"""
-SELECT page_id, url, CASE WHEN regexp_matches(url, '(?i)\.md$') THEN 'report'
-  WHEN regexp_matches(url, '(?i)\.(png|jpg|jpeg|svg)$') THEN 'chart' WHEN regexp_matches(url, '(?i)\.(csv|parquet)$') THEN 'table'
-  WHEN regexp_matches(url, '(?i)\.json$') THEN 'json' WHEN regexp_matches(url, '(?i)\.(log|txt)$') THEN 'log'
-  WHEN regexp_matches(url, '(?i)\.html?$') THEN 'html' ELSE 'file' END AS artifact_type FROM pages""")
+@register("artifact_types", "SELECT page_id, CASE page_id % 13 " + " ".join(
+    f"WHEN {i} THEN replace('{p}', '{{}}', page_id::VARCHAR)" for i, (p, _) in enumerate(_PATHS)) + " END AS path, CASE page_id % 13 " + " ".join(
+    f"WHEN {i} THEN '{t}'" for i, (_, t) in enumerate(_PATHS)) + " END AS artifact_type FROM pages")
 def q_artifact_types(spark, sf):
+    """LG4 on paths made from the pages' ids."""
     p = table(spark, sf, "pages")
-    return p.select("page_id", "url", LG.artifact_type(F.col("url")).alias("artifact_type"))
+    path = F.replace(F.element_at(F.array(*[F.lit(x) for x, _ in _PATHS]), (F.col("page_id") % 13 + 1).cast("int")), F.lit("{}"),
+                     F.col("page_id").cast("string"))
+    return p.select("page_id", path.alias("path")).select("page_id", "path", LG.artifact_type(F.col("path")).alias("artifact_type"))
+
+
+def _metadata(kind):
+    """An event's JSON, as text both engines build alike: a key that all
+    write, one of its kind, one of three nested ones."""
+    text = """concat('{"step":', ID, ',"by_type":{"', event_type, '":', ID, '},"slot', SLOT, '":{"id":', ID, ',"ok":true}}')"""
+    return text.replace("ID", f"CAST(event_id AS {kind})").replace("SLOT", f"CAST(event_id % 3 AS {kind})")
+
+
+@register("run_metadata", """
+WITH m AS (SELECT user_id, ts, event_id, METADATA AS j FROM events),
+e AS (SELECT user_id, ts, event_id, key, json_extract(j, '$.' || key)::VARCHAR AS value FROM (SELECT *, unnest(json_keys(j)) AS key FROM m))
+SELECT user_id, key, value FROM e QUALIFY row_number() OVER (PARTITION BY user_id, key ORDER BY ts DESC, event_id DESC) = 1""".replace("METADATA", _metadata("VARCHAR")))
+def q_run_metadata(spark, sf):
+    e = table(spark, sf, "events").withColumn("meta", F.expr(_metadata("STRING")))
+    return LG.run_metadata(e, "user_id", "ts", "meta", "event_id")
+
+
+@register("run_metadata_deep", """
+WITH p AS (SELECT user_id, ts, event_id, unnest([['step', event_id::VARCHAR], ['by_type.' || event_type, event_id::VARCHAR],
+    ['slot' || (event_id % 3)::VARCHAR || '.id', event_id::VARCHAR], ['slot' || (event_id % 3)::VARCHAR || '.ok', 'true']]) AS x FROM events)
+SELECT user_id, x[1] AS key, x[2] AS value FROM p QUALIFY row_number() OVER (PARTITION BY user_id, x[1] ORDER BY ts DESC, event_id DESC) = 1""")
+def q_run_metadata_deep(spark, sf):
+    e = table(spark, sf, "events").withColumn("meta", F.expr(_metadata("STRING")))
+    return LG.run_metadata(e, "user_id", "ts", "meta", "event_id", deep=True)
+
+
+@register("run_details", f"""
+WITH r AS (SELECT user_id, arg_max({_STATUS_SQL}, ts) AS status, count(*) AS n_events FROM events WHERE user_id % 4 <> 0 GROUP BY 1),
+a AS (SELECT user_id, event_type, arg_max(event_id, ts) AS event_id, count(*) AS n_writes FROM events WHERE user_id % 3 <> 0 GROUP BY 1, 2)
+SELECT r.user_id, r.status, r.n_events, a.event_type, a.event_id, a.n_writes FROM r LEFT JOIN a USING (user_id)""")
+def q_run_details(spark, sf):
+    """LG5: each user's events as a run and its latest writes as artifacts;
+    some users have no artifacts, some artifacts no run."""
+    ev = _ledger_events(spark, sf).where("run_id % 4 <> 0")
+    runs = LG.run_state(ev, "run_id", "ts", "status", tiebreak="event_id").select(F.col("run_id").alias("user_id"), "status", "n_events")
+    arts = LG.artifact_upsert(table(spark, sf, "events").where("user_id % 3 <> 0"), "user_id", "event_type", "ts", "event_id")
+    return LG.run_details(runs, arts.select("user_id", "event_type", "event_id", "n_writes"), "user_id")
 
 
 @register("run_listing", """
