@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from kestrel.session import cut_lineage
+
 
 def let(value, body):
     """``body`` of a value that is computed once per row (an expression
@@ -26,8 +28,7 @@ SIEVE_BITS = 23
 
 
 def sift(rows: DataFrame, key: str, keys: DataFrame, wanted: str) -> tuple[DataFrame, DataFrame]:
-    """(others, suspects): ``rows`` cut by a broadcast bit table of fixed
-    size that holds the hashes ``wanted`` of ``keys``. ``key`` is such a hash
+    """(others, suspects): ``rows`` cut by a bit table of fixed size that holds the hashes ``wanted`` of ``keys``. ``key`` is such a hash
     in every row. Rows whose hash is wanted are all among the suspects, with
     a share of the rest that grows with the number of keys; so a join with
     the keys need not move the others."""
@@ -35,15 +36,14 @@ def sift(rows: DataFrame, key: str, keys: DataFrame, wanted: str) -> tuple[DataF
     slot = F.pmod(F.col(wanted), F.lit(1 << SIEVE_BITS))
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), slot.bitwiseAND(F.lit(63)).cast("int"))
     words = keys.select(F.shiftright(slot, 6).alias("w"), bit.alias("v")).groupBy("w").agg(F.bit_or("v").alias("v"))
-    p = fresh(rows)
     table = (spark.range(1 << (SIEVE_BITS - 6)).join(words, F.col("id") == F.col("w"), "left")
              .agg(F.sort_array(F.collect_list(F.struct("id", F.coalesce("v", F.lit(0).cast("long")).alias("v")))).alias("x"))
-             .select(F.transform("x", lambda x: x["v"]).alias(p)))
+             .select(F.transform("x", lambda x: x["v"]).alias("bits")))
     at = F.pmod(F.col(key), F.lit(1 << SIEVE_BITS))
-    held = F.get(F.col(p), F.shiftright(at, 6).cast("int")).bitwiseAND(
+    # a scalar, not a joined row: joins with the keys would be pushed below a join
+    held = F.get(cut_lineage(table).scalar(), F.shiftright(at, 6).cast("int")).bitwiseAND(
         F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(F.lit(63)).cast("int"))) != 0
-    marked = rows.crossJoin(F.broadcast(table))                 # one row of a fixed size
-    return marked.where(~held).drop(p), marked.where(held).drop(p)
+    return rows.where(~held), rows.where(held)
 
 
 def plain(column, kind: T.DataType):
