@@ -38,21 +38,21 @@ def register(name: str, sql: str | None = None):
 SELECT country, ROUND(CAST(SUM(revenue) AS DOUBLE), 6) AS value FROM sales
 WHERE country IS NOT NULL GROUP BY country""")
 def q_groupby_agg(spark, sf):
-    return R(A.groupby_agg(sales(spark, sf), "country", "revenue", "sum"))
+    return R(A.groupby_agg(sales(spark, sf, columns=["country", "revenue"]), "country", "revenue", "sum"))
 
 
 @register("groupby2_agg", SALES_CTE + """
 SELECT region, segment, ROUND(AVG(quantity), 6) AS value FROM sales
 WHERE region IS NOT NULL AND segment IS NOT NULL GROUP BY 1, 2""")
 def q_groupby2_agg(spark, sf):
-    return R(A.groupby2_agg(sales(spark, sf), "region", "segment", "quantity", "mean"))
+    return R(A.groupby2_agg(sales(spark, sf, columns=["region", "segment", "quantity"]), "region", "segment", "quantity", "mean"))
 
 
 @register("topk", SALES_CTE + """
 SELECT customer_id, ROUND(CAST(SUM(revenue) AS DOUBLE), 6) AS value FROM sales
 WHERE customer_id IS NOT NULL GROUP BY 1 ORDER BY value DESC, customer_id LIMIT 10""")
 def q_topk(spark, sf):
-    return R(A.topk(sales(spark, sf), "customer_id", "revenue", "sum", k=10))
+    return R(A.topk(sales(spark, sf, columns=["customer_id", "revenue"]), "customer_id", "revenue", "sum", k=10))
 
 
 @register("segment_share", SALES_CTE + """,
@@ -61,7 +61,7 @@ g AS (SELECT product_category k, CAST(SUM(revenue) AS DOUBLE) v FROM sales
 SELECT k AS segment, ROUND(v, 6) AS value, ROUND(v / SUM(v) OVER (), 6) AS share_pct,
        ROUND(v / (SELECT SUM(v) FROM g), 6) AS share_of_total FROM g""")
 def q_segment_share(spark, sf):
-    return R(A.segment_analysis(sales(spark, sf), "product_category", "revenue", "sum"))
+    return R(A.segment_analysis(sales(spark, sf, columns=["product_category", "revenue"]), "product_category", "revenue", "sum"))
 
 
 @register("filter_agg", SALES_CTE + """
@@ -69,7 +69,7 @@ SELECT 'segment' AS filter_col, 'BUILDING' AS filter_val,
        ROUND(CAST(COALESCE(SUM(revenue), 0) AS DOUBLE), 6) AS value
 FROM sales WHERE segment = 'BUILDING'""")
 def q_filter_agg(spark, sf):
-    return R(A.filter_agg(sales(spark, sf), "segment", "BUILDING", "revenue", "sum"))
+    return R(A.filter_agg(sales(spark, sf, columns=["segment", "revenue"]), "segment", "BUILDING", "revenue", "sum"))
 
 
 @register("focus_rank", SALES_CTE + """,
@@ -80,7 +80,7 @@ SELECT f.k AS focus, ROUND(f.v, 6) AS focus_value,
        COUNT(*) AS n_segments, ROUND(MAX(g.v), 6) AS top_value, ROUND(MAX(g.v) - f.v, 6) AS gap_to_top
 FROM g CROSS JOIN f GROUP BY f.k, f.v""")
 def q_focus_rank(spark, sf):
-    return R(RK.focus_rank(sales(spark, sf), "country", "revenue", "NATION_7"))
+    return R(RK.focus_rank(sales(spark, sf, columns=["country", "revenue"]), "country", "revenue", "NATION_7"))
 
 
 @register("leader_margin", SALES_CTE + """,
@@ -91,7 +91,7 @@ SELECT (SELECT arg_max(k, v) FROM t) AS leader, (SELECT ROUND(MAX(v), 6) FROM t)
        (SELECT arg_min(k, v) FROM b) AS laggard, (SELECT ROUND(MIN(v), 6) FROM b) AS laggard_value,
        (SELECT ROUND(MAX(v) - MIN(v), 6) FROM b) AS laggard_margin""")
 def q_leader_margin(spark, sf):
-    return R(RK.leader_margin(sales(spark, sf), "segment", "revenue"))
+    return R(RK.leader_margin(sales(spark, sf, columns=["segment", "revenue"]), "segment", "revenue"))
 
 
 @register("distribution", """
@@ -114,7 +114,7 @@ SELECT 'customer_id' AS group_by, 'revenue' AS metric, 'sum' AS agg, COUNT(v) AS
        ROUND(quantile_cont(v, 0.99), 6) AS q0_99, ROUND(MAX(v), 6) AS max_group_value,
        ROUND(MIN(v), 6) AS min_group_value, ROUND(AVG(v), 6) AS mean_group_value FROM g""")
 def q_group_distribution(spark, sf):
-    return R(A.group_distribution(sales(spark, sf), "customer_id", "revenue", "sum"))
+    return R(A.group_distribution(sales(spark, sf, columns=["customer_id", "revenue"]), "customer_id", "revenue", "sum"))
 
 
 @register("high_value_groups", SALES_CTE + """,
@@ -122,7 +122,7 @@ g AS (SELECT customer_id, CAST(SUM(revenue) AS DOUBLE) v FROM sales WHERE custom
 t AS (SELECT quantile_cont(v, 0.9) thr FROM g)
 SELECT customer_id, ROUND(v, 6) AS value, ROUND(thr, 6) AS threshold FROM g, t WHERE v >= thr""")
 def q_high_value_groups(spark, sf):
-    return R(RK.high_value_groups(sales(spark, sf), "customer_id", "revenue", "sum", 0.9))
+    return R(RK.high_value_groups(sales(spark, sf, columns=["customer_id", "revenue"]), "customer_id", "revenue", "sum", 0.9))
 
 
 _CORR_COLS = ["quantity", "unit_price", "discount_pct", "revenue"]
@@ -143,7 +143,7 @@ def _corr_sql():
 
 @register("correlation_matrix", _corr_sql())
 def q_correlation_matrix(spark, sf):
-    return R(A.correlation_matrix(sales(spark, sf), _CORR_COLS))
+    return R(A.correlation_matrix(sales(spark, sf, columns=_CORR_COLS), _CORR_COLS))
 
 
 @register("recency", """
@@ -193,7 +193,7 @@ SELECT region, segment, ROUND(CAST(COALESCE(SUM(revenue), 0) AS DOUBLE), 6) AS v
 FROM sales GROUP BY CUBE (region, segment)""")
 def q_cube_totals(spark, sf):
     from pyspark.sql import functions as F
-    d = A.cube_agg(sales(spark, sf), ["region", "segment"], "revenue", "sum")
+    d = A.cube_agg(sales(spark, sf, columns=["region", "segment", "revenue"]), ["region", "segment"], "revenue", "sum")
     return R(d.withColumn("grouping_id", F.col("grouping_id").cast("int")))
 
 
@@ -305,7 +305,7 @@ SELECT 'unit_revenue' AS name, segment, ROUND(AVG(CAST(revenue AS DOUBLE) / quan
        COUNT(*) FILTER (WHERE quantity = 0 OR quantity IS NULL OR revenue IS NULL) AS n_undefined
 FROM sales WHERE segment IS NOT NULL GROUP BY segment""")
 def q_metric_expression(spark, sf):
-    return R(K.metric_definition(sales(spark, sf), "unit_revenue", expression="revenue / quantity",
+    return R(K.metric_definition(sales(spark, sf, columns=["segment", "revenue", "quantity"]), "unit_revenue", expression="revenue / quantity",
                                  group_by="segment"))
 
 
@@ -313,7 +313,7 @@ def q_metric_expression(spark, sf):
 SELECT 'median_quantity' AS name, region, ROUND(MEDIAN(quantity), 6) AS value
 FROM sales WHERE region IS NOT NULL GROUP BY region""")
 def q_metric_definition(spark, sf):
-    return R(K.metric_definition(sales(spark, sf), "median_quantity", metric_col="quantity",
+    return R(K.metric_definition(sales(spark, sf, columns=["region", "quantity"]), "median_quantity", metric_col="quantity",
                                  agg="median", group_by="region"))
 
 
@@ -1134,7 +1134,7 @@ c AS (SELECT x, y, CAST(COALESCE(SUM(m), 0) AS DOUBLE) v FROM b WHERE x IN (SELE
       GROUP BY 1, 2)
 SELECT xs.x, ys.y, ROUND(COALESCE(c.v, 0.0), 6) AS value FROM xs CROSS JOIN ys LEFT JOIN c ON c.x = xs.x AND c.y = ys.y""")
 def q_heatmap_cells(spark, sf):
-    return R(CH.heatmap_cells(sales(spark, sf), "country", "product_category", "revenue", "sum"))
+    return R(CH.heatmap_cells(sales(spark, sf, columns=["country", "product_category", "revenue"]), "country", "product_category", "revenue", "sum"))
 
 
 @register("schema_inventory", """
@@ -1208,7 +1208,7 @@ _DRIVER_ARGS = dict(metric="revenue", dim="country", dim2="segment", drivers=["q
 
 @register("driver_suite", _suite_sql())
 def q_driver_suite(spark, sf):
-    return R(SU.driver_suite(sales(spark, sf), **_DRIVER_ARGS))
+    return R(SU.driver_suite(sales(spark, sf, columns=["order_date", "country", "segment", "quantity", "discount_pct", "revenue"]), **_DRIVER_ARGS))
 
 
 @register("metric_suite", SALES_CTE + """
@@ -1282,14 +1282,14 @@ def q_adjusted_pvalues(spark, sf):
 SELECT region, segment, ROUND(CAST(SUM(revenue) AS DOUBLE), 6) AS value FROM sales
 WHERE region IS NOT NULL AND segment IS NOT NULL GROUP BY 1, 2 ORDER BY value DESC, region, segment LIMIT 1""")
 def q_top_pair(spark, sf):
-    return R(RK.top_pair(sales(spark, sf), "region", "segment", "revenue"))
+    return R(RK.top_pair(sales(spark, sf, columns=["region", "segment", "revenue"]), "region", "segment", "revenue"))
 
 
 @register("bar_data", SALES_CTE + """
 SELECT CAST(product_category AS VARCHAR) AS label, ROUND(CAST(SUM(revenue) AS DOUBLE), 6) AS value FROM sales
 WHERE product_category IS NOT NULL GROUP BY 1""")
 def q_bar_data(spark, sf):
-    g = A.groupby_agg(sales(spark, sf), "product_category", "revenue", "sum", limit=0)
+    g = A.groupby_agg(sales(spark, sf, columns=["product_category", "revenue"]), "product_category", "revenue", "sum", limit=0)
     return R(CH.bar_data(g, "product_category", "value"))
 
 
@@ -1345,7 +1345,7 @@ SELECT customer_id, ROUND(CAST(SUM(revenue) AS DOUBLE), 6) AS value FROM sales W
 GROUP BY 1 HAVING SUM(revenue) > 1000000""")
 def q_having_filter(spark, sf):
     """AG14: a condition on the aggregate is a filter on the grouped result."""
-    g = A.groupby_agg(sales(spark, sf), "customer_id", "revenue", "sum", limit=0)
+    g = A.groupby_agg(sales(spark, sf, columns=["customer_id", "revenue"]), "customer_id", "revenue", "sum", limit=0)
     return R(g.where(F.col("value") > 1000000))
 
 
