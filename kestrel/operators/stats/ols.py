@@ -23,20 +23,22 @@ from pyspark.sql import types as T
 
 from kestrel.functions.columns import numeric_col, require_columns
 from kestrel.functions.special import chi2_sf, f_sf, t_ppf, t_pvalue
+from kestrel.session import cut_lineage
 
 MAX_LEVELS = 200
 TREE_WIDTH = 32
 
 
-def _design(df: DataFrame, target: str, predictors: list[str], max_levels: int = MAX_LEVELS):
+def _design(df: DataFrame, target: str, predictors: list[str], max_levels: int = MAX_LEVELS, keep=()):
     """Complete cases and design columns: strings one-hot with the first
-    sorted level dropped, booleans and numbers as they are."""
+    sorted level dropped, booleans and numbers as they are; ``keep`` names
+    columns that go along."""
     require_columns(df, target, *predictors)
     fields = {f.name: f.dataType for f in df.schema.fields}
     cols, names = [], []
     base = df.select(numeric_col(df, target).cast("double").alias("_y"),
                      *[(F.col(p).cast("string") if isinstance(fields[p], T.StringType)
-                        else numeric_col(df, p).cast("double")).alias(f"_p{i}") for i, p in enumerate(predictors)])
+                        else numeric_col(df, p).cast("double")).alias(f"_p{i}") for i, p in enumerate(predictors)], *keep)
     for i in range(len(predictors) + 1):
         c = "_y" if i == 0 else f"_p{i - 1}"
         base = base.where(F.col(c).isNotNull())
@@ -44,14 +46,14 @@ def _design(df: DataFrame, target: str, predictors: list[str], max_levels: int =
         if isinstance(fields[p], T.StringType):
             levels = [r[0] for r in base.select(f"_p{i}").distinct().orderBy(f"_p{i}").limit(max_levels + 1).collect()]
             if len(levels) > max_levels:
-                raise ValueError(f"predictor {p} has more than {max_levels} levels")
+                raise ValueError(f"predictor {p} has more than {max_levels} levels: give it to ols_absorbed")
             for lv in levels[1:]:
                 cols.append(F.when(F.col(f"_p{i}") == lv, 1.0).otherwise(0.0))
                 names.append(f"{p}_{lv}")
         else:
             cols.append(F.col(f"_p{i}"))
             names.append(p)
-    x = base.select(F.lit(1.0).alias("_x0"), *[c.alias(f"_x{j + 1}") for j, c in enumerate(cols)], "_y")
+    x = base.select(F.lit(1.0).alias("_x0"), *[c.alias(f"_x{j + 1}") for j, c in enumerate(cols)], "_y", *keep)
     return x, ["const", *names]
 
 
@@ -302,3 +304,79 @@ def ols_by_segment(df: DataFrame, target: str, predictors: list[str], by: list[s
         return pd.DataFrame(rows, columns=[*by, "n", "term", "coefficient", "r_squared"])
 
     return sums.groupBy(*by).applyInPandas(solve, out_schema)
+
+
+@dataclass
+class AbsorbedFit:
+    terms: list[str]
+    n: int
+    levels: int
+    rank: int
+    beta: np.ndarray | None
+    cov: np.ndarray | None
+    rss: float
+    tss: float
+    alpha: float
+    means: DataFrame
+
+
+def ols_absorbed(df: DataFrame, target: str, predictors: list[str], absorb: str, alpha: float = 0.05) -> AbsorbedFit:
+    """ST10 with one predictor of any number of levels: its dummies are not
+    built but partialled out, by subtracting each level's means from the
+    target and the other predictors (Frisch-Waugh-Lovell) before the TSQR;
+    the slopes, their errors and the residuals are those of the fit with all
+    dummies. ``absorbed_effects`` solves for the levels.
+
+    The means are one partial aggregation on the level; rows join them back
+    (AQE broadcasts few levels and splits a hot one). Complete cases only;
+    a level of one row adds a degree of freedom and nothing else. Slopes
+    that do not vary within levels are not estimable: not reliable."""
+    require_columns(df, absorb)
+    rows, terms = _design(df.withColumn("_level", F.col(absorb).cast("string")).where(F.col("_level").isNotNull()), target, predictors, keep=["_level"])
+    terms, k = terms[1:], len(terms) - 1
+    values = [*[f"_x{j + 1}" for j in range(k)], "_y"]
+    means = cut_lineage(rows.groupBy("_level").agg(F.count(F.lit(1)).alias("_n"), *[F.avg(c).alias(f"_m{c}") for c in values]))
+    within = rows.join(means, "_level").select(*[(F.col(c) - F.col(f"_m{c}")).alias(c) for c in values])
+    mom = rows.agg(F.count(F.lit(1)).alias("n"), F.stddev_pop("_y").alias("ys")).first()
+    n, levels = int(mom["n"]), means.count()
+    r = _tsqr(within, k + 1)
+    r = np.vstack([r, np.zeros((max(0, k + 1 - r.shape[0]), k + 1))])
+    rxx, rxy = r[:k, :k], r[:k, k]
+    sv = np.linalg.svd(rxx, compute_uv=False) if k else np.zeros(0)
+    scale = np.array([float(v or 0.0) for v in rows.agg(*[F.stddev_pop(c) for c in values[:-1]]).first()]) if k else np.zeros(0)
+    tol = (scale.max() * math.sqrt(max(n, 1)) if k else 0.0) * max(n, k) * np.finfo(float).eps
+    rank, tss = int((sv > tol).sum()), float(mom["ys"] or 0.0) ** 2 * n
+    dof = n - levels - k
+    if rank < k or dof <= 0:
+        return AbsorbedFit(terms, n, levels, rank, None, None, math.nan, tss, alpha, means)
+    rinv = np.linalg.inv(rxx) if k else np.zeros((0, 0))
+    rss = float(r[k, k]) ** 2
+    return AbsorbedFit(terms, n, levels, rank, rinv @ rxy, rss / dof * (rinv @ rinv.T), rss, tss, alpha, means)
+
+
+def absorbed_coefficients(fit: AbsorbedFit) -> DataFrame:
+    """term, coefficient, std_error, t_stat, p_value, lower_bound,
+    upper_bound of the slopes (empty if the fit is not reliable)."""
+    schema = "term string, coefficient double, std_error double, t_stat double, p_value double, lower_bound double, upper_bound double"
+    spark = fit.means.sparkSession
+    if fit.beta is None:
+        return spark.createDataFrame([], schema)
+    dof = fit.n - fit.levels - len(fit.terms)
+    crit, out = t_ppf(1 - fit.alpha / 2, dof), []
+    for j, term in enumerate(fit.terms):
+        b, se = float(fit.beta[j]), math.sqrt(max(fit.cov[j, j], 0.0))
+        t = b / se if se > 0 else math.nan
+        out.append((term, b, se, t, t_pvalue(t, dof) if se > 0 else math.nan, b - crit * se, b + crit * se))
+    return spark.createDataFrame(out, schema)
+
+
+def absorbed_effects(fit: AbsorbedFit) -> DataFrame:
+    """(level, n, effect): each level's intercept, its mean target less the
+    slopes times its mean predictors; one row per level, computed where the
+    means lie."""
+    if fit.beta is None:
+        return fit.means.select(F.col("_level").alias("level"), F.col("_n").alias("n"), F.lit(None).cast("double").alias("effect"))
+    e = F.col("_m_y")
+    for j, b in enumerate(fit.beta):
+        e = e - F.lit(float(b)) * F.col(f"_m_x{j + 1}")
+    return fit.means.select(F.col("_level").alias("level"), F.col("_n").alias("n"), e.alias("effect"))

@@ -1422,4 +1422,4 @@ def q_stream_daily_kpis(spark, sf):
                         *[c for c in out.columns if c not in ("window_start", "window_end")]),
              skip=("avg_order_value",))
 
-from kestrel.plans import temporal_queries  # noqa: E402,F401
+from kestrel.plans import inference_queries, temporal_queries  # noqa: E402,F401

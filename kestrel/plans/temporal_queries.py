@@ -1,6 +1,6 @@
 """Registered queries of the operators on time, discovery and drift: as-of
 and interval joins, ordered streams, keys and inclusions, distribution
-distances, forecasts."""
+distances, forecasts, anomalies, absorbed regressions."""
 
 from __future__ import annotations
 
@@ -8,10 +8,12 @@ from itertools import combinations
 
 from pyspark.sql import functions as F
 
+from kestrel.operators import anomaly as AN
 from kestrel.operators import discovery as DI
 from kestrel.operators import drift as DR
 from kestrel.operators import forecast as FC
 from kestrel.operators import temporal as TM
+from kestrel.operators.stats import ols as OL
 from kestrel.plans.registry import ORACLES, _ledger_events, register
 from kestrel.sources.tables import table
 from kestrel.streaming import ledger as SL
@@ -252,3 +254,57 @@ def q_holt_winters_forecast(spark, sf):
     fit = FC.holt_winters_fit(_monthly(spark, sf), ["o_orderpriority"], "ts", "y", 12)
     out = FC.forecast(fit, ["o_orderpriority"], 24, 12)
     return out.select("o_orderpriority", "last_ts", "step", *[F.round(c, 2).alias(c) for c in ("forecast", "lower", "upper")])
+
+
+# ------------------------------------------------------------------ anomalies
+
+@register("isolation_forest_planted", """
+SELECT l_linenumber, count(*) AS n_rows, count(*) FILTER (l_orderkey % 400 = 7) AS n_planted, TRUE AS recall_ok, TRUE AS few_others
+FROM lineitem GROUP BY 1""")
+def q_isolation_forest_planted(spark, sf):
+    """Every 400th order's lines moved far out in price and tax: at least 95
+    of 100 of them are found, and at most 2 of 100 other rows with them."""
+    li = table(spark, sf, "lineitem")
+    far = F.col("l_orderkey") % 400 == 7
+    li = li.select("l_orderkey", "l_linenumber", "l_quantity", F.when(far, F.col("l_extendedprice") * 9 + 1e6).otherwise(F.col("l_extendedprice")).alias("price"),
+                   F.when(far, F.col("l_tax") + 0.6).otherwise(F.col("l_tax")).alias("tax"), "l_discount")
+    s = AN.isolation_forest(li, ["l_quantity", "price", "tax", "l_discount"], ["l_orderkey", "l_linenumber"], threshold=0.65)
+    far = F.col("l_orderkey") % 400 == 7
+    per = s.groupBy("l_linenumber").agg(F.count("*").alias("n_rows"), F.count_if(far).alias("n_planted"), F.count_if(far & F.col("anomaly")).alias("f"),
+                                        F.count_if(~far & F.col("anomaly")).alias("o"))
+    whole = s.agg(F.count_if(far).alias("p"), F.count_if(far & F.col("anomaly")).alias("tp"), F.count_if(~far & F.col("anomaly")).alias("fp"),
+                  F.count("*").alias("n"))
+    return per.crossJoin(whole).select("l_linenumber", "n_rows", "n_planted", (F.col("tp") * 100 >= F.col("p") * 95).alias("recall_ok"),
+                                       (F.col("fp") * 100 <= F.col("n") * 2).alias("few_others"))
+
+
+# ------------------------------------------------------- absorbed regressions
+
+_ABSORB_SQL = """
+WITH b AS (SELECT CAST(o_custkey AS VARCHAR) AS g, CAST(l_quantity AS DOUBLE) AS q, l_discount AS d, l_extendedprice AS y
+           FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+m AS (SELECT g, count(*) AS n, avg(q) AS mq, avg(d) AS md, avg(y) AS my FROM b GROUP BY g),
+w AS (SELECT q - mq AS q, d - md AS d, y - my AS y FROM b JOIN m USING (g)),
+s AS (SELECT sum(q*q) AS qq, sum(q*d) AS qd, sum(d*d) AS dd, sum(q*y) AS qy, sum(d*y) AS dy, sum(y*y) AS yy, count(*) AS n FROM w),
+c AS (SELECT *, (qy*dd - dy*qd) / (qq*dd - qd*qd) AS bq, (dy*qq - qy*qd) / (qq*dd - qd*qd) AS bd, (SELECT count(*) FROM m) AS g FROM s),
+v AS (SELECT *, (yy - bq*qy - bd*dy) / (n - g - 2) AS s2 FROM c)"""
+
+
+def _absorbed(spark, sf):
+    li = table(spark, sf, "lineitem").join(table(spark, sf, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    return OL.ols_absorbed(li.select("l_extendedprice", "l_quantity", "l_discount", "o_custkey"), "l_extendedprice", ["l_quantity", "l_discount"], "o_custkey")
+
+
+@register("ols_absorbed_slopes", _ABSORB_SQL + """
+SELECT 'l_quantity' AS term, round(bq, 4) AS coefficient, round(sqrt(s2 * dd / (qq*dd - qd*qd)), 4) AS std_error FROM v
+UNION ALL SELECT 'l_discount', round(bd, 4), round(sqrt(s2 * qq / (qq*dd - qd*qd)), 4) FROM v""")
+def q_ols_absorbed_slopes(spark, sf):
+    c = OL.absorbed_coefficients(_absorbed(spark, sf))
+    return c.select("term", F.round("coefficient", 4).alias("coefficient"), F.round("std_error", 4).alias("std_error"))
+
+
+@register("ols_absorbed_effects", _ABSORB_SQL + """
+SELECT m.g AS level, m.n, round(my - bq * mq - bd * md, 3) AS effect FROM m, v""")
+def q_ols_absorbed_effects(spark, sf):
+    """One intercept per customer, as many as there are."""
+    return OL.absorbed_effects(_absorbed(spark, sf)).select("level", "n", F.round("effect", 3).alias("effect"))
