@@ -15,6 +15,7 @@ from kestrel.operators import forecast as FC
 from kestrel.operators import temporal as TM
 from kestrel.operators.stats import ols as OL
 from kestrel.plans.registry import ORACLES, _ledger_events, register
+from kestrel.sources import files as SRC
 from kestrel.sources.tables import table
 from kestrel.streaming import ledger as SL
 
@@ -175,6 +176,19 @@ def q_foreign_keys_found(spark, sf):
     return DI.foreign_keys(_key_tables(spark, sf)).where("same_name").drop("same_name")
 
 
+_SCHEMA = [("orders", "o_orderkey", "bigint", True), ("orders", "o_custkey", "bigint", False), ("orders", "o_orderstatus", "string", False),
+           ("orders", "o_totalprice", "double", False), ("orders", "o_orderdate", "timestamp_ntz", False), ("orders", "o_orderpriority", "string", False),
+           ("nation", "n_nationkey", "int", True), ("nation", "n_name", "string", False), ("nation", "n_regionkey", "int", False)]
+
+
+@register("schema_keys", "SELECT * FROM (VALUES " + ", ".join(f"('{t}', '{c}', '{k}', true, {str(p).lower()})" for t, c, k, p in _SCHEMA) +
+          ") v(\"table\", \"column\", dtype, nullable, primary_key)")
+def q_schema_keys(spark, sf):
+    """SRC6 with types, nullability and the primary keys found in the data."""
+    r = SRC.schema_inventory({t: table(spark, sf, t) for t in ("orders", "nation")}, primary_keys="discover")
+    return r.select("table", "column", "dtype", "nullable", "primary_key")
+
+
 # --------------------------------------------------------------------- drift
 
 _KS_SQL = """
