@@ -68,9 +68,11 @@ def line_data(series: DataFrame, x: str = "period", y: str = "value") -> DataFra
 
 
 def heatmap_cells(df: DataFrame, x_col: str, y_col: str, metric: str, agg: str = "sum",
-                  max_labels: int | None = None) -> DataFrame:
+                  max_labels: int | None = None, fill: bool = True) -> DataFrame:
     """CH5: summed cells of all labels of both axes, missing cells as 0;
-    ``max_labels`` keeps only the first sorted labels of each axis."""
+    ``max_labels`` keeps only the first sorted labels of each axis.
+    ``fill=False`` returns the cells that occur and builds no grid, which
+    is the form for axes with very many labels."""
     require_columns(df, x_col, y_col, metric)
     base = df.select(F.col(x_col).cast("string").alias("x"), F.col(y_col).cast("string").alias("y"),
                      numeric_col(df, metric).alias("_m")).where(F.col("x").isNotNull() & F.col("y").isNotNull())
@@ -79,5 +81,7 @@ def heatmap_cells(df: DataFrame, x_col: str, y_col: str, metric: str, agg: str =
         xs, ys = xs.orderBy("x").limit(int(max_labels)), ys.orderBy("y").limit(int(max_labels))
         kept = base.join(xs, "x", "left_semi").join(ys, "y", "left_semi")
     cells = (kept.groupBy("x", "y").agg(agg_column(agg, F.col("_m")).cast("double").alias("value")))
+    if not fill:
+        return cells.select("x", "y", F.coalesce("value", F.lit(0.0)).alias("value"))
     grid = xs.crossJoin(ys)
     return grid.join(cells, ["x", "y"], "left").select("x", "y", F.coalesce("value", F.lit(0.0)).alias("value"))

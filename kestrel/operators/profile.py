@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kestrel.functions.columns import DATE_FORMATS, is_numeric_type, require_columns
+from kestrel.operators.aggregate import _unpivot_as_string
 
 
 def dataset_summary(df: DataFrame) -> DataFrame:
@@ -19,16 +20,11 @@ def dataset_summary(df: DataFrame) -> DataFrame:
         F.array(*[F.lit(t) for t in types]).alias("dtypes"))
 
 
-def _long_strings(df: DataFrame, cols: list[str]) -> DataFrame:
-    return df.select(F.inline(F.array(*[
-        F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in cols])))
-
-
 def column_profile(df: DataFrame, columns: list[str] | None = None, n_examples: int = 5,
                    approx: bool = False) -> DataFrame:
     """PR2: one row per column, from ONE scan of the source.
 
-    The table is unpivoted to (column, value-as-text) - NULLs included - and
+    The table is unpivoted to (column, value-as-text) - NULLs included, -0.0 as 0.0 - and
     counted per pair (partial aggregation, one shuffle); that table is
     written to the checkpoint folder and everything else reads it:
     missing counts (NULL, and NaN for floating columns), distinct non-NULL
@@ -48,7 +44,7 @@ def column_profile(df: DataFrame, columns: list[str] | None = None, n_examples:
     null_d = F.lit(None).cast("double")
     dtypes = F.create_map(*[x for c in cols for x in (F.lit(c), F.lit(fields[c].simpleString()))])
 
-    pairs = cut_lineage(_long_strings(df, cols).groupBy("column", "value").agg(F.count(F.lit(1)).alias("freq")))
+    pairs = cut_lineage(_unpivot_as_string(df, cols).groupBy("column", "value").agg(F.count(F.lit(1)).alias("freq")))
     missing = F.col("value").isNull() | (F.col("column").isin(*floating) & (F.col("value") == "NaN")) \
         if floating else F.col("value").isNull()
     counts = pairs.groupBy("column").agg(

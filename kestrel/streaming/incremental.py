@@ -118,14 +118,14 @@ def run_append(stream: DataFrame, name: str) -> DataFrame:
 
 
 def _read_or_empty(spark: SparkSession, path: str, schema) -> DataFrame:
-    """The sink folder, or an empty result when no micro-batch wrote rows.
-    Micro-batches may be retried after a failure: versioned rows of one
-    batch are identical, so keeping the latest version stays exact."""
-    from pyspark.errors import AnalysisException
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException:
+    """The sink folder, or an empty result when no micro-batch wrote rows
+    (any other failure to read it is raised). Micro-batches may be retried
+    after a failure: versioned rows of one batch are identical, so keeping
+    the latest version stays exact."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
         return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(path)
 
 
 def windowed_missingness(stream: DataFrame, ts_col: str, window: str = "1 hour",
