@@ -279,38 +279,47 @@ def _rules(part):
     return table, words, off
 
 
-def _cuts(batches):
-    """Per cut of a few MB of one language: the rule counts of its texts and
-    their words, compressed."""
+def _parts(batches):
+    """(cut, language, texts) of a task: a few MB of one language each, numbered
+    alike whenever the same rows are read again."""
     cut = TaskContext.get().partitionId() << 32
     held, size = {}, {}
 
-    def send(name):
-        nonlocal cut
+    def take(name):
         size.pop(name)
-        table, words, _ = _rules(pa.Table.from_batches(held.pop(name)).combine_chunks().to_batches()[0])
-        sink = pa.BufferOutputStream()
-        with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
-            w.write_table(table)
-        flat = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words), " ")[0].as_buffer() \
-            if len(words) else pa.py_buffer(b"")
-        row = (cut, name, sink.getvalue().to_pybytes(), pa.Codec("zstd", compression_level=7).compress(flat, asbytes=True), flat.size)
-        cut += 1
-        names = [c.split()[0] for c in _CUT.split(", ")]
-        types = [pa.int64(), pa.string(), pa.binary(), pa.binary(), pa.int64()]
-        return pa.record_batch([pa.array([c], t) for c, t in zip(row, types)], names=names)
+        return name, pa.Table.from_batches(held.pop(name)).combine_chunks().to_batches()[0]
 
     for b in text_chunks(batches, "t", 2 << 20):
+        ready = []
         for name in column(b, "lang").unique().to_pylist():
             part = b.filter(pc.equal(column(b, "lang"), name))
             held.setdefault(name, []).append(part)
             size[name] = size.get(name, 0) + part.nbytes
             if size[name] >= CUT_BYTES:
-                yield send(name)
+                ready.append(take(name))
         while sum(size.values()) > HELD_BYTES:
-            yield send(max(size, key=size.get))
+            ready.append(take(max(size, key=size.get)))
+        for name, part in ready:
+            yield cut, name, part
+            cut += 1
     for name in list(held):
-        yield send(name)
+        yield cut, *take(name)
+        cut += 1
+
+
+def _cuts(batches):
+    """Per cut: the rule counts of its texts and their words, compressed."""
+    for cut, name, part in _parts(batches):
+        table, words, _ = _rules(part)
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+            w.write_table(table)
+        flat = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words), " ")[0].as_buffer() \
+            if len(words) else pa.py_buffer(b"")
+        row = (cut, name, sink.getvalue().to_pybytes(), pa.Codec("zstd", compression_level=7).compress(flat, asbytes=True), flat.size)
+        names = [c.split()[0] for c in _CUT.split(", ")]
+        types = [pa.int64(), pa.string(), pa.binary(), pa.binary(), pa.int64()]
+        yield pa.record_batch([pa.array([c], t) for c, t in zip(row, types)], names=names)
 
 
 def _body(row):
@@ -322,17 +331,16 @@ def _body(row):
 
 
 def _asks(buckets):
-    """The distinct n-grams of each cut, dealt to the model's buckets."""
+    """The distinct n-grams of each cut, dealt to the model's buckets. Cuts
+    are read from the texts once more here, which costs less than a table of
+    them would."""
     def run(batches):
-        for b in batches:
-            for i in range(b.num_rows):
-                row = b.slice(i, 1).to_pylist()[0]
-                grams = np.unique(text_grams(*_body(row)[1:])[0])
-                rows = [(row["cut"], x, row["lang"], planes(np.diff(grams[at], prepend=0)))
-                        for x, at in _dealt(grams, row["lang"], buckets)] if len(grams) else []
-                if rows:
-                    yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.string(), pa.binary()))],
-                                          names=["cut", "bucket", "lang", "grams"])
+        for cut, lang, part in _parts(batches):
+            grams = np.unique(text_grams(*split_words(column(part, "t")))[0])
+            rows = [(cut, x, lang, planes(np.diff(grams[at], prepend=0))) for x, at in _dealt(grams, lang, buckets)] if len(grams) else []
+            if rows:
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.string(), pa.binary()))],
+                                      names=["cut", "bucket", "lang", "grams"])
     return run
 
 
@@ -386,7 +394,7 @@ def _answer(table):
         at = np.searchsorted(keys, grams)
         if (at == len(keys)).any() or (keys[at] != grams).any():
             raise ValueError("an n-gram of the texts is not in the model of these texts")
-        out.append(s[at].tobytes())
+        out.append(planes(s[at]))
     return pa.table([asked["cut"], asked["bucket"], pa.array(out, pa.binary())], names=["cut", "bucket", "s"])
 
 
@@ -402,7 +410,7 @@ def _scored(buckets):
         got = table.filter(pc.is_valid(table["s"]))
         answers = dict(zip(got["bucket"].to_pylist(), got["s"].to_pylist()))
         for x, at in _dealt(distinct, body["lang"], buckets) if len(distinct) else []:
-            each[at] = np.frombuffer(answers[x], np.float32)
+            each[at] = unplanes(answers[x], np.float32)
         n = rules["n_words"].to_numpy()
         chars = rules["word_chars"].to_numpy() + n              # with the spaces between words and the end
         ppl = -segment_sum(each[code], ends) / np.maximum(chars, 1)
@@ -418,10 +426,10 @@ def score(docs: DataFrame, model: DataFrame, doc_id: str = "doc_id", text: str =
     size = src.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     model = cut_lineage(model)
     buckets = max(1, -(-size // BYTES_PER_BUCKET), -(-model.count() // GRAMS_PER_BUCKET))
-    cuts = cut_lineage(src.mapInArrow(_cuts, _CUT))
+    cuts = src.mapInArrow(_cuts, _CUT)
     none = lambda t, n: F.lit(None).cast(t).alias(n)
     dealt = model.mapInArrow(_model_rows(buckets), "bucket int, lang string, grams binary, s binary")
-    asks = cuts.mapInArrow(_asks(buckets), "cut long, bucket int, lang string, grams binary")
+    asks = src.mapInArrow(_asks(buckets), "cut long, bucket int, lang string, grams binary")
     both = (asks.select("cut", "bucket", "lang", "grams", none("binary", "s"))
             .unionByName(dealt.select(none("long", "cut"), "bucket", "lang", "grams", "s")))
     answers = both.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_answer, "cut long, bucket int, s binary")
