@@ -95,7 +95,8 @@ def q_stream_ordered_transitions(spark, sf):
     at = F.unix_micros("ts") + F.pmod(F.xxhash64("event_id"), F.lit(20 * 3600 * 10**6))
     lo, hi = ev.agg(F.min(at), F.max(at)).first()
     part = F.least(F.floor((at - (lo or 0)) * 4 / max((hi or 0) - (lo or 0), 1)), F.lit(3))
-    out, _ = SL.replay_ordered([ev.where(part == i) for i in range(4)], "run_id", "ts", "status", "event_id", delay="1 day")
+    out, _ = SL.replay_ordered([ev.where(part == i) for i in range(4)], "run_id", "ts", "status", "event_id", delay="1 day",
+                               partitions=min(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     return out.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 

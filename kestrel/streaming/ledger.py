@@ -134,10 +134,12 @@ def ordered_transitions(stream: DataFrame, run_col: str, ts_col: str, status_col
 
 
 @contextmanager
-def _state_store(spark: SparkSession):
+def _state_store(spark: SparkSession, partitions: int | None = None):
     """The conf that a query takes over when it starts, put back after."""
     want = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
             "spark.sql.streaming.numRecentProgressUpdates": "100000"}
+    if partitions:
+        want["spark.sql.shuffle.partitions"] = str(partitions)
     had = {k: spark.conf.get(k, None) for k in want}
     try:
         for k, v in want.items():
@@ -151,13 +153,14 @@ def _state_store(spark: SparkSession):
                 spark.conf.set(k, v)
 
 
-def run_ordered(stream: DataFrame, folder: str) -> dict:
+def run_ordered(stream: DataFrame, folder: str, partitions: int | None = None) -> dict:
     """Runs ``ordered_transitions`` over all that its source holds now and
     appends to ``<folder>/data``; the same folder later goes on where this
-    run stopped. Returns the run's batches, rows that were too late and
-    state rows that are left."""
+    run stopped. ``partitions`` of the state (default: the session's shuffle
+    partitions) are fixed by a folder's first run. Returns the run's batches,
+    rows that were too late and state rows that are left."""
     spark = stream.sparkSession
-    with _state_store(spark):
+    with _state_store(spark, partitions):
         q = (stream.writeStream.outputMode("append").format("parquet").option("path", f"{folder}/data")
              .option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start())
         q.awaitTermination()
@@ -177,7 +180,7 @@ def seal(spark: SparkSession, source: str, schema: T.StructType, run_col: str, t
 
 
 def replay_ordered(arrivals: list[DataFrame], run_col: str, ts_col: str, status_col: str, tiebreak: str, delay: str = "1 day",
-                   retention: str | None = None, max_files: int | None = None) -> tuple[DataFrame, list[dict]]:
+                   retention: str | None = None, max_files: int | None = None, partitions: int | None = None) -> tuple[DataFrame, list[dict]]:
     """Feeds tables to the stream one after another, each by a run that goes
     on from the checkpoint of the one before, then closes it. Returns the
     transitions (``seal``'s row has none) and each run's figures."""
@@ -191,6 +194,6 @@ def replay_ordered(arrivals: list[DataFrame], run_col: str, ts_col: str, status_
             seal(spark, f"{base}/events", schema, run_col, ts_col, delay)
         # the closing row has no run: it moves the watermark before the operator ignores it
         stream = read_parquet_stream(spark, f"{base}/events", max_files if i < len(arrivals) else None)
-        figures.append(run_ordered(ordered_transitions(stream, run_col, ts_col, status_col, tiebreak, delay, retention), f"{base}/out"))
+        figures.append(run_ordered(ordered_transitions(stream, run_col, ts_col, status_col, tiebreak, delay, retention), f"{base}/out", partitions))
     kind = ordered_transitions(read_parquet_stream(spark, f"{base}/events"), run_col, ts_col, status_col, tiebreak, delay, retention).schema
     return spark.read.schema(kind).parquet(f"{base}/out/data"), figures
