@@ -2,10 +2,10 @@
 
 As-of: both sides are united, range-partitioned on (key, time), and the last
 row of the other side is carried forward inside each partition; what crosses
-a partition's border is one row per partition. Interval: intervals are cut
-into dyadic bins (at most two per level), a point lies in one bin of each
-level, and an equi-join on the bins is the exact answer. A key with a third
-of all rows is spread over time in both.
+a partition's border is one row per partition. Interval: an interval lies in
+one or two bins about as long as itself, a point in one bin of each length in
+use, and an equi-join on the bins finds the pairs; crowded bins are cut into
+dyadic ones. A key with a third of all rows is spread over time in both.
 """
 
 from __future__ import annotations
@@ -142,39 +142,61 @@ def _bins(start, end):
     return F.filter(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(_LEVELS - 1)), at)), lambda x: x.isNotNull())
 
 
+def _cells(lo, hi):
+    """The level whose bins are the shortest that are no shorter than
+    [lo, hi), and the one or two bins of it that the interval meets."""
+    level = F.when(hi - lo > 1, F.length(F.bin(hi - lo - 1))).otherwise(0)
+    return level, F.array_distinct(F.array(_shift(lo, level), _shift(hi - 1, level)))
+
+
 def interval_join(points: DataFrame, intervals: DataFrame, by: list[str], on: str, start: str, end: str,
-                  closed: str = "left", suffix: str = "_interval") -> DataFrame:
+                  closed: str = "left", suffix: str = "_interval", crowd: int = 1000) -> DataFrame:
     """Every pair of a point and an interval of the same ``by`` key with
     start <= point < end (``closed="both"``: <= end): the points' columns,
     then the intervals' (named with ``suffix`` where both have the name).
 
-    Intervals fall into dyadic bins (at most two per level, so some 40 for a
-    year in microseconds, whatever its length), points into one bin of each
-    level that intervals use (at most 62); bins are the join's keys, so no
-    pair is formed that does not match, and none twice. Rows with a null key
-    or border, and empty or reversed intervals, match nothing. Borders are
-    dates, timestamps or whole numbers below 2**61 in size."""
+    An interval falls into the one or two bins that it meets of the level of
+    its length, a point into one bin of each level that intervals have (one
+    level, if all are about as long; at most 62); bins are the join's keys,
+    and the borders are compared on what they bring together. In a bin of
+    more than ``crowd`` intervals of a key, where that could form many pairs
+    that do not match, intervals are cut further into dyadic bins (at most
+    two per level), which form no other pairs. No pair is formed twice. Rows
+    with a null key or border, and empty or reversed intervals, match
+    nothing. Borders are dates, timestamps or whole numbers below 2**61 in
+    size."""
     if closed not in ("left", "both"):
         raise ValueError("closed is 'left' or 'both'")
     p = _prefix([*points.columns, *intervals.columns])
     kind = points.schema[on].dataType
-    lo = _whole_number(F.col(start), intervals.schema[start].dataType)
-    hi = _whole_number(F.col(end), intervals.schema[end].dataType) + (1 if closed == "both" else 0)
+    lo, hi, x = F.col(f"{p}_lo"), F.col(f"{p}_hi"), F.col(f"{p}_x")
     keys = [f"{p}_k{i}" for i in range(len(by))]
     iv = intervals.select(*[F.col(b).alias(k) for b, k in zip(by, keys)], F.struct(*[F.col(c) for c in intervals.columns]).alias(f"{p}_iv"),
-                          lo.alias(f"{p}_lo"), hi.alias(f"{p}_hi")).where(F.col(f"{p}_lo") < F.col(f"{p}_hi"))
-    iv = iv.select(*keys, f"{p}_iv", F.explode(_bins(F.col(f"{p}_lo"), F.col(f"{p}_hi"))).alias(f"{p}_b"))
-    iv = iv.select(*keys, f"{p}_iv", F.col(f"{p}_b.level").alias(f"{p}_level"), F.col(f"{p}_b.bin").alias(f"{p}_bin"))
-    levels = sorted(r[0] for r in iv.select(f"{p}_level").distinct().collect())            # at most 62 numbers
-    x = F.col(f"{p}_x")
-    pt = points.select(*[F.col(b).alias(f"{k}p") for b, k in zip(by, keys)], F.struct(*[F.col(c) for c in points.columns]).alias(f"{p}_pt"),
+                          _whole_number(F.col(start), intervals.schema[start].dataType).alias(f"{p}_lo"),
+                          (_whole_number(F.col(end), intervals.schema[end].dataType) + (1 if closed == "both" else 0)).alias(f"{p}_hi")).where(lo < hi)
+    pt = points.select(*[F.col(b).alias(k) for b, k in zip(by, keys)], F.struct(*[F.col(c) for c in points.columns]).alias(f"{p}_pt"),
                        _whole_number(F.col(on), kind).alias(f"{p}_x")).where(x.isNotNull())
-    pt = pt.withColumn(f"{p}_l", F.explode(F.array(*[F.lit(v) for v in levels]).cast("array<int>")))
-    pt = pt.withColumn(f"{p}_n", _shift(x, F.col(f"{p}_l")))
-    cond = (F.col(f"{p}_level") == F.col(f"{p}_l")) & (F.col(f"{p}_bin") == F.col(f"{p}_n"))
     for k in keys:
-        cond = cond & (F.col(k) == F.col(f"{k}p"))
-    j = pt.join(iv, cond)
+        iv, pt = iv.where(F.col(k).isNotNull()), pt.where(F.col(k).isNotNull())
+    level, bins = _cells(lo, hi)
+    levels = sorted(r[0] for r in iv.select(level).distinct().collect())            # at most 63 numbers
+    iv = iv.withColumn(f"{p}_level", level).withColumn(f"{p}_bin", F.explode(bins))
+    pt = pt.withColumn(f"{p}_level", F.explode(F.array(*[F.lit(v) for v in levels]).cast("array<int>")))
+    pt = pt.withColumn(f"{p}_bin", _shift(x, F.col(f"{p}_level")))
+    cell = [*keys, f"{p}_level", f"{p}_bin"]
+    crowded = cut_lineage(iv.groupBy(*cell).count().where(F.col("count") > crowd).select(*cell))
+    if crowded.isEmpty():
+        j = pt.join(iv, cell).where((lo <= x) & (x < hi)).select(f"{p}_pt", f"{p}_iv")
+    else:
+        j = pt.join(iv.join(crowded, cell, "left_anti"), cell).where((lo <= x) & (x < hi)).select(f"{p}_pt", f"{p}_iv")
+        at = lambda n: F.call_function("shiftleft", n, F.col(f"{p}_level"))
+        n = F.col(f"{p}_bin")
+        part = _bins(F.greatest(lo, at(n)), F.least(hi, at(n + 1)))                 # what lies in the bin
+        fine = iv.join(crowded, cell, "left_semi").withColumn(f"{p}_b", F.explode(part))
+        fine = fine.select(*cell, f"{p}_iv", F.col(f"{p}_b.level").alias(f"{p}_l"), F.col(f"{p}_b.bin").alias(f"{p}_n"))
+        near = pt.join(crowded, cell, "left_semi").withColumn(f"{p}_l", F.explode(F.sequence(F.lit(0), F.least(F.col(f"{p}_level"), F.lit(_LEVELS - 1)))))
+        near = near.withColumn(f"{p}_n", _shift(x, F.col(f"{p}_l")))
+        j = j.unionByName(near.join(fine, [*cell, f"{p}_l", f"{p}_n"]).select(f"{p}_pt", f"{p}_iv"))
     names = {c.lower() for c in points.columns}
     return j.select(f"{p}_pt.*", *[F.col(f"{p}_iv")[c].alias(c + suffix if c.lower() in names else c) for c in intervals.columns])
 

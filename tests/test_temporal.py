@@ -87,6 +87,33 @@ def test_overlaps(spark):
     assert sorted(map(tuple, TM.overlap_join(spans, spans, ["k"], "s", "e").collect())) == sorted(want)
 
 
+@pytest.mark.parametrize("closed", ["left", "both"])
+def test_crowded_bins(spark, closed):
+    """Bins with more intervals than ``crowd`` give the same pairs, next to
+    bins with fewer and with lengths of several levels."""
+    points = spark.createDataFrame(LEFT + LEFT[:30], "id int, k string, t int")
+    spans = spark.createDataFrame(SPANS + SPANS[:20], "k string, s int, e int, n int")
+    want = sorted(map(tuple, TM.interval_join(points, spans, ["k"], "t", "s", "e", closed).collect()))
+    for crowd in (0, 1, 4):
+        assert sorted(map(tuple, TM.interval_join(points, spans, ["k"], "t", "s", "e", closed, crowd=crowd).collect())) == want
+
+
+def test_few_copies(spark, monkeypatch):
+    """Six hours in microseconds: the join gets each interval at most twice
+    and each point once."""
+    spans = spark.range(40).selectExpr("id % 3 AS k", "id * 5000000007 AS s", "id * 5000000007 + 21600000000 AS e")
+    points = spark.range(200).selectExpr("id % 3 AS k", "id * 1000000007 AS t")
+    sizes, join = [], type(points).join
+
+    def counted(self, other, *a, **kw):
+        sizes.append((self.count(), other.count()))
+        return join(self, other, *a, **kw)
+
+    monkeypatch.setattr(type(points), "join", counted)
+    TM.interval_join(points, spans, ["k"], "t", "s", "e")
+    assert sizes and all(a <= 200 and b <= 80 for a, b in sizes)
+
+
 def test_few_bins(spark):
     """A span of a hundred years in microseconds is a few dozen bins, which
     cover it exactly once."""
