@@ -3,8 +3,8 @@
 Keys: the lattice of column sets level by level, without sets that contain a
 key or whose distinct counts cannot reach the number of rows; a sketch per
 set in one scan rules most of the rest out, and what is left is counted
-exactly. Inclusions: every distinct value's hash gathers the columns that
-hold it, and the sets of columns, each with its number of values, decide all
+exactly. Inclusions: every distinct value gathers the columns that hold it,
+and the sets of columns, each with its number of values, decide all
 pairs of columns at once.
 """
 
@@ -109,43 +109,36 @@ def inclusion_dependencies(tables: dict[str, DataFrame], verify: bool = True) ->
     non-null value of the child occurs in the parent; columns without values
     are in no pair.
 
-    Each column's distinct values travel as 64-bit hashes (with a bit per
-    column, merged before the shuffle); a hash met in many columns is one
-    row. What is left is one row per occurring set of columns. ``verify``
-    checks the found pairs again on the values (``relationship_check``), so
-    that no collision can stand."""
+    Each class's distinct values travel once, as values, with a bit per
+    column that holds them (merged before the shuffle); a value met in many
+    columns is one row. What is left is one row per occurring set of
+    columns. The values themselves are grouped, not their hashes, so no
+    collision can stand and nothing is left for ``verify`` to check."""
     spark = next(iter(tables.values())).sparkSession
     place = [(t, f.name, _kind(f.dataType)) for t, df in tables.items() for f in df.schema.fields if _kind(f.dataType)]
     out = "child_table string, child_column string, parent_table string, parent_column string, n_values long"
-    rows = None
-    for t, df in tables.items():
-        cells = []
-        for i, (tt, c, kind) in enumerate(place):
-            if tt == t:
-                value = df[c].cast("long") if kind == "integer" else df[c]
-                cells.append(F.when(value.isNotNull(), F.struct(F.lit(i).alias("i"), F.xxhash64(F.lit(kind), value).alias("h"))))
-        if cells:
-            one = df.select(F.explode(F.filter(F.array(*cells), lambda x: x.isNotNull())).alias("x")).select("x.i", "x.h")
-            rows = one if rows is None else rows.unionByName(one)
-    if rows is None:
+    if not place:
         return spark.createDataFrame([], out)
-    sets = rows.groupBy("h").agg(F.sort_array(F.collect_set("i")).alias("s")).groupBy("s").agg(F.count("*").alias("n"))
-    sets = cut_lineage(sets)
+    words = [f"m{w}" for w in range(-(-len(place) // 63))]          # 63 columns' bits in a long
+    sets = None
+    for cls, form in (("integer", "long"), ("text", "string"), ("date", "date")):
+        rows = None
+        for t, df in tables.items():
+            cells = [F.struct(df[c].cast(form).alias("v"), *[F.lit(1 << i % 63 if i // 63 == w else 0).cast("long").alias(m) for w, m in enumerate(words)])
+                     for i, (tt, c, kind) in enumerate(place) if tt == t and kind == cls]
+            if cells:
+                one = df.select(F.explode(F.array(*cells)).alias("x")).select("x.*").where("v IS NOT NULL")
+                rows = one if rows is None else rows.unionByName(one)
+        if rows is not None:
+            some = rows.groupBy("v").agg(*[F.bit_or(m).alias(m) for m in words]).groupBy(*words).agg(F.count("*").alias("n"))
+            sets = some if sets is None else sets.unionByName(some)
+    held = F.filter(F.array(*[F.when(F.col(words[i // 63]).bitwiseAND(F.lit(1 << i % 63).cast("long")) != 0, i) for i in range(len(place))]),
+                    lambda x: x.isNotNull())
+    sets = cut_lineage(sets.select(held.alias("s"), "n"))
     both = sets.select(F.explode("s").alias("a"), "s", "n").select("a", F.explode("s").alias("b"), "n").groupBy("a", "b").agg(F.sum("n").alias("n"))
     own = both.where("a = b").select(F.col("a").alias("of"), F.col("n").alias("all"))
     found = both.where("a <> b").join(own, (F.col("a") == F.col("of")) & (F.col("n") == F.col("all"))).select("a", "b", "n").collect()  # pairs of columns
-    pairs = [(*place[r["a"]][:2], *place[r["b"]][:2], r["n"]) for r in found]
-    if verify and pairs:
-        checks = []
-        for i, (ct, cc, pt, pc, _) in enumerate(pairs):
-            child = tables[ct].select(tables[ct][cc].alias("v")).where("v IS NOT NULL").distinct()
-            missing = child.join(tables[pt].select(tables[pt][pc].alias("w")), F.col("v") == F.col("w"), "left_anti")
-            checks.append(missing.limit(1).select(F.lit(i).alias("i")))
-        wrong = set()
-        for i in range(0, len(checks), 20):
-            wrong |= {r["i"] for r in reduce(DataFrame.unionByName, checks[i:i + 20]).collect()}
-        pairs = [p for i, p in enumerate(pairs) if i not in wrong]
-    return spark.createDataFrame(pairs, out)
+    return spark.createDataFrame([(*place[r["a"]][:2], *place[r["b"]][:2], r["n"]) for r in found], out)
 
 
 def foreign_keys(tables: dict[str, DataFrame]) -> DataFrame:

@@ -2,6 +2,8 @@
 import random
 from itertools import combinations
 
+from pyspark.sql import functions as F
+
 from kestrel.operators import discovery as DI
 
 R = random.Random(2)
@@ -49,3 +51,21 @@ def test_inclusions(spark):
     fk = {(r["child_table"], r["child_column"], r["parent_table"], r["parent_column"]): r for r in DI.foreign_keys(t).collect()}
     assert fk[("c", "p_id", "p", "id")]["valid"] and fk[("c", "p_id", "p", "id")]["same_name"]
     assert ("c", "label", "p", "name") not in fk
+
+
+def test_inclusions_are_read_once(spark, monkeypatch):
+    """Found pairs need no join on the tables, and columns beyond 63 have
+    their bits too."""
+    a = spark.range(20).select(*[(F.col("id") % (i + 1)).alias(f"a{i}") for i in range(70)])
+    t = {"a": a, "b": spark.createDataFrame([(0, "x"), (None, None), (-1, "y")], "k short, w string"), "c": spark.createDataFrame([("y",)], "z string")}
+    sizes, join = [], type(a).join
+
+    def counted(self, other, *args, **kw):
+        sizes.append((self.count(), other.count()))
+        return join(self, other, *args, **kw)
+
+    monkeypatch.setattr(type(a), "join", counted)
+    got = {tuple(r) for r in DI.inclusion_dependencies(t).collect()}
+    held = {("a", f"a{i}"): {x % (i + 1) for x in range(20)} for i in range(70)} | {("b", "k"): {0, -1}, ("b", "w"): {"x", "y"}, ("c", "z"): {"y"}}
+    want = {(*x, *y, len(held[x])) for x in held for y in held if x != y and held[x] <= held[y]}
+    assert got == want and len(sizes) == 1
