@@ -17,6 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -306,6 +307,51 @@ def ols_by_segment(df: DataFrame, target: str, predictors: list[str], by: list[s
     return sums.groupBy(*by).applyInPandas(solve, out_schema)
 
 
+#: Rows of a task that are centred at a time.
+CENTRED_ROWS = 1 << 18
+
+
+def _centred(values: list[str]):
+    """Per chunk of a task's rows: (level, n, means) of its levels, and the
+    triangle of the rows less their level's mean in the chunk, one per task
+    (rows without n)."""
+    width = len(values)
+
+    def run(batches):
+        names = ["_level", "_n", *[f"_m{c}" for c in values]]
+        acc, held, size = np.zeros((0, width)), [], 0
+
+        def reduce():
+            t = pa.Table.from_batches(held).combine_chunks()
+            codes = t["_level"].combine_chunks().dictionary_encode()
+            at, levels = codes.indices.to_numpy().astype(np.int64), codes.dictionary
+            x = np.column_stack([t[c].to_numpy() for c in values])
+            n = np.bincount(at, minlength=len(levels))
+            # sums about each level's first value, so that large values lose no digits
+            first = np.empty(len(levels), np.int64)
+            first[at[::-1]] = np.arange(len(at))[::-1]
+            base = x[first]
+            rest = x - base[at]
+            mean = np.column_stack([np.bincount(at, rest[:, j], len(levels)) for j in range(width)]) / n[:, None]
+            r = _r_of(np.vstack([acc, rest - mean[at]]), width)
+            return r, pa.record_batch([levels.cast(pa.string()), pa.array(n), *[pa.array(c) for c in (base + mean).T]], names=names)
+
+        for b in batches:
+            if b.num_rows:
+                held.append(b)
+                size += b.num_rows
+            if size >= CENTRED_ROWS:
+                acc, part = reduce()
+                held, size = [], 0
+                yield part
+        if held:
+            acc, part = reduce()
+            yield part
+        if acc.shape[0]:
+            yield pa.record_batch([pa.nulls(len(acc), pa.string()), pa.nulls(len(acc), pa.int64()), *[pa.array(c) for c in acc.T]], names=names)
+    return run
+
+
 @dataclass
 class AbsorbedFit:
     terms: list[str]
@@ -327,25 +373,33 @@ def ols_absorbed(df: DataFrame, target: str, predictors: list[str], absorb: str,
     the slopes, their errors and the residuals are those of the fit with all
     dummies. ``absorbed_effects`` solves for the levels.
 
-    The means are one partial aggregation on the level; rows join them back
-    (AQE broadcasts few levels and splits a hot one). Complete cases only;
-    a level of one row adds a degree of freedom and nothing else. Slopes
-    that do not vary within levels are not estimable: not reliable."""
+    The rows are read once: each task centres its rows by chunk and level
+    and keeps their triangle and the levels' means in the chunk. What a
+    level's chunk means differ from its mean, times the root of their rows,
+    completes the triangle, an identity. Complete cases only; a level of one
+    row adds a degree of freedom and nothing else. Slopes that do not vary
+    within levels are not estimable: not reliable."""
     require_columns(df, absorb)
     rows, terms = _design(df.withColumn("_level", F.col(absorb).cast("string")).where(F.col("_level").isNotNull()), target, predictors, keep=["_level"])
     terms, k = terms[1:], len(terms) - 1
     values = [*[f"_x{j + 1}" for j in range(k)], "_y"]
-    means = cut_lineage(rows.groupBy("_level").agg(F.count(F.lit(1)).alias("_n"), *[F.avg(c).alias(f"_m{c}") for c in values]))
-    within = rows.join(means, "_level").select(*[(F.col(c) - F.col(f"_m{c}")).alias(c) for c in values])
-    mom = rows.agg(F.count(F.lit(1)).alias("n"), F.stddev_pop("_y").alias("ys")).first()
-    n, levels = int(mom["n"]), means.count()
-    r = _tsqr(within, k + 1)
+    local = [f"_m{c}" for c in values]
+    chunks = cut_lineage(rows.select("_level", *values).mapInArrow(_centred(values), ", ".join(["_level string, _n long", *[f"{m} double" for m in local]])))
+    parts, triangles = chunks.where("_n IS NOT NULL"), chunks.where("_n IS NULL")
+    means = cut_lineage(parts.groupBy("_level").agg(F.sum("_n").alias("_n"), *[(F.sum(F.col(m) * F.col("_n")) / F.sum("_n")).alias(m) for m in local]))
+    whole = means.agg(F.sum("_n").alias("n"), F.count(F.lit(1)).alias("levels"), *[(F.sum(F.col(m) * F.col("_n")) / F.sum("_n")).alias(m) for m in local]).first()
+    n, levels = int(whole["n"] or 0), int(whole["levels"])
+    between = means.agg(*[F.sum(F.col("_n") * (F.col(m) - F.lit(whole[m])) ** 2).alias(m) for m in local]).first()
+    several = parts.join(means.select(F.col("_level"), F.col("_n").alias("_all"), *[F.col(m).alias(f"{m}_all") for m in local]), "_level").where("_n < _all")
+    moved = several.select(*[(F.sqrt("_n") * (F.col(m) - F.col(f"{m}_all"))).alias(m) for m in local])
+    r = _tsqr(triangles.select(*local).unionByName(moved), k + 1)
     r = np.vstack([r, np.zeros((max(0, k + 1 - r.shape[0]), k + 1))])
     rxx, rxy = r[:k, :k], r[:k, k]
+    total = [float((r[:, j] ** 2).sum()) + float(between[m] or 0.0) for j, m in enumerate(local)]       # within levels and between
     sv = np.linalg.svd(rxx, compute_uv=False) if k else np.zeros(0)
-    scale = np.array([float(v or 0.0) for v in rows.agg(*[F.stddev_pop(c) for c in values[:-1]]).first()]) if k else np.zeros(0)
-    tol = (scale.max() * math.sqrt(max(n, 1)) if k else 0.0) * max(n, k) * np.finfo(float).eps
-    rank, tss = int((sv > tol).sum()), float(mom["ys"] or 0.0) ** 2 * n
+    scale = max([math.sqrt(v / max(n, 1)) for v in total[:-1]], default=0.0)
+    tol = scale * math.sqrt(max(n, 1)) * max(n, k) * np.finfo(float).eps
+    rank, tss = int((sv > tol).sum()), total[-1]
     dof = n - levels - k
     if rank < k or dof <= 0:
         return AbsorbedFit(terms, n, levels, rank, None, None, math.nan, tss, alpha, means)

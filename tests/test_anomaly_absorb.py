@@ -82,3 +82,24 @@ def test_many_levels_and_not_estimable(spark):
     fit = OL.ols_absorbed(flat, "y", ["a", "c"], "g")
     assert fit.beta is None and fit.rank == 1 and OL.absorbed_coefficients(fit).count() == 0
     assert OL.ols_absorbed(big.where("false"), "y", ["a"], "g").beta is None
+
+
+def test_rows_are_read_once(spark, monkeypatch):
+    """A level in many chunks and tasks, values far from zero: the fit of
+    all dummies, from one pass over the rows."""
+    monkeypatch.setattr(OL, "CENTRED_ROWS", 40)
+    rows = [(1e6 * (i % 7) + 3 * (i % 11) + i % 5, float(i % 11) + 1e5 * (i % 7), float(i * i % 13), i % 7) for i in range(700)]
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    df = spark.createDataFrame(rows, "y double, a double, b double, g int").repartition(5)
+    fit = OL.ols_absorbed(df.mapInArrow(seen, df.schema), "y", ["a", "b"], "g")
+    effects, slopes, errors, rss = dense([(r[0] - 1e6 * r[3], r[1] - 1e5 * r[3], r[2], r[3]) for r in rows])
+    assert read.value == len(rows) and fit.n == 700 and fit.levels == 7
+    assert fit.beta == pytest.approx(slopes, rel=1e-7) and fit.rss == pytest.approx(rss, rel=1e-7)
+    y = np.array([r[0] for r in rows])
+    assert fit.tss == pytest.approx(((y - y.mean()) ** 2).sum(), rel=1e-9)
