@@ -2,10 +2,11 @@
 
 A run's events wait in list state until the watermark has passed them, so
 that events which arrive out of order, in any files and micro-batches, give
-the same transitions as the batch operator. An event-time timer per run
-wakes it up at its earliest waiting event; a second use of the timer drops
-runs that ended long ago. State is bounded: the events of the watermark's
-delay, and one small row per live run.
+the same transitions as the batch operator. Runs share their state in a fixed
+number of buckets, as a call per state and run takes far longer than its rows.
+An event-time timer per bucket wakes it up at its earliest waiting event; a
+second use of the timer drops runs that ended long ago. State is bounded: the
+events of the watermark's delay, and one small row per live run.
 """
 
 from __future__ import annotations
@@ -27,56 +28,78 @@ _ALLOWED = {(a, b) for a, bs in ALLOWED_TRANSITIONS.items() for b in (a, *bs)}
 _ENDED = {a for a, bs in ALLOWED_TRANSITIONS.items() if not bs}
 
 
+#: Groups of runs that share their state, fixed for a folder.
+BUCKETS = 1024
+
+
 class OrderedTransitions(StatefulProcessor):
-    """Per run: waiting events (micros, tiebreak, status) in ``held``; the
-    last emitted status, its time and the timer set in ``last``."""
+    """Per bucket of runs, so that state is read and written once a batch for
+    many of them: waiting events (run, micros, tiebreak, status) in ``held``;
+    each run's last emitted status and its time in ``last``; the timer set in
+    ``timer``."""
 
-    def __init__(self, columns: tuple, retention_ms: int | None):
-        self.columns, self.retention_ms = columns, retention_ms
+    def __init__(self, columns: tuple, retention_ms: int | None, run_type: str):
+        self.columns, self.retention_ms, self.run_type = columns, retention_ms, run_type
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.held = handle.getListState("held", "ts long, tb string, status string")
-        self.last = handle.getValueState("last", "status string, ts long, timer long")
+        self.held = handle.getListState("held", f"run {self.run_type}, ts long, tb string, status string")
+        self.last = handle.getListState("last", f"run {self.run_type}, status string, ts long")
+        self.timer = handle.getValueState("timer", "at long")
 
-    def _advance(self, key, events, watermark_ms: int):
+    def _advance(self, events, watermark_ms: int):
         """Emits what the watermark has passed, keeps the rest, sets the
-        timer at the earliest waiting event or at the run's end of life."""
-        prev, since, timer = self.last.get() if self.last.exists() else (None, None, None)
+        timer at the earliest waiting event or end of a run's life."""
+        last = {r[0]: (r[1], r[2]) for r in self.last.get()} if self.last.exists() else {}
+        held = self.held.exists()
+        events = [*(tuple(e) for e in self.held.get()), *events] if held else events
         # the tiebreak travels as text; whole numbers keep their order by length, then text
-        events.sort(key=lambda e: (e[0], len(e[1]) if e[1].isdigit() else 0, e[1], e[2] or ""))
+        events.sort(key=lambda e: (e[1], len(e[2]) if e[2].isdigit() else 0, e[2], e[3] or ""))
         limit = watermark_ms * 1000
         out, n = [], 0
-        for ts, tb, status in events:
+        for run, ts, tb, status in events:
             if ts > limit:
                 break
             n += 1
+            prev, since = last.get(run, (None, None))
             if self.retention_ms is not None and prev in _ENDED and ts - since >= 1000 * self.retention_ms:
                 prev = None                          # forgotten, whether or not its timer has fired yet
             if prev is not None and status is not None:
-                out.append((key[0], ts, tb, prev, status, (prev, status) in _ALLOWED))
+                out.append((run, ts, tb, prev, status, (prev, status) in _ALLOWED))
             if status is not None:
-                prev, since = status, ts
+                last[run] = status, ts
         rest = events[n:]
-        due = None
-        if rest:
-            due = -(-rest[0][0] // 1000)
-        elif self.retention_ms is not None and prev in _ENDED:
-            due = since // 1000 + self.retention_ms
-            if due <= watermark_ms:                  # ended long ago: nothing is kept
-                self.held.clear()
-                self.last.clear()
-                return self._frame(out)
+        due = -(-rest[0][1] // 1000) if rest else None
+        old = []
+        if self.retention_ms is not None:
+            waiting = {e[0] for e in rest}
+            for run, (status, since) in last.items():
+                if status in _ENDED and run not in waiting:
+                    end = since // 1000 + self.retention_ms
+                    if end <= watermark_ms:          # ended long ago: nothing is kept
+                        old.append(run)
+                    else:
+                        due = end if due is None else min(due, end)
+            for run in old:
+                del last[run]
         if rest:
             self.held.put(rest)
-        else:
+        elif held:
             self.held.clear()
+        if n or old:
+            if last:
+                self.last.put([(run, *x) for run, x in last.items()])
+            else:
+                self.last.clear()
+        timer = self.timer.get()[0] if self.timer.exists() else None
         if due != timer:
             if timer is not None and timer > watermark_ms:
                 self.handle.deleteTimer(timer)
-            if due is not None:
+            if due is None:
+                self.timer.clear()
+            else:
                 self.handle.registerTimer(due)
-        self.last.update((prev, since, due))
+                self.timer.update((due,))
         return self._frame(out)
 
     def _frame(self, rows):
@@ -89,15 +112,14 @@ class OrderedTransitions(StatefulProcessor):
         if key[0] is None or key[0] != key[0]:           # rows that only move the watermark
             yield self._frame([])
             return
-        events = list(self.held.get()) if self.held.exists() else []
+        events = []
         for pdf in rows:
-            micros, tie, status = (pdf.iloc[:, i] for i in (2, 3, 4))
-            events += zip(micros.astype("int64").tolist(), tie.astype(str).tolist(), [s if isinstance(s, str) else None for s in status.tolist()])
-        yield self._advance(key, [tuple(e) for e in events], timerValues.getCurrentWatermarkInMs())
+            run, micros, tie, status = (pdf.iloc[:, i] for i in (1, 3, 4, 5))
+            events += zip(run.tolist(), micros.astype("int64").tolist(), tie.astype(str).tolist(), [s if isinstance(s, str) else None for s in status.tolist()])
+        yield self._advance(events, timerValues.getCurrentWatermarkInMs())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        events = list(self.held.get()) if self.held.exists() else []
-        yield self._advance(key, [tuple(e) for e in events], timerValues.getCurrentWatermarkInMs())
+        yield self._advance([], timerValues.getCurrentWatermarkInMs())
 
     def close(self) -> None:
         pass
@@ -121,7 +143,8 @@ def ordered_transitions(stream: DataFrame, run_col: str, ts_col: str, status_col
         ms = int(stream.sparkSession.sql(f"SELECT unix_millis(timestamp_millis(0) + INTERVAL {retention})").first()[0])
     key, tie = stream.schema[run_col].dataType, stream.schema[tiebreak].dataType
     ts = F.col(ts_col).cast("timestamp")
-    rows = (stream.select(F.col(run_col), ts.alias(ts_col), F.unix_micros(ts).alias("_us"), F.col(tiebreak).cast("string").alias("_tb"),
+    bucket = F.when(F.col(run_col).isNotNull(), F.pmod(F.xxhash64(run_col), F.lit(BUCKETS)).cast("int"))
+    rows = (stream.select(bucket.alias("_bucket"), F.col(run_col), ts.alias(ts_col), F.unix_micros(ts).alias("_us"), F.col(tiebreak).cast("string").alias("_tb"),
                           F.col(status_col).cast("string").alias("_status"))
             .where(F.col(ts_col).isNotNull()).withWatermark(ts_col, delay)
             # a closing row moves the watermark, so it must get as far as here and one step on
@@ -129,7 +152,7 @@ def ordered_transitions(stream: DataFrame, run_col: str, ts_col: str, status_col
     schema = T.StructType([T.StructField(run_col, key), T.StructField(ts_col, T.TimestampType()), T.StructField(tiebreak, T.StringType()),
                            T.StructField("from_status", T.StringType()), T.StructField("to_status", T.StringType()),
                            T.StructField("allowed", T.BooleanType())])
-    out = rows.groupBy(run_col).transformWithStateInPandas(OrderedTransitions((run_col, ts_col, tiebreak), ms), schema, "append", "EventTime")
+    out = rows.groupBy("_bucket").transformWithStateInPandas(OrderedTransitions((run_col, ts_col, tiebreak), ms, key.simpleString()), schema, "append", "EventTime")
     return out.withColumn(tiebreak, F.col(tiebreak).cast(tie))
 
 

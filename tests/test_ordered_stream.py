@@ -58,3 +58,15 @@ def test_late_rows_and_retention(spark):
     assert sorted(got) == [("a", 2, "queued", "completed", True), ("b", 8, "queued", "running", True), ("c", 6, "queued", "running", True),
                            ("c", 9, "running", "failed", True)]
     assert sum(f["late_rows"] for f in figures) == 1
+
+
+def test_runs_share_state(spark, monkeypatch):
+    """Many runs in two buckets: the transitions of the batch operator, and
+    no timer or state of a run's own."""
+    monkeypatch.setattr(SL, "BUCKETS", 2)
+    rows = [(f"r{i % 90}", T0 + dt.timedelta(minutes=7 * i), i, R.choice(["queued", "running", "completed", "failed", None])) for i in range(400)]
+    order = sorted(rows, key=lambda r: r[1] + dt.timedelta(minutes=R.randint(0, 100)))
+    arrivals = [spark.createDataFrame(order[i:i + 200], SCHEMA).coalesce(1) for i in (0, 200)]
+    out, figures = SL.replay_ordered(arrivals, "run", "ts", "status", "id", delay="3 hours")
+    assert result(out) == batch(spark, rows) and len({r[0] for r in result(out)}) > 50
+    assert sum(f["late_rows"] for f in figures) == 0
