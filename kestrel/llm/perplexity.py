@@ -69,15 +69,28 @@ def text_grams(words, off):
     seq[ragged_take(start + 1, size)] = unit
     begin = start[first]
     seq[np.append(begin[1:], total)[:len(begin)] - 1] = _END
-    dist = np.full(total, ORDER, np.int8)                               # units before it in its text, ORDER at most
-    for j in range(ORDER):
-        dist[(begin + j)[begin + j < np.append(begin[1:], total)[:len(begin)]]] = j
     gram = seq.copy()
     for j in range(1, ORDER):
-        gram[j:] |= np.where(dist[j:] >= j, seq[:-j] << U64(CHAR_BITS * j), U64(0))
+        gram[j:] |= seq[:-j] << U64(CHAR_BITS * j)
+    for j in range(ORDER - 1):                                          # a text's first units have only j before them
+        at = (begin + j)[begin + j < np.append(begin[1:], total)[:len(begin)]]
+        gram[at] &= U64(_mask(j + 1))
+    ends = np.ones(total, bool)
+    ends[begin] = False
     per = np.zeros(len(off) - 1, np.int64)
     per[full] = np.diff(np.append(begin, total)) - 1
-    return gram[dist > 0].view(np.int64), np.concatenate([[0], np.cumsum(per)])
+    return gram[ends].view(np.int64), np.concatenate([[0], np.cumsum(per)])
+
+
+def _distinct(grams):
+    """The distinct n-grams in order, and each n-gram's place among them;
+    only the distinct ones are sorted."""
+    d = pa.array(grams).dictionary_encode()
+    keys = d.dictionary.to_numpy()
+    order = np.argsort(keys)
+    place = np.empty(len(keys), np.int64)
+    place[order] = np.arange(len(keys))
+    return keys[order], place[d.indices.to_numpy()]
 
 
 def count_grams(docs: DataFrame) -> DataFrame:
@@ -405,7 +418,7 @@ def _scored(buckets):
         body = table.filter(pc.is_valid(table["rules"])).to_pylist()[0]
         rules, words, off = _body(body)
         grams, ends = text_grams(words, off)
-        distinct, code = np.unique(grams, return_inverse=True)
+        distinct, code = _distinct(grams)
         each = np.zeros(len(distinct))
         got = table.filter(pc.is_valid(table["s"]))
         answers = dict(zip(got["bucket"].to_pylist(), got["s"].to_pylist()))
