@@ -15,15 +15,22 @@ from kestrel.llm import cotrain, decontaminate, packing, simhash, substring
 from kestrel.llm.common import bound_batches
 from kestrel.session import ensure_checkpoint_dir, ship_package
 
+#: Rows of a batch of the Parquet reader.
+READER_ROWS = 512
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def _prepare(spark: SparkSession) -> None:
-    """Python workers can import the package, and get bounded batches."""
+    """Python workers can import the package, and get bounded batches; so
+    does the Parquet reader, whose batches of 4096 rows of text are many
+    megabytes in one array each."""
     ship_package(spark)
-    bound_batches(spark)
+    bound_batches(spark, size="1m")
+    rows = "spark.sql.parquet.columnarReaderBatchSize"
+    spark.conf.set(rows, str(min(int(spark.conf.get(rows)), READER_ROWS)))
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

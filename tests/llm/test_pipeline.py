@@ -89,3 +89,13 @@ def test_odd_columns(spark, tmp_path):
     out.write.parquet(f"{tmp_path}/x")
     for name in ("near_dedup", "decontamination", "substring_dedup"):
         assert stages[name](spark, docs.where("false"), SF_SMALL).count() == 0
+
+
+def test_batches_are_bounded(spark):
+    P.run(spark, SF_SMALL)
+    reader, arrow = "spark.sql.parquet.columnarReaderBatchSize", "spark.sql.execution.arrow.maxBytesPerBatch"
+    assert int(spark.conf.get(reader)) <= 512 and spark.conf.get(arrow) == "1m"
+    spark.conf.set(reader, "100")
+    P._prepare(spark)
+    assert spark.conf.get(reader) == "100"       # a lower one stays
+    spark.conf.unset(reader)
