@@ -28,13 +28,18 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kestrel.llm.common import column, encode_words, planes, ragged_take, segment_sum, text_chunks, unplanes
+from kestrel.llm.common import (bound_batches, column, encode_words, planes, ragged_take, release, segment_sum,
+                                text_chunks, unplanes)
 from kestrel.session import cut_lineage
 
 SPACE = "▁"
-#: Segments, and tokens in them, above which a worker forgets what it knows
-#: before the next batch.
-CACHE, CACHE_TOKENS = 400_000, 3_000_000
+#: Segments, and tokens in them, above which a worker forgets what few cuts
+#: have asked for, before the next cut.
+CACHE, CACHE_TOKENS = 150_000, 1_000_000
+#: Segments that are encoded and aligned at a time.
+LEARN = 1 << 14
+#: Rows of a cut, and of a batch of the Parquet reader.
+CUT_ROWS, READER_ROWS = 10_000, 512
 
 
 def default_paths() -> tuple[str, str]:
@@ -99,13 +104,15 @@ def _cut_places(raw, start, end):
     that might be white space beyond ASCII count as such; documents own
     raw[start[i]:end[i]]."""
     space = raw == 0x20
+    last = np.arange(len(raw), dtype=np.int32)                   # of each byte, the last other than a space up to it
+    last[space] = -1
+    np.maximum.accumulate(last, out=last)
     before = np.zeros((3, len(raw)), np.uint8)
     for k in range(3):
         before[k, k + 1:] = raw[:-k - 1]
     one, two, three = before
     white = (one <= 0x20) | ((two == 0xC2) & ((one == 0x85) | (one == 0xA0)))
     white |= ((three == 0xE2) & ((two == 0x80) | (two == 0x81))) | ((three == 0xE1) & (two == 0x9A)) | ((three == 0xE3) & (two == 0x80))
-    last = np.maximum.accumulate(np.where(space, -1, np.arange(len(raw)))) if len(raw) else np.zeros(0, np.int64)
     at = np.flatnonzero(space & ~white)
     doc = np.searchsorted(start, at, "right") - 1
     return at[(at > start[doc]) & (at < last[end[doc] - 1])]
@@ -141,19 +148,34 @@ class Aligner:
         self.width = {k: pc.binary_length(v).to_numpy(zero_copy_only=False).astype(np.int64) for k, v in self.bytes.items()}
         ids = pa.array(range(max(len(bytes_a), len(bytes_b)))).cast(pa.string())
         self.names = pa.concat_arrays([pc.binary_join_element_wise(ids, end, "") for end in ",|;"])   # each id with what follows it
+        self.ints = list(range(len(bytes_a)))                    # one object for each id that is kept
         self.clear()
 
     def clear(self):
         self.known, self.good, self.chunks = pa.array([], pa.string()), np.zeros(0, bool), {}
         self.label = pa.array([], pa.string())                   # the segment's groups as text
+        self.asked = np.zeros(0, np.int32)                       # cuts that asked for it, halved when others are forgotten
         self.flat = {k: np.zeros(0, np.int64 if k == "link" else np.int32) for k in ("a", "b", "ga", "gb", "link")}
         self.size = {k: np.zeros(0, np.int32) for k in self.flat}
 
+    def forget(self):
+        """Keeps the segments most often asked for, up to half of the bounds."""
+        keep = np.argsort(-self.asked, kind="stable")[:CACHE // 2]
+        tokens = np.cumsum(np.maximum(self.size["a"], self.size["b"])[keep], dtype=np.int64)
+        keep = np.sort(keep[tokens <= CACHE_TOKENS // 2])
+        kept = {k: self.take(k, keep)[0] for k in self.flat}
+        at = pa.array(keep)
+        known, label, good, asked = self.known.take(at), self.label.take(at), self.good[keep], self.asked[keep] // 2
+        size = {k: v[keep] for k, v in self.size.items()}
+        self.clear()
+        self.known, self.label, self.good, self.asked, self.flat, self.size = known, label, good, asked, kept, size
+
     def _chunk(self, w: str):
         """A's ids of one chunk of its splitter."""
         got = self.chunks.get(w)
         if got is None:
-            got = self.chunks[w] = [t.id for t in self.merge(w.encode().decode("latin-1").translate(self.letters))]
+            ints = self.ints
+            got = self.chunks[w] = tuple([ints[t.id] for t in self.merge(w.encode().decode("latin-1").translate(self.letters))])
         return got
 
     def _encode_a(self, texts):
@@ -170,7 +192,20 @@ class Aligner:
         return out
 
     def _learn(self, names):
-        """Encodes and aligns segments met for the first time."""
+        """Encodes and aligns segments met for the first time, LEARN at a
+        time: what they take meanwhile is many times what is kept of them."""
+        parts = [self._aligned(names.slice(i, LEARN)) for i in range(0, len(names), LEARN)]
+        self.known = pa.concat_arrays([self.known, names])
+        self.asked = np.concatenate([self.asked, np.zeros(len(names), np.int32)])
+        self.good = np.concatenate([self.good, *(x[0] for x in parts)])
+        self.label = pa.concat_arrays([self.label, *(x[1] for x in parts)])
+        for k in self.flat:
+            self.flat[k] = np.concatenate([self.flat[k], *(x[2].pop(k) for x in parts)])
+            self.size[k] = np.concatenate([self.size[k], *(x[3].pop(k) for x in parts)])
+
+    def _aligned(self, names):
+        """Of some segments: whether both spell them, their groups as text,
+        and flat values and sizes of each kind."""
         on = gc.isenabled()
         gc.disable()                    # hundreds of thousands of small lists, none of them cyclic
         texts, n = names.to_pylist(), len(names)
@@ -212,12 +247,7 @@ class Aligner:
         flat["gb"] = gb - np.concatenate([[0], stop["b"]])[owner]
         flat["link"] = (flat["a"][la] << 32) | flat["b"][lb]
         size["link"] = np.bincount(np.searchsorted(stop["a"], la, "right"), minlength=n)
-        self.known = pa.concat_arrays([self.known, names])
-        self.good = np.concatenate([self.good, good])
-        self.label = pa.concat_arrays([self.label, label])
-        for k in self.flat:
-            self.flat[k] = np.concatenate([self.flat[k], flat[k].astype(self.flat[k].dtype)])
-            self.size[k] = np.concatenate([self.size[k], size[k].astype(np.int32)])
+        return good, label, {k: flat[k].astype(v.dtype) for k, v in self.flat.items()}, {k: v.astype(np.int32) for k, v in size.items()}
 
     def documents(self, texts):
         """Of a string array: (codes, off, at) - document i is the distinct
@@ -226,8 +256,8 @@ class Aligner:
         texts = pc.fill_null(texts, "")
         full = pc.not_equal(texts, "")
         spaced = pc.if_else(full, pc.binary_join_element_wise("", texts, " "), "")
-        if len(self.known) > CACHE or len(self.flat["a"]) > CACHE_TOKENS:
-            self.clear()
+        if len(self.known) > CACHE or max(len(self.flat["a"]), len(self.flat["b"])) > CACHE_TOKENS:
+            self.forget()
         spaced = pa.concat_arrays([spaced])                      # offsets from 0
         bound = np.frombuffer(spaced.buffers()[1], np.int32)[:len(spaced) + 1] if len(spaced) else np.zeros(1, np.int32)
         if bound[-1] == bound[0]:
@@ -248,6 +278,7 @@ class Aligner:
         where = where.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
         new = new.to_numpy(zero_copy_only=False)
         where[new] = first + np.arange(new.sum())
+        self.asked[where] += 1
         bad = segment_sum((~self.good[where])[codes].astype(np.int64), off) > 0
         if bad.any():                                            # a text whose bytes differ has no tokens
             codes = codes[np.repeat(~bad, np.diff(off))]
@@ -312,32 +343,66 @@ _CUT = ("cut long, doc array<long>, n_a array<long>, n_b array<long>, n_groups a
         "sha array<string>, words binary, off binary, pair_of binary, pair_off binary, pairs array<long>, n array<long>")
 
 
+def _bound(spark):
+    """Lowers the session's batches of rows: a cut is put together from
+    many, and the executor holds each of them several times."""
+    bound_batches(spark, size="1m")
+    rows = "spark.sql.parquet.columnarReaderBatchSize"
+    spark.conf.set(rows, str(min(int(spark.conf.get(rows)), READER_ROWS)))
+
+
+def _gathered(batches, limit):
+    """Rows of the session's batches put together, or cut, to ``limit`` bytes
+    of text (a longer text stands alone) and CUT_ROWS rows."""
+    held, total, rows = [], 0, 0
+    for part in text_chunks(batches, "t", limit):
+        size = pc.sum(pc.binary_length(column(part, "t"))).as_py() or 0
+        if held and (total + size > limit or rows + part.num_rows > CUT_ROWS):
+            yield pa.Table.from_batches(held)
+            held, total, rows = [], 0, 0
+            release()
+        held.append(part)
+        total, rows = total + size, rows + part.num_rows
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+#: A cut's row has megabytes: row groups and pages end after each row that
+#: fills them, not after the 100 that Parquet writes before it looks.
+_FILES = {"parquet.block.size": 8 << 20, "parquet.block.size.row.check.min": 1, "parquet.page.size.row.check.min": 1}
+
+
+def _cut(tool, batch):
+    """One row of _CUT."""
+    codes, off, at = tool.documents(column(batch, "t"))
+    segments = at[codes]
+    count = {k: segment_sum(tool.size[k][segments], off) for k in ("a", "b", "ga", "link")}
+    labels = tool.label.take(pa.array(at))
+    sha = []
+    for i in range(len(off) - 1):
+        mine = labels.take(pa.array(codes[off[i]:off[i + 1]]))
+        one = pa.ListArray.from_arrays(pa.array([0, len(mine)], pa.int32()), mine)
+        sha.append(hashlib.sha256(memoryview(pc.binary_join(one, "")[0].as_buffer())[:-1]).hexdigest() if len(mine) else "")
+    link, cut = tool.take("link", at)
+    which, pairs = pd.factorize(link)
+    often = np.bincount(codes, minlength=len(at))
+    n = np.bincount(which, np.repeat(often, np.diff(cut)), len(pairs)).astype(np.int64)
+    return pa.record_batch(
+        [pa.array([uuid.uuid4().int >> 65], pa.int64()), pa.array([column(batch, "d").to_pylist()], pa.list_(pa.int64())),
+         *[pa.array([count[k]], pa.list_(pa.int64())) for k in ("a", "b", "ga", "link")], pa.array([sha]),
+         *[pa.array([planes(x.astype(np.uint32))], pa.binary()) for x in (codes, off, which, cut)],
+         *[pa.array([x], pa.list_(pa.int64())) for x in (pairs, n)]],
+        names=["cut", "doc", "n_a", "n_b", "n_groups", "n_links", "sha", "words", "off", "pair_of", "pair_off", "pairs", "n"])
+
+
 def _cuts(paths, limit):
     """Documents as cuts of bounded size: each document's numbers and its
     segments as codes of the cut, the links of the cut's segments, and the
     cut's distinct id pairs with their links' number."""
     def run(batches):
         tool = aligner(*paths)
-        for batch in text_chunks(batches, "t", limit):
-            codes, off, at = tool.documents(column(batch, "t"))
-            segments = at[codes]
-            count = {k: segment_sum(tool.size[k][segments], off) for k in ("a", "b", "ga", "link")}
-            labels = tool.label.take(pa.array(at))
-            sha = []
-            for i in range(len(off) - 1):
-                mine = labels.take(pa.array(codes[off[i]:off[i + 1]]))
-                one = pa.ListArray.from_arrays(pa.array([0, len(mine)], pa.int32()), mine)
-                sha.append(hashlib.sha256(memoryview(pc.binary_join(one, "")[0].as_buffer())[:-1]).hexdigest() if len(mine) else "")
-            link, cut = tool.take("link", at)
-            which, pairs = pd.factorize(link)
-            often = np.bincount(codes, minlength=len(at))
-            n = np.bincount(which, np.repeat(often, np.diff(cut)), len(pairs)).astype(np.int64)
-            yield pa.record_batch(
-                [pa.array([uuid.uuid4().int >> 65], pa.int64()), pa.array([column(batch, "d").to_pylist()], pa.list_(pa.int64())),
-                 *[pa.array([count[k]], pa.list_(pa.int64())) for k in ("a", "b", "ga", "link")], pa.array([sha]),
-                 *[pa.array([planes(x.astype(np.uint32))], pa.binary()) for x in (codes, off, which, cut)],
-                 *[pa.array([x], pa.list_(pa.int64())) for x in (pairs, n)]],
-                names=["cut", "doc", "n_a", "n_b", "n_groups", "n_links", "sha", "words", "off", "pair_of", "pair_off", "pairs", "n"])
+        for batch in _gathered(batches, limit):
+            yield _cut(tool, batch)      # nothing of one cut is held while the next is made
     return run
 
 
@@ -381,7 +446,8 @@ def alignment_digest(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     zeros; repeated rows count and come back as often."""
     default = default_paths()
     paths = path_a or default[0], path_b or default[1]
-    cuts = cut_lineage(_source(docs, doc_id, text).mapInArrow(_cuts(paths, cut_bytes), _CUT))
+    _bound(docs.sparkSession)
+    cuts = cut_lineage(_source(docs, doc_id, text).mapInArrow(_cuts(paths, cut_bytes), _CUT), **_FILES)
     known = pair_counts(cuts)
     asks = cuts.select(F.col("cut").alias("of"), F.posexplode("pairs").alias("pos", "key"))
     answers = asks.join(known, "key").select("of", "pos", "c", "best")

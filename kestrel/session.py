@@ -68,7 +68,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return d
 
 
-def cut_lineage(df, mode: str | None = None):
+def cut_lineage(df, mode: str | None = None, **options):
     """Cut lineage into the shared checkpoint folder (survives executor
     loss; never localCheckpoint).
 
@@ -76,7 +76,8 @@ def cut_lineage(df, mode: str | None = None):
     ``spark.checkpoint.dir`` and read it back - a columnar, vectorised
     re-read that also carries file-size statistics, so AQE can broadcast a
     small derived table. ``mode='rdd'`` uses ``DataFrame.checkpoint``.
-    Override the default with the session conf ``kestrel.cutLineage``."""
+    Override the default with the session conf ``kestrel.cutLineage``.
+    ``options`` are of the Parquet writer."""
     import uuid
     spark = df.sparkSession
     d = ensure_checkpoint_dir(spark)
@@ -84,7 +85,7 @@ def cut_lineage(df, mode: str | None = None):
     if mode == "rdd":
         return df.checkpoint(eager=True)
     path = f"{d.rstrip('/')}/kestrel-tables/{uuid.uuid4().hex}"
-    df.write.mode("overwrite").parquet(path)
+    df.write.mode("overwrite").options(**options).parquet(path)
     return spark.read.parquet(path)
 
 

@@ -4,9 +4,12 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 from kestrel.llm import alignment
+from kestrel.session import cut_lineage
 
 PIECES = ["a", "the", " ", "  ", "\n", "\t", " ", "é", "ß", "<s>", "<|endoftext|>", "123", "'s", "!?", "中文", "\u0085", "\x1c",
           "\x00", "word", "tion", " the", " of", "\u3000", "\u200b", "\U0001F600", "\u00a0", ",,"]
@@ -109,3 +112,57 @@ def test_empty(spark, docs):
     assert alignment.alignment_digest(df).count() == 0 and alignment.alignments(df).count() == 0
     none = spark.createDataFrame([(1, None), (2, "")], "doc_id long, text string")
     assert {tuple(r) for r in alignment.alignment_digest(none).collect()} == {(1, 0, 0, 0, 0, 0, 0, ""), (2, 0, 0, 0, 0, 0, 0, "")}
+
+
+def cuts_of(docs, rows, limit=4 << 20):
+    """The worker's cuts of batches of so many rows, without their ids."""
+    table = pa.table({"d": pa.array([d for d, _ in docs], pa.int64()), "t": pa.array([t for _, t in docs], pa.string())})
+    got = alignment._cuts(alignment.default_paths(), limit)(iter(table.to_batches(rows)))
+    return [{k: v for k, v in c.to_pylist()[0].items() if k != "cut"} for c in got]
+
+
+def test_cuts_do_not_follow_batches(docs, monkeypatch):
+    """Small batches give the same cuts; rows without text are bounded too."""
+    assert len(cuts_of(docs, 3)) == 1 and cuts_of(docs, 3) == cuts_of(docs, len(docs))
+    monkeypatch.setattr(alignment, "CUT_ROWS", 10)
+    cuts = cuts_of([(i, None if i % 2 else "") for i in range(95)], 5)
+    assert [len(c["doc"]) for c in cuts] == [10] * 9 + [5]
+
+
+def test_worker_is_bounded(docs, monkeypatch):
+    """What is encoded at a time and what stays known have bounds; what few
+    cuts asked for goes first, and the cuts are the same."""
+    r = random.Random(8)
+    made = [(i, "the same " + " ".join(f"{r.choice(PIECES).strip()}{i}w{j}" for j in range(40))) for i in range(60)] + docs
+    want = cuts_of(made, 4, 2000)
+    monkeypatch.setattr(alignment, "_ALIGNERS", {})
+    monkeypatch.setattr(alignment, "CACHE", 200)
+    monkeypatch.setattr(alignment, "LEARN", 16)
+    most, known, plain, learn = [], [], alignment.Aligner._encode_a, alignment.Aligner.documents
+
+    def encode(self, texts):
+        most.append(len(texts))
+        return plain(self, texts)
+
+    def documents(self, texts):
+        had = set(self.known.to_pylist())
+        out = learn(self, texts)
+        known.append((len(had), " same" in had))
+        return out
+    monkeypatch.setattr(alignment.Aligner, "_encode_a", encode)
+    monkeypatch.setattr(alignment.Aligner, "documents", documents)
+    assert cuts_of(made, 4, 2000) == want
+    assert max(most) <= 16
+    tool = alignment.aligner(*alignment.default_paths())
+    assert max(n for n, _ in known) > 200 and all(kept for _, kept in known[1:])
+    tool.forget()
+    assert len(tool.known) <= 100 and len(tool.flat["a"]) == tool.size["a"].sum() and len(tool.label) == len(tool.asked) == len(tool.good)
+
+
+def test_cuts_have_row_groups_of_their_own(spark):
+    """A row of megabytes fills a row group; Parquet looks after 100 rows otherwise."""
+    words = "concat_ws('', transform(sequence(1, 60000), x -> sha2(concat(id, ' ', x), 256))) AS words"
+    df = spark.range(12, numPartitions=1).selectExpr("id", words)
+    got = cut_lineage(df, **alignment._FILES)
+    files = [pq.ParquetFile(x.removeprefix("file:")).metadata for x in got.inputFiles()]
+    assert sum(m.num_rows for m in files) == 12 and all(m.row_group(i).num_rows <= 4 for m in files for i in range(m.num_row_groups))
